@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontaminate
+from tallyspark.llm import bpe, decontaminate
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op10_decontaminate": decontaminate.query,
 }
 SQL = {
