@@ -24,6 +24,7 @@ from tallyspark.llm import common
 WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Each window holds 13 words and a list of items: this many take some tens of MB.
 BROADCAST_WINDOWS = 100_000
 
@@ -33,6 +34,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), 1)
 
 
+def raw_words(text: Column) -> Column:
+    """The words as written, perhaps with one empty string before the first and one after the last; split is the cheapest way to get them."""
+    return F.split(F.coalesce(text, F.lit("")), NOT_WORD)
+
+
+def n_words(w: Column) -> Column:
+    """The number of words in what raw_words() gives."""
+    n = F.size(w)
+    return (n - (F.element_at(w, 1) == "").cast("int") - ((n > 1) & (F.element_at(w, -1) == "")).cast("int")).cast("long")
+
+
 def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Distinct windows: win array<string>, items array<string>, the ids of the items that hold it."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("w")).filter(F.size("w") > 0)
@@ -41,28 +53,36 @@ def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
 
 
 def prefixes(docs: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
-    """Each window with its rarest word (tok) and that word's place (off) in it. Rarity counts all words of all documents."""
+    """Each window with its rarest word (tok) and that word's place (off) in it. Rarity counts all words of all documents.
+
+    Here tok is in lower case throughout, not only A-Z: equal words stay equal, and the full comparison comes later.
+    """
     hint = F.broadcast if small else (lambda df: df)
-    tokens = wins.select("win", F.posexplode("win").alias("off", "tok"))
-    seen = docs.select(F.explode("w").alias("tok")).join(hint(tokens.select("tok").distinct()), "tok").groupBy("tok").agg(F.count("*").alias("n"))
+    tokens = wins.select("win", F.posexplode("win").alias("off", "tok")).withColumn("tok", F.lower("tok"))
+    seen = docs.select(F.explode_outer("w").alias("tok")).select(F.lower("tok").alias("tok")).join(hint(tokens.select("tok").distinct()), "tok").groupBy("tok").agg(F.count("*").alias("n"))
     ranked = tokens.join(seen, "tok", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok", "off")).alias("p"))
     return wins.join(ranked, "win").filter("p.n > 0").select("win", "items", F.col("p.tok").alias("tok"), F.col("p.off").alias("off"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Every occurrence of a window: doc_id, start (from 0), len, items. docs: doc_id, w (words)."""
+    """Every occurrence of a window: doc_id, start (in raw_words), len, items. docs: doc_id, w (raw_words)."""
     wins = common.written(windows(benchmark, window), "windows")
     small = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
     keys = common.written(prefixes(docs, wins, small), "prefixes")
     start, size = F.col("pos") - F.col("off"), F.size("win")
+    # the outer form: else a filter would split every text twice
+    spots = docs.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "tok")).withColumn("tok", F.lower("tok"))
+
+    def same(words: Column, at: Column) -> Column:
+        return F.translate(F.array_join(F.slice(words, at + 1, size), " "), UPPER, LOWER) == F.array_join("win", " ")
+
     if small:
-        at = docs.select("doc_id", "w", F.posexplode("w").alias("pos", "tok")).join(F.broadcast(keys), "tok")
-        found = at.filter((start >= 0) & (start + size <= F.size("w"))).filter(F.slice("w", start + 1, size) == F.col("win"))
+        found = spots.join(F.broadcast(keys), "tok").filter((start >= 0) & (start + size <= F.size("w"))).filter(same(F.col("w"), start))
     else:
         first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        near = docs.select("doc_id", "w", F.posexplode("w").alias("pos", "tok")).select("doc_id", "pos", "tok", first.alias("first"), F.slice("w", first + 1, 2 * window - 1).alias("near"))
-        at = near.join(keys, "tok").filter((start >= F.col("first")) & (start - F.col("first") + size <= F.size("near")))
-        found = at.filter(F.slice("near", start - F.col("first") + 1, size) == F.col("win"))
+        near = spots.select("doc_id", "pos", "tok", first.alias("first"), F.slice("w", first + 1, 2 * window - 1).alias("near"))
+        at = start - F.col("first")
+        found = near.join(keys, "tok").filter((at >= 0) & (at + size <= F.size("near"))).filter(same(F.col("near"), at))
     return found.select("doc_id", start.alias("start"), size.alias("len"), "items")
 
 
@@ -78,12 +98,12 @@ def decontaminate(
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items (sorted as strings), contaminated (at least `percent` of the words hit)."""
-    base = documents.select(F.col(id_col).alias("doc_id"), words(F.col(text_col).cast("string")).alias("w"))
+    base = documents.select(F.col(id_col).alias("doc_id"), raw_words(F.col(text_col).cast("string")).alias("w"))
     bench = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     found = hits(base, bench, window, broadcast_windows)
     covered = found.select("doc_id", "items", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos"))
     counted = covered.groupBy("doc_id", "pos").agg(F.collect_set("items").alias("items")).groupBy("doc_id").agg(F.count("*").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("items"))))).alias("items"))
-    sizes = base.select("doc_id", F.size("w").cast("long").alias("n_words"))
+    sizes = base.select("doc_id", n_words(F.col("w")).alias("n_words"))
     all_docs = sizes.join(counted.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return all_docs.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
