@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate
+from tallyspark.llm import bpe, decontaminate, media, quality, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op3_media": media.query,
+    "op4_quality": quality.query,
+    "op6_toxicity": toxicity.query,
     "op10_decontaminate": decontaminate.query,
 }
 SQL = {
