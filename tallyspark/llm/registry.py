@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, media, quality, toxicity
+from tallyspark.llm import bpe, decontaminate, html_text, media, quality, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_warc": warc.query,
     "op3_media": media.query,
     "op4_quality": quality.query,
     "op6_toxicity": toxicity.query,
+    "op7_html_text": html_text.query,
     "op10_decontaminate": decontaminate.query,
 }
 SQL = {
+    "op2_warc": warc.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
