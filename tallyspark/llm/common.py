@@ -17,6 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. One of our own is set only where it is unset (tests, local runs)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,8 +36,12 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
+    path, before = shared_path(spark, tag), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for a table on its way is not needed once the table is there
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyspark_path = path
     return out
