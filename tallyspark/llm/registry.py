@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, html_text, media, quality, substrings, toxicity, warc
+from tallyspark.llm import bpe, decontaminate, html_text, jaccard, media, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.query,
     "op6_toxicity": toxicity.query,
     "op7_html_text": html_text.query,
+    "op8_jaccard": jaccard.query,
     "op9_substrings": substrings.query,
     "op10_decontaminate": decontaminate.query,
 }
