@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, html_text, jaccard, media, quality, substrings, toxicity, warc
+from tallyspark.llm import bpe, decontaminate, html_text, jaccard, language_model, media, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_warc": warc.query,
     "op3_media": media.query,
     "op4_quality": quality.query,
+    "op5_language_model": language_model.query,
     "op6_toxicity": toxicity.query,
     "op7_html_text": html_text.query,
     "op8_jaccard": jaccard.query,
