@@ -34,7 +34,7 @@ PERCENT = 80
 BLOCK = 4000
 PIVOTS = 16
 RANGE_BYTES = 6 << 20  # of text, for each range of hashes: about a million shingles
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 BUCKET_BITS = np.uint64(16)
 
@@ -46,7 +46,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sizes(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, "text", 2 << 20):
             counts = shingles(*common.utf8(batch.column("text")), words)[1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(counts, pa.int64())], ["doc_id", "uid", "n_shingles"])
 
@@ -80,7 +80,7 @@ def by_range(docs: DataFrame, words: int, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, "text", 2 << 20):
             data, offsets = common.utf8(batch.column("text"))
             found, counts = shingles(data, offsets, words)
             held.append((batch.column("uid").to_numpy(), counts, found))
@@ -359,3 +359,21 @@ def join(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df without those whose group has a smaller id; of equal rows one stays. All columns are passed on."""
+    uid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    grouped = common.written(members(df, id_col=id_col, text_col=text_col, **options), "members")
+    ids = df.select(F.col(id_col).cast("long").alias("own_id"), uid.alias("own")).join(grouped, F.col("own") == F.col("uid"))
+    ids = common.written(ids.groupBy("uid", "grp", "own_id").agg(F.count("*").alias("rows")), "members")
+    least = ids.groupBy(F.col("grp").alias("k")).agg(F.min("own_id").alias("least"), F.min(F.when(F.col("own_id").isNull(), F.col("uid"))).alias("nameless"))
+    named = ids.join(least, F.col("grp") == F.col("k"))
+    stays = F.when(F.col("least").isNull(), F.col("uid") == F.col("nameless")).otherwise(F.coalesce(F.col("own_id") == F.col("least"), F.lit(False)))
+    gone = named.filter(~stays).select(F.col("uid").alias("gone"))
+    # two texts of one id may both be the least of their group, and a row may be repeated: then the first uid, and one row of it, stay
+    twice = named.filter(stays).groupBy(F.col("grp").alias("k")).agg(F.sum("rows").alias("rows"), F.min("uid").alias("first")).filter("rows > 1").select("k", "first")
+    twice = common.written(named.filter(stays).drop("k").join(twice, F.col("grp") == F.col("k")).select("uid", "first"), "repeated")
+    kept = df.withColumn("__uid", uid).join(gone.unionByName(twice.select(F.col("uid").alias("gone"))), F.col("__uid") == F.col("gone"), "left_anti")
+    again = df.withColumn("__uid", uid).join(twice.filter("uid = first").select(F.col("first").alias("f")), F.col("__uid") == F.col("f"), "left_semi").dropDuplicates(["__uid"])
+    return (kept.unionByName(again) if twice.limit(1).count() else kept).drop("__uid")
