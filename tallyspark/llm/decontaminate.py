@@ -127,3 +127,10 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of documents that are not contaminated, with all their columns."""
+    keyed = documents.withColumn("__uid", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    gone = decontaminate(keyed, benchmark, id_col="__uid", text_col=text_col, **options).filter("contaminated").select(F.col("doc_id").alias("gone")).distinct()
+    return keyed.join(gone, F.col("__uid") == F.col("gone"), "left_anti").drop("__uid")

@@ -5,7 +5,7 @@ out-of-fold predictions, so that a later model does not learn to trust what an e
 which five-letter beginnings of words a text holds; the `features` most telling ones are kept, by chi-square with any category.
 
 Models are fitted on a bounded sample: `sample_rows` labelled rows with and as many without the last category, chosen by a hash of the id. Documents are rejected where the last category's
-probability reaches the threshold, the least at which out-of-fold precision is `precision` (at least 0.5).
+probability reaches the threshold, the least at which out-of-fold precision is `precision` (at least LEAST).
 
 The labels table has one toxicity mark; the chain of the registered query is low quality first, then toxic.
 
@@ -30,6 +30,7 @@ from tallyspark.llm import common
 
 WORDS = re.compile(r"[^\W\d_]+")
 BEGINNING = 5
+LEAST = 0.2
 
 
 def held(text: str) -> set[str]:
@@ -63,8 +64,10 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2.0, steps: int = 160) -> np.ndarray:
-    """Weighted logistic regression by accelerated gradient steps; the first column is the constant."""
+def linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 200) -> np.ndarray:
+    """Weighted logistic regression by accelerated gradient steps; the first column is the constant. Columns are brought to one scale, so that rare features are learnt as fast as common ones."""
+    scale = 1 / np.sqrt((weight[:, None] * x * x).mean(0) + 1e-4)
+    x = x * scale
     v = np.ones(x.shape[1], x.dtype)
     for _ in range(12):  # power iteration: the curvature bounds the step
         v = x.T @ (weight * (x @ v))
@@ -76,7 +79,7 @@ def linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2.0,
     for t in range(steps):
         ahead = w + (t / (t + 3)) * (w - last)
         w, last = ahead - rate * (x.T @ (weight * (_sigmoid(x @ ahead) - y)) + penalty * ahead), w
-    return w
+    return w * scale
 
 
 def fit(names: tuple[str, ...], features: list[str], rows: list[list[int]], marks: np.ndarray, rates: np.ndarray, precision: float, folds: int = 3) -> Chain:
@@ -99,11 +102,11 @@ def fit(names: tuple[str, ...], features: list[str], rows: list[list[int]], mark
     order = np.argsort(-unseen)
     right, all_ = np.cumsum((rates * marks[:, -1])[order]), np.cumsum(rates[order])
     good = np.flatnonzero(right >= precision * all_)
-    threshold = max(0.5, float(unseen[order][good[-1]])) if len(good) else 1.0
+    threshold = max(LEAST, float(unseen[order][good[-1]])) if len(good) else 1.0
     return Chain(names, {f: i for i, f in enumerate(features)}, np.stack(out), threshold)
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 4000, features: int = 1500, precision: float = 0.98, sample_bytes: int = 65_536) -> Chain:
+def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 4000, features: int = 1500, precision: float = 0.99, sample_bytes: int = 65_536) -> Chain:
     """docs: doc_id, text. categories: a boolean column of labels for each category, in the chain's order; the last one decides."""
     names = tuple(categories)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values()))).dropna().groupBy("doc_id").agg(*(F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))))
@@ -186,3 +189,17 @@ def default_chain(docs: DataFrame, labels: DataFrame) -> Chain:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return score(docs, default_chain(docs, common.table(spark, sf_dir, "labels"))).select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"))
+
+
+def accepted(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of df that are not rejected, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        get = own.features.get
+        for batch in common.pieces(batches, text_col):
+            rows = [sorted(i for i in map(get, held(t or "")) if i is not None) for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(own.predict(rows)[:, -1] < own.threshold))
+
+    return df.mapInArrow(run, df.schema)
