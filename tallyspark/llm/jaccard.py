@@ -33,7 +33,7 @@ from tallyspark.llm.shingles import WORDS, shingles
 PERCENT = 80
 BLOCK = 4000
 PIVOTS = 16
-RANGE_BYTES = 6 << 20  # of text, for each range of hashes: about a million shingles
+RANGE_BYTES = 12 << 20  # of text, for each range of hashes: about two million shingles
 BATCH_BYTES = 8 << 20
 
 BUCKET_BITS = np.uint64(16)
@@ -111,30 +111,30 @@ def shared_only(ranges: int):
         held = np.empty(len(tokens), np.int64)
         held[order] = np.repeat(np.diff(cuts), np.diff(cuts))
         keep = held > 1
-        uids, sizes_, tokens, held = uids[keep], sizes_[keep], tokens[keep], held[keep]
+        # from here on a token is how many hold it, then its hash: their order is the global one
+        uids, sizes_, tokens = uids[keep], sizes_[keep], np.minimum(held[keep], 65_535).astype(np.uint64) << np.uint64(48) | tokens[keep] >> BUCKET_BITS
         dest = (uids.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
         order = np.lexsort((uids, dest))
-        uids, sizes_, tokens, held, dest = (x[order] for x in (uids, sizes_, tokens, held, dest))
+        uids, sizes_, tokens, dest = (x[order] for x in (uids, sizes_, tokens, dest))
         cuts, out = _runs(dest), []
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             edges = _runs(uids[x:y])
             first = edges[:-1] + x
-            out.append((int(dest[x]), uids[first].tobytes(), sizes_[first].tobytes(), np.diff(edges).astype("<i4").tobytes(), tokens[x:y].tobytes(), np.minimum(held[x:y], 2**31 - 1).astype("<i4").tobytes()))
-        return pd.DataFrame(out, columns=["dest", "uids", "sizes", "counts", "tokens", "held"])
+            out.append((int(dest[x]), uids[first].tobytes(), sizes_[first].tobytes(), np.diff(edges).astype("<i4").tobytes(), tokens[x:y].tobytes()))
+        return pd.DataFrame(out, columns=["dest", "uids", "sizes", "counts", "tokens"])
 
     return run
 
 
 def survivors(percent: int):
-    """For one range of uids: documents that hold enough shared tokens, these in global order (by how many hold one, then by hash), and a hash of whole sets."""
+    """For one range of uids: documents that hold enough shared tokens, these in global order, and a hash of whole sets."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         counts = [np.frombuffer(x, "<i4") for x in pdf["counts"]]
         uids = np.concatenate([np.repeat(np.frombuffer(u, "<i8"), c) for u, c in zip(pdf["uids"], counts)])
         sizes_ = np.concatenate([np.repeat(np.frombuffer(s, "<i4"), c) for s, c in zip(pdf["sizes"], counts)])
         tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
-        held = np.concatenate([np.frombuffer(x, "<i4") for x in pdf["held"]])
-        order = np.lexsort((tokens, held, uids))
+        order = np.lexsort((tokens, uids))
         uids, sizes_, tokens = uids[order], sizes_[order], tokens[order]
         new = np.append(True, (uids[1:] != uids[:-1]) | (tokens[1:] != tokens[:-1]))  # equal rows bring their tokens once each
         uids, sizes_, tokens = uids[new], sizes_[new], tokens[new]
@@ -254,12 +254,7 @@ def joined(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("uid")
         raw = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
-        # the global order is by how many hold a token, which all sets agree on: number tokens so that every set is ascending
-        flat, rank = np.concatenate(raw), np.concatenate([np.frombuffer(x, "<i4") for x in pdf["held"]])
-        order = np.lexsort((flat, rank))
-        number = np.empty(len(flat), np.int64)
-        cuts = _runs(flat[order])
-        number[order] = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        number = np.unique(np.concatenate(raw), return_inverse=True)[1]
         sets = np.split(number, np.cumsum([len(x) for x in raw])[:-1])
         uids = pdf["uid"].to_numpy()
         found = links(sets, pdf["n"].to_numpy(np.int64), pdf["grp"].to_numpy().copy(), percent)
@@ -292,7 +287,7 @@ def step(heads: DataFrame, reps: DataFrame, groups: DataFrame, percent: int, blo
         pivot = F.pmod(F.xxhash64("uid", F.lit(1)), F.col("size")) < PIVOTS
         parts = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
         at = at.select("uid", "cluster", F.explode(parts.cast("array<string>")).alias("part"))
-    full = at.join(groups, "uid", "left").join(reps.select("uid", "n", "tokens", "held"), "uid").withColumn("grp", F.coalesce("grp", "uid"))
+    full = at.join(groups, "uid", "left").join(reps.select("uid", "n", "tokens").hint("merge"), "uid").withColumn("grp", F.coalesce("grp", "uid"))
     return common.written(full.groupBy("cluster", "part").applyInPandas(joined(percent), "a long, b long"), "links")
 
 
@@ -301,12 +296,12 @@ def members(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: in
     docs = keyed(df, id_col, text_col)
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     ranges = max(1, min(65_536, -(-total // RANGE_BYTES)))
-    shared = by_range(docs, words, ranges).groupBy("part").applyInPandas(shared_only(ranges), "dest long, uids binary, sizes binary, counts binary, tokens binary, held binary")
-    sets = common.written(shared.groupBy("dest").applyInPandas(survivors_with_counts(percent), SET + ", held binary"), "sets")
+    shared = by_range(docs, words, ranges).groupBy("part").applyInPandas(shared_only(ranges), "dest long, uids binary, sizes binary, counts binary, tokens binary")
+    sets = common.written(shared.groupBy("dest").applyInPandas(survivors(percent), SET), "sets")
     classes = sets.groupBy("n", "whole", "s1", "s2").agg(F.min("uid").alias("rep"))
     same = sets.select("uid", "n", "whole", "s1", "s2").join(classes, ["n", "whole", "s1", "s2"]).select("uid", "rep")
     same = common.written(same, "classes")
-    reps = common.written(sets.join(same.filter("uid = rep").select("uid"), "uid"), "representatives")
+    reps = common.written(sets.hint("merge").join(same.filter("uid = rep").select("uid"), "uid"), "representatives")
     common.drop_written(sets)
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,23 +324,6 @@ def members(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: in
     return same.join(groups.withColumnRenamed("uid", "g"), F.col("rep") == F.col("g"), "left").select("uid", F.coalesce("grp", "rep").alias("grp"))
 
 
-def survivors_with_counts(percent: int):
-    base = survivors(percent)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [np.frombuffer(x, "<i4") for x in pdf["counts"]]
-        tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
-        held = np.concatenate([np.frombuffer(x, "<i4") for x in pdf["held"]])
-        by = np.argsort(tokens)
-        tokens, held = tokens[by], held[by]
-        out = base(pdf)
-        out["held"] = [held[np.searchsorted(tokens, np.frombuffer(x, np.uint64))].astype("<i4").tobytes() for x in out["tokens"]] if len(out) else []
-        assert len(counts) == len(pdf)
-        return out
-
-    return run
-
-
 def join(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, uid, n_shingles, component_id (the least doc_id reachable by links)."""
     grouped = common.written(members(df, percent, words, block, id_col, text_col), "members")
