@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tallyspark.plans import activity_queries, catalog_plans, directory_queries, library_queries, similarity_queries, text_queries
+from tallyspark.plans.base import read
+
+REGISTRIES = [activity_queries.R, text_queries.R, library_queries.R, catalog_plans.R, similarity_queries.R, directory_queries.R]
+QUERIES = {name: run for r in REGISTRIES for name, run in r.queries.items()}
+SQL = {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("user_id", F.to_date("ts").alias("day")).count()
+    """Candidate duplicates among documents, with scores."""
+    return similarity_queries.flagship(lambda table: read(spark, sf_dir, table))
