@@ -40,7 +40,7 @@ CLASSES, FIRST = 8, 8  # FIRST is added to the class of a text's first code poin
 START, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, AFTER_SPACE, TAKE_ONE, TAKE_TWO = range(8)
 STATES = 8
 BLOCK = 64
-CACHED, CACHED_BYTES = 800_000, 48
+CACHED, CACHED_BYTES = 250_000, 48
 
 
 def _step(state: int, kind: int) -> tuple[int, bool]:
