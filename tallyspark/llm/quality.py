@@ -34,6 +34,8 @@ class Model:
     bad: bytes
     weights: tuple[float, ...]
     base: float
+    low: tuple[float, ...] = ()  # the calibration part's range; inputs beyond it count as its ends
+    high: tuple[float, ...] = ()
 
 
 @lru_cache(2)
@@ -89,7 +91,7 @@ def fit(rows: list[tuple[bytes, int]], share: float, dictionary_bytes: int = 65_
         build, hold = rows, [r for r in rows if r[0]]
     good, bad = (_dictionary([x for x, y in build if y == k], dictionary_bytes) for k in (1, 0))
     x, y = np.array([features(t, good, bad) for t, _ in hold]) * SCALE, np.array([y for _, y in hold], float)
-    return Model(good, bad, tuple(logistic(x, y)), share)
+    return Model(good, bad, tuple(logistic(x, y)), share, tuple(x.min(0)), tuple(x.max(0)))
 
 
 def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -97,7 +99,7 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     if model.weights:
         full = [i for i, t in enumerate(texts) if t]
         if full:
-            x = np.array([features(texts[i], model.good, model.bad) for i in full]) * SCALE
+            x = np.clip(np.array([features(texts[i], model.good, model.bad) for i in full]) * SCALE, model.low, model.high)
             out[full] = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
     return out
 

@@ -9,7 +9,7 @@ probability reaches the threshold, the least at which out-of-fold precision is `
 
 The labels table has one toxicity mark; the chain of the registered query is low quality first, then toxic.
 
-Edge cases: null and empty texts hold no words and get the models' constants, never above the threshold of a fitted model; rows with a null
+Edge cases: null and empty texts, and others without any feature, get the categories' shares and are not rejected; rows with a null
 label are not learnt from; without rows of both kinds a category's probability is its share (0 without labels) and nothing is
 rejected; every input row gives one output row; whole texts are read; other columns are ignored.
 """
@@ -45,6 +45,7 @@ class Chain:
     features: dict[str, int]
     weights: np.ndarray  # a row for each category: constant, features, logits of the categories before
     threshold: float
+    shares: tuple[float, ...]  # of labelled rows in each category
 
     def predict(self, rows: list[list[int]]) -> np.ndarray:
         out, n = np.zeros((len(rows), len(self.names))), len(self.features)
@@ -52,6 +53,8 @@ class Chain:
             own = self.weights[k]
             base = np.array([own[0] + sum(own[1 + i] for i in r) for r in rows])
             out[:, k] = _sigmoid(base + _logit(out[:, :k]) @ own[1 + n : 1 + n + k])
+        blank = [i for i, r in enumerate(rows) if not r]
+        out[blank] = self.shares
         return out
 
 
@@ -103,7 +106,9 @@ def fit(names: tuple[str, ...], features: list[str], rows: list[list[int]], mark
     right, all_ = np.cumsum((rates * marks[:, -1])[order]), np.cumsum(rates[order])
     good = np.flatnonzero(right >= precision * all_)
     threshold = max(LEAST, float(unseen[order][good[-1]])) if len(good) else 1.0
-    return Chain(names, {f: i for i, f in enumerate(features)}, np.stack(out), threshold)
+    shares = tuple(float(x) for x in (marks * rates[:, None]).sum(0) / rates.sum())
+    # a text that holds no feature says nothing and is never rejected
+    return Chain(names, {f: i for i, f in enumerate(features)}, np.stack(out), max(threshold, float(np.nextafter(shares[-1], 1))), shares)
 
 
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 4000, features: int = 1500, precision: float = 0.99, sample_bytes: int = 65_536) -> Chain:
@@ -114,8 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     counts = {r[0]: r.n for r in own.groupBy(last).agg(F.count("*").alias("n"), *(F.sum(f"y{k}").alias(f"s{k}") for k in range(len(names)))).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
-        share = float(counts.get(1, 0) > 0)
-        return Chain(names, {}, np.array([[-30.0 + 60 * share] + [0.0] * len(names)] * len(names)), 2.0)
+        return _constant(names, counts, total)
     picked = [own.filter(F.col(last) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
     sample = common.written(docs.filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id"), "toxicity-sample")
     marks = [f"y{k}" for k in range(len(names))]
@@ -158,10 +162,16 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     got = Counter(r[last] for r in rows)
     rates = np.array([counts[r[last]] / got[r[last]] for r in rows])
     if len(got) < 2:
-        return Chain(names, {}, np.array([[_logit(np.array([counts.get(1, 0) / total]))[0]] + [0.0] * len(names)] * len(names)), 2.0)
+        return _constant(names, counts, total)
     return fit(names, list(chosen), [r.x for r in rows], np.array([[r[m] for m in marks] for r in rows]), rates, precision)
 
 
+def _constant(names: tuple[str, ...], counts: dict, total: int) -> Chain:
+    """Without rows of both kinds: every category gets the last one's share, and nothing is rejected."""
+    share = counts.get(1, 0) / total if total else 0.0
+    return Chain(names, {}, np.zeros((len(names), 1 + len(names))), 2.0, (share,) * len(names))
+
+
 def hash_order(doc_id: int) -> int:
     return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) >> 16
 
