@@ -128,21 +128,21 @@ def k06(t):
     return out.select("qid", "id", F.round("score", 4).alias("score"), F.col("rn").cast("long").alias("rn"))
 
 
-def matched(t):
+def page_inputs(t):
+    """Every row of part as a problem and as a page, and the idf of the titles."""
     p = t("part")
     problems = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source"), F.split("p_name", " ").alias("title_tokens"), F.array_distinct(F.split(F.lower("p_type"), " ")).alias("desc_tokens"))
-    pages = p.filter("p_partkey <= 20").select(F.col("p_partkey").alias("page"), F.col("p_brand").alias("source"), F.split("p_name", " ").alias("title_tokens"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens"))
-    return S.page_matches(pages, problems, S.title_idf(S.postings(p.select(F.col("p_partkey").alias("id"), F.lit("x").alias("platform"), F.split("p_name", " ").alias("tokens")), "tokens"), F.lit(p.count())))
+    pages = p.select(F.col("p_partkey").alias("page"), F.col("p_brand").alias("source"), F.split("p_name", " ").alias("title_tokens"), F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("tokens"))
+    return pages, problems, S.title_idf(S.postings(p.select(F.col("p_partkey").alias("id"), F.lit("x").alias("platform"), F.split("p_name", " ").alias("tokens")), "tokens"), F.lit(p.count()))
 
 
 @R.add("j08_page_matches")
 def j08(t):
     """Pages against problems, scored; the unit tests hold it against a plain version."""
-    return matched(t).select("page", "id", "combined", "kind")
+    return S.page_matches(*page_inputs(t)).select("page", "id", "combined", "kind")
 
 
 @R.add("j09_k08_distinct_titles")
 def j09(t):
     """Greedy and order-dependent, so rows-only; tested on a small fixture."""
-    titles = t("part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens"))
-    return S.distinct_titles(matched(t).join(titles, "id").select("page", "id", "source", "combined", "tokens"))
+    return S.distinct_page_titles(*page_inputs(t))
