@@ -3,9 +3,9 @@
 Tokens are runs of bytes other than space and 09-0D with A-Z in lower case, then one end token. The probability of a token is that of its class,
 given everything before it in the document, times its share of the class.
 
-1. Documents are dealt into batches by a hash of the id. Each batch counts its words, by topic for training documents; the counts
-   of all batches are added up, so they cover every training token. Topics are found by k-means on the commonest words of a bounded sample
-   (`topic_sample` documents).
+1. Topics are found by k-means on the commonest words, over all training documents: tasks add up their documents by topic, and only the sums'
+   totals come to the driver. Documents without any of these words have a topic of their own. Documents are dealt into batches by a hash of the
+   id. Each batch counts its words, by topic for training documents; the counts of all batches are added up, so they cover every training token.
 2. Classes: one for each of the commonest words, one for the end, one for each topic and range of counts, and one for words counted once, which also holds all
    unseen words as a single outcome (their share follows Good and Turing: n1 to 2 n2).
 3. Each batch gets the classes and logarithms of its own words back and stores its documents as class sequences.
@@ -47,31 +47,97 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER).split()
 
 
-def topics(sample: list[str], seed: int = 3) -> tuple[list[bytes], np.ndarray]:
-    """The sample's commonest words, and the topics' directions in their counts (spherical k-means)."""
-    counts = [Counter(tokens(t)) for t in sample]
-    total: Counter = Counter()
-    for c in counts:
-        total.update(c)
-    words = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:COMMON]]
+def commonest(learnt: DataFrame) -> list[bytes]:
+    """The commonest words of all texts."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.pieces(parts, most=BATCH_BYTES):
+            counter: Counter = Counter()
+            for text in part.column("text").to_pylist():
+                counter.update(tokens(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["word", "n"])
+
+    counts = learnt.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+
+
+def vectors(learnt: DataFrame, words: list[bytes]) -> DataFrame:
+    """place (a hash of the id and text), at (a byte for each of the words that a text has), n (float32 logarithms of their counts); texts without any are left out."""
     index = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(counts), max(1, len(words))))
-    for row, c in zip(x, counts):
-        for w, n in c.items():
-            if (i := index.get(w)) is not None:
-                row[i] = np.log1p(n)
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]
-    if not len(x):
-        return words, np.zeros((1, max(1, len(words))))
-    rng = np.random.default_rng(seed)
-    centres = x[[0]]
-    while len(centres) < min(TOPICS, len(x)):  # far apart to begin with
-        centres = np.vstack([centres, x[[int((x @ centres.T).max(1).argmin())]]])
-    for _ in range(20):
-        own = (x @ centres.T).argmax(1)
-        sums = np.stack([x[own == k].sum(0) if (own == k).any() else x[rng.integers(len(x))] for k in range(len(centres))])
-        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.pieces(parts):
+            rows = []
+            for place, text in zip(part.column("place").to_pylist(), part.column("text").to_pylist()):
+                if own := Counter(index[w] for w in tokens(text) if w in index):
+                    rows.append((place, bytes(own), np.log1p(np.fromiter(own.values(), np.float32, len(own))).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["place", "at", "n"])
+
+    return learnt.select(F.xxhash64("doc_id", "text", F.lit(9)).alias("place"), "text").mapInArrow(run, "place long, at binary, n binary")
+
+
+def dense(part: pa.RecordBatch, width: int) -> np.ndarray:
+    """The vectors of a batch, of length 1."""
+    at, off = common.utf8(part.column("at"))
+    x = np.zeros((part.num_rows, width))
+    x[np.repeat(np.arange(part.num_rows), np.diff(off)), np.frombuffer(at, np.uint8)] = np.frombuffer(common.utf8(part.column("n"))[0], np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def topics(learnt: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The commonest words of all texts, and the topics' directions in their counts (spherical k-means over all texts)."""
+    words = commonest(learnt)
+    width = max(1, len(words))
+    stored = common.written(vectors(learnt, words), "topic-vectors")
+    spark = learnt.sparkSession
+
+    def farthest(centres: np.ndarray) -> np.ndarray | None:
+        """The text that is least like its nearest centre."""
+        held = spark.sparkContext.broadcast(centres)
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for part in parts:
+                if part.num_rows:
+                    near = np.round((dense(part, width) @ held.value.T).max(1), 9) if len(held.value) else np.zeros(part.num_rows)
+                    place = part.column("place").to_numpy()
+                    i = int(np.lexsort((place, near))[0])
+                    if best is None or (near[i], place[i]) < best[:2]:
+                        best = (near[i], place[i], dense(part.slice(i, 1), width)[0].tobytes())
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (float(best[0]), int(best[1]), best[2])], ["near", "place", "x"])
+
+        found = stored.mapInArrow(run, "near double, place long, x binary").agg(F.min_by("x", F.struct("near", "place")).alias("x"), F.min("near").alias("near")).first()
+        return None if found.x is None or (len(centres) and found.near > 1 - 1e-6) else np.frombuffer(found.x)
+
+    def summed(centres: np.ndarray) -> np.ndarray:
+        """The sums of the texts of each centre."""
+        held = spark.sparkContext.broadcast(centres)
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(held.value.shape)
+            for part in parts:
+                if part.num_rows:
+                    x = dense(part, width)
+                    own = (x @ held.value.T).argmax(1)
+                    sums += (own[None, :] == np.arange(len(sums))[:, None]).astype(float) @ x
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["i", "x"])
+
+        out = np.zeros(centres.size)
+        for r in stored.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+            out[r.i] = r.x
+        return out.reshape(centres.shape)
+
+    centres = np.zeros((0, width))
+    while len(centres) < TOPICS and (x := farthest(centres)) is not None:  # far apart to begin with
+        centres = np.vstack([centres, x])
+    for _ in range(20 if len(centres) else 0):
+        before, sums = centres, summed(centres)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), before)
+        if np.abs(centres - before).max() < 1e-6:
+            break
+    common.drop_written(stored)
     return words, centres
 
 
@@ -80,7 +146,7 @@ def counted(docs: DataFrame, words: list[bytes], centres: np.ndarray) -> DataFra
     index = {w: i for i, w in enumerate(words)}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        per_topic, others = [Counter() for _ in range(len(centres))], set()
+        per_topic, others = [Counter() for _ in range(len(centres) + 1)], set()  # the last: texts without any of the words
         for text, learnt in zip(pdf["text"], pdf["learnt"]):
             own = tokens(text)
             if not learnt:
@@ -89,7 +155,7 @@ def counted(docs: DataFrame, words: list[bytes], centres: np.ndarray) -> DataFra
             x = np.zeros(centres.shape[1])
             for w, n in Counter(w for w in own if w in index).items():
                 x[index[w]] = np.log1p(n)
-            counter = per_topic[int((centres @ x).argmax())]
+            counter = per_topic[int((centres @ x).argmax()) if x.any() else -1]
             counter.update(own)
             counter[b""] += 1
         for c in per_topic:
@@ -171,23 +237,16 @@ def trained(docs: DataFrame, totals: dict, rate: float = 0.02) -> Network:
     return passed(dealt, network, rate / 4) if groups > 1 else passed(dealt, network, rate / 2)
 
 
-def score_documents(df: DataFrame, learnt: Column, id_col: str = "doc_id", text_col: str = "text", topic_sample: int = 2000, sample_bytes: int = 65_536) -> DataFrame:
+def score_documents(df: DataFrame, learnt: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score. learnt: which rows may be learnt from, by doc_id."""
     spark = df.sparkSession
     docs = common.documents(df, id_col, text_col).withColumn("learnt", F.coalesce(learnt, F.lit(False)))
-    sums = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count_if("learnt").alias("learnt")).first()
-    size = sums.n or 0
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     batches = max(1, -(-size // BATCH_BYTES))
     docs = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
-    # about twice the sample by hash, then the sample's ids, then its texts: tasks send ids only
-    order = F.xxhash64("doc_id", F.lit(9))
-    some = docs.filter(F.col("learnt") & (F.pmod(order, F.lit(1_000_000)) < min(1_000_000, 1000 + 2_000_000 * topic_sample // max(1, sums.learnt))))
-    ids = some.filter(F.octet_length("text") <= sample_bytes).select("doc_id").orderBy(order, "doc_id").limit(topic_sample).withColumnRenamed("doc_id", "picked").distinct()
-    picked = some.filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("picked"))).select("doc_id", "text").collect()
-    picked.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.text))
-    words, centres = topics([r.text for r in picked])
+    words, centres = topics(docs.filter("learnt"))
     counts = common.written(counted(docs, words, centres), "word-counts")
-    known, totals = classes(counts, len(centres))
+    known, totals = classes(counts, len(centres) + 1)
     requests = counts.filter(F.length("word") > 0).select("batch", "word").distinct().join(known.withColumnRenamed("word", "known_word"), F.col("word") == F.col("known_word"), "left").select("batch", "word", "c", "kind", "share")
     stored = common.written(encoded(docs, requests, totals), "encoded")
     common.drop_written(counts)

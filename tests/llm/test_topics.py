@@ -1,0 +1,26 @@
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from tallyspark.llm import language_model
+
+
+def test_topics_come_from_all_training_documents(spark, monkeypatch):
+    """A long text is learnt from like any other, and texts without common words stay apart from the topics."""
+    rng, seen = random.Random(2), {}
+    say = lambda p, n: " ".join(f"{p}{rng.randrange(30)}" for _ in range(n))
+    rows = [(i, say("ab"[i % 2], 30)) for i in range(60)] + [(100, say("long", 20_000)), (101, "odd words odd words")]
+    assert len(rows[60][1]) > 65_536
+    kept = language_model.counted
+    monkeypatch.setattr(language_model, "COMMON", 90)
+    monkeypatch.setattr(language_model, "counted", lambda docs, words, centres: seen.setdefault("out", kept(docs, words, centres)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert language_model.score_documents(df, F.lit(True)).count() == len(rows)
+    topic = {}
+    for r in seen["out"].collect():
+        topic.setdefault(bytes(r.word).rstrip(b"0123456789"), Counter())[r.topic] += r.n
+    del topic[b""]
+    own = {w: c.most_common(1)[0][0] for w, c in topic.items()}
+    assert own[b"long"] not in (own[b"a"], own[b"b"]) and own[b"odd"] == own[b"words"]
+    assert own[b"odd"] not in {own[w] for w in (b"a", b"b", b"long")} and len(topic[b"long"]) == 1
