@@ -4,7 +4,7 @@ The builder reads tags with one scanner, closes elements whose end tags HTML let
 walks the tree: hidden elements are left out, white space collapses as on screen, blocks begin on lines of their own, paragraphs and the
 like are set off by an empty line, list items get their markers and indents, and table cells are aligned in columns.
 
-Scripts are taken as on (noscript is hidden). Elements nested deeper than MAX_DEPTH are rendered in their ancestor at that depth; no text is lost.
+Scripts are taken as on (noscript is hidden). The content of elements nested deeper than MAX_DEPTH is rendered in their ancestor at that depth, unless one of them is hidden.
 Cells wider than CELL_WIDTH don't widen their column.
 
 Edge cases: null and empty html give an empty text; unclosed tags, comments and quotes reach to the end, stray end tags are ignored; pages of any length are
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +48,11 @@ IMPLIED_END = {
 SCOPE = frozenset("html table td th caption template object".split())
 BULLETS = ("*", "o", "-")
 
-TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'>]+)))?""")
+#: A quote opens a value right after = only; elsewhere it belongs to a name or an unquoted value.
+ATTRIBUTES = r"""(?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+|))?+)*+"""
+TAG = re.compile(rf"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^ \t\n\r\f/>]*+){ATTRIBUTES}(?:>|\Z)|([a-zA-Z][^ \t\n\r\f/>]*+)({ATTRIBUTES})(?:>|\Z))""", re.S)
+ATTRIBUTE = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"?|'([^']*+)'?|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|))?+""")
+TAG_REST = re.compile(rf"{ATTRIBUTES}(?:>|\Z)")
 STYLE = re.compile(r"(display|visibility|content-visibility)\s*:\s*([a-z-]+)")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -64,7 +68,9 @@ def build(source: str) -> Node:
     """The tree of a page: elements as Node, texts as str."""
     root = Node("html", {})
     open_, at, n = [root], 0, len(source)
-    body = False
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements but the root, by tag
+    deep: list[bool] = []  # visibility of the open elements beyond MAX_DEPTH
+    body, base = False, True  # base: visibility of the element at MAX_DEPTH
 
     def add(text: str, decode: bool = True) -> None:
         nonlocal body
@@ -73,29 +79,53 @@ def build(source: str) -> Node:
                 if not text.strip(" \t\n\r\f"):
                     return
                 into_body()
-            open_[-1].children.append(html.unescape(text) if decode and "&" in text else text)
+            put(html.unescape(text) if decode and "&" in text else text)
+
+    def put(child: Node | str) -> None:
+        """Beyond MAX_DEPTH visibility may differ from that of the element that is rendered."""
+        if deep and deep[-1] != base:
+            node = Node("span", {"style": f"visibility:{'visible' if deep[-1] else 'hidden'}"})
+            node.children.append(child)
+            child = node
+        open_[-1].children.append(child)
 
     def into_body() -> None:
         nonlocal body
         body = True
-        del open_[1:]
+        cut(1)
         push("body", {})
 
+    def cut(i: int) -> None:
+        """Close all open elements from the i-th on."""
+        for k in range(len(open_) - 1, i - 1, -1):
+            node = open_[k]
+            places[node.tag].pop()
+            if k >= MAX_DEPTH and node.tag in BLOCKS:  # what follows begins on a line of its own
+                node.children.append(Node("p" if node.tag in SPACED else "div", {}))
+        del open_[i:]
+        del deep[max(0, i - MAX_DEPTH) :]
+
     def push(tag: str, attributes: dict[str, str]) -> None:
+        nonlocal base
         node = Node(tag, attributes)
         open_[-1].children.append(node)
-        if len(open_) < MAX_DEPTH:
-            open_.append(node)
-        else:  # too deep: what follows goes on in the element at this depth
-            pass
+        if len(open_) >= MAX_DEPTH:  # too deep: what follows is rendered in the element at this depth, or nowhere in a hidden one
+            gone, visible = hidden(node)
+            if not deep:
+                base = next((own for x in reversed(open_) if (own := hidden(x)[1]) is not None), True)
+            deep.append((deep[-1] if deep else base) if visible is None else visible)
+            inside = [] if gone else open_[-1].children
+            node = Node(tag, attributes)
+            node.children = inside
+        places[tag].append(len(open_))
+        open_.append(node)
 
     def close(tags: frozenset[str], stop: frozenset[str]) -> bool:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                del open_[i:]
-                return True
-            if open_[i].tag in stop:
-                return False
+        last = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
+        i = last(tags)
+        if i and i >= last(stop):
+            cut(i)
+            return True
         return False
 
     while at < n:
@@ -109,10 +139,10 @@ def build(source: str) -> Node:
         if end is not None:
             end = end.lower()
             if end == "br":
-                push_void("br", open_)
+                put(Node("br", {}))
             elif end == "p":
                 if not close(frozenset(["p"]), SCOPE):
-                    open_[-1].children.append(Node("p", {}))
+                    put(Node("p", {}))
             elif end in HEADINGS:
                 close(HEADINGS, SCOPE)
             elif end == "head":
@@ -141,7 +171,7 @@ def build(source: str) -> Node:
         if tag in ENDS_PARAGRAPH:
             close(frozenset(["p"]), SCOPE)
         if tag in HEADINGS and open_[-1].tag in HEADINGS:
-            open_.pop()
+            cut(len(open_) - 1)
         if tag in IMPLIED_END:
             close(*IMPLIED_END[tag])
             if tag in ("tbody", "thead", "tfoot"):
@@ -151,25 +181,21 @@ def build(source: str) -> Node:
             if tag in ("td", "th") and open_[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
         if tag in VOID:
-            push_void(tag, open_, attributes)
+            put(Node(tag, attributes))
         elif tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at) if tag != "plaintext" else None
             inner = source[at : stop.start() if stop else n]
             node = Node(tag, attributes)
             node.children = [html.unescape(inner) if tag in DECODED else inner]
-            open_[-1].children.append(node)
+            put(node)
             if stop is None:
                 break
-            at = source.find(">", stop.end()) + 1 or n
+            at = TAG_REST.match(source, stop.end()).end()
         else:
             push(tag, attributes)
     return root
 
 
-def push_void(tag: str, open_: list[Node], attributes: dict[str, str] | None = None) -> None:
-    open_[-1].children.append(Node(tag, attributes or {}))
-
-
 def hidden(node: Node) -> tuple[bool, bool | None]:
     """Whether the element is not rendered at all, and whether its visibility is set."""
     a = node.attributes
