@@ -24,10 +24,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = substrings.dedup(docs.select(*COLUMNS), keep=("lang", "source"))
-    # only bytes at cuts can be no UTF-8; try_validate_utf8 would drop the text, so they are taken out by replacement and compared
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
+    # only bytes at cuts can be no UTF-8; U+FFFD that the document held are not touched
     whole = F.col("kept").cast("string")
-    text = F.when(F.is_valid_utf8(whole), whole).otherwise(text)
+    decoded = F.pandas_udf(lambda kept: kept.map(lambda x: bytes(x).decode(errors="ignore"), na_action="ignore"), "string")
+    text = F.when(F.is_valid_utf8(whole), whole).otherwise(decoded("kept"))
     return out.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
