@@ -41,6 +41,7 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHER, IN_SPACES, AFTER_SPACE, TAKE_ONE, TAKE_
 STATES = 8
 BLOCK = 64
 CACHED, CACHED_BYTES = 250_000, 48
+PIECE = 1 << 20  # bytes of text or ids at a time: a piece makes about as many small objects as it has words
 
 
 def _step(state: int, kind: int) -> tuple[int, bool]:
@@ -264,7 +265,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(file.value)
-        for batch in common.pieces(batches):
+        for batch in common.pieces(batches, most=PIECE):
             data, offsets = common.utf8(batch.column("text"))
             ids = own.encode(data, offsets)
             counts = np.array([len(x) // 4 for x in ids], np.int64)
@@ -285,7 +286,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(file.value)
-        for batch in common.pieces(batches, "ids"):
+        for batch in common.pieces(batches, "ids", PIECE):
             found = [own.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.binary()), pa.array([at[1:].astype(np.int32) for _, at in found], pa.list_(pa.int32()))], ["doc_id", "decoded", "ends"])
 

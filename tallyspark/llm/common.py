@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,10 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Batches that Spark hands to Python workers are cut at so many bytes, as a worker holds a batch twice (as sent, and as it is worked on).
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch from its default to BATCH_BYTES; a limit that somebody has set is left alone."""
+    if spark.conf.get(BATCH_CONF) == "67108864b":
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. One of our own is set only where it is unset (tests, local runs)."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Without that setting only a local master has one: its own temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -64,6 +78,7 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names; other columns, clashing names included, are dropped."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -77,11 +92,23 @@ def utf8(column: pa.Array) -> tuple[bytes, np.ndarray]:
         return b"", np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-    return (data.to_pybytes() if data is not None else b"")[off[0] : off[-1]], off - off[0]
+    first, last = int(off[0]), int(off[-1])  # of a slice, only its own bytes are copied
+    return data.slice(first, last - first).to_pybytes() if data is not None else b"", off - first
+
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each hold at most `most` bytes, or one row."""
+
+def released() -> None:
+    """Hand memory that is free again back to the system: executors have little besides the JVM's heap, and a worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20, every: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each hold at most `most` bytes, or one row. Free memory is released after `every` bytes, and at the end."""
+    done = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -91,5 +118,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             base = ends[start] - sizes[start]
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
+            done += int(ends[stop - 1] - base)
             start = stop
-
+            if done >= every:
+                released()
+                done = 0
+    released()
