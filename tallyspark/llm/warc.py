@@ -7,7 +7,8 @@ only those are read. Payloads of at least `revisit_bytes` that equal another rec
 
 Edge cases: a null html is an empty payload; a null url is written as about:blank; a null id is written empty and reads back as null (and as a keeper comes
 after any other id); rows that repeat both the keeper's id and its payload are responses again; every input row is one record; an empty
-table gives no archive and an empty result; control characters in urls are percent-encoded; other columns are ignored.
+table gives no archive and an empty result; a payload of any length is one record, whole, and one longer than `archive_bytes` ends its archive;
+control characters in urls are percent-encoded; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DICTIONARY_FRAME = 0x184D2A5D
 LEVEL = 6
+#: Digests of repeated payloads that are broadcast at most: about 20 MB in memory.
+BROADCAST_KEEPERS = 200_000
 
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -45,19 +48,28 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
     return VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def pack(records: list[bytes], dictionary_bytes: int = 65_536) -> bytes:
-    """An archive: the dictionary in a skippable frame, then a frame for each record."""
-    total = sum(map(len, records))
-    every = max(1, total // (64 * dictionary_bytes))
+def dictionary(records: list[bytes], size: int = 65_536) -> bytes:
+    """A dictionary from an even choice of the records; the beginnings of these where there is too little to train on."""
+    every = max(1, sum(map(len, records)) // (16 * size))
     sample = [r for r in records[::every] if len(r) >= 8]
-    if len(sample) >= 16 and sum(map(len, sample)) >= 8 * dictionary_bytes:
-        data = zstandard.train_dictionary(dictionary_bytes, sample).as_bytes()
-    else:
-        data = b"".join(r[:512] for r in sample)[:dictionary_bytes] or VERSION * 2
+    if len(sample) >= 16 and sum(map(len, sample)) >= 8 * size:
+        return zstandard.train_dictionary(size, sample).as_bytes()
+    return b"".join(r[:512] for r in sample)[:size] or VERSION * 2
+
+
+def frames(records: list[bytes], dictionary_bytes: int = 65_536) -> Iterator[bytes]:
+    """An archive, part by part: the dictionary in a skippable frame, then a frame for each record."""
+    data = dictionary(records, dictionary_bytes)
     own = zstandard.ZstdCompressionDict(data)
     own.precompute_compress(level=LEVEL)
     compressor = zstandard.ZstdCompressor(dict_data=own, level=LEVEL, write_checksum=True)
-    return struct.pack("<II", DICTIONARY_FRAME, len(data)) + data + b"".join(compressor.compress(r) for r in records)
+    yield struct.pack("<II", DICTIONARY_FRAME, len(data)) + data
+    yield from map(compressor.compress, records)
+
+
+def pack(records: list[bytes], dictionary_bytes: int = 65_536) -> bytes:
+    """A whole archive."""
+    return b"".join(frames(records, dictionary_bytes))
 
 
 def unpack(archive: bytes) -> Iterator[bytes]:
@@ -100,16 +112,28 @@ def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", uri).replace("s3a://", "s3://", 1))
 
 
-def plan(pages: DataFrame, revisit_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest, record_type, refers_to. The join with the keepers is an ordinary one, which adaptive execution splits where one payload holds many rows."""
+def plan(pages: DataFrame, revisit_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_keepers: int = BROADCAST_KEEPERS) -> DataFrame:
+    """page_id, url, payload, digest, record_type, refers_to.
+
+    Payloads that occur several times are found by digest and id alone. Up to `broadcast_keepers` of them are broadcast, so that no payload is moved; beyond that
+    the pages are joined by digest, where those too small to be revisits get keys of their own and adaptive execution splits what one payload holds.
+    """
+    common.small_batches(pages.sparkSession)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
-    keepers = base.filter(F.length("payload") >= revisit_bytes).groupBy(F.col("digest").alias("same")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("same", "keeper")
+    large = F.length("payload") >= revisit_bytes
+    keepers = base.filter(large).groupBy(F.col("digest").alias("same")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("same", "keeper")
+    keepers = common.written(keepers, "warc-keepers")
+    if keepers.limit(broadcast_keepers + 1).count() <= broadcast_keepers:
+        joined = base.join(F.broadcast(keepers), large & (base.digest == keepers.same), "left")
+    else:
+        key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "digest").cast("string")))
+        joined = base.withColumn("key", key).join(keepers.hint("merge"), F.col("key") == F.col("same"), "left")
     revisit = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return base.join(keepers, base.digest == keepers.same, "left").select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
 
-def write(planned: DataFrame, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 32 << 20, tag: str = "warc") -> DataFrame:
-    """Write archives to the shared folder; the manifest: path, n_records, n_bytes."""
+def write(planned: DataFrame, date: str = "1970-01-01T00:00:00Z", archive_bytes: int = 8 << 20, tag: str = "warc") -> DataFrame:
+    """Write archives to the shared folder; the manifest: path, n_records, n_bytes. A task holds the records of one archive."""
     spark = planned.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(common.shared_path(spark, tag))
     folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -120,15 +144,18 @@ def write(planned: DataFrame, date: str = "1970-01-01T00:00:00Z", archive_bytes:
         records: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            data, name = pack(records), f"{uuid.uuid4().hex}.warc.zst"
+            name, n = f"{uuid.uuid4().hex}.warc.zst", 0
             with fs.open_output_stream(f"{where}/{name}", compression=None) as out:
-                out.write(data)
-            row = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(records)], pa.int64()), pa.array([len(data)], pa.int64())], ["path", "n_records", "n_bytes"])
+                for frame in frames(records):
+                    out.write(frame)
+                    n += len(frame)
+            row = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(records)], pa.int64()), pa.array([n], pa.int64())], ["path", "n_records", "n_bytes"])
             records.clear()
+            common.released()
             return row
 
         size = 0
-        for batch in common.pieces(batches, "payload"):
+        for batch in common.pieces(batches, "payload", 1 << 20):
             for r in batch.to_pylist():
                 records.append(record(r["record_type"], r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], date))
                 size += len(records[-1])
@@ -141,12 +168,13 @@ def write(planned: DataFrame, date: str = "1970-01-01T00:00:00Z", archive_bytes:
     return common.written(planned.mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
-RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """The records of all archives of a manifest, an archive a task at most."""
-    types = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+def read(manifest: DataFrame, payload: bool = True) -> DataFrame:
+    """The records of all archives of a manifest, an archive a task at most. payload=False: all are read and tested just so, but only their fields are returned."""
+    types = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())]
+    schema = pa.schema(types + [("payload", pa.binary())] * payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,19 +184,25 @@ def read(manifest: DataFrame) -> DataFrame:
                     archive = f.read()
                 rows, size = [], 0
                 for data in unpack(archive):
-                    rows.append(parse(data))
+                    row = parse(data)
+                    if not payload:
+                        del row["payload"]
+                    rows.append(row)
                     size += len(data)
-                    if size >= 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, pa.schema(types))
+                    if size >= 1 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, pa.schema(types))
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                del archive
+                common.released()
 
-    return manifest.repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(run, RECORD)
+    return manifest.repartition(max(1, min(manifest.count(), 100_000))).mapInArrow(run, RECORD + ", payload binary" * payload)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(write(plan(common.table(spark, sf_dir, "pages")))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    out = read(write(plan(common.table(spark, sf_dir, "pages"))), payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

@@ -24,3 +24,13 @@ def test_dictionary_frame_and_many_records():
     archive = warc.pack(records)
     assert archive[:4] == bytes.fromhex("5d2a4d18") and list(warc.unpack(archive)) == records
     assert len(archive) < sum(map(len, records)) / 4
+
+
+def test_joined_without_broadcast(spark):
+    rows = [(i, "u", "z" * (1000 + i % 3) if i % 2 else "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.plan(df).collect())
+    assert known == sorted((r.page_id, r.record_type, r.refers_to) for r in warc.plan(df, broadcast_keepers=0).collect())
+    assert sum(k == "revisit" for _, k, _ in known) == 27
+    only = warc.read(warc.write(warc.plan(df), archive_bytes=5000), payload=False)
+    assert known == sorted((r.page_id, r.record_type, r.refers_to) for r in only.collect())
