@@ -1,19 +1,21 @@
 """N-gram Jaccard join: documents whose sets of word shingles have a Jaccard similarity of at least `percent` / 100, and the groups they form.
 
-1. Shingles are counted by hash range. One that only a single document holds cannot be shared, so a document links only if enough of its shingles
-   are held twice; the others are done.
-2. Documents with equal sets become one (class representatives).
-3. Sets are ordered globally, rarest shingle first. Two sets that link share a shingle of their prefixes (length bound of the prefix filter);
-   representatives connected by shared prefix shingles form candidate clusters.
-4. Each cluster's ordered sets go into a prefix tree once. A set walks the tree, shares the overlap counted for common paths, and leaves a subtree when
-   the shingles still to come cannot lift any of its sets to the threshold, when lengths differ too much, or when the subtree holds no candidate outside
-   its own group. Links found join groups at once, so copies are not expanded into pairs, and no pair of groups stays untested.
-5. A cluster beyond `block` representatives is first dealt into blocks with common pivots; what is then still in several groups is clustered again, and
-   clusters that are still too large are done in all pairs of blocks.
+1. Every text gets the size of its set and a 128-bit signature of it; documents with equal signatures are one class.
+2. Shingles are counted by hash range. Within a batch of texts a class counts once, and a shingle of more than OFTEN classes goes as one entry with its
+   count, so no range grows with a shingle's frequency. One that only a single class holds cannot be shared, so a class goes on only if enough of its
+   shingles are held twice.
+3. Sets are ordered globally, rarest shingle first. Two sets that link share a shingle of their prefixes (length bound of the prefix filter).
+4. Each class has one home: the commonest shingle of its prefix, by ranges of length and in blocks where that has more than `block` holders; some
+   holders (PIVOTS) go to all blocks of their shingle. The sets of a home go into a prefix tree once. A set walks the tree, shares the overlap counted for common
+   paths, and leaves a subtree when the shingles still to come cannot lift any of its sets to the threshold, when lengths differ too much, or when the subtree
+   holds no candidate outside its own group.
+5. Then each class visits the homes of those that it shares another prefix shingle with and that are in another, larger group. Every pair that
+   links and isn't in one group yet meets there. Nothing is joined by way of mere candidates.
+6. The links found are tested on the shingles themselves. Should a hash have made a false one, all is done again with another seed.
 
 Edge cases: null and empty texts and texts without words have no set (n_shingles 0) and link with nothing, component_id is their own id; a text of fewer
 words than a shingle is one shingle; every input row gives one output row, and equal rows share their group; a null id never is a component_id unless all
-ids of the group are null; whole texts are read; an empty table gives an empty result; other columns are ignored.
+ids of the group are null; texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,36 +23,48 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
 from tallyspark.llm.components import components
-from tallyspark.llm.shingles import WORDS, shingles
+from tallyspark.llm.shingles import WORDS, exact, shingles
 
 PERCENT = 80
-BLOCK = 4000
+BLOCK = 2000
 PIVOTS = 16
-RANGE_BYTES = 12 << 20  # of text, for each range of hashes: about two million shingles
-BATCH_BYTES = 8 << 20
+OFTEN = 8
+RANGE_BYTES = 6 << 20  # of text, for each range of hashes: about a million shingles
+BATCH_BYTES = 6 << 20
+BATCH_ROWS = 60_000  # places in a batch have 16 bits
+SEEDS = 4
 
-BUCKET_BITS = np.uint64(16)
+CLASS = ["n", "s1", "s2"]
+LOW = np.uint64(16)
+TOKEN = np.uint64((1 << 48) - 1)
+
+
+def hashed(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes of a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, uid, text: equal rows share the uid."""
-    return common.documents(df, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
+    """doc_id, t1, t2, text: equal rows, and only these, share the first three."""
+    return common.documents(df, id_col, text_col).select("doc_id", *hashed(F.col("text")), "text")
+
 
+def signed(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """doc_id, t1, t2, n (size of the set), s1, s2 (its signature): a row for each row."""
 
-def sizes(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "text", 2 << 20):
-            counts = shingles(*common.utf8(batch.column("text")), words)[1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("uid"), pa.array(counts, pa.int64())], ["doc_id", "uid", "n_shingles"])
+        for batch in common.pieces(batches):
+            _, n, s1, s2 = shingles(*common.utf8(batch.column("text")), words, seed)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], ["doc_id", "t1", "t2", *CLASS])
 
-    return docs.mapInArrow(run, "doc_id long, uid long, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, s1 long, s2 long")
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -58,101 +72,145 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
 
 
-def by_range(docs: DataFrame, words: int, ranges: int) -> DataFrame:
-    """The shingles of a batch of documents by hash range: part, uids, sizes (of the whole sets), counts (in this range), tokens, all packed."""
+def _six(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u4").tobytes() + (tokens >> np.uint64(32)).astype("<u2").tobytes()
 
-    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        uids, sizes_, tokens = (np.concatenate(x) for x in zip(*held))
-        doc = np.repeat(np.arange(len(uids)), sizes_)
-        part = ((tokens & np.uint64(0xFFFF)) * np.uint64(ranges)) >> BUCKET_BITS
-        tokens = (tokens >> BUCKET_BITS << BUCKET_BITS) | part
-        order = np.argsort(part.astype(np.uint16), kind="stable")
-        doc, tokens, part = doc[order], tokens[order], part[order]
-        cuts, out = _runs(part), []
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            edges = _runs(doc[x:y])
-            own = doc[x:y][edges[:-1]]
-            high = tokens[x:y] >> BUCKET_BITS
-            out.append((int(part[x]), uids[own].tobytes(), sizes_[own].astype("<i4").tobytes(), np.diff(edges).astype("<i4").tobytes(), high.astype("<u4").tobytes() + (high >> np.uint64(32)).astype("<u2").tobytes()))
-            if len(out) >= 256 or y == len(doc):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 0 else pa.binary()) for i, c in enumerate(zip(*out))], ["part", "uids", "sizes", "counts", "tokens"])
+
+def _from_six(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _all(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def by_range(docs: DataFrame, words: int, ranges: int, seed: int) -> DataFrame:
+    """The shingles of a batch of documents: part, batch, kind, a, b, c, d.
+
+    kind 0, a range: a, b: tokens and the places of the classes that hold them; c, d: tokens of more than OFTEN classes, and of how many.
+    kind 1, the batch: a, b: sizes and signatures of its classes, by place; c, d: the tokens of more than OFTEN classes and the places.
+    """
+
+    def packed(held: list[tuple], batch: int) -> Iterator[pa.RecordBatch]:
+        tokens, n, s1, s2 = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((s2, s1, n))
+        first = np.append(True, (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1]) | (n[order][1:] != n[order][:-1]))
+        place = np.full(len(n), -1)
+        chosen = np.sort(order[first])
+        chosen = chosen[n[chosen] > 0]
+        place[chosen] = np.arange(len(chosen))
+        own = np.repeat(place, n)
+        tokens, own = tokens[own >= 0] >> LOW, own[own >= 0].astype("<u2")
+        order = np.argsort(tokens)
+        tokens, own = tokens[order], own[order]
+        cuts = _runs(tokens)
+        times = np.diff(cuts)
+        many = np.repeat(times, times) > OFTEN
+        often, counts = tokens[cuts[:-1]][times > OFTEN], times[times > OFTEN]
+        kept = [_six(tokens[many]), own[many].tobytes()]
+        tokens, own = tokens[~many], own[~many]
+        out = [(batch % ranges, batch, 1, n[chosen].astype("<i4").tobytes(), np.stack([s1[chosen], s2[chosen]]).tobytes(), *kept)]
+        part, other = ((x >> LOW) * np.uint64(ranges) >> np.uint64(32) for x in (tokens, often))
+        edges = np.unique(np.append(part, other))
+        begin, end = np.searchsorted(part, edges), np.searchsorted(part, edges, "right")
+        begin_, end_ = np.searchsorted(other, edges), np.searchsorted(other, edges, "right")
+        for p, a, b, c, d in zip(edges.tolist(), begin.tolist(), end.tolist(), begin_.tolist(), end_.tolist()):
+            out.append((p, batch, 0, _six(tokens[a:b]), own[a:b].tobytes(), _six(often[c:d]), counts[c:d].astype("<i4").tobytes()))
+            if len(out) >= 256:
+                yield rows(out)
                 out = []
+        if out:
+            yield rows(out)
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "batch", "kind", "a", "b", "c", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in common.pieces(batches, "text", 2 << 20):
+        held, size, n, made = [], 0, 0, 0
+        number = TaskContext.get().partitionId() << 32
+        for batch in common.pieces(batches):
+            if held and n + batch.num_rows > BATCH_ROWS:
+                yield from packed(held, number + made)
+                held, size, n, made = [], 0, 0, made + 1
             data, offsets = common.utf8(batch.column("text"))
-            found, counts = shingles(data, offsets, words)
-            held.append((batch.column("uid").to_numpy(), counts, found))
-            size += len(data)
+            held.append(shingles(data, offsets, words, seed))
+            size, n = size + len(data), n + batch.num_rows
             if size >= BATCH_BYTES:
-                yield from packed(held)
-                held, size = [], 0
+                yield from packed(held, number + made)
+                held, size, n, made = [], 0, 0, made + 1
         if held:
-            yield from packed(held)
+            yield from packed(held, number + made)
+        common.released()
 
-    return docs.mapInArrow(run, "part long, uids binary, sizes binary, counts binary, tokens binary")
+    return docs.select("text").mapInArrow(run, "part long, " + ROW)
 
 
-def shared_only(ranges: int):
-    """For one hash range: the tokens that several documents hold, packed by the range of uids (dest) that their documents belong to."""
+ROW = "batch long, kind int, a binary, b binary, c binary, d binary"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        uids, sizes_, tokens = [], [], []
-        for u, s, c, t in zip(pdf["uids"], pdf["sizes"], pdf["counts"], pdf["tokens"]):
-            counts = np.frombuffer(c, "<i4")
-            n = len(t) // 6
-            tokens.append(((np.frombuffer(t[: 4 * n], "<u4").astype(np.uint64) | np.frombuffer(t[4 * n :], "<u2").astype(np.uint64) << np.uint64(32)) << BUCKET_BITS) | np.uint64(pdf["part"].iat[0]))
-            uids.append(np.repeat(np.frombuffer(u, "<i8"), counts))
-            sizes_.append(np.repeat(np.frombuffer(s, "<i4"), counts))
-        uids, sizes_, tokens = map(np.concatenate, (uids, sizes_, tokens))
-        order = np.argsort(tokens)
-        cuts = _runs(tokens[order])
-        held = np.empty(len(tokens), np.int64)
-        held[order] = np.repeat(np.diff(cuts), np.diff(cuts))
-        keep = held > 1
-        # from here on a token is how many hold it, then its hash: their order is the global one
-        uids, sizes_, tokens = uids[keep], sizes_[keep], np.minimum(held[keep], 65_535).astype(np.uint64) << np.uint64(48) | tokens[keep] >> BUCKET_BITS
-        dest = (uids.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
-        order = np.lexsort((uids, dest))
-        uids, sizes_, tokens, dest = (x[order] for x in (uids, sizes_, tokens, dest))
-        cuts, out = _runs(dest), []
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            edges = _runs(uids[x:y])
-            first = edges[:-1] + x
-            out.append((int(dest[x]), uids[first].tobytes(), sizes_[first].tobytes(), np.diff(edges).astype("<i4").tobytes(), tokens[x:y].tobytes()))
-        return pd.DataFrame(out, columns=["dest", "uids", "sizes", "counts", "tokens"])
 
-    return run
+def _column(table: pa.Table, name: str) -> list[bytes]:
+    return table.column(name).to_pylist()
+
+
+def counted(table: pa.Table) -> pa.Table:
+    """For one hash range: each batch's tokens that several classes hold, as 16 bits of how many hold it, then 48 of its hash: their order is the global one."""
+    own = table.filter(pa.compute.equal(table.column("kind"), 0))
+    tokens, often = [_from_six(x) for x in _column(own, "a")], [_from_six(x) for x in _column(own, "c")]
+    places, times = _column(own, "b"), [np.frombuffer(x, "<i4") for x in _column(own, "d")]
+    joined = _all(tokens + often, np.uint64)
+    weight = np.concatenate([np.ones(sum(map(len, tokens)), np.int64), *times]) if len(joined) else np.zeros(0, np.int64)
+    order = np.argsort(joined)
+    cuts = _runs(joined[order])
+    held = np.empty(len(joined), np.int64)
+    if len(joined):
+        held[order] = np.repeat(np.add.reduceat(weight[order], cuts[:-1]), np.diff(cuts))
+    ranked = np.minimum(held, 65_535).astype(np.uint64) << np.uint64(48) | joined
+    keep, at, after, out = held > 1, 0, sum(map(len, tokens)), []
+    for batch, mine, where, more in zip(_column(own, "batch"), tokens, places, often):
+        use = keep[at : at + len(mine)]
+        out.append((batch, 0, ranked[at : at + len(mine)][use].tobytes(), np.frombuffer(where, "<u2")[use].tobytes(), ranked[after : after + len(more)].tobytes(), b""))
+        at, after = at + len(mine), after + len(more)
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    names = ["batch", "kind", "a", "b", "c", "d"]
+    made = pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+    rest = table.filter(pa.compute.equal(table.column("kind"), 1)).select(names)
+    common.released()
+    return pa.concat_tables([made, rest.cast(made.schema)])
 
 
 def survivors(percent: int):
-    """For one range of uids: documents that hold enough shared tokens, these in global order, and a hash of whole sets."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = [np.frombuffer(x, "<i4") for x in pdf["counts"]]
-        uids = np.concatenate([np.repeat(np.frombuffer(u, "<i8"), c) for u, c in zip(pdf["uids"], counts)])
-        sizes_ = np.concatenate([np.repeat(np.frombuffer(s, "<i4"), c) for s, c in zip(pdf["sizes"], counts)])
-        tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["tokens"]])
-        order = np.lexsort((tokens, uids))
-        uids, sizes_, tokens = uids[order], sizes_[order], tokens[order]
-        new = np.append(True, (uids[1:] != uids[:-1]) | (tokens[1:] != tokens[:-1]))  # equal rows bring their tokens once each
-        uids, sizes_, tokens = uids[new], sizes_[new], tokens[new]
-        cuts, out = _runs(uids), []
-        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            n = int(sizes_[x])
-            if 100 * (y - x) >= percent * n:
-                own = tokens[x:y]
-                whole = y - x == n
-                first = int((own * np.uint64(0x9E3779B97F4A7C15) ^ own >> np.uint64(31)).sum().view(np.int64)) if whole else int(uids[x])
-                second = int((own * np.uint64(0xC2B2AE3D27D4EB4F) ^ own >> np.uint64(29)).sum().view(np.int64)) if whole else 0
-                out.append((int(uids[x]), n, whole, first, second, own.tobytes()))
-        return pd.DataFrame(out, columns=["uid", "n", "whole", "s1", "s2", "tokens"])
+    """For one batch: its classes that hold enough shared tokens, these in global order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = np.asarray(table.column("kind"))
+        about = table.filter(pa.array(kind == 1))
+        a, b, c, d = (_column(about, x)[0] for x in "abcd")
+        n, signatures = np.frombuffer(a, "<i4"), np.frombuffer(b, np.int64).reshape(2, -1).view(np.int64)
+        own = table.filter(pa.array(kind == 0))
+        often = np.sort(_all([np.frombuffer(x, np.uint64) for x in _column(own, "c")], np.uint64) << LOW)  # by hash; the count is dropped
+        ranks = _all([np.frombuffer(x, np.uint64) for x in _column(own, "c")], np.uint64)
+        ranks = ranks[np.argsort(ranks << LOW)]
+        common_, places = _from_six(c), np.frombuffer(d, "<u2")
+        tokens = np.concatenate([*(np.frombuffer(x, np.uint64) for x in _column(own, "a")), ranks[np.searchsorted(often, common_ << LOW)]])
+        places = np.concatenate([*(np.frombuffer(x, "<u2") for x in _column(own, "b")), places])
+        order = np.argsort(tokens)
+        order = order[np.argsort(places[order], kind="stable")]
+        tokens, places = tokens[order], places[order]
+        cuts = _runs(places)
+        at = places[cuts[:-1]].astype(np.int64)
+        enough = np.flatnonzero(100 * np.diff(cuts) >= percent * n[at].astype(np.int64))
+        chosen = at[enough]
+        sets = [tokens[cuts[i] : cuts[i + 1]].tobytes() for i in enough.tolist()]
+        batch = about.column("batch")[0].as_py()
+        common.released()
+        return pa.table([pa.array(np.full(len(chosen), batch, np.int64)), pa.array(n[chosen].astype(np.int64)), pa.array(signatures[0][chosen]), pa.array(signatures[1][chosen]), pa.array(sets, pa.binary())], ["batch", *CLASS, "tokens"])
 
     return run
 
 
-SET = "uid long, n int, whole boolean, s1 long, s2 long, tokens binary"
+SET = "batch long, n long, s1 long, s2 long, tokens binary"
 
 
 def prefix(n: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
@@ -249,109 +307,175 @@ def links(sets: list[np.ndarray], n: np.ndarray, groups: np.ndarray, percent: in
 
 
 def joined(percent: int):
-    """For one cluster or block: links between its sets."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("uid")
-        raw = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
-        number = np.unique(np.concatenate(raw), return_inverse=True)[1]
-        sets = np.split(number, np.cumsum([len(x) for x in raw])[:-1])
-        uids = pdf["uid"].to_numpy()
-        found = links(sets, pdf["n"].to_numpy(np.int64), pdf["grp"].to_numpy().copy(), percent)
-        return pd.DataFrame({"a": [int(uids[i]) for i, _ in found], "b": [int(uids[j]) for _, j in found]}, dtype="int64")
+    """For the homes of one part: links between sets that meet in a home."""
+
+    def run(table: pa.Table) -> pa.Table:
+        home = np.asarray(table.column("home"))
+        uids, sizes, groups = (np.asarray(table.column(c)) for c in ("uid", "n", "grp"))
+        raw = [np.frombuffer(x, np.uint64) for x in _column(table, "tokens")]
+        order, found = np.lexsort((uids, home)), []
+        cuts = _runs(home[order])
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = order[x:y]
+            own = own[np.append(True, uids[own][1:] != uids[own][:-1])]
+            if len(own) < 2 or (groups[own] == groups[own[0]]).all():
+                continue
+            number = np.unique(np.concatenate([raw[i] for i in own]), return_inverse=True)[1]
+            sets = np.split(number, np.cumsum([len(raw[i]) for i in own])[:-1])
+            found += [(uids[own[i]], uids[own[j]]) for i, j in links(sets, sizes[own], groups[own].copy(), percent)]
+        common.released()
+        return pa.table([pa.array(np.array([p[k] for p in found], np.int64)) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def clusters(rows: DataFrame) -> DataFrame:
-    """uid, cluster: representatives connected by tokens. rows: token, uid, for tokens of several groups."""
-    least = rows.groupBy(F.col("token").alias("t")).agg(F.min("uid").alias("hub"))
-    edges = rows.join(least, F.col("token") == F.col("t")).select("uid", "hub").distinct()
-    return components(edges, "uid", "hub").select(F.col("v").alias("uid"), F.col("c").alias("cluster"))
-
-
-def step(heads: DataFrame, reps: DataFrame, groups: DataFrame, percent: int, block: int, final: bool) -> DataFrame:
-    """One round of links (a, b). heads: token, uid; groups: uid, grp of those already in one; final: large clusters in all pairs of blocks."""
-    own = heads.join(groups, "uid", "left").withColumn("grp", F.coalesce("grp", "uid"))
-    open_ = own.groupBy(F.col("token").alias("t")).agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi").select("t")
-    rows = own.join(open_, F.col("token") == F.col("t")).select("token", "uid")
-    placed = common.written(clusters(rows), "clusters")
-    counts = placed.groupBy(F.col("cluster").alias("k")).agg(F.count("*").alias("size"))
-    many = F.ceil(F.col("size") / F.lit(max(1, block // 2)))
-    at = placed.join(counts, F.col("cluster") == F.col("k")).withColumn("blocks", F.when(F.col("size") <= block, F.lit(1)).otherwise(many)).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")))
-    if final:
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.concat_ws(":", F.least(o, "own").cast("string"), F.greatest(o, "own").cast("string")))
-        at = at.select("uid", "cluster", F.explode(pairs).alias("part"))
-    else:
-        # some representatives of a large cluster go to each of its blocks
-        pivot = F.pmod(F.xxhash64("uid", F.lit(1)), F.col("size")) < PIVOTS
-        parts = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("own"))
-        at = at.select("uid", "cluster", F.explode(parts.cast("array<string>")).alias("part"))
-    full = at.join(groups, "uid", "left").join(reps.select("uid", "n", "tokens").hint("merge"), "uid").withColumn("grp", F.coalesce("grp", "uid"))
-    return common.written(full.groupBy("cluster", "part").applyInPandas(joined(percent), "a long, b long"), "links")
-
+def linked(placed: DataFrame, reps: DataFrame, groups: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) between classes of one home. placed: uid, home."""
+    full = placed.join(reps.select("uid", "n", "tokens").hint("merge"), "uid").join(groups.hint("merge"), "uid", "left").withColumn("grp", F.coalesce("grp", "uid"))
+    full = full.withColumn("part", F.pmod(F.xxhash64("home"), F.lit(parts)))
+    return common.written(full.groupBy("part").applyInArrow(joined(percent), "a long, b long"), "links")
+
+
+def homes(heads: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """uid, home, for every class one; and the pivots in all blocks of their token, too."""
+    often = heads.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("k"))
+    chosen = heads.join(often.hint("merge"), F.col("token") == F.col("t")).groupBy("uid").agg(F.max(F.struct("k", "token")).alias("top")).select("uid", F.col("top.token").alias("token"))
+    # homes of many classes: by ranges of length within which sets may link, then by hash
+    long_ = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("long")
+    chosen = common.written(chosen.join(reps.select("uid", "n").hint("merge"), "uid").select("uid", "token", long_.alias("range")), "chosen")
+    in_range = chosen.groupBy(F.col("token").alias("t"), F.col("range").alias("r")).agg(F.count("*").alias("there"))
+    sizes = in_range.withColumn("all", F.sum("there").over(Window.partitionBy("t")))
+    at = chosen.join(sizes.hint("merge"), (F.col("token") == F.col("t")) & (F.col("range") == F.col("r")))
+    blocks = F.ceil(F.col("there") / F.lit(max(1, block // 2)))
+    single = F.col("all") <= block
+    name = lambda k: F.when(single, F.xxhash64("token")).otherwise(F.xxhash64("token", "range", k))
+    at = at.withColumn("blocks", blocks).withColumn("home", name(F.pmod(F.xxhash64("uid"), F.col("blocks"))))
+    pivots = at.filter(~single & (F.pmod(F.xxhash64("uid", F.lit(1)), F.col("there")) < PIVOTS)).select("uid", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), name)).alias("home"))
+    own = common.written(at.select("uid", "home", "range"), "homes")
+    return own, own.select("uid", "home").unionByName(pivots)
+
+
+def visits(heads: DataFrame, own: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+    """uid, home: each class in the homes of those that it shares a token with and whose group is larger (of equals, has the greater id); with those who live there."""
+    in_group = own.join(groups.hint("merge"), "uid", "left").withColumn("grp", F.coalesce("grp", "uid"))
+    sizes = in_group.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("size"))
+    rows = heads.join(in_group.hint("merge"), "uid").join(sizes.hint("merge"), F.col("grp") == F.col("g")).select("token", "uid", "home", "range", F.struct("size", "grp").alias("rank"))
+    rows = common.written(rows, "ranked-heads")
+    per_token = rows.groupBy(F.col("token").alias("t")).agg(F.min("rank").alias("low"), F.max("rank").alias("top")).filter("low <> top").select("t", "top")
+    open_ = rows.join(per_token.hint("merge"), F.col("token") == F.col("t"))
+    there = open_.groupBy(F.col("token").alias("u"), F.col("home").alias("at")).agg(F.max("rank").alias("best"), F.min("range").alias("least"), F.max("range").alias("most"))
+    guests = open_.filter("rank < top").select("token", "uid", "range", "rank").join(there.hint("merge"), F.col("token") == F.col("u"))
+    near = (F.col("range") >= F.col("least") - 1) & (F.col("range") <= F.col("most") + 1)
+    guests = common.written(guests.filter((F.col("rank") < F.col("best")) & near).select("uid", F.col("at").alias("home")).distinct(), "visits")
+    many = guests.groupBy(F.col("home").alias("h")).agg(F.ceil(F.count("*") / F.lit(block)).alias("shares"))
+    coming = guests.join(many.hint("merge"), F.col("home") == F.col("h")).select("uid", F.xxhash64("home", F.pmod(F.xxhash64("uid"), F.col("shares"))).alias("home"))
+    share = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda k: F.xxhash64("home", k)))
+    living = own.select("uid", "home").join(many.hint("merge"), F.col("home") == F.col("h")).select("uid", share.alias("home"))
+    return coming.unionByName(living)
+
+
+def same_shingles(links_: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """a, b, fits: the links tested on the shingles of the two texts. texts: uid, text."""
+    pairs = links_.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
 
-def members(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """uid, component_id for documents in groups of more than one row; the uid is xxhash64(doc_id, text)."""
-    docs = keyed(df, id_col, text_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for batch in common.pieces(batches, "x"):
+            out = []
+            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("b", "x", "y"))):
+                if b != last:
+                    last, held = b, exact(y, words)
+                other = exact(x, words)
+                both = len(held & other)
+                out.append(100 * both >= percent * (len(held) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "fits"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, fits boolean")
+
+
+def grouped(docs: DataFrame, percent: int, words: int, block: int, seed: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Rows as of signed(); the classes that have links (n, s1, s2, grp); and whether all links are true."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    ranges = max(1, min(65_536, -(-total // RANGE_BYTES)))
-    shared = by_range(docs, words, ranges).groupBy("part").applyInPandas(shared_only(ranges), "dest long, uids binary, sizes binary, counts binary, tokens binary")
-    sets = common.written(shared.groupBy("dest").applyInPandas(survivors(percent), SET), "sets")
-    classes = sets.groupBy("n", "whole", "s1", "s2").agg(F.min("uid").alias("rep"))
-    same = sets.select("uid", "n", "whole", "s1", "s2").join(classes, ["n", "whole", "s1", "s2"]).select("uid", "rep")
-    same = common.written(same, "classes")
-    reps = common.written(sets.hint("merge").join(same.filter("uid = rep").select("uid"), "uid"), "representatives")
+    ranges = max(1, -(-total // RANGE_BYTES))
+    rows = common.written(signed(docs, words, seed), "signed")
+    sets = by_range(docs, words, ranges, seed).groupBy("part").applyInArrow(counted, ROW).groupBy("batch").applyInArrow(survivors(percent), SET)
+    sets = common.written(sets, "sets")
+    one = sets.groupBy(*CLASS).agg(F.min("batch").alias("batch"))
+    reps = common.written(sets.join(one.hint("merge"), [*CLASS, "batch"]).withColumn("uid", F.monotonically_increasing_id()), "representatives")
     common.drop_written(sets)
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
-            counts = np.array([len(x) for x in raw])
-            top = prefix(batch.column("n").to_numpy().astype(np.int64), counts, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[:k] for x, k in zip(raw, top)])), pa.array(np.repeat(batch.column("uid").to_numpy(), top))], ["token", "uid"])
+            top = prefix(batch.column("n").to_numpy(), np.array([len(x) for x in raw], np.int64), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(_all([x[:k] for x, k in zip(raw, top)], np.int64)), pa.array(np.repeat(batch.column("uid").to_numpy(), top))], ["token", "uid"])
 
-    all_heads = reps.select("uid", "n", "tokens").mapInArrow(head, "token long, uid long")
+    all_heads = common.written(reps.select("uid", "n", "tokens").mapInArrow(head, "token long, uid long"), "all-heads")
     twice = all_heads.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("k")).filter("k > 1").select("t")
-    heads = common.written(all_heads.join(twice, F.col("token") == F.col("t")).select("token", "uid"), "heads")
-    none = reps.select("uid", F.col("uid").alias("grp")).limit(0)
-    first = step(heads, reps, none, percent, block, final=False)
+    heads = common.written(all_heads.join(twice.hint("merge"), F.col("token") == F.col("t")).select("token", "uid"), "heads")
+    common.drop_written(all_heads)
+    parts = max(1, -(-heads.select("uid").distinct().count() // block))
+    own, placed = homes(heads, reps, block)
+    alone = reps.select("uid", F.col("uid").alias("grp")).limit(0)
+    first = linked(placed, reps, alone, percent, parts)
     groups = common.written(components(first, "a", "b").select(F.col("v").alias("uid"), F.col("c").alias("grp")), "groups")
-    large = heads.select("uid").distinct().count() > block  # else every cluster was done in one piece
-    if large:
-        second = step(heads, reps, groups, percent, block, final=True)
-        groups = common.written(components(first.unionByName(second), "a", "b").select(F.col("v").alias("uid"), F.col("c").alias("grp")), "groups")
-    return same.join(groups.withColumnRenamed("uid", "g"), F.col("rep") == F.col("g"), "left").select("uid", F.coalesce("grp", "rep").alias("grp"))
+    second = linked(visits(heads, own, groups, block), reps, groups, percent, parts)
+    found = first.unionByName(second)
+    # the text of each linked class's least row
+    ends = found.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    wanted = reps.select("uid", *CLASS).join(ends.hint("merge"), "uid")
+    least = rows.join(wanted.hint("merge"), CLASS).groupBy("uid").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("row")).select("uid", F.col("row.doc_id").alias("r_id"), F.col("row.t1").alias("r1"), F.col("row.t2").alias("r2"))
+    texts = docs.join(least.hint("merge"), (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2")) & F.col("doc_id").eqNullSafe(F.col("r_id"))).select("uid", "text").dropDuplicates(["uid"])
+    texts = common.written(texts, "linked-texts")
+    tested = common.written(same_shingles(found, texts, percent, words), "tested-links")
+    common.drop_written(texts)
+    true = tested.filter("NOT fits").limit(1).count() == 0
+    groups = components(found, "a", "b").select(F.col("v").alias("uid"), F.col("c").alias("grp"))
+    classes = common.written(reps.select("uid", *CLASS).join(groups.hint("merge"), "uid").select(*CLASS, "grp"), "linked-classes")
+    common.drop_written(reps)
+    return rows, classes, true
 
 
-def join(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, uid, n_shingles, component_id (the least doc_id reachable by links)."""
-    grouped = common.written(members(df, percent, words, block, id_col, text_col), "members")
+def members(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row: doc_id, t1, t2, n, c1, c2: the last two name the group, of one signature or of linked ones (null without a set)."""
     docs = keyed(df, id_col, text_col)
-    sized = sizes(docs, words)
-    ids = docs.select("doc_id", "uid").distinct().join(grouped, "uid")
-    least = ids.groupBy(F.col("grp").alias("k")).agg(F.min("doc_id").alias("least"))
-    named = grouped.join(least, F.col("grp") == F.col("k")).select(F.col("uid").alias("m"), "least")
-    return sized.join(named, F.col("uid") == F.col("m"), "left").select("doc_id", "uid", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    for seed in range(SEEDS):
+        rows, classes, true = grouped(docs, percent, words, block, seed)
+        if true:
+            break
+    else:
+        raise RuntimeError("hashes made false links with every seed")
+    names = classes.select(F.col("n").alias("m"), F.col("s1").alias("m1"), F.col("s2").alias("m2"), "grp")
+    full = rows.join(names.hint("merge"), (F.col("n") == F.col("m")) & (F.col("s1") == F.col("m1")) & (F.col("s2") == F.col("m2")), "left")
+    c1 = F.when(F.col("n") > 0, F.when(F.col("grp").isNull(), F.col("s1")).otherwise(F.lit(0)))
+    c2 = F.when(F.col("n") > 0, F.when(F.col("grp").isNull(), F.col("s2")).otherwise(F.col("grp")))
+    return common.written(full.select("doc_id", "t1", "t2", "n", c1.cast("long").alias("c1"), c2.alias("c2")), "members")
+
+
+def join(df: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
+    rows = members(df, percent, words, block, id_col, text_col)
+    least = rows.filter("n > 0").groupBy(F.col("c1").alias("k1"), F.col("c2").alias("k2")).agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1")
+    named = rows.join(least.hint("merge"), (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return join(common.table(spark, sf_dir, "documents"))
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of df without those whose group has a smaller id; of equal rows one stays. All columns are passed on."""
-    uid = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    grouped = common.written(members(df, id_col=id_col, text_col=text_col, **options), "members")
-    ids = df.select(F.col(id_col).cast("long").alias("own_id"), uid.alias("own")).join(grouped, F.col("own") == F.col("uid"))
-    ids = common.written(ids.groupBy("uid", "grp", "own_id").agg(F.count("*").alias("rows")), "members")
-    least = ids.groupBy(F.col("grp").alias("k")).agg(F.min("own_id").alias("least"), F.min(F.when(F.col("own_id").isNull(), F.col("uid"))).alias("nameless"))
-    named = ids.join(least, F.col("grp") == F.col("k"))
-    stays = F.when(F.col("least").isNull(), F.col("uid") == F.col("nameless")).otherwise(F.coalesce(F.col("own_id") == F.col("least"), F.lit(False)))
-    gone = named.filter(~stays).select(F.col("uid").alias("gone"))
-    # two texts of one id may both be the least of their group, and a row may be repeated: then the first uid, and one row of it, stay
-    twice = named.filter(stays).groupBy(F.col("grp").alias("k")).agg(F.sum("rows").alias("rows"), F.min("uid").alias("first")).filter("rows > 1").select("k", "first")
-    twice = common.written(named.filter(stays).drop("k").join(twice, F.col("grp") == F.col("k")).select("uid", "first"), "repeated")
-    kept = df.withColumn("__uid", uid).join(gone.unionByName(twice.select(F.col("uid").alias("gone"))), F.col("__uid") == F.col("gone"), "left_anti")
-    again = df.withColumn("__uid", uid).join(twice.filter("uid = first").select(F.col("first").alias("f")), F.col("__uid") == F.col("f"), "left_semi").dropDuplicates(["__uid"])
-    return (kept.unionByName(again) if twice.limit(1).count() else kept).drop("__uid")
+    """The rows of df without those whose group has a smaller id; of equal rows with a set one stays. All columns are passed on."""
+    rows = members(df, id_col=id_col, text_col=text_col, **options).filter("n > 0")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t1", "t2")
+    best = rows.groupBy(F.col("c1").alias("k1"), F.col("c2").alias("k2")).agg(F.min(row).alias("best"), F.count("*").alias("k")).filter("k > 1").select("k1", "k2", "best")
+    inside = rows.groupBy("doc_id", "t1", "t2", "c1", "c2").agg(F.count("*").alias("times")).join(best.hint("merge"), (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")))
+    stays = row.eqNullSafe(F.col("best"))
+    gone = common.written(inside.filter(~stays | (F.col("times") > 1)).select(F.col("doc_id").alias("g_id"), F.col("t1").alias("g1"), F.col("t2").alias("g2"), stays.alias("again")), "gone-rows")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = df.select("*", F.col(id_col).cast("long").alias("__id"), *(c.alias(f"__t{k}") for k, c in enumerate(hashed(text), 1)))
+    same = F.col("__id").eqNullSafe(F.col("g_id")) & (F.col("__t1") == F.col("g1")) & (F.col("__t2") == F.col("g2"))
+    kept = own.join(gone.hint("merge"), same, "left_anti")
+    if gone.filter("again").limit(1).count():  # a row that is repeated and stays: one of it
+        kept = kept.unionByName(own.join(gone.filter("again").hint("merge"), same, "left_semi").dropDuplicates(["__id", "__t1", "__t2"]))
+    return kept.drop("__id", "__t1", "__t2")

@@ -20,11 +20,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from tallyspark.llm import common
 
@@ -47,14 +49,25 @@ class Chain:
     threshold: float
     shares: tuple[float, ...]  # of labelled rows in each category
 
+    def rows(self, texts: pa.Array) -> list[list[int]]:
+        """The numbers of each text's features."""
+        get = self.features.get
+        return [sorted(i for i in map(get, held(t)) if i is not None) for t in texts.to_pylist()]
+
     def predict(self, rows: list[list[int]]) -> np.ndarray:
+        """A row of probabilities for each row of feature numbers. All rows' weights are gathered and added up at once, run by run."""
         out, n = np.zeros((len(rows), len(self.names))), len(self.features)
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        full = np.flatnonzero(sizes)
+        held_ = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+        starts = (np.cumsum(sizes) - sizes)[full]
         for k in range(len(self.names)):
-            own = self.weights[k]
-            base = np.array([own[0] + sum(own[1 + i] for i in r) for r in rows])
+            own = self.weights[k].astype(np.float64)
+            base = np.full(len(rows), own[0])
+            if len(full):
+                base[full] += np.add.reduceat(own[1 + held_], starts)
             out[:, k] = _sigmoid(base + _logit(out[:, :k]) @ own[1 + n : 1 + n + k])
-        blank = [i for i, r in enumerate(rows) if not r]
-        out[blank] = self.shares
+        out[sizes == 0] = self.shares
         return out
 
 
@@ -183,10 +196,8 @@ def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        get = own.features.get
         for batch in common.pieces(batches):
-            rows = [sorted(i for i in map(get, held(t)) if i is not None) for t in batch.column("text").to_pylist()]
-            p = own.predict(rows)
+            p = own.predict(own.rows(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, k]) for k in range(len(columns))), pa.array(p[:, -1] >= own.threshold)], ["doc_id", *columns, "rejected"])
 
     return common.documents(df, id_col, text_col).mapInArrow(run, "doc_id long" + "".join(f", {c} double" for c in columns) + ", rejected boolean")
@@ -201,15 +212,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, default_chain(docs, common.table(spark, sf_dir, "labels"))).select("doc_id", "p_low_quality", "p_toxic", F.col("rejected").alias("toxic"))
 
 
-def accepted(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
-    """The rows of df that are not rejected, with all their columns."""
-    shared = df.sparkSession.sparkContext.broadcast(chain)
+def accepted(df: DataFrame, model: Chain, text_col: str = "text") -> DataFrame:
+    """The rows of df that are not rejected, with all their columns. Only the text goes to Python, and only a mark comes back."""
+    common.small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        get = own.features.get
-        for batch in common.pieces(batches, text_col):
-            rows = [sorted(i for i in map(get, held(t or "")) if i is not None) for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(own.predict(rows)[:, -1] < own.threshold))
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([part], ["text"])
+            p = [own.predict(own.rows(piece.column("text"))) for piece in common.pieces(iter([batch]))]
+            yield pa.array(np.concatenate(p)[:, -1] < own.threshold if p else [], pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    return df.filter(F.arrow_udf(marks, "boolean", ArrowUDFType.SCALAR_ITER)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))

@@ -55,3 +55,62 @@ def test_against_brute_force(spark, seed, block):
 
 def test_empty(spark):
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def ids(df):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
+
+
+def test_few_words_in_a_partition(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "")], "doc_id long, text string").coalesce(1)
+    assert ids(jaccard.join(df)) == {1: (1, 1), 2: (0, 2)}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    tail = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, word), (2, other), (3, word), (4, f"{word} {tail}"), (5, f"{other} {tail}")], "doc_id long, text string")
+    assert {i: c for i, (_, c) in ids(jaccard.join(df)).items()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
+def test_false_links_of_a_seed_are_found(spark, monkeypatch):
+    tested = []
+    whole = jaccard.same_shingles
+
+    def first_is_false(*args):
+        tested.append(1)
+        return whole(*args).selectExpr("a", "b", f"fits AND {len(tested) > 1} AS fits")
+
+    monkeypatch.setattr(jaccard, "same_shingles", first_is_false)
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
+    assert {c for _, c in ids(jaccard.join(df)).values()} == {1} and len(tested) == 2
+
+
+@pytest.mark.parametrize("block", [4, 40])
+def test_large_groups_and_common_lines(spark, block):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choices([f"v{i}" for i in range(900)], k=n))
+    base, line, rows = say(60), say(12), []
+    for i in range(70):
+        words = base.split()
+        words[rng.randrange(60)] = f"x{i}"
+        if i % 9 == 0:
+            words[rng.randrange(60)] = f"y{i}"
+            words[rng.randrange(60)] = f"z{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, base) for i in range(30)] + [(200 + i, f"{line} {say(3 + i % 4)} {line}") for i in range(60)] + [(300 + i, line) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((i, n, c) for i, (n, c) in ids(jaccard.join(df, block=block)).items()) == brute(rows)
+
+
+def test_representatives(spark):
+    a, b = " ".join(f"w{i}" for i in range(30)), "other words here"
+    rows = [(None, a), (5, a), (5, a), (7, a + " x"), (None, b), (None, b), (9, ""), (9, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = jaccard.representatives(df)
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert kept.columns == df.columns and got == [(0, b), (5, a), (9, ""), (9, ""), (9, "")]
