@@ -11,7 +11,7 @@ The labels table has one toxicity mark; the chain of the registered query is low
 
 Edge cases: null and empty texts, and others without any feature, get the categories' shares and are not rejected; rows with a null
 label are not learnt from; without rows of both kinds a category's probability is its share (0 without labels) and nothing is
-rejected; every input row gives one output row; whole texts are read; other columns are ignored.
+rejected; every input row gives one output row; texts of any length are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def fit(names: tuple[str, ...], features: list[str], rows: list[list[int]], mark
     return Chain(names, {f: i for i, f in enumerate(features)}, np.stack(out), max(threshold, float(np.nextafter(shares[-1], 1))), shares)
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 4000, features: int = 1500, precision: float = 0.99, sample_bytes: int = 65_536) -> Chain:
+def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_rows: int = 4000, features: int = 1500, precision: float = 0.99) -> Chain:
     """docs: doc_id, text. categories: a boolean column of labels for each category, in the chain's order; the last one decides."""
     names = tuple(categories)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("int").alias(f"y{k}") for k, c in enumerate(categories.values()))).dropna().groupBy("doc_id").agg(*(F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))))
@@ -134,12 +134,12 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     if len(counts) < 2:
         return _constant(names, counts, total)
     picked = [own.filter(F.col(last) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
-    sample = common.written(docs.filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id"), "toxicity-sample")
+    sample = common.written(docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id"), "toxicity-sample")
     marks = [f"y{k}" for k in range(len(names))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [Counter() for _ in range(len(marks) + 1)]
-        for batch in batches:
+        for batch in common.pieces(batches):
             for text, *ys in zip(*(batch.column(c).to_pylist() for c in ("text", *marks))):
                 own = held(text)
                 seen[0].update(own)
@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     index = {f: i for i, f in enumerate(chosen)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.pieces(batches):
             rows = [sorted(index[f] for f in held(t) if f in index) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.int32())), *(batch.column(m) for m in marks)], ["doc_id", "x", *marks])
 
