@@ -357,10 +357,11 @@ def homes(heads: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, Dat
 
 def visits(heads: DataFrame, own: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """uid, home: each class in the homes of those that it shares a token with and whose group is larger (of equals, has the greater id); with those who live there."""
-    in_group = own.join(groups.hint("merge"), "uid", "left").withColumn("grp", F.coalesce("grp", "uid"))
-    sizes = in_group.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("size"))
-    rows = heads.join(in_group.hint("merge"), "uid").join(sizes.hint("merge"), F.col("grp") == F.col("g")).select("token", "uid", "home", "range", F.struct("size", "grp").alias("rank"))
-    rows = common.written(rows, "ranked-heads")
+    in_group = common.written(own.join(groups.hint("merge"), "uid", "left").withColumn("grp", F.coalesce("grp", "uid")), "grouped")
+    # written, so that the join with it is one that adaptive execution splits where a group is large
+    sizes = common.written(in_group.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("size")), "group-sizes")
+    ranked = common.written(in_group.join(sizes.hint("merge"), F.col("grp") == F.col("g")).select("uid", "home", "range", F.struct("size", "grp").alias("rank")), "ranked")
+    rows = common.written(heads.join(ranked.hint("merge"), "uid"), "ranked-heads")
     per_token = rows.groupBy(F.col("token").alias("t")).agg(F.min("rank").alias("low"), F.max("rank").alias("top")).filter("low <> top").select("t", "top")
     open_ = rows.join(per_token.hint("merge"), F.col("token") == F.col("t"))
     there = open_.groupBy(F.col("token").alias("u"), F.col("home").alias("at")).agg(F.max("rank").alias("best"), F.min("range").alias("least"), F.max("range").alias("most"))
