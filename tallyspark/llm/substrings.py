@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +41,19 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.documents(df, id_col, text_col).select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit digests of substrings, as two rows of 64 bits: equal ones are taken for equal bytes."""
+    view = memoryview(data)
+    made = b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(starts.tolist(), ends.tolist())])
+    return np.ascontiguousarray(np.frombuffer(made, np.int64).reshape(-1, 2).T)
+
+
 def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each anchor and content of its region in a document: doc_id, h, fp, r (hash of the region), a, b (its bounds), n (how often it is there).
+    """A row for each anchor and content of its region in a document: doc_id, h, fp, r, q (128-bit digest of the region), a, b (its bounds), n (how often it is there).
 
     Rows with a null fp are stretches [a, b) that repeat within their document.
     """
-    names = ["doc_id", "h", "fp", "r", "a", "b", "n"]
+    names = ["doc_id", "h", "fp", "r", "q", "a", "b", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
@@ -55,8 +63,9 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if not len(at):
                 continue
             a, b = np.maximum(at - (length - gram), offsets[doc]), np.minimum(at + length, offsets[doc + 1])
-            found = pd.DataFrame({"doc": doc, "fp": fp.view(np.int64), "r": hashes.of(a, b).view(np.int64), "a": a - offsets[doc], "b": b - offsets[doc]})
-            by = ["doc", "fp", "r"]
+            r, q = digests(data, a, b)
+            found = pd.DataFrame({"doc": doc, "fp": fp.view(np.int64), "r": r, "q": q, "a": a - offsets[doc], "b": b - offsets[doc]})
+            by = ["doc", "fp", "r", "q"]
             found["n"] = found.groupby(by)["a"].transform("size")
             again = found[found["n"] > 1]
             found = found.drop_duplicates(by)
@@ -69,7 +78,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
             whole = [pa.array(out[c].astype("Int64")) for c in names[2:]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(index), batch.column("h").take(index), *whole], names)
 
-    return docs.mapInArrow(run, "doc_id long, h long, fp long, r long, a long, b long, n long")
+    return docs.mapInArrow(run, "doc_id long, h long, fp long, r long, q long, a long, b long, n long")
 
 
 def regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -123,7 +132,7 @@ def shard(length: int, merges: int):
         again = built.repeated(length)
         spans, open_ = [], []
         a_all, b_all, hot = (pdf[c].to_numpy() for c in ("a", "b", "hot"))
-        hashes = sieve.Hashes(built.data) if hot.any() else None
+        whole = built.data.tobytes() if hot.any() else b""
         for k, members in enumerate(rows):
             base, start = a_all[members[0]], built.starts[k]
             hits = np.flatnonzero(again[start : start + built.sizes[k]])
@@ -134,8 +143,7 @@ def shard(length: int, merges: int):
                 if hot[m]:
                     lo, hi = int(a_all[m] - base), int(b_all[m] - base)
                     each = np.arange(lo, hi - length + 1)
-                    keys = hashes.of(start + each, start + each + length) ^ np.uint64(int(pdf["fp"].iat[m]) & (1 << 64) - 1)
-                    open_.append((keys, each + base, again[start + each], np.full(len(each), m)))
+                    open_.append((digests(whole, start + each, start + each + length).T.copy().view("V16")[:, 0], each + base, again[start + each], np.full(len(each), m)))
         ids = pdf["doc_id"]
         out = [(0, ids.iat[r], pdf["h"].iat[r], int(a), int(b), 0, None) for r, a, b in spans]
         if open_:
@@ -145,14 +153,15 @@ def shard(length: int, merges: int):
             one[at[np.unique(keys[at], return_index=True)[1]]] = True
             keep = ~known | one
             keys, places, member = keys[keep], places[keep], member[keep]
-            bucket = ((keys >> np.uint64(32)) % np.uint64(merges)).astype(np.int64)
+            two = np.frombuffer(keys.tobytes(), np.int64).reshape(-1, 2)
+            bucket = (two.view(np.uint64)[:, 0] >> np.uint64(32)).astype(np.int64) % merges
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1])).tolist() + [len(by)] if len(by) else []
             id_values, nulls, h_values = ids.fillna(0).to_numpy(np.int64), ids.isna().to_numpy(), pdf["h"].to_numpy(np.int64)
             for x, y in zip(cuts, cuts[1:]):
                 part = by[x:y]
                 m = member[part]
-                out.append((1, None, 0, 0, 0, int(bucket[part[0]]), np.stack([keys[part].view(np.int64), places[part], id_values[m], h_values[m], nulls[m].astype(np.int64)]).tobytes()))
+                out.append((1, None, 0, 0, 0, int(bucket[part[0]]), np.stack([two[part, 0], two[part, 1], places[part], id_values[m], h_values[m], nulls[m].astype(np.int64)]).tobytes()))
         return pd.DataFrame(out, columns=["kind", "doc_id", "h", "a", "b", "bucket", "strings"]).astype({"doc_id": "Int64", "h": "int64", "a": "int64", "b": "int64", "bucket": "int64"})
 
     return run
@@ -162,15 +171,15 @@ SHARD_OUT = "kind int, doc_id long, h long, a long, b long, bucket long, strings
 
 
 def across(length: int):
-    """The strings of hot anchors: each shard's are looked up in the sorted keys that several shards hold."""
+    """The strings of hot anchors, of all shards: those whose digest another place has, too."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = pd.DataFrame(np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in pdf["strings"]], axis=1).T, columns=["key", "place", "doc_id", "h", "null"])
+        flat = pd.DataFrame(np.concatenate([np.frombuffer(x, np.int64).reshape(6, -1) for x in pdf["strings"]], axis=1).T, columns=["key", "more", "place", "doc_id", "h", "null"])
         flat = flat.drop_duplicates()  # two anchors' regions may hold one string of a document
-        ordered = np.sort(flat["key"].to_numpy())
-        several = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        at = np.searchsorted(several, flat["key"].to_numpy())
-        hit = flat[np.append(several, 0)[at] == flat["key"].to_numpy()] if len(several) else flat[:0]
+        several = flat.sort_values(["key", "more"], kind="stable").reset_index(drop=True)
+        key, more = several["key"].to_numpy(), several["more"].to_numpy()
+        same = (key[1:] == key[:-1]) & (more[1:] == more[:-1])
+        hit = several[np.append(same, False) | np.append(False, same)]
         out = []
         for (doc_id, h, null), own in hit.groupby(["doc_id", "h", "null"]):
             s, e = merged(own["place"].to_numpy(), own["place"].to_numpy() + length)
@@ -189,13 +198,13 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int | None =
     common_anchors = common.written(anchors.join(twice, F.col("fp") == F.col("f")).drop("f").unionByName(found.filter("fp IS NULL")), "common-anchors")
     common.drop_written(found)
     stretches, anchors = common_anchors.filter("fp IS NULL").select("doc_id", "h", "a", "b"), common_anchors.filter("fp IS NOT NULL")
-    contents = anchors.groupBy(F.col("fp").alias("f"), F.col("r").alias("q")).agg(F.sum("n").alias("c"))
+    contents = anchors.groupBy(F.col("fp").alias("f"), F.col("r").alias("r1"), F.col("q").alias("q1")).agg(F.sum("n").alias("c"))
     per_anchor = contents.groupBy(F.col("f").alias("g")).agg(F.count("*").alias("kinds"), F.count_if(F.col("c") == 1).alias("single"))
-    counted = anchors.join(contents, (F.col("fp") == F.col("f")) & (F.col("r") == F.col("q"))).join(per_anchor, F.col("fp") == F.col("g")).select("doc_id", "h", "fp", "r", "a", "b", "c", "kinds", "single")
+    counted = anchors.join(contents, (F.col("fp") == F.col("f")) & (F.col("r") == F.col("r1")) & (F.col("q") == F.col("q1"))).join(per_anchor, F.col("fp") == F.col("g")).select("doc_id", "h", "fp", "r", "q", "a", "b", "c", "kinds", "single")
     counted = common.written(counted, "counted-anchors")
     whole = counted.filter("c > 1").select("doc_id", "h", "a", "b")
     mixed = counted.filter("kinds > 1 AND single > 0")
-    one_each = mixed.filter("c > 1").groupBy("fp", "r", "kinds").agg(F.min(F.struct("doc_id", "h", "a", "b")).alias("s")).select("s.*", "fp", "r", "kinds")
+    one_each = mixed.filter("c > 1").groupBy("fp", "r", "q", "kinds").agg(F.min(F.struct("doc_id", "h", "a", "b")).alias("s")).select("s.*", "fp", "r", "kinds")
     chosen = common.written(mixed.filter("c = 1").select("doc_id", "h", "a", "b", "fp", "r", "kinds").unionByName(one_each), "regions")
     hot = F.col("kinds") > hot_regions
     sums = chosen.agg(F.sum(F.col("b") - F.col("a")).alias("n"), F.sum(F.when(hot, F.col("b") - F.col("a") - (length - 1))).alias("strings")).first()
@@ -214,6 +223,25 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int | None =
 OUT = "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>"
 
 
+def cut(data: bytes, offsets: np.ndarray, spans: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+    """What is left of each text without its spans (a list of a, b for each, or null), and the maximal runs taken out."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(spans), 0), np.int64)
+    flat, n = spans.flatten(), len(offsets) - 1
+    shift = offsets[:-1] + np.arange(n)  # texts one apart, so that runs of neighbours don't touch
+    doc = np.repeat(np.arange(n), sizes)
+    s, e = merged(*(np.asarray(flat.field(c), np.int64) + shift[doc] for c in ("a", "b")))
+    doc = np.searchsorted(shift, s, "right") - 1
+    edges = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edges, s - doc, 1)
+    np.add.at(edges, e - doc, -1)
+    stays = np.cumsum(edges[:-1]) == 0
+    left = np.append(0, np.cumsum(stays))[offsets].astype(np.int64)
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(left.tobytes()), pa.py_buffer(np.frombuffer(data, np.uint8)[stays].tobytes())]).cast(pa.binary())
+    each = np.append(0, np.cumsum(np.bincount(doc, minlength=n))).astype(np.int32)
+    runs = pa.StructArray.from_arrays([pa.array(s - shift[doc]), pa.array(e - shift[doc])], ["start", "end"])
+    return kept, pa.ListArray.from_arrays(pa.array(each), runs)
+
+
 def dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
     """doc_id, n_bytes, kept (the bytes that are left), removed (maximal runs taken out, in bytes of the input). keep: further columns to pass on."""
     docs = keyed(df, id_col, text_col)
@@ -227,19 +255,8 @@ def dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
             data, offsets = common.utf8(batch.column("text"))
-            kept, removed = [], []
-            for i, spans_ in enumerate(batch.column("spans").to_pylist()):
-                own = data[offsets[i] : offsets[i + 1]]
-                if not spans_:
-                    kept.append(own)
-                    removed.append([])
-                    continue
-                s, e = merged(np.array([x["a"] for x in spans_]), np.array([x["b"] for x in spans_]))
-                cuts = [0, *np.stack([s, e], 1).ravel().tolist(), len(own)]
-                kept.append(b"".join(own[x:y] for x, y in zip(cuts[::2], cuts[1::2])))
-                removed.append([{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), pa.array(removed, kind), *(batch.column(c) for c in extra)], ["doc_id", "n_bytes", "kept", "removed", *keep])
+            kept, removed = cut(data, offsets, batch.column("spans"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), kept, removed, *(batch.column(c) for c in extra)], ["doc_id", "n_bytes", "kept", "removed", *keep])
 
     return joined.mapInArrow(run, OUT + "".join(f", `{c}` {kinds['keep_' + c]}" for c in keep))
 

@@ -45,3 +45,14 @@ def test_against_brute_force(spark, seed, hot, shard):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.dedup(df).count() == 0
+
+
+def test_cut():
+    import numpy as np
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    spans = pa.array([[{"a": 1, "b": 3}, {"a": 2, "b": 5}], None, [{"a": 0, "b": 2}], [], [{"a": 0, "b": 1}, {"a": 3, "b": 4}]], kind)
+    kept, runs = substrings.cut(b"abcdeXYab0123", np.array([0, 5, 5, 7, 9, 13]), spans)
+    assert kept.to_pylist() == [b"a", b"", b"", b"ab", b"12"]
+    assert [[(x["start"], x["end"]) for x in r] for r in runs.to_pylist()] == [[(1, 5)], [], [(0, 2)], [], [(0, 1), (3, 4)]]
