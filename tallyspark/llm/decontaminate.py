@@ -6,12 +6,12 @@ the window's words, so the prefix of one token is enough to find it: the words o
 and the rarest is joined with the documents' word positions. The token's place in its window bounds where the window starts and the
 document's length where it ends; candidates within these bounds are compared word by word.
 
-The join table has one row per distinct window. Up to `broadcast_windows` of them it is broadcast; beyond that the positions are shuffled
-by token instead, each with the words around it.
+The join table has one row per distinct window. Up to `broadcast_windows` of them it is broadcast; beyond that only the positions of prefix words are shuffled by
+word, each with the words around it. Up to `broadcast_tokens` of these words a broadcast sifts the positions; beyond that they are joined without their texts first.
 
 Edge cases: null or empty texts have no words (n_words 0, n_hit 0, not contaminated); items without words have no windows; an empty
-benchmark leaves every document clean; every input row gives one output row, and rows that repeat a doc_id (null included) share its hits;
-other columns are ignored.
+benchmark leaves every document clean; every input row gives one output row and is judged by itself, whether or not other rows have its id (null included); texts of any length
+are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Each window holds 13 words and a list of items: this many take some tens of MB.
 BROADCAST_WINDOWS = 100_000
+#: Words of a dozen bytes: as many take less than 100 MB.
+BROADCAST_TOKENS = 500_000
+#: Names a row's id and text.
+KEY = ["k1", "k2"]
 
 
 def words(text: Column) -> Column:
@@ -64,26 +68,50 @@ def prefixes(docs: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
     return wins.join(ranked, "win").filter("p.n > 0").select("win", "items", F.col("p.tok").alias("tok"), F.col("p.off").alias("off"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Every occurrence of a window: doc_id, start (in raw_words), len, items. docs: doc_id, w (raw_words)."""
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """Every occurrence of a window: k1, k2, start (in raw_words), len, items. docs: k1, k2, w (raw_words)."""
     wins = common.written(windows(benchmark, window), "windows")
     small = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
     keys = common.written(prefixes(docs, wins, small), "prefixes")
     start, size = F.col("pos") - F.col("off"), F.size("win")
-    # the outer form: else a filter would split every text twice
-    spots = docs.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "tok")).withColumn("tok", F.lower("tok"))
+
+    def spots(*columns: str) -> DataFrame:
+        # the outer form: else a filter would split every text twice
+        return docs.select(*columns, F.posexplode_outer("w").alias("pos", "tok")).withColumn("tok", F.lower("tok"))
 
     def same(words: Column, at: Column) -> Column:
         return F.translate(F.array_join(F.slice(words, at + 1, size), " "), UPPER, LOWER) == F.array_join("win", " ")
 
     if small:
-        found = spots.join(F.broadcast(keys), "tok").filter((start >= 0) & (start + size <= F.size("w"))).filter(same(F.col("w"), start))
+        found = spots(*KEY, "w").join(F.broadcast(keys), "tok").filter((start >= 0) & (start + size <= F.size("w"))).filter(same(F.col("w"), start))
     else:
+        tokens = common.written(keys.select("tok").distinct(), "prefix-tokens")
+        if tokens.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
+            sifted = spots(*KEY, "w").join(F.broadcast(tokens), "tok", "left_semi")
+        else:
+            sifted = spots(*KEY).join(tokens, "tok", "left_semi").join(docs.dropDuplicates(KEY), KEY)
         first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-        near = spots.select("doc_id", "pos", "tok", first.alias("first"), F.slice("w", first + 1, 2 * window - 1).alias("near"))
+        near = sifted.select(*KEY, "pos", "tok", first.alias("first"), F.slice("w", first + 1, 2 * window - 1).alias("near"))
         at = start - F.col("first")
         found = near.join(keys, "tok").filter((at >= 0) & (at + size <= F.size("near"))).filter(same(F.col("near"), at))
-    return found.select("doc_id", start.alias("start"), size.alias("len"), "items")
+    return found.select(*KEY, start.alias("start"), size.alias("len"), "items")
+
+
+def key(id_: Column, text: Column) -> list[Column]:
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(7), id_, text).alias("k2")]
+
+
+def judged(base: DataFrame, benchmark: DataFrame, window: int, percent: int, **options) -> DataFrame:
+    """base (k1, k2, w and more) with n_words, n_hit, n_items, items, contaminated in place of w."""
+    found = hits(base.select(*KEY, "w"), benchmark, window, **options)
+    covered = found.select(*KEY, "items", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos"))
+    counted = covered.groupBy(*KEY, "pos").agg(F.collect_set("items").alias("items")).groupBy(*KEY).agg(F.count("*").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("items"))))).alias("items"))
+    sizes = base.withColumn("n_words", n_words(F.col("w"))).drop("w")
+    all_docs = sizes.join(counted, KEY, "left")
+    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    rest = [c for c in sizes.columns if c not in KEY]
+    return all_docs.select(*KEY, *rest, n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
 
 
 def decontaminate(
@@ -95,18 +123,12 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    broadcast_windows: int = BROADCAST_WINDOWS,
+    **options,
 ) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence of a window), n_items, items (sorted as strings), contaminated (at least `percent` of the words hit)."""
-    base = documents.select(F.col(id_col).alias("doc_id"), raw_words(F.col(text_col).cast("string")).alias("w"))
+    base = documents.select(F.col(id_col).alias("doc_id"), *key(F.col(id_col), F.col(text_col)), raw_words(F.col(text_col).cast("string")).alias("w"))
     bench = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
-    found = hits(base, bench, window, broadcast_windows)
-    covered = found.select("doc_id", "items", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos"))
-    counted = covered.groupBy("doc_id", "pos").agg(F.collect_set("items").alias("items")).groupBy("doc_id").agg(F.count("*").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("items"))))).alias("items"))
-    sizes = base.select("doc_id", n_words(F.col("w")).alias("n_words"))
-    all_docs = sizes.join(counted.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return all_docs.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
+    return judged(base, bench, window, percent, **options).drop(*KEY)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +151,10 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of documents that are not contaminated, with all their columns."""
-    keyed = documents.withColumn("__uid", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    gone = decontaminate(keyed, benchmark, id_col="__uid", text_col=text_col, **options).filter("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return keyed.join(gone, F.col("__uid") == F.col("gone"), "left_anti").drop("__uid")
+    k1, k2 = key(F.col(id_col), F.col(text_col))
+    base = documents.select(k1, k2, raw_words(F.col(text_col).cast("string")).alias("w"))
+    gone = judged(base, benchmark, window, percent, **options).filter("contaminated").select(F.col("k1").alias("g1"), F.col("k2").alias("g2")).distinct()
+    keyed = documents.select("*", k1.alias("__k1"), k2.alias("__k2"))
+    return keyed.join(gone, (F.col("__k1") == F.col("g1")) & (F.col("__k2") == F.col("g2")), "left_anti").drop("__k1", "__k2")
