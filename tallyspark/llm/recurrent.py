@@ -1,4 +1,4 @@
-"""A gated recurrent network over class sequences, in numpy: truncated backpropagation, many texts at a time."""
+"""A gated recurrent network over word sequences with a class-factored output softmax, in numpy: truncated backpropagation, many texts at a time."""
 
 from __future__ import annotations
 
@@ -6,97 +6,185 @@ from dataclasses import dataclass
 
 import numpy as np
 
-LANES, WINDOW = 256, 32
+LANES, WINDOW = 512, 32
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """How a token's number (its input) maps to its class and to its place among the class's members.
+
+    Tokens below `single` are classes of their own. The others are members of the classes from `single` on: class `single + k` has the tokens
+    `single + edges[k]` up to `single + edges[k + 1]`.
+    """
+
+    single: int
+    edges: np.ndarray
+
+    @property
+    def tokens(self) -> int:
+        return self.single + int(self.edges[-1])
+
+    @property
+    def classes(self) -> int:
+        return self.single + len(self.edges) - 1
+
+    def class_of(self) -> np.ndarray:
+        return np.concatenate([np.arange(self.single), self.single + np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))]).astype(np.uint16)
+
+
+#: Logits whose absolute values stay below this need no shift before exp in float32.
+SAFE = 60.0
+
+
+def _softmax(logits: np.ndarray, safe: bool) -> np.ndarray:
+    """exp of the logits in place, each row shifted by its greatest value unless that is known to be needless; the rows' sums."""
+    if not safe:
+        logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], np.float32)
+
+
+def _log_shares(logits: np.ndarray, at: np.ndarray, safe: bool) -> np.ndarray:
+    """The logarithm of each row's softmax at one place."""
+    if not safe:
+        logits -= logits.max(1, keepdims=True)
+    hit = logits[np.arange(len(logits)), at]
+    np.exp(logits, out=logits)
+    return hit - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
 @dataclass
 class Network:
-    """embed: the input's share of the three gates by class; hidden: the state's share; out, bias: to the classes."""
+    """embed: a vector for each token; given: its share of the three gates; hidden: the state's share; out: from the state (and 1) to the classes; member: to each class's tokens."""
 
-    embed: np.ndarray  # classes x 3h: update, reset, candidate
+    embed: np.ndarray  # tokens x e
+    given: np.ndarray  # e x 3h: update, reset, candidate
     hidden: np.ndarray  # h x 3h
-    out: np.ndarray  # h x classes
-    bias: np.ndarray
+    out: np.ndarray  # h + 1 x classes
+    member: np.ndarray  # tokens - single x h + 1
+    vocabulary: Vocabulary
 
     @classmethod
-    def new(cls, shares: np.ndarray, size: int, seed: int = 7) -> Network:
-        """Begins as the classes' shares alone."""
-        rng, k = np.random.default_rng(seed), len(shares)
+    def new(cls, counts: np.ndarray, vocabulary: Vocabulary, size: int, seed: int = 7) -> Network:
+        """Begins as the classes' shares and the tokens' shares of them alone. counts: of each token."""
+        rng, kinds = np.random.default_rng(seed), vocabulary.class_of()
         scaled = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-        return cls(scaled(k, 3 * size), scaled(size, 3 * size), np.zeros((size, k), np.float32), np.log(np.maximum(shares, 1e-7)).astype(np.float32))
+        by_class = np.bincount(kinds, counts, vocabulary.classes)
+        out = np.zeros((size + 1, vocabulary.classes), np.float32)
+        out[size] = np.log(np.maximum(by_class / max(1.0, by_class.sum()), 1e-7))
+        member = np.zeros((vocabulary.tokens - vocabulary.single, size + 1), np.float32)
+        own = counts[vocabulary.single :]
+        member[:, size] = np.log(np.maximum(own / np.maximum(by_class[kinds[vocabulary.single :]], 1), 1e-7))
+        return cls(scaled(vocabulary.tokens, size), scaled(size, 3 * size), scaled(size, 3 * size), out, member, vocabulary)
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.hidden, self.out, self.bias]
+        return [self.embed, self.given, self.hidden, self.out, self.member]
 
-    def packed(self) -> bytes:
-        return np.concatenate([x.ravel() for x in self.arrays()]).astype(np.float32).tobytes()
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
-    def unpacked(self, flat: np.ndarray) -> Network:
+    def like(self, flat: np.ndarray) -> Network:
+        """A network of this shape with other weights."""
         made, at = [], 0
         for x in self.arrays():
             made.append(np.array(flat[at : at + x.size], np.float32).reshape(x.shape))
             at += x.size
-        return Network(*made)
+        return Network(*made, self.vocabulary)
 
-    def forward(self, inputs: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each step of a window (time x lanes x h), and what backpropagation needs."""
+    def forward(self, inputs: np.ndarray, state: np.ndarray, table: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """States after each step of a window (time x lanes x h), and what backpropagation needs. table: embed @ given."""
         h = state.shape[1]
         states, kept = np.empty((len(inputs), *state.shape), np.float32), []
-        zr_weights, c_weights = np.ascontiguousarray(self.hidden[:, : 2 * h]), np.ascontiguousarray(self.hidden[:, 2 * h :])
         for t, x in enumerate(inputs):
-            given = self.embed[x]
-            gates = given[:, : 2 * h] + state @ zr_weights
+            given, through = table[x], state @ self.hidden
+            gates = given[:, : 2 * h] + through[:, : 2 * h]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r = gates[:, :h], gates[:, h:]
-            through = state @ c_weights
-            c = np.tanh(given[:, 2 * h :] + r * through)
-            new = state + z * (c - state)
+            c = r * through[:, 2 * h :]
+            c += given[:, 2 * h :]
+            np.tanh(c, out=c)
+            new = c - state
             if keep:
-                kept.append((state, z, r, c, through))
-            states[t] = state = new
+                kept.append((state, z, r, c, through[:, 2 * h :], new))
+                states[t] = state + z * new
+            else:
+                new *= z
+                np.add(new, state, out=states[t])
+            state = states[t]
         return states, kept
 
-    def logits(self, states: np.ndarray) -> np.ndarray:
-        """Unnormalised log shares; the bias goes through the same product. They stay small enough for exp, as they begin at the classes' log shares."""
+    def safe(self) -> bool:
+        """Whether no state can lead to large logits: a state's values lie between -1 and 1, so the weights bound them."""
+        return max(float(np.abs(self.out).sum(0).max()), float(np.abs(self.member).sum(1).max(initial=0))) < SAFE
+
+    def joint(self, states: np.ndarray) -> np.ndarray:
+        """States with a 1, for the biases."""
         flat = states.reshape(-1, states.shape[-1])
-        joint = np.concatenate([flat, np.ones((len(flat), 1), np.float32)], 1)
-        return joint @ np.concatenate([self.out, self.bias[None, :]])
-
-    def train(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Gradients of a window's mean log loss, and the state to carry on."""
-        states, kept = self.forward(inputs, state, True)
-        p = self.logits(states)
-        np.exp(p, out=p)
-        total = p.sum(1)
-        p[np.arange(len(p)), targets.ravel()] -= total
+        out = np.ones((len(flat), flat.shape[1] + 1), np.float32)
+        out[:, :-1] = flat
+        return out
+
+    def members(self, kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """The rows whose classes have several members, class by class, and for each such class its rows (from, to) and members (from, to)."""
+        order = np.argsort(kinds, kind="stable")
+        first = np.searchsorted(kinds[order], np.arange(self.vocabulary.single, self.vocabulary.classes + 1)).tolist()
+        edges = self.vocabulary.edges.tolist()
+        return order, [(a, b, x, y) for a, b, x, y in zip(first, first[1:], edges, edges[1:]) if b > a and y - x > 1]
+
+    def train(self, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, state: np.ndarray, kinds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Gradients of a window's mean log loss, and the state to carry on. kinds: the class of each token."""
+        table = self.embed @ self.given
+        states, kept = self.forward(inputs, state, table, True)
+        joint, target, h = self.joint(states), targets.ravel(), state.shape[1]
+        weight = (live.ravel() / max(1.0, float(live.sum()))).astype(np.float32)
+        own, safe = kinds[target], self.safe()
+        p = joint @ self.out
+        total = _softmax(p, safe)
+        p[np.arange(len(p)), own] -= total
         # the rows of p lack the factor 1 / total and the mean's weight; these go to the narrow sides of the products
-        row = (live.ravel() / (total * max(1, live.sum())))[:, None].astype(np.float32)
-        flat = states.reshape(-1, states.shape[-1])
-        d_out, d_bias, d_states = (flat * row).T @ p, row[:, 0] @ p, ((p @ self.out.T) * row).reshape(states.shape)
-        d_hidden, carry, h = np.zeros_like(self.hidden), np.zeros_like(state), state.shape[1]
+        row = (weight / total)[:, None]
+        d_out, d_joint, d_member = (joint * row).T @ p, (p @ self.out.T) * row, np.zeros_like(self.member)
+        order, segments = self.members(own)
+        place = target.astype(np.int64) - self.vocabulary.single
+        for a, b, x, y in segments:
+            rows = order[a:b]
+            side, block = joint[rows], self.member[x:y]
+            q = side @ block.T
+            sums = _softmax(q, safe)
+            q[np.arange(b - a), place[rows] - x] -= sums
+            scale = (weight[rows] / sums)[:, None]
+            d_member[x:y] = q.T @ (side * scale)
+            d_joint[rows] += (q @ block) * scale
+        d_states = d_joint[:, :h].reshape(states.shape)
+        d_hidden, carry = np.zeros_like(self.hidden), np.zeros_like(state)
         d_given = np.empty((*inputs.shape, 3 * h), np.float32)
+        back = np.ascontiguousarray(self.hidden.T)
+        through_grad = np.empty((inputs.shape[1], 3 * h), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, c, through = kept[t]
+            before, z, r, c, through, moved = kept[t]
             d = d_states[t] + carry
-            d_c = d * z * (1 - c * c)
-            own = d_given[t]
-            own[:, :h] = d * (c - before) * z * (1 - z)
-            own[:, h : 2 * h] = d_c * through * r * (1 - r)
-            own[:, 2 * h :] = d_c
-            through_grad = own.copy()
-            through_grad[:, 2 * h :] *= r
+            dz = d * z
+            d_c = dz * (1 - c * c)
+            g = d_given[t]
+            g[:, :h] = dz * moved * (1 - z)
+            g[:, h : 2 * h] = d_c * through * r * (1 - r)
+            g[:, 2 * h :] = d_c
+            through_grad[:, : 2 * h] = g[:, : 2 * h]
+            through_grad[:, 2 * h :] = d_c * r
             d_hidden += before.T @ through_grad
-            carry = d * (1 - z) + through_grad @ self.hidden.T
-        # one row for each class: sort by class and add up the runs
+            carry = d - dz + through_grad @ back
+        # one row for each token: sort by token and add up the runs
         seen = inputs.ravel()
-        order = np.argsort(seen, kind="stable")
-        first = np.flatnonzero(np.append(True, seen[order][1:] != seen[order][:-1]))
+        by = np.argsort(seen, kind="stable")
+        first = np.flatnonzero(np.append(True, seen[by][1:] != seen[by][:-1]))
+        sums = np.add.reduceat(d_given.reshape(-1, 3 * h)[by], first, axis=0)
+        used = seen[by][first]
         d_embed = np.zeros_like(self.embed)
-        d_embed[seen[order][first]] = np.add.reduceat(d_given.reshape(-1, 3 * h)[order], first, axis=0)
-        return [d_embed, d_hidden, d_out, d_bias], states[-1]
+        d_embed[used] = sums @ self.given.T
+        return [d_embed, self.embed[used].T @ sums, d_hidden, d_out, d_member], states[-1]
 
 
 def lanes(texts: list[np.ndarray], end: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -106,52 +194,64 @@ def lanes(texts: list[np.ndarray], end: int) -> list[tuple[np.ndarray, np.ndarra
     for at in range(0, len(order), LANES):
         own = order[at : at + LANES]
         sizes = np.array([len(texts[i]) for i in own])
-        tokens = np.full((len(own), int(sizes.max())), end, np.uint8)
-        for row, i in zip(tokens, own):
-            row[: len(texts[i])] = texts[i]
-        out.append((np.array(own), tokens.T.astype(np.intp), (np.arange(tokens.shape[1])[:, None] < sizes[None, :]).astype(np.float32)))
+        out.append((np.array(own), sizes, [texts[i] for i in own]))
     return out
 
 
+def windows(sizes: np.ndarray, texts: list[np.ndarray], end: int):
+    """The windows of texts side by side: the lanes that go on (from this one on, as lengths ascend), inputs, targets, which are live. Only a window of each long text is laid out at a time."""
+    last = np.full(len(texts), end, np.uint16)
+    for a in range(0, int(sizes[-1]), WINDOW):
+        keep = int(np.searchsorted(sizes, a, "right"))
+        span = min(WINDOW, int(sizes[-1]) - a)
+        targets = np.full((len(texts) - keep, span), end, np.uint16)
+        for row, text in zip(targets, texts[keep:]):
+            part = text[a : a + span]
+            row[: len(part)] = part
+        targets = np.ascontiguousarray(targets.T)
+        inputs = np.concatenate([last[None, keep:], targets[:-1]])
+        last[keep:] = targets[-1]
+        yield keep, inputs, targets, (np.arange(a, a + span)[:, None] < sizes[None, keep:]).astype(np.float32)
+
+
 def fit(network: Network, texts: list[np.ndarray], end: int, rate: float) -> Network:
     """One pass over all windows of all texts, with Adam steps; the state is carried from window to window of a text."""
-    params = network.arrays()
+    params, kinds = network.arrays(), network.vocabulary.class_of()
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     groups = lanes(texts, end)
     order = np.random.default_rng(len(texts)).permutation(len(groups))
-    total = sum(-(-len(g[1]) // WINDOW) for g in groups)
+    total = sum(-(-int(g[1][-1]) // WINDOW) for g in groups)
     for g in order:
-        _, tokens, live = groups[g]
-        state = np.zeros((tokens.shape[1], network.hidden.shape[0]), np.float32)
-        given = np.concatenate([np.full((1, tokens.shape[1]), end), tokens[:-1]])
-        for a in range(0, len(tokens), WINDOW):
-            use = live[a] > 0  # lanes whose text goes on; sorted by length, so these are the last ones
-            keep = int(np.argmax(use))
-            grads, new = network.train(given[a : a + WINDOW, keep:], tokens[a : a + WINDOW, keep:], live[a : a + WINDOW, keep:], state[keep:])
+        _, sizes, own = groups[g]
+        state = np.zeros((len(own), network.hidden.shape[0]), np.float32)
+        for keep, inputs, targets, live in windows(sizes, own, end):
+            grads, new = network.train(inputs, targets, live, state[keep:], kinds)
             state[keep:] = new
             step += 1
             now = rate * min(1.0, step / 20) * max(0.05, 1 - step / total)
             for p, d, m, v in zip(params, grads, first, second):
                 m += 0.1 * (d - m)
-                v += 0.01 * (d * d - v)
-                p -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+                d *= d
+                v += 0.01 * (d - v)
+                p -= now / (1 - 0.9**step) * m / (np.sqrt(v * (1 / (1 - 0.99**step))) + 1e-6)
     return network
 
 
 def score(network: Network, texts: list[np.ndarray], end: int) -> np.ndarray:
-    """The natural logarithm of each whole text's probability as a sequence of classes."""
-    out = np.zeros(len(texts))
-    for own, tokens, live in lanes(texts, end):
-        state = np.zeros((tokens.shape[1], network.hidden.shape[0]), np.float32)
-        given = np.concatenate([np.full((1, tokens.shape[1]), end), tokens[:-1]])
-        for a in range(0, len(tokens), WINDOW):
-            keep = int(np.argmax(live[a] > 0))
-            x, y, on = given[a : a + WINDOW, keep:], tokens[a : a + WINDOW, keep:], live[a : a + WINDOW, keep:]
-            states, _ = network.forward(x, state[keep:], False)
-            logits = network.logits(states)
-            hit = logits[np.arange(len(logits)), y.ravel()]
-            np.exp(logits, out=logits)
-            gained = (hit - np.log(logits.sum(1))).reshape(y.shape) * on
-            out[own[keep:]] += gained.sum(0, dtype=np.float64)
+    """The natural logarithm of each whole text's probability as a sequence of tokens."""
+    out, kinds, table, safe = np.zeros(len(texts)), network.vocabulary.class_of(), network.embed @ network.given, network.safe()
+    for numbers, sizes, own in lanes(texts, end):
+        state = np.zeros((len(own), network.hidden.shape[0]), np.float32)
+        for keep, inputs, targets, live in windows(sizes, own, end):
+            states, _ = network.forward(inputs, state[keep:], table, False)
+            joint, target = network.joint(states), targets.ravel()
+            own_kinds = kinds[target]
+            gained = _log_shares(joint @ network.out, own_kinds, safe)
+            order, segments = network.members(own_kinds)
+            place = target.astype(np.int64) - network.vocabulary.single
+            for a, b, x, y in segments:
+                rows = order[a:b]
+                gained[rows] += _log_shares(joint[rows] @ network.member[x:y].T, place[rows] - x, safe)
+            out[numbers[keep:]] += (gained.reshape(targets.shape) * live).sum(0, dtype=np.float64)
             state[keep:] = states[-1]
     return out
