@@ -275,6 +275,9 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 cuts = at[np.append(0, np.cumsum(counts))].tolist()
                 columns.append(pa.array([back[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
+        if len(own.cache) > CACHED // 4:  # a worker lives on after its task
+            own.cache.clear()
+        common.released()
 
     return common.documents(df, id_col, text_col).mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common
 from tallyspark.llm.components import components
-from tallyspark.llm.shingles import WORDS, exact, shingles
+from tallyspark.llm.shingles import WORDS, exact, forget, shingles
 
 PERCENT = 80
 BLOCK = 2000
@@ -63,6 +63,8 @@ def signed(docs: DataFrame, words: int, seed: int) -> DataFrame:
         for batch in common.pieces(batches):
             _, n, s1, s2 = shingles(*common.utf8(batch.column("text")), words, seed)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], ["doc_id", "t1", "t2", *CLASS])
+        forget()
+        common.released()
 
     return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, s1 long, s2 long")
 
@@ -142,6 +144,8 @@ def by_range(docs: DataFrame, words: int, ranges: int, seed: int) -> DataFrame:
                 held, size, n, made = [], 0, 0, made + 1
         if held:
             yield from packed(held, number + made)
+        del held
+        forget()
         common.released()
 
     return docs.select("text").mapInArrow(run, "part long, " + ROW)

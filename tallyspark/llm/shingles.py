@@ -14,7 +14,7 @@ from tallyspark.llm.sieve import mixed
 WORDS = 5
 #: A text is split into words so many bytes at a time, as the words of a piece are objects of their own.
 SEGMENT = 1 << 20
-KNOWN = 400_000
+KNOWN = 200_000
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -41,6 +41,11 @@ def _words(seed: int) -> Words:
     return Words(seed)
 
 
+def forget() -> None:
+    """Drop the words known: a worker lives on after its task."""
+    _words.cache_clear()
+
+
 def _segments(low: bytes, a: int, b: int) -> list[bytes]:
     """low[a:b] cut at white space."""
     out = []

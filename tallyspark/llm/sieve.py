@@ -11,21 +11,24 @@ import numpy as np
 #: Long grams keep apart texts that share lines shorter than a string; short ones make fewer anchors.
 GRAM = 240
 ROOT = np.uint64(0x9E3779B97F4A7C15)
+KEPT = (2 << 20) + 1
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class Powers:
-    """Powers of the hash's base and of its inverse, as many as were needed so far."""
+    """Powers of the hash's base and of its inverse, as many as were needed so far; those beyond KEPT aren't held on to."""
 
     up = np.ones(1, np.uint64)
     down = np.ones(1, np.uint64)
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 20)
-            cls.up, cls.down = (np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(size - 1, r, np.uint64))) for r in (ROOT, INVERSE))
-        return cls.up[:n], cls.down[:n]
+        if len(cls.up) >= n:
+            return cls.up[:n], cls.down[:n]
+        up, down = (np.multiply.accumulate(np.append(np.ones(1, np.uint64), np.full(n - 1, r, np.uint64))) for r in (ROOT, INVERSE))
+        if n <= KEPT:
+            cls.up, cls.down = up, down
+        return up, down
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ from tallyspark.llm.suffix_array import Regions, merged
 
 LENGTH = 400
 HOT_REGIONS = 4000
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 MERGE_STRINGS = 500_000
 
 
@@ -162,6 +162,8 @@ def shard(length: int, merges: int):
                 part = by[x:y]
                 m = member[part]
                 out.append((1, None, 0, 0, 0, int(bucket[part[0]]), np.stack([two[part, 0], two[part, 1], places[part], id_values[m], h_values[m], nulls[m].astype(np.int64)]).tobytes()))
+        del built, again, strings
+        common.released()
         return pd.DataFrame(out, columns=["kind", "doc_id", "h", "a", "b", "bucket", "strings"]).astype({"doc_id": "Int64", "h": "int64", "a": "int64", "b": "int64", "bucket": "int64"})
 
     return run
@@ -242,8 +244,19 @@ def cut(data: bytes, offsets: np.ndarray, spans: pa.ListArray) -> tuple[pa.Array
     return kept, pa.ListArray.from_arrays(pa.array(each), runs)
 
 
-def dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """doc_id, n_bytes, kept (the bytes that are left), removed (maximal runs taken out, in bytes of the input). keep: further columns to pass on."""
+def decoded(kept: pa.Array) -> pa.Array:
+    """Bytes as text, without what is no UTF-8."""
+    try:
+        return kept.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode(errors="ignore") for x in kept.to_pylist()], pa.string())
+
+
+def dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decode: bool = False, **options) -> DataFrame:
+    """doc_id, n_bytes, kept (the bytes that are left), removed (maximal runs taken out, in bytes of the input). keep: further columns to pass on.
+
+    decode: kept is a string; the remainders of characters that a cut went through are left out.
+    """
     docs = keyed(df, id_col, text_col)
     spans = repeated_stretches(docs, length, **options)
     lists = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
@@ -256,9 +269,12 @@ def dedup(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col:
         for batch in common.pieces(batches):
             data, offsets = common.utf8(batch.column("text"))
             kept, removed = cut(data, offsets, batch.column("spans"))
+            if decode:
+                kept = decoded(kept)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), kept, removed, *(batch.column(c) for c in extra)], ["doc_id", "n_bytes", "kept", "removed", *keep])
 
-    return joined.mapInArrow(run, OUT + "".join(f", `{c}` {kinds['keep_' + c]}" for c in keep))
+    schema = OUT.replace("kept binary", "kept string") if decode else OUT
+    return joined.mapInArrow(run, schema + "".join(f", `{c}` {kinds['keep_' + c]}" for c in keep))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,12 @@ def test_stages_keep_columns(spark, tables):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet").withColumn("uid", F.lit("x"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, tables[0]).dtypes == docs.drop("uid").dtypes
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_empty_tables(spark, tables, tmp_path, empty):
+    for name in ("documents", "labels", "benchmark"):
+        table = spark.read.parquet(f"{tables[0]}/{name}.parquet")
+        (table.limit(0) if name == empty else table.limit(30)).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens").collect()
+    assert (len(got) == 0) == (empty == "documents")
