@@ -2,6 +2,10 @@
 
 All stages but the last return the columns of documents. Texts that the suffix-array stage shortens are cut in bytes; the remainders of characters
 that a cut went through are left out, and n_chars is counted anew.
+
+Edge cases: a null text counts as empty, is never rejected, keeps its row and comes out of the suffix-array stage as an empty text; null ids, langs and sources are passed on; of rows
+that repeat id and text one stays, if the text has words; texts of any length are worked on whole; empty documents give an empty result; without labels nothing is toxic, and with an
+empty benchmark nothing is contaminated; further columns of documents are dropped.
 """
 
 from __future__ import annotations
@@ -23,12 +27,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = substrings.dedup(docs.select(*COLUMNS), keep=("lang", "source"))
     # only bytes at cuts can be no UTF-8; U+FFFD that the document held are not touched
-    whole = F.col("kept").cast("string")
-    decoded = F.pandas_udf(lambda kept: kept.map(lambda x: bytes(x).decode(errors="ignore"), na_action="ignore"), "string")
-    text = F.when(F.is_valid_utf8(whole), whole).otherwise(decoded("kept"))
-    return out.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    out = substrings.dedup(docs.select(*COLUMNS), keep=("lang", "source"), decode=True)
+    return out.select("doc_id", F.col("kept").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
