@@ -76,10 +76,11 @@ def squeeze(text: Column) -> Column:
 def clean_text(value: Column, compose: bool = True) -> Column:
     """Statement text without markup: script and style go, sup and sub become ^() and _(), listed tags a space; entities are decoded once. compose=False leaves out NFKC."""
     text = F.coalesce(value.cast("string"), F.lit(""))
-    text = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1>", "")
-    text = F.regexp_replace(text, r"(?is)<sup\b[^>]*>(.*?)</sup>", "^($1)")
-    text = F.regexp_replace(text, r"(?is)<sub\b[^>]*>(.*?)</sub>", "_($1)")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{TAGS})\b[^>]*>", " ")
+    bare = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</\1>", "")
+    bare = F.regexp_replace(bare, r"(?is)<sup\b[^>]*>(.*?)</sup>", "^($1)")
+    bare = F.regexp_replace(bare, r"(?is)<sub\b[^>]*>(.*?)</sub>", "_($1)")
+    bare = F.regexp_replace(bare, rf"(?i)</?(?:{TAGS})\b[^>]*>", " ")
+    text = F.when(text.contains("<"), bare).otherwise(text)
     plain = text
     for name, char in ENTITIES.items():  # amp comes last: what it yields is not decoded again
         plain = F.regexp_replace(plain, f"(?i)&{name};", char)
@@ -188,7 +189,7 @@ def match_tokens(text: Column) -> Column:
     """The page matcher's tokens: ASCII words without stop words and numbers, stemmed, distinct, in order."""
     found = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " ")
     stop = words(MATCH_STOP)
-    found = F.filter(found, lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$") & ~F.array_contains(stop, w))
+    found = F.filter(F.array_distinct(found), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$") & ~F.array_contains(stop, w))
     return F.array_distinct(F.filter(stemmed(found), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)))
 
 

@@ -9,20 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.times import INDIA, date_key
+from tallyspark.operators.ordering import numbered
 
 
 def record_day(zone: str) -> Column:
     return F.coalesce(F.col("day"), date_key(F.col("ts"), zone))
 
 
+def overlay(records: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Pending records since their account's last sync, which a provider's calendar can't have yet."""
+    synced = records.join(accounts.select("platform", "synced_at"), "platform", "left")
+    return synced.filter(F.coalesce("pending", F.lit(False)) & (F.col("ts") > F.coalesce("synced_at", F.lit(0).cast("timestamp"))))
+
+
 def daily_activity(records: DataFrame, calendar: DataFrame, accounts: DataFrame, zone: str, by: tuple[str, ...] = ()) -> DataFrame:
     """day, n: provider calendars plus what is pending since the last sync; platforms without a calendar by their records."""
     with_calendar = calendar.select("platform").distinct()
     given = calendar.filter(F.col("day").isNotNull() & ~F.isnan(F.col("count").cast("double")) & (F.col("count") > 0)).select(*by, "day", F.col("count").cast("long").alias("n"))
     synced = records.join(accounts.select("platform", "synced_at"), "platform", "left")
-    overlay = synced.join(with_calendar, "platform", "left_semi").filter(F.coalesce("pending", F.lit(False)) & (F.col("ts") > F.coalesce("synced_at", F.lit(0).cast("timestamp"))))
+    pending = overlay(records, accounts).join(with_calendar, "platform", "left_semi")
     plain = synced.join(with_calendar, "platform", "left_anti")
-    counted = overlay.unionByName(plain).withColumn("day", record_day(zone)).filter("day IS NOT NULL").select(*by, "day", F.lit(1).cast("long").alias("n"))
+    counted = pending.unionByName(plain).withColumn("day", record_day(zone)).filter("day IS NOT NULL").select(*by, "day", F.lit(1).cast("long").alias("n"))
     return given.unionByName(counted).groupBy(*by, "day").agg(F.sum("n").alias("n"))
 
 
@@ -67,7 +74,7 @@ def done_questions(recent: DataFrame, solved: DataFrame, query: str = "", platfo
     if last is not None:
         out = out.filter(F.coalesce(day <= last, F.lit(False)))
     order = [F.asc_nulls_first("ts"), F.desc("key")] if oldest else [F.desc_nulls_last("ts"), F.asc("key")]
-    return out.crossJoin(F.broadcast(total)).withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+    return numbered(out.crossJoin(F.broadcast(total)), order)
 
 
 def rating_series(points: DataFrame, accounts: DataFrame, year: int, zone: str) -> DataFrame:

@@ -8,9 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What marks a variant in a title, a statement that was cut off, a contest's number in a path, a numbered contest title, and the reasons as they are reported.
 VARIANT_WORDS = r"(?i)(?<![A-Za-z0-9_])(easy|medium|hard|version|subtask|dataset|interactive|output.only|small|large)(?![A-Za-z0-9_])"
 CUT_OFF = r"(?i)(?<![A-Za-z0-9_])(?:for|note|example|input|output)\s*:?\s*$|(?:\.\.\.|…)\s*$"
 CONTEST = r"/(?:problemset/problem|contest|gym)/(\d+)"
+NUMBERED = r"(?i)^[a-z]\d+\."
+REASONS = [
+    "Statements or constraints differ",
+    "Titles need semantic review",
+    "Insufficient statement evidence",
+    "Possibly truncated cached statement",
+    "Explicit task variant in title",
+    "Different tasks in the same contest",
+    "Numbered contest variants",
+]
 
 
 def quarantine(rows: DataFrame, reasons: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -35,13 +46,13 @@ def merge_blockers(a: str = "a", b: str = "b") -> Column:
     number = lambda c: F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url(c("url"), F.lit("PATH")), F.lit("")), CONTEST, 1), F.lit(""))
     contest = (l("platform") == "codeforces") & (r("platform") == "codeforces")
     rules = [
-        (l("fingerprint") != r("fingerprint"), "Statements or constraints differ"),
-        (l("title_key") != r("title_key"), "Titles need semantic review"),
-        ((F.length(statement) < 80) | (F.regexp_count(statement, F.lit(r"[\p{L}\p{N}]+")) < 15), "Insufficient statement evidence"),
-        (statement.rlike(CUT_OFF), "Possibly truncated cached statement"),
-        (F.concat_ws(" ", l("title"), r("title")).rlike(VARIANT_WORDS), "Explicit task variant in title"),
-        (contest & F.coalesce(number(l) == number(r), F.lit(False)), "Different tasks in the same contest"),
-        (contest & (l("title").rlike(r"(?i)^[a-z]\d+\.") | r("title").rlike(r"(?i)^[a-z]\d+\.")), "Numbered contest variants"),
+        (l("fingerprint") != r("fingerprint"), REASONS[0]),
+        (l("title_key") != r("title_key"), REASONS[1]),
+        ((F.length(statement) < 80) | (F.regexp_count(statement, F.lit(r"[\p{L}\p{N}]+")) < 15), REASONS[2]),
+        (statement.rlike(CUT_OFF), REASONS[3]),
+        (F.concat_ws(" ", l("title"), r("title")).rlike(VARIANT_WORDS), REASONS[4]),
+        (contest & F.coalesce(number(l) == number(r), F.lit(False)), REASONS[5]),
+        (contest & (l("title").rlike(NUMBERED) | r("title").rlike(NUMBERED)), REASONS[6]),
     ]
     return F.filter(F.array(*(F.when(c, t) for c, t in rules)), lambda x: x.isNotNull())
 
@@ -57,7 +68,8 @@ def exact_groups(versions: DataFrame, blocked: DataFrame, occupied: DataFrame) -
     thin = (F.length(statement) < 80) | (F.regexp_count(statement, F.lit(r"[\p{L}\p{N}]+")) < 15) | statement.rlike(CUT_OFF) | F.col("title").rlike(VARIANT_WORDS)
     forces = F.col("platform") == "codeforces"
     contest = F.when(forces, F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), CONTEST, 1), F.lit("")))
-    marked = free.select("id", "fingerprint", "title_key", thin.alias("thin"), forces.alias("forces"), contest.alias("contest"), (forces & F.col("title").rlike(r"(?i)^[a-z]\d+\.")).alias("numbered"))
+    # statements are cleaned and judged once: only ids, keys and marks are kept for the joins
+    marked = free.select("id", "fingerprint", "title_key", thin.alias("thin"), forces.alias("forces"), contest.alias("contest"), (forces & F.col("title").rlike(NUMBERED)).alias("numbered")).persist()
     key = ["fingerprint", "title_key"]
     pairs = blocked.select(F.col("left").alias("l"), F.col("right").alias("r"))
     inside = marked.select(F.col("id").alias("l"), *(F.col(k).alias(f"l_{k}") for k in key)).join(pairs, "l").join(marked.select(F.col("id").alias("r"), *key), "r")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import search_normal
+from tallyspark.operators.ordering import first
 
 # Difficulty names in order; anything else is unknown.
 DIFFICULTY = {"Basic": 0, "Easy": 1, "Medium": 2, "Moderate": 2, "Hard": 3, "Difficult": 3, "Ninja": 4, "Expert": 4, "Unknown": 5}
@@ -90,11 +91,9 @@ def topic_facets(df: DataFrame) -> DataFrame:
 
 def page(df: DataFrame, number: int, size: int, order: list) -> DataFrame:
     """One page of an order; a number past the end is the last page."""
-    numbered = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
-    total = numbered.agg(F.max("rn").alias("total"))
-    last = F.greatest(F.ceil(F.col("total") / size), F.lit(1))
-    at = F.least(F.lit(max(1, number)), last)
-    return numbered.crossJoin(F.broadcast(total)).filter((F.col("rn") > (at - 1) * size) & (F.col("rn") <= at * size)).drop("total")
+    last = max(1, -(-df.count() // size))
+    at = min(max(1, number), last)
+    return first(df, order, at * size).filter(F.col("rn") > (at - 1) * size)
 
 
 def attach_catalog(rows: DataFrame, versions: DataFrame, verified: DataFrame) -> DataFrame:

@@ -37,10 +37,10 @@ def rarest(terms: DataFrame, df: DataFrame, most: int, least_df: int, most_df: i
 
 
 def candidate_pairs(versions: DataFrame, n: int, per_platform: int = 32) -> DataFrame:
-    """left, right: pairs by votes of rare title terms and rare statement terms, the best `per_platform` of each destination platform; plus equal titles and statements.
+    """left, right: pairs by votes of rare title terms and rare statement terms, the best `per_platform` of each destination platform; plus all pairs of equal titles or statements.
 
-    A term that votes is held by at most 600 titles or 250 statements, so no join key is hot; equal titles and statements chain to the group's least id
-    and pair within groups as the votes do.
+    A term that votes is held by at most 600 titles or 250 statements, so no join key of votes is hot. Pairs of equal titles or statements are part of the result, as
+    reviewers see each of them: it grows with the square of such a group. exact_groups() of the catalog has the groups without their pairs.
     """
     title, body = postings(versions, "title_tokens"), postings(versions, "body_tokens")
     tw, bw = weights(title, n), weights(body, n)
@@ -59,20 +59,26 @@ def candidate_pairs(versions: DataFrame, n: int, per_platform: int = 32) -> Data
 
 
 def scored_pairs(pairs: DataFrame, versions: DataFrame, n: int) -> DataFrame:
-    """Each pair with plain Dice of titles, weighted Dice of statements, shared statement terms, discovery and score; only accepted pairs."""
+    """Each pair with plain Dice of titles, weighted Dice of statements, shared statement terms, discovery and score; only accepted pairs.
+
+    A version carries its statement's terms as 64-bit hashes with their weights, so a pair needs two joins by id and an intersection; terms are never exploded for pairs.
+    """
     body = postings(versions, "body_tokens").select("id", "term").join(weights(postings(versions, "body_tokens"), n), "term")
-    mass = body.groupBy("id").agg(F.sum("w").alias("mass"))
-    own = versions.select("id", "platform", "title_tokens", "fingerprint").join(mass, "id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
-    shared = pairs.join(body.select(F.col("id").alias("left"), "term", "w"), "left").join(body.select(F.col("id").alias("right"), "term"), ["right", "term"]).groupBy("left", "right").agg(F.sum("w").alias("common"), F.count("*").alias("shared"))
-    side = lambda s: own.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("platform", "title_tokens", "fingerprint", "mass")))
-    full = pairs.join(side("left"), "left").join(side("right"), "right").join(shared, ["left", "right"], "left")
+    terms = body.groupBy("id").agg(F.sum("w").alias("mass"), F.map_from_entries(F.collect_list(F.struct(F.xxhash64("term"), "w"))).alias("terms"))
+    own = versions.select("id", "platform", "title_tokens", "fingerprint").join(terms, "id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    own = own.withColumn("held", F.coalesce(F.map_keys("terms"), F.array().cast("array<bigint>"))).persist()
+    side = lambda s, *more: own.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("platform", "title_tokens", "fingerprint", "mass", "held", *more)))
+    full = pairs.join(side("left", "terms"), "left").join(side("right"), "right")
+    both = F.array_intersect("left_held", "right_held")
+    full = full.withColumn("both", both)
+    full = full.withColumn("shared", F.size("both").cast("long")).withColumn("common", F.aggregate("both", F.lit(0.0), lambda a, x: a + F.element_at("left_terms", x)))
     sizes = F.size("left_title_tokens") + F.size("right_title_tokens")
     title = F.when(sizes > 0, 2 * F.size(F.array_intersect("left_title_tokens", "right_title_tokens")) / sizes).otherwise(0.0)
     masses = F.col("left_mass") + F.col("right_mass")
-    statement = F.when(masses > 0, 2 * F.coalesce("common", F.lit(0.0)) / masses).otherwise(0.0)
+    statement = F.when(masses > 0, 2 * F.col("common") / masses).otherwise(0.0)
     exact = F.coalesce(F.col("left_fingerprint") == F.col("right_fingerprint"), F.lit(False))
     alias = (F.size("left_title_tokens") > 0) & (F.array_sort("left_title_tokens") == F.array_sort("right_title_tokens"))
-    full = full.select("left", "right", "left_platform", "right_platform", F.round(title, 6).alias("title"), F.round(statement, 6).alias("statement"), F.coalesce("shared", F.lit(0)).alias("shared"), exact.alias("exact"), alias.alias("alias"))
+    full = full.select("left", "right", "left_platform", "right_platform", F.round(title, 6).alias("title"), F.round(statement, 6).alias("statement"), "shared", exact.alias("exact"), alias.alias("alias"))
     accepted = F.col("exact") | F.col("alias") | ((F.col("title") >= 0.5) & (F.col("statement") >= 0.10)) | ((F.col("statement") >= 0.32) & (F.col("shared") >= 4))
     discovery = F.when(F.col("exact"), "exact-statement").when(F.col("alias"), "title-alias").when(F.col("title") < 0.5, "statement").otherwise("title-and-statement")
     score = F.when(F.col("exact"), 1.0).otherwise(0.35 * F.col("title") + 0.65 * F.col("statement"))
@@ -107,7 +113,7 @@ def search(questions: DataFrame, query: DataFrame, n: int, limit: int = 20) -> D
     fields = fields.select("id", "term", F.when(F.array_contains("title_tokens", F.col("term")), 5.0).when(F.array_contains("topic_tokens", F.col("term")), 2.0).otherwise(0.5).alias("weight"))
     df = document_frequency(fields).withColumn("idf", F.log(1 + F.lit(float(n)) / F.col("df")))
     terms = query.select("qid", F.explode("tokens").alias("term"))
-    found = terms.join(F.broadcast(df.join(terms.select("term").distinct(), "term", "left_semi")), "term").join(fields, "term").select("qid", "id", (F.col("idf") * F.col("weight")).alias("s"))
+    found = terms.join(df.join(terms.select("term").distinct(), "term", "left_semi"), "term").join(fields, "term").select("qid", "id", (F.col("idf") * F.col("weight")).alias("s"))
     exact = query.join(questions.select("id", F.col("title").alias("t")), F.lower("t") == F.col("text")).select("qid", "id", F.lit(30.0).alias("s"))
     native = query.join(questions.select("id", F.col("native_id").cast("string").alias("nid")), F.col("nid") == F.col("text")).select("qid", "id", F.lit(25.0).alias("s"))
     alias = query.join(questions.select("id"), F.col("id").cast("string") == F.col("text")).select("qid", "id", F.lit(100.0).alias("s"))
@@ -115,13 +121,9 @@ def search(questions: DataFrame, query: DataFrame, n: int, limit: int = 20) -> D
     return ranked.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rn") <= limit)
 
 
-def coverage(page: Column, tokens: Column, idf: Column) -> Column:
-    """How much of a candidate's tokens a page holds: weighted by idf (1 for unseen), damped for few hits."""
-    weight = lambda x: F.coalesce(F.element_at(idf, x), F.lit(1.0))
-    total = F.aggregate(tokens, F.lit(0.0), lambda a, x: a + weight(x))
-    both = F.array_intersect(tokens, page)
-    hit = F.aggregate(both, F.lit(0.0), lambda a, x: a + weight(x))
-    return F.when(F.size(tokens) > 0, hit / total * (1 - F.exp(-F.size(both) / 1.4))).otherwise(0.0)
+def damped(hit: Column, total: Column, hits: Column) -> Column:
+    """How much of a candidate's weight a page holds, damped for few hits."""
+    return hit / total * (1 - F.exp(-hits / 1.4))
 
 
 def with_bigrams(score: Column, page: Column, own: Column) -> Column:
@@ -142,7 +144,7 @@ def page_scores(pages: DataFrame, problems: DataFrame, idf: DataFrame, threshold
         own = terms(problems, "id", problem_col).join(w, "term", "left").withColumn("w", F.coalesce("idf", F.lit(1.0))).select("id", "term", "w")
         total = own.groupBy("id").agg(F.sum("w").alias("total"))
         hit = terms(pages, "page", page_col).join(own, "term").groupBy("page", "id").agg(F.sum("w").alias("hit"), F.count("*").alias("k"))
-        return hit.join(total, "id").select("page", "id", (F.col("hit") / F.col("total") * (1 - F.exp(-F.col("k") / 1.4))).alias("s"))
+        return hit.join(total, "id").select("page", "id", damped(F.col("hit"), F.col("total"), F.col("k")).alias("s"))
 
     full = pairs.join(pages.select("page", F.col("title_tokens").alias("pt"), F.col("tokens").alias("pa")), "page").join(problems.select("id", F.col("title_tokens").alias("qt"), F.col("desc_tokens").alias("qd")), "id")
     full = full.join(part("title_tokens", "title_tokens").withColumnRenamed("s", "ts"), ["page", "id"], "left").join(part("tokens", "desc_tokens").withColumnRenamed("s", "ds"), ["page", "id"], "left")

@@ -49,7 +49,7 @@ def w01(t):
 
 @R.add("w08_calendar_overlay", f"WITH {BASE} SELECT platform, count(*) AS n FROM r JOIN acc USING (platform) WHERE pending AND ts > synced_at GROUP BY platform")
 def w08(t):
-    return records(t).join(accounts(t), "platform").filter("pending AND ts > synced_at").groupBy("platform").agg(F.count("*").alias("n"))
+    return A.overlay(records(t), accounts(t)).groupBy("platform").agg(F.count("*").alias("n"))
 
 
 @R.add("a02_accepted_today", f"WITH {BASE} SELECT count(DISTINCT key) AS n FROM r WHERE day = DATE '{TODAY}'")
@@ -140,9 +140,9 @@ def w06(t):
     return A.newest(counts, 5, [F.desc("n"), F.asc("user_id")], ("event_type",)).select("user_id", "event_type", "n", F.col("r").cast("long").alias("rn"))
 
 
-@R.add("w07_rating_series", f"WITH {BASE}, p AS (SELECT platform, ts, value AS rating FROM r WHERE id % 50 = 0 AND platform <> 'click'), x AS (SELECT * FROM p UNION ALL SELECT platform, synced_at, current FROM acc WHERE platform NOT IN (SELECT platform FROM p)) SELECT platform, ts, rating, row_number() OVER (PARTITION BY platform ORDER BY ts, rating) AS n FROM x WHERE year((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Kolkata') = {YEAR}")
+@R.add("w07_rating_series", f"WITH {BASE}, p AS (SELECT platform, ts, value AS rating FROM r WHERE platform <> 'click'), x AS (SELECT * FROM p UNION ALL SELECT platform, synced_at, current FROM acc WHERE platform NOT IN (SELECT platform FROM p)) SELECT platform, ts, rating, row_number() OVER (PARTITION BY platform ORDER BY ts, rating) AS n FROM x WHERE year((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Kolkata') = {YEAR}")
 def w07(t):
-    points = records(t).filter("id % 50 = 0 AND platform <> 'click'").select("platform", "ts", F.col("value").alias("rating"))
+    points = records(t).filter("platform <> 'click'").select("platform", "ts", F.col("value").alias("rating"))
     return A.rating_series(points, accounts(t), YEAR, ZONE).withColumn("n", F.col("n").cast("long"))
 
 

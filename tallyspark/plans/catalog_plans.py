@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import statements as P
 from tallyspark.functions import text as T
 from tallyspark.operators import catalog as C
 from tallyspark.plans.base import Registry
@@ -154,19 +155,18 @@ def a22(t):
 
 @R.add("p24_topic_aliases", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_transform(string_split(p_name, ' '), lambda x: CASE x WHEN 'red' THEN 'Array' WHEN 'blue' THEN 'Array' ELSE x END))), ',') AS topics FROM part")
 def p24(t):
-    names = F.create_map(*map(F.lit, ("red", "Array", "blue", "Array")))
-    return t("part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.transform(F.split("p_name", " "), lambda x: F.coalesce(F.element_at(names, x), x)))), ",").alias("topics"))
+    return t("part").select("p_partkey", F.array_join(P.topic_aliases(F.split("p_name", " "), {"red": "Array", "blue": "Array"}), ",").alias("topics"))
 
 
 @R.add("p45_contract_equality", "SELECT o_orderkey, CASE WHEN coalesce(CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END, 'base') = 'base' THEN 'equivalent' ELSE 'platform-variant' END AS relationship FROM orders")
 def p45(t):
     contract = F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))
-    return t("orders").select("o_orderkey", F.when(F.coalesce(contract, F.lit("base")) == "base", "equivalent").otherwise("platform-variant").alias("relationship"))
+    return t("orders").select("o_orderkey", P.relationship(contract, F.lit(None).cast("string")).alias("relationship"))
 
 
 @R.add("u03_distinct_union", "SELECT s_nationkey, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
 def u03(t):
-    return t("supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("s_name"))), ",").alias("names"))
+    return t("supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_set("s_name")), ",").alias("names"))
 
 
 @R.add("s04_input_hashes", None)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import companies as K
+from tallyspark.functions import statements as P
 from tallyspark.operators import contests as C
+from tallyspark.operators import directory as D
+from tallyspark.operators.ordering import numbered
 from tallyspark.plans.base import Registry
 
 R = Registry()
@@ -39,82 +41,83 @@ def p23(t):
 
 @R.add("p25_category", "SELECT s_suppkey, coalesce(r_name, 'Other') AS category FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 3 > 0 LEFT JOIN region ON n_regionkey = r_regionkey")
 def p25(t):
-    dim = t("nation").filter("n_nationkey % 3 > 0").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    return t("supplier").join(F.broadcast(dim), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("r_name", F.lit("Other")).alias("category"))
+    dim = t("nation").filter("n_nationkey % 3 > 0").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("grp"), F.col("r_name").alias("category"))
+    return D.categories(t("supplier").withColumn("grp", F.col("s_nationkey")), dim).select("s_suppkey", "category")
 
 
 @R.add("j02_company_index", f"WITH {LINKS} SELECT company_id, win AS \"window\", count(*) AS n FROM k JOIN part ON question = p_partkey AND p_size > 10 GROUP BY 1, 2")
 def j02(t):
     library = t("part").filter("p_size > 10").select(F.col("p_partkey").alias("question"))
-    return links(t).join(library, "question").groupBy("company_id", "window").agg(F.count("*").alias("n"))
+    return D.company_index(links(t), library).groupBy("company_id", "window").agg(F.count("*").alias("n"))
 
 
 @R.add("j03_alias_dictionary", "SELECT coalesce(s_suppkey, 1000000 + p) AS company_id, count(*) AS n FROM (SELECT DISTINCT p_partkey % 300 AS p FROM part) LEFT JOIN supplier ON s_suppkey = p GROUP BY 1")
 def j03(t):
-    tags = t("part").select((F.col("p_partkey") % 300).alias("p")).distinct()
-    return tags.join(t("supplier"), F.col("s_suppkey") == F.col("p"), "left").groupBy(F.coalesce("s_suppkey", F.col("p") + 1000000).alias("company_id")).agg(F.count("*").alias("n"))
+    tags = t("part").select((F.col("p_partkey") % 300).alias("record")).distinct().select("record", F.col("record").alias("name"), F.col("record").alias("slug"))
+    known = t("supplier").select(F.col("s_suppkey").alias("slug"), F.col("s_suppkey").alias("company_id"))
+    named = D.tagged(tags, known).join(t("supplier").select(F.col("s_suppkey").alias("company_id"), F.lit(True).alias("old")), "company_id", "left")
+    return named.groupBy(F.when(F.col("old"), F.col("company_id")).otherwise(F.col("company_id") + 1000000).alias("company_id")).agg(F.count("*").alias("n"))
 
 
 @R.add("j04_company_associations", "SELECT l_partkey AS question, string_agg(s, ',' ORDER BY s) AS companies FROM (SELECT DISTINCT l_partkey, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS s FROM lineitem) GROUP BY 1")
 def j04(t):
-    return t("lineitem").groupBy(F.col("l_partkey").alias("question")).agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))), ",").alias("companies"))
+    named = t("lineitem").select(F.col("l_partkey").alias("question"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("company_id"))
+    return D.associations(named).withColumn("companies", F.array_join("companies", ","))
 
 
 @R.add("a07_company_counts", f"WITH {LINKS} SELECT company_id, count(*) AS total, count(*) FILTER (d = 'Easy') AS easy, count(*) FILTER (d = 'Medium') AS medium, count(*) FILTER (d = 'Hard') AS hard FROM (SELECT DISTINCT company_id, question, {LEVEL} AS d FROM k JOIN part ON question = p_partkey WHERE win = 'all') GROUP BY 1")
 def a07(t):
-    rows = links(t).filter("window = 'all'").join(t("part").select(F.col("p_partkey").alias("question"), F.expr(LEVEL).alias("d")), "question").select("company_id", "question", "d").distinct()
-    return rows.groupBy("company_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("d") == x).alias(x.lower()) for x in ("Easy", "Medium", "Hard")))
+    rows = D.company_index(links(t), t("part").select(F.col("p_partkey").alias("question"), F.expr(LEVEL).alias("difficulty")))
+    return D.counts(rows, "all")
 
 
 @R.add("a08_company_summary", f"WITH {LINKS} SELECT count(DISTINCT question) AS questions, count(DISTINCT company_id) AS companies FROM k WHERE win = '30d'")
 def a08(t):
-    return links(t).filter("window = '30d'").agg(F.countDistinct("question").alias("questions"), F.countDistinct("company_id").alias("companies"))
+    return D.summary(links(t), "30d")
 
 
-@R.add("a30_company_questions", f"WITH {LINKS} SELECT company_id, question, max(frequency) AS frequency FROM k WHERE win = '6m' AND company_id <= 20 GROUP BY 1, 2")
+@R.add("a30_company_questions", f"WITH {LINKS} SELECT company_id, question, max(frequency) AS frequency FROM k WHERE win = '6m' GROUP BY 1, 2")
 def a30(t):
-    return links(t).filter("window = '6m' AND company_id <= 20").groupBy("company_id", "question").agg(F.max("frequency").alias("frequency"))
+    return D.questions(links(t), "6m")
 
 
-@R.add("a33_company_topics", f"WITH {LINKS} SELECT DISTINCT company_id, unnest(string_split(p_name, ' ')) AS topic FROM k JOIN part ON question = p_partkey WHERE company_id <= 10")
+@R.add("a33_company_topics", f"WITH {LINKS} SELECT DISTINCT company_id, unnest(string_split(p_name, ' ')) AS topic FROM k JOIN part ON question = p_partkey")
 def a33(t):
-    return links(t).filter("company_id <= 10").join(t("part").select(F.col("p_partkey").alias("question"), "p_name"), "question").select("company_id", F.explode(F.split("p_name", " ")).alias("topic")).distinct()
+    return D.topics(links(t), t("part").select(F.col("p_partkey").alias("question"), F.split("p_name", " ").alias("topics")))
 
 
 @R.add("j24_solved_scope", f"WITH {LINKS} SELECT count(DISTINCT question) AS n FROM k WHERE question IN (SELECT o_orderkey FROM orders UNION SELECT c_custkey FROM customer)")
 def j24(t):
-    done = t("orders").select(F.col("o_orderkey").alias("question")).union(t("customer").select("c_custkey")).distinct()
-    return links(t).join(done, "question", "left_semi").agg(F.countDistinct("question").alias("n"))
+    done = D.solved_scope(links(t), t("orders").select(F.col("o_orderkey").alias("question")), t("customer").select(F.col("c_custkey").alias("question")))
+    return done.agg(F.countDistinct("question").alias("n"))
 
 
 @R.add("k03_frequency_sort", f"WITH {LINKS}, f AS (SELECT question, max(CASE WHEN question % 3 > 0 THEN frequency END) AS frequency FROM k WHERE company_id = 1 GROUP BY 1) SELECT question, frequency, row_number() OVER (ORDER BY frequency DESC NULLS LAST, question) AS rn FROM f")
 def k03(t):
     f = links(t).filter("company_id = 1").groupBy("question").agg(F.max(F.when(F.col("question") % 3 > 0, F.col("frequency"))).alias("frequency"))
-    return f.withColumn("rn", F.row_number().over(Window.orderBy(F.desc_nulls_last("frequency"), "question")).cast("long"))
+    return numbered(f, D.by_frequency(f))
 
 
 @R.add("k13_category_companies", f"WITH {LINKS} SELECT s_nationkey AS category, s_name, n, row_number() OVER (PARTITION BY s_nationkey ORDER BY n DESC, s_name) AS rn FROM (SELECT company_id, count(*) AS n FROM k GROUP BY 1) JOIN supplier ON s_suppkey = company_id")
 def k13(t):
     n = links(t).groupBy("company_id").agg(F.count("*").alias("n")).join(t("supplier"), F.col("company_id") == F.col("s_suppkey"))
-    return n.select(F.col("s_nationkey").alias("category"), "s_name", "n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("n"), "s_name")).cast("long").alias("rn"))
+    return D.ranked_in_category(n.select(F.col("s_nationkey").alias("category"), F.col("s_name").alias("name"), "n")).withColumnRenamed("name", "s_name")
 
 
 @R.add("f06_company_directory", f"WITH {LINKS} SELECT s_suppkey FROM supplier WHERE lower(s_name) LIKE '%1%' AND s_nationkey < 12 AND s_suppkey IN (SELECT company_id FROM k)")
 def f06(t):
-    hit = F.exists(F.array(F.lower("s_name"), F.col("s_suppkey").cast("string")), lambda x: x.contains("1"))
-    return t("supplier").filter(hit & F.lower("s_name").contains("1") & (F.col("s_nationkey") < 12)).join(links(t).select(F.col("company_id").alias("s_suppkey")), "s_suppkey", "left_semi").select("s_suppkey")
+    hit = D.named(t("supplier").filter(F.col("s_nationkey") < 12), "1", [F.col("s_name")])
+    return hit.join(links(t).select(F.col("company_id").alias("s_suppkey")), "s_suppkey", "left_semi").select("s_suppkey")
 
 
 @R.add("ks09_company_sink", f"WITH {LINKS} SELECT company_id, string_agg(win || '=' || n, ',' ORDER BY win) AS windows FROM (SELECT company_id, win, count(*) AS n FROM k GROUP BY 1, 2) GROUP BY 1")
 def ks09(t):
-    n = links(t).groupBy("company_id", "window").agg(F.count("*").alias("n"))
-    return n.groupBy("company_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", "n"))), lambda x: F.concat_ws("=", x["window"], x["n"].cast("string"))), ",").alias("windows"))
+    return D.windows_sink(links(t))
 
 
 @R.add("s06_company_snapshot", "SELECT s_suppkey, CAST(rtrim(CAST(s_suppkey % 101 AS VARCHAR) || '%', '%') AS DOUBLE) AS frequency FROM supplier")
 def s06(t):
-    f = F.rtrim(F.concat((F.col("s_suppkey") % 101).cast("string"), F.lit("%")), F.lit("%")).cast("double")
-    return t("supplier").select("s_suppkey", F.when(f.between(0, 100), f).otherwise(F.raise_error(F.lit("invalid frequency"))).alias("frequency"))
+    return t("supplier").select("s_suppkey", D.percentage(F.concat((F.col("s_suppkey") % 101).cast("string"), F.lit("%"))).alias("frequency"))
 
 
 CON = "c AS (SELECT o_orderkey AS id, o_orderdate AS s, o_orderdate + to_days(CAST(o_orderkey % 14 + 1 AS INT)) AS e, o_orderstatus AS platform FROM orders)"
@@ -182,8 +185,7 @@ def ts10(t):
 
 @R.add("ts12_reconcile", f"WITH {CON} SELECT id, 'create' AS action FROM c WHERE s > TIMESTAMP '{NOW}' AND id % 4 > 0 UNION ALL SELECT id, 'drop' FROM c WHERE s <= TIMESTAMP '{NOW}' AND id % 4 = 0")
 def ts12(t):
-    want, have = contests(t).filter(F.col("start") > now()).select("id"), contests(t).filter("id % 4 = 0").select("id")
-    return want.join(have, "id", "left_anti").withColumn("action", F.lit("create")).unionByName(have.join(want, "id", "left_anti").withColumn("action", F.lit("drop")))
+    return D.reconciled(contests(t).filter(F.col("start") > now()), contests(t).filter("id % 4 = 0"))
 
 
 @R.add("k14_calendar_cells", f"WITH {CON}, d AS (SELECT *, CAST((s AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Kolkata' AS DATE) AS day FROM c) SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY s, id) AS place, greatest(count(*) OVER (PARTITION BY day) - 3, 0) AS more FROM d QUALIFY place <= 3")
@@ -217,89 +219,104 @@ def j12(t):
 
 @R.add("j13_known_ids", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def j13(t):
-    return t("orders").join(t("customer").filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+    known = t("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return D.unknown(t("orders"), known, "o_custkey").select("o_orderkey")
 
 
 @R.add("j17_title_lookup", "SELECT o_orderkey, coalesce(c_name, CAST(o_custkey AS VARCHAR)) AS title FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
 def j17(t):
-    return t("orders").join(t("customer").filter("c_custkey % 2 = 0"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.col("o_custkey").cast("string")).alias("title"))
+    titles = t("customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("title"))
+    return D.titled(t("orders"), titles, "o_custkey").select("o_orderkey", "title")
 
 
-@R.add("j20_s28_metadata_merge", "SELECT o_orderkey, c_name, coalesce(n, 0) AS n FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1996-01-01'")
+METADATA = """WITH p AS (SELECT l_partkey AS id, arg_min(l_orderkey, l_orderkey * 10 + l_linenumber) AS contest FROM lineitem GROUP BY 1) SELECT p.id, p_name AS title, contest AS contest_id, CASE WHEN p_size > 20 THEN CAST(round(p_retailprice) AS BIGINT) END AS difficulty, CASE WHEN p_size < 10 THEN p_type ELSE '' END AS description
+FROM p JOIN part ON p.id = p_partkey JOIN orders ON o_orderkey = contest WHERE epoch(o_orderdate) + 7200 <= epoch(TIMESTAMP '1996-01-01')"""
+
+
+@R.add("j20_s28_metadata_merge", METADATA)
 def j20(t):
-    models = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    closed = t("orders").filter("o_orderdate < timestamp'1996-01-01'").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return closed.join(models, "o_orderkey", "left").select("o_orderkey", "c_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    part = t("part").select(F.col("p_partkey").alias("id"), "p_name", "p_size", "p_type", "p_retailprice")
+    problems = t("lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("contest_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")).join(part.select("id", F.col("p_name").alias("title")), "id")
+    contests_ = t("orders").select(F.col("o_orderkey").alias("contest_id"), F.col("o_orderdate").alias("start"), F.lit(7200).alias("seconds"))
+    models = part.filter("p_size > 20").select("id", F.col("p_retailprice").alias("difficulty"))
+    previous = part.filter("p_size < 10").select("id", F.col("p_type").alias("description"), F.lit("c").alias("constraints"))
+    return D.merged_metadata(problems, contests_, models, previous, F.lit("1996-01-01").cast("timestamp")).select("id", "title", "contest_id", "difficulty", "description")
 
 
 @R.add("j22_current_record", "SELECT p.page_id, min(q.page_id) AS record FROM pages p JOIN pages q ON regexp_replace(p.url, '[?#].*$', '') = regexp_replace(q.url, '[?#].*$', '') GROUP BY 1")
 def j22(t):
-    key = F.regexp_replace("url", "[?#].*$", "")
-    first = t("pages").groupBy(key.alias("k")).agg(F.min("page_id").alias("record"))
-    return t("pages").join(first, F.regexp_replace("url", "[?#].*$", "") == F.col("k")).select("page_id", "record")
+    return D.current_record(t("pages"))
 
 
-@R.add("s27_a26_recovery", "SELECT CASE WHEN n_chars < 200 THEN CASE WHEN doc_id % 2 = 0 THEN 'recovered' ELSE 'missing' END ELSE 'present' END AS outcome, count(*) AS n FROM documents GROUP BY 1")
+@R.add("s27_a26_recovery", "SELECT CASE WHEN doc_id % 3 > 0 THEN 'present' WHEN doc_id % 2 = 0 THEN 'not-found' WHEN length(text) < 80 THEN 'insufficient-statement' ELSE 'recovered' END AS outcome, count(*) AS n, count(*) FILTER (doc_id % 3 = 0 AND doc_id % 2 = 1 AND length(text) >= 80 OR doc_id % 3 > 0) AS described FROM documents GROUP BY 1")
 def s27(t):
-    blank = t("documents").filter("n_chars < 200").select("doc_id")
-    found = blank.filter("doc_id % 2 = 0").withColumn("hit", F.lit(True))
-    state = t("documents").join(blank.withColumn("blank", F.lit(True)), "doc_id", "left").join(found, "doc_id", "left")
-    return state.groupBy(F.when(F.col("hit"), "recovered").when(F.col("blank"), "missing").otherwise("present").alias("outcome")).agg(F.count("*").alias("n"))
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 > 0, "x").otherwise(" ").alias("description"))
+    answers = t("documents").filter("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
+    return D.recovered(rows, answers).groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.trim("description") != "").alias("described"))
 
 
 @R.add("s31_problem_list", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part WHERE p_size <> 1")
 def s31(t):
-    pages = t("part").filter("p_partkey % 2 = 0").unionByName(t("part").filter("p_partkey % 2 = 1")).filter("p_size <> 1")
-    return pages.select("p_partkey", F.row_number().over(Window.orderBy("p_partkey")).cast("long").alias("rn"))
+    p = t("part").select(F.col("p_partkey").alias("id"), "p_size")
+    whole = D.problem_list([p.filter("id % 2 = 0"), p.filter("id % 2 = 1"), p.filter("id % 10 = 0")], F.col("p_size") == 1)
+    return numbered(whole.select("id"), [F.asc("id")]).withColumnRenamed("id", "p_partkey")
 
 
 @R.add("k15_index_order", "SELECT p_partkey, row_number() OVER (ORDER BY (p_name LIKE 'r%')::INT DESC, p_size DESC, p_partkey) AS rn FROM part")
 def k15(t):
-    return t("part").select("p_partkey", F.row_number().over(Window.orderBy(F.desc(F.col("p_name").startswith("r").cast("int")), F.desc("p_size"), "p_partkey")).cast("long").alias("rn"))
+    rows = t("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_name").startswith("r"), "dp").otherwise("other").alias("contest_id"), F.col("p_size").alias("start"))
+    return numbered(rows, D.index_order(["dp"])).select(F.col("id").alias("p_partkey"), "rn")
 
 
 @R.add("p26_difficulty_from_rating", "SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 OR c_acctbal <= 1200 THEN 'Easy' WHEN c_acctbal <= 2000 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM customer")
 def p26(t):
-    r = F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal"))
-    return t("customer").select("c_custkey", F.when(r.isNull() | (r <= 1200), "Easy").when(r <= 2000, "Medium").otherwise("Hard").alias("difficulty"))
+    return t("customer").select("c_custkey", P.difficulty_from_rating(F.when(F.col("c_custkey") % 9 > 0, F.col("c_acctbal"))).alias("difficulty"))
 
 
 @R.add("p27_difficulty_map", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Easy' WHEN 'O' THEN 'Medium' ELSE 'Unknown' END AS difficulty FROM orders")
 def p27(t):
-    return t("orders").select("o_orderkey", F.coalesce(F.element_at(F.create_map(*map(F.lit, ("F", "Easy", "O", "Medium"))), F.col("o_orderstatus")), F.lit("Unknown")).alias("difficulty"))
+    return t("orders").select("o_orderkey", P.difficulty_name(F.col("o_orderstatus"), {"F": "Easy", "O": "Medium"}).alias("difficulty"))
+
+
+#: Every document with a heading, a formula mark or a database mark of its own, by id.
+MADE = "CASE doc_id % 6 WHEN 0 THEN 'Table: T ' WHEN 1 THEN 'Write the create table line ' WHEN 2 THEN 'use $$x$$ ' ELSE '' END || text || CASE doc_id % 4 WHEN 0 THEN ' Example 1: in Constraints: n < 5 Follow-up: faster' WHEN 1 THEN ' Constraint: n > 1' ELSE '' END"
+ONE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 
-@R.add("p28_is_sql", "SELECT doc_id, regexp_matches(text, '(?i)select|from the|license') AS is_sql FROM documents")
+@R.add("p28_is_sql", f"""WITH d AS (SELECT doc_id, {MADE} AS x FROM documents) SELECT doc_id, regexp_matches(x, '(?i)Table:\\s*\\w+|Column Name.*Type|\\+[-+]+\\+|employee_id.*int|varchar\\(\\d+\\)|Write a.*solution|Select.*from|database') AS leetcode,
+regexp_matches(x, '(?i)create table|insert into|select\\s+.*\\s+from|varchar\\s*\\(|database\\s+schema|sql\\s+query') AS codechef FROM d""")
 def p28(t):
-    return t("documents").select("doc_id", F.col("text").rlike("(?i)select|from the|license").alias("is_sql"))
+    x = F.expr(MADE)
+    return t("documents").select("doc_id", P.is_database(x, "leetcode").alias("leetcode"), P.is_database(x, "codechef").alias("codechef"))
 
 
-@R.add("p29_statement_split", "SELECT doc_id, CASE WHEN strpos(text, ' the ') > 0 THEN left(text, strpos(text, ' the ') - 1) ELSE text END AS description, CASE WHEN strpos(text, ' the ') > 0 THEN substr(text, strpos(text, ' the ')) ELSE '' END AS constraints FROM documents")
+@R.add("p29_statement_split", f"""WITH d AS (SELECT doc_id, {MADE} AS x FROM documents), e AS (SELECT *, regexp_extract(x, '(?is)^(.*?)Example\\s*\\d*\\s*:', 1) AS a, regexp_matches(x, '(?i)Example\\s*\\d*\\s*:') AS ha, regexp_extract(x, '(?is)^(.*?)Constraints?\\s*:', 1) AS b, regexp_matches(x, '(?i)Constraints?\\s*:') AS hb, regexp_extract(x, '(?is)Constraints?\\s*:(.*)$', 1) AS r FROM d)
+SELECT doc_id, {ONE.format("CASE WHEN ha THEN a WHEN hb THEN b ELSE x END")} AS description, {ONE.format("regexp_replace(r, '(?is)Follow-up\\s*:.*$', '')")} AS constraints FROM e""")
 def p29(t):
-    at = F.instr("text", " the ")
-    return t("documents").select("doc_id", F.when(at > 0, F.substring("text", F.lit(1), at - 1)).otherwise(F.col("text")).alias("description"), F.when(at > 0, F.substr("text", at)).otherwise("").alias("constraints"))
+    return t("documents").select("doc_id", P.split_statement(F.expr(MADE), "leetcode").alias("s")).select("doc_id", "s.*")
 
 
-@R.add("p30_component_clean", "SELECT doc_id, trim(regexp_replace(replace(text, '$', ' '), '\\s+', ' ', 'g')) AS body FROM documents")
+@R.add("p30_component_clean", f"""WITH d AS (SELECT doc_id, {ONE.format(f"regexp_replace(CASE WHEN doc_id % 5 > 0 THEN {MADE} ELSE ' $' END, '\\$+', ' ', 'g')")} AS x FROM documents) SELECT doc_id, CASE WHEN x = '' THEN '' ELSE x || ' Input: n' END AS body, CASE WHEN x = '' THEN '' ELSE 'a b' END AS constraints FROM d""")
 def p30(t):
-    return t("documents").select("doc_id", F.trim(F.regexp_replace(F.replace("text", F.lit("$"), F.lit(" ")), r"\s+", " ")).alias("body"))
+    statement = F.when(F.col("doc_id") % 5 > 0, F.expr(MADE)).otherwise(" $")
+    return t("documents").select("doc_id", P.from_components(statement, F.lit("$n$"), F.lit(" a $ b")).alias("s")).select("doc_id", F.col("s.description").alias("body"), "s.constraints")
 
 
 @R.add("p33_topic_union", "SELECT p_partkey, string_agg(DISTINCT x, ',' ORDER BY x) AS topics FROM (SELECT p_partkey, unnest(list_concat(string_split(p_name, ' '), string_split(lower(p_type), ' '))) AS x FROM part) GROUP BY 1")
 def p33(t):
-    return t("part").select("p_partkey", F.array_join(F.array_sort(F.array_union(F.split("p_name", " "), F.split(F.lower("p_type"), " "))), ",").alias("topics"))
+    return t("part").select("p_partkey", F.array_join(P.topic_union(F.split("p_name", " "), F.split(F.lower("p_type"), " ")), ",").alias("topics"))
 
 
 @R.add("p44_match_type", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN CASE WHEN event_id % 20 = 0 THEN 'confirmed' ELSE 'platform-variant' END WHEN event_id % 100 > 60 THEN 'exact' ELSE 'similar' END AS kind FROM events")
 def p44(t):
     e = F.col("event_id")
-    return t("events").select("event_id", F.when(e % 10 == 0, F.when(e % 20 == 0, "confirmed").otherwise("platform-variant")).when(e % 100 / 100 > 0.6, "exact").otherwise("similar").alias("kind"))
+    return t("events").select("event_id", P.match_type(e % 10 == 0, e % 20 == 0, e % 100 / 100).alias("kind"))
 
 
-@R.add("p42_review_reasons", "SELECT p_partkey, (p_size = 1)::INT + (p_size % 2)::INT + 1 AS n FROM part")
+@R.add("p42_review_reasons", "SELECT p_partkey, (p_size = 1)::INT + (p_size % 2)::INT + (p_size % 3 > 0)::INT + (p_size % 5 = 0)::INT AS n FROM part")
 def p42(t):
-    reasons = F.filter(F.array(F.when(F.col("p_size") == 1, "Missing statement: review originals"), F.when(F.col("p_size") % 2 == 1, "Constraints differ: compare feasible solutions, not literal bounds"), F.lit("Verify objective, output contract and edge cases")), lambda x: x.isNotNull())
-    return t("part").select("p_partkey", F.size(reasons).alias("n"))
+    titles = F.array("p_name", F.when(F.col("p_size") % 5 == 0, "Task (hard version)").otherwise("hardly"))
+    return t("part").select("p_partkey", F.size(P.review_reasons(F.col("p_size") == 1, F.col("p_size") % 2 == 1, F.col("p_size") % 3 == 0, titles)).alias("n"))
 
 
 @R.add("s10_feed_rows", "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages")

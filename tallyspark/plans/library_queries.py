@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import search_normal
 from tallyspark.operators import library as L
+from tallyspark.operators.ordering import numbered
 from tallyspark.plans.base import Registry
 
 R = Registry()
@@ -66,25 +67,19 @@ REL = f"CASE WHEN {NORMAL.format('title')} = 'red' OR CAST(id AS VARCHAR) = 'red
 
 @R.add("k01_relevance", f"WITH {LIB} SELECT id, rel, row_number() OVER (ORDER BY rel, platform, pos) AS rn FROM (SELECT *, {REL} AS rel FROM l)")
 def k01(t):
-    from pyspark.sql import Window
-
     rows = lib(t).withColumn("rel", L.relevance(F.col("title"), F.col("id").cast("string"), "red"))
-    return rows.select("id", "rel", F.row_number().over(Window.orderBy("rel", "platform", "pos")).cast("long").alias("rn"))
+    return numbered(rows.select("id", "rel", "platform", "pos"), [F.asc("rel"), F.asc("platform"), F.asc("pos")]).select("id", "rel", "rn")
 
 
 @R.add("k02_difficulty_sort", f"WITH {LIB} SELECT id, row_number() OVER (ORDER BY CASE difficulty WHEN 'Unknown' THEN 5 WHEN 'Basic' THEN 0 WHEN 'Easy' THEN -1 WHEN 'Medium' THEN -2 ELSE -3 END, title, pos) AS rn FROM l")
 def k02(t):
-    from pyspark.sql import Window
-
-    return lib(t).select("id", F.row_number().over(Window.orderBy(L.difficulty_rank(F.col("difficulty"), True), "title", "pos")).cast("long").alias("rn"))
+    return numbered(lib(t).select("id", "difficulty", "title", "pos"), [L.difficulty_rank(F.col("difficulty"), True), F.asc("title"), F.asc("pos")]).select("id", "rn")
 
 
 @R.add("k02_natural_title", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey % 100, c_custkey) AS rn FROM customer")
 def k02_natural(t):
-    from pyspark.sql import Window
-
     title = F.concat(F.lit("Problem "), (F.col("c_custkey") % 100).cast("string"))
-    return t("customer").select("c_custkey", F.row_number().over(Window.orderBy(L.natural_key(title), "c_custkey")).cast("long").alias("rn"))
+    return numbered(t("customer").select("c_custkey", title.alias("title")), [L.natural_key(F.col("title")), F.asc("c_custkey")]).select("c_custkey", "rn")
 
 
 @R.add("k10_paging", f"WITH {LIB} SELECT id, rn FROM (SELECT id, row_number() OVER (ORDER BY title, pos) AS rn FROM l) WHERE rn > 100 AND rn <= 150")
@@ -126,10 +121,8 @@ def a29(t):
 
 @R.add("a31_results_by_source", f"WITH {LIB}, c AS (SELECT platform, count(*) AS n FROM l WHERE difficulty = 'Hard' GROUP BY 1) SELECT platform, n, row_number() OVER (ORDER BY n DESC, platform) AS rank FROM c")
 def a31(t):
-    from pyspark.sql import Window
-
     counts = lib(t).filter("difficulty = 'Hard'").groupBy("platform").agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "platform")).cast("long"))
+    return numbered(counts, [F.desc("n"), F.asc("platform")], "rank")
 
 
 @R.add("a32_corpus_counts", f"WITH {LIB} SELECT count(*) AS total, count(DISTINCT {G}) AS unique_questions, count(DISTINCT platform) AS platforms FROM l")

@@ -40,3 +40,34 @@ def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
         hashes = own if hashes is None else hashes.unionByName(own)
     hashes.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
+
+
+def report(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
+    """A Markdown report of small tables. A table of more than `most` rows is told by its count and its first rows in the order of its columns."""
+    lines = [f"# {title}"]
+    for name, df in sections.items():
+        rows, n = df.orderBy(*df.columns).limit(most).collect(), df.count()
+        lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
+        lines += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in row) + " |" for row in rows]
+        if n > most:
+            lines += ["", f"{n} rows in all."]
+    return "\n".join(lines) + "\n"
+
+
+def json_sink(df: DataFrame, folder: str, order: list[str]) -> None:
+    """Rows as JSON lines, sorted over all files, in place of what was there: staged first, then moved, so that a reader sees either all old or all new rows."""
+    spark, stage = df.sparkSession, f"{folder}.stage-{uuid.uuid4().hex}"
+    df.orderBy(*order).write.json(stage)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(folder), True)
+    if not fs.rename(path(stage), path(folder)):
+        raise OSError(f"could not publish {folder}")
+
+
+def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON table that may not be there: missing, it is empty; any other fault fails as it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,51 @@ class SolvedState(StatefulProcessor):
         pass
 
 
+class Throttled(StatefulProcessor):
+    """Of each key's events, those at least `gap` seconds after the last one that passed; the first one passes. Within a batch events go in order of time."""
+
+    def __init__(self, gap: float):
+        self.gap = int(gap * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        passed = []
+        for at in sorted(int(pd.Timestamp(ts).value // 1000) for pdf in rows for ts in pdf["ts"]):
+            if last is None or at - last >= self.gap:
+                last = at
+                passed.append(at)
+        if passed:
+            self.last.update((last,))
+            yield pd.DataFrame({"key": key[0], "ts": [pd.Timestamp(x, unit="us") for x in passed]})
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(events: DataFrame, gap: float) -> DataFrame:
+    """key, ts of the events that start a refresh: repeats within `gap` seconds of the last one are dropped, across batches too."""
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("ts", T.TimestampType())])
+    return events.select("key", "ts").groupBy("key").transformWithStateInPandas(statefulProcessor=Throttled(gap), outputStructType=out, outputMode="Update", timeMode="None")
+
+
+@contextmanager
+def cancellable(spark: SparkSession, request: str) -> Iterator[None]:
+    """Jobs started inside belong to a request and end when cancel() names it."""
+    spark.sparkContext.addJobTag(request)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(request)
+
+
+def cancel(spark: SparkSession, request: str) -> None:
+    """Stop what a request still runs; requests that are over, or unknown, change nothing."""
+    spark.sparkContext.cancelJobsWithTag(request)
+
+
 def merge_stream(records: DataFrame) -> DataFrame:
     """Latest record of each (platform, key) as records arrive; needs the RocksDB state store."""
     return records.select("platform", "key", "id", "ts").groupBy("platform").transformWithStateInPandas(statefulProcessor=SolvedState(), outputStructType=MERGED, outputMode="Update", timeMode="None")

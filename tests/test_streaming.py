@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime
 
 from tallyspark.sources.readers import company_snapshot, corpus, pages, solved_csv, url_list
@@ -57,3 +58,41 @@ def test_readers(spark, tmp_path):
     assert r.title == 'a "b", c\nd' and r.url.strip() == "https://x"
     (tmp_path / "u.txt").write_text("https://a https://b\n\nhttps://c")
     assert url_list(spark, str(tmp_path / "u.txt")).count() == 3
+
+
+def test_throttled_events(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    seconds = [[("a", 0), ("a", 2), ("b", 1), ("a", 3)], [("a", 5), ("a", 6), ("b", 2)]]
+    for n, rows in enumerate(seconds):
+        (tmp_path / f"feed/page{n}.json").write_text("\n".join(json.dumps({"key": k, "ts": f"2024-01-01T00:00:{s:02d}Z"}) for k, s in rows))
+        os.utime(tmp_path / f"feed/page{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))  # files are read in order of time
+    source = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "feed"))
+    q = state.throttled(source, 3).writeStream.format("memory").outputMode("update").queryName("throttled").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.key, r.ts.second) for r in spark.table("throttled").collect()) == [("a", 0), ("a", 3), ("a", 6), ("b", 1)]
+
+
+def test_cancelled_requests(spark):
+    import threading
+    import time
+
+    failed = []
+
+    def search():
+        with state.cancellable(spark, "request-1"):
+            try:
+                spark.range(100_000_000_000).selectExpr("sum(sqrt(id))").collect()
+            except Exception as error:  # noqa: BLE001
+                failed.append(error)
+
+    running = threading.Thread(target=search)
+    running.start()
+    for _ in range(100):
+        time.sleep(0.2)
+        state.cancel(spark, "request-0")
+        if spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+    assert not failed
+    state.cancel(spark, "request-1")
+    running.join(30)
+    assert len(failed) == 1 and spark.range(3).count() == 3
