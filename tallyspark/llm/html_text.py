@@ -4,8 +4,9 @@ The builder reads tags with one scanner, closes elements whose end tags HTML let
 walks the tree: hidden elements are left out, white space collapses as on screen, blocks begin on lines of their own, paragraphs and the
 like are set off by an empty line, list items get their markers and indents, and table cells are aligned in columns.
 
-Scripts are taken as on (noscript is hidden). The content of elements nested deeper than MAX_DEPTH is rendered in their ancestor at that depth, unless one of them is hidden.
-Cells wider than CELL_WIDTH don't widen their column.
+Scripts are taken as on (noscript is hidden). Visibility comes from attributes (hidden, style) and from the elements' names; rules in style sheets are not read. Elements may
+nest to any depth; only layout stops: within NESTED quotations, lists and tables, further ones are neither indented nor aligned, but keep their lines and markers. Cells
+wider than CELL_WIDTH don't widen their column, nor do cells over several columns.
 
 Edge cases: null and empty html give an empty text; unclosed tags, comments and quotes reach to the end, stray end tags are ignored; pages of any length are
 rendered whole; every input row gives one output row; an empty table gives an empty result; other columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common
 
-MAX_DEPTH, CELL_WIDTH = 150, 80
+NESTED, CELL_WIDTH = 40, 80
 
 # Element names by the role that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,8 +70,7 @@ def build(source: str) -> Node:
     root = Node("html", {})
     open_, at, n = [root], 0, len(source)
     places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements but the root, by tag
-    deep: list[bool] = []  # visibility of the open elements beyond MAX_DEPTH
-    body, base = False, True  # base: visibility of the element at MAX_DEPTH
+    body = False
 
     def add(text: str, decode: bool = True) -> None:
         nonlocal body
@@ -82,11 +82,6 @@ def build(source: str) -> Node:
             put(html.unescape(text) if decode and "&" in text else text)
 
     def put(child: Node | str) -> None:
-        """Beyond MAX_DEPTH visibility may differ from that of the element that is rendered."""
-        if deep and deep[-1] != base:
-            node = Node("span", {"style": f"visibility:{'visible' if deep[-1] else 'hidden'}"})
-            node.children.append(child)
-            child = node
         open_[-1].children.append(child)
 
     def into_body() -> None:
@@ -97,26 +92,13 @@ def build(source: str) -> Node:
 
     def cut(i: int) -> None:
         """Close all open elements from the i-th on."""
-        for k in range(len(open_) - 1, i - 1, -1):
-            node = open_[k]
+        for node in open_[i:]:
             places[node.tag].pop()
-            if k >= MAX_DEPTH and node.tag in BLOCKS:  # what follows begins on a line of its own
-                node.children.append(Node("p" if node.tag in SPACED else "div", {}))
         del open_[i:]
-        del deep[max(0, i - MAX_DEPTH) :]
 
     def push(tag: str, attributes: dict[str, str]) -> None:
-        nonlocal base
         node = Node(tag, attributes)
         open_[-1].children.append(node)
-        if len(open_) >= MAX_DEPTH:  # too deep: what follows is rendered in the element at this depth, or nowhere in a hidden one
-            gone, visible = hidden(node)
-            if not deep:
-                base = next((own for x in reversed(open_) if (own := hidden(x)[1]) is not None), True)
-            deep.append((deep[-1] if deep else base) if visible is None else visible)
-            inside = [] if gone else open_[-1].children
-            node = Node(tag, attributes)
-            node.children = inside
         places[tag].append(len(open_))
         open_.append(node)
 
@@ -279,84 +261,112 @@ class Lines:
         return self.lines
 
 
-def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, depth: int = 0) -> None:
-    """The element's content; depth: of lists around it."""
-    for child in node.children:
-        if isinstance(child, str):
-            if visible:
-                out.text(child, pre)
-            continue
-        gone, own = hidden(child)
-        if gone:
-            continue
-        seen, tag = visible if own is None else own, child.tag
-        if tag == "br":
-            out.line(keep=True)
-        elif tag == "hr":
-            out.line()
-            out.gap = True
-        elif tag == "table":
-            out.line()
-            out.gap = True
-            out.block(table(child, seen, depth))
-            out.gap = True
-        elif tag in ("ul", "ol", "menu", "dir"):
-            out.line()
-            out.gap |= depth == 0
-            listed(child, out, seen, depth)
-            out.gap |= depth == 0
-        elif tag in ("blockquote", "dd"):
-            out.line()
-            out.gap |= tag == "blockquote"
-            out.block(_inner(child, seen, pre, depth), "    ")
-            out.gap |= tag == "blockquote"
-        elif tag == "details" and "open" not in child.attributes:
-            kept = Node("details", {})
-            kept.children = [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]
-            out.line()
-            render(kept, out, seen, pre, depth)
-            out.line()
-        elif tag in BLOCKS:
-            out.line()
-            out.gap |= tag in SPACED
-            render(child, out, seen, pre or tag in ("pre", "xmp", "listing", "plaintext"), depth)
-            out.line()
-            out.gap |= tag in SPACED
-        elif tag == "textarea":
-            render(child, out, seen, True, depth)
-        elif tag == "input":
-            if seen and child.attributes.get("type", "text").lower() in ("button", "submit", "reset", "text", "search", "email", "url", "tel"):
-                out.text(child.attributes.get("value", ""), pre)
-        elif tag == "q":
-            q = Node("q", {})
-            q.children = ['"', *child.children, '"']
-            render(q, out, seen, pre, depth)
-        elif tag != "wbr":
-            render(child, out, seen, pre, depth)
-
-
-def _inner(node: Node, visible: bool, pre: bool, depth: int) -> list[str]:
+def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, depth: int = 0, level: int = 0) -> None:
+    """The element's content; depth: of lists around it, level: of quotations, lists and tables that are laid out on their own.
+
+    Open elements wait on a stack of their own: what is left of their children, how these are shown, whether a line ends after them (1) with a gap (2), and for a list
+    beyond NESTED its tag and the next item's number.
+    """
+    stack = [(iter(node.children), visible, pre, depth, 0, None)]
+    while stack:
+        children, visible, pre, depth, after, numbers = stack[-1]
+        for child in children:
+            if isinstance(child, str):
+                if visible:
+                    out.text(child, pre)
+                continue
+            gone, own = hidden(child)
+            if gone:
+                continue
+            seen, tag = visible if own is None else own, child.tag
+            if tag == "br":
+                out.line(keep=True)
+            elif tag == "hr":
+                out.line()
+                out.gap = True
+            elif tag == "table" and level < NESTED:
+                out.line()
+                out.gap = True
+                out.block(table(child, seen, depth, level + 1))
+                out.gap = True
+            elif tag in ("ul", "ol", "menu", "dir"):
+                out.line()
+                out.gap |= depth == 0
+                if level >= NESTED:
+                    stack.append((iter(child.children), seen, False, depth + 1, 1, [tag, _first(child)]))
+                    break
+                listed(child, out, seen, depth, level + 1)
+                out.gap |= depth == 0
+            elif tag in ("blockquote", "dd") and level < NESTED:
+                out.line()
+                out.gap |= tag == "blockquote"
+                out.block(_inner(child, seen, pre, depth, level + 1), "    ")
+                out.gap |= tag == "blockquote"
+            elif tag == "details" and "open" not in child.attributes:
+                out.line()
+                stack.append((iter([c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]), seen, pre, depth, 1, None))
+                break
+            elif tag == "li" and numbers:
+                out.line()
+                out.marker = _marker(numbers, child, depth - 1)
+                stack.append((iter(child.children), seen, False, depth, 1, None))
+                break
+            elif tag in BLOCKS:
+                out.line()
+                out.gap |= tag in SPACED
+                stack.append((iter(child.children), seen, pre or tag in ("pre", "xmp", "listing", "plaintext"), depth, 2 if tag in SPACED else 1, None))
+                break
+            elif tag == "input":
+                if seen and child.attributes.get("type", "text").lower() in ("button", "submit", "reset", "text", "search", "email", "url", "tel"):
+                    out.text(child.attributes.get("value", ""), pre)
+            elif tag != "wbr":
+                inside = ['"', *child.children, '"'] if tag == "q" else child.children
+                stack.append((iter(inside), seen, pre or tag == "textarea", depth, 0, None))
+                break
+        else:
+            stack.pop()
+            if after:
+                out.line()
+                out.gap |= after == 2
+                if stack and stack[-1][5]:  # an item without content leaves no marker behind
+                    out.marker = ""
+
+
+def _inner(node: Node, visible: bool, pre: bool, depth: int, level: int) -> list[str]:
     own = Lines()
-    render(node, own, visible, pre, depth)
+    render(node, own, visible, pre, depth, level)
     return own.done()
 
 
+def _first(node: Node) -> int:
+    count = _number(node.attributes.get("start"))
+    return 1 if count is None else count
+
+
+def _marker(numbers: list, item: Node, depth: int) -> str:
+    """The marker of a list's item. numbers: the list's tag and the number that is next."""
+    if numbers[0] != "ol":
+        return BULLETS[min(depth, 2)] + " "
+    value = _number(item.attributes.get("value"))
+    count = numbers[1] if value is None else value
+    numbers[1] = count + 1
+    return f"{count}. "
+
+
 def _number(text: str | None) -> int | None:
     m = re.match(r"\s*([+-]?\d{1,9})", text or "")
     return int(m[1]) if m else None
 
 
-def listed(node: Node, out: Lines, visible: bool, depth: int) -> None:
-    count = _number(node.attributes.get("start"))
-    count = 1 if count is None else count
-    rest: list = []
+def listed(node: Node, out: Lines, visible: bool, depth: int, level: int) -> None:
+    numbers, rest = [node.tag, _first(node)], []
 
     def flush() -> None:
         if rest:
             loose = Node("div", {})
             loose.children = list(rest)
             rest.clear()
-            out.block(_inner(loose, visible, False, depth + 1), "  ")
+            out.block(_inner(loose, visible, False, depth + 1, level), "  ")
 
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
@@ -366,41 +376,42 @@ def listed(node: Node, out: Lines, visible: bool, depth: int) -> None:
         gone, own = hidden(child)
         if gone:
             continue
-        if node.tag == "ol":
-            value = _number(child.attributes.get("value"))
-            count = count if value is None else value
-            marker, count = f"{count}. ", count + 1
-        else:
-            marker = BULLETS[min(depth, 2)] + " "
-        lines = _inner(child, visible if own is None else own, False, depth + 1)
-        out.block(lines, " " * len(marker), marker)
+        marker = _marker(numbers, child, depth)
+        out.block(_inner(child, visible if own is None else own, False, depth + 1, level), " " * len(marker), marker)
     flush()
 
 
 def _rows(node: Node, visible: bool, captions: list[tuple[Node, bool]], loose: list) -> Iterator[tuple[Node, bool]]:
-    for child in node.children:
-        if isinstance(child, str):
-            loose.append(child)
-            continue
-        gone, own = hidden(child)
-        if gone:
-            continue
-        seen = visible if own is None else own
-        if child.tag == "tr":
-            yield child, seen
-        elif child.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(child, seen, captions, loose)
-        elif child.tag == "caption":
-            captions.append((child, seen))
+    stack = [(iter(node.children), visible)]
+    while stack:
+        children, visible = stack[-1]
+        for child in children:
+            if isinstance(child, str):
+                loose.append(child)
+                continue
+            gone, own = hidden(child)
+            if gone:
+                continue
+            seen = visible if own is None else own
+            if child.tag == "tr":
+                yield child, seen
+            elif child.tag in ("thead", "tbody", "tfoot"):
+                stack.append((iter(child.children), seen))
+                break
+            elif child.tag == "caption":
+                captions.append((child, seen))
+            else:
+                loose.append(child)
         else:
-            loose.append(child)
+            stack.pop()
 
 
-def table(node: Node, visible: bool, depth: int) -> list[str]:
+def table(node: Node, visible: bool, depth: int, level: int) -> list[str]:
     """Captions and stray content first, then the rows with their cells in columns."""
     captions: list[tuple[Node, bool]] = []
     loose: list = []
     grid: list[dict[int, list[str]]] = []
+    over: set[tuple[int, int]] = set()  # cells over several columns
     taken: dict[int, int] = {}  # columns that a cell from above still fills, and for how many rows
     for row, seen in _rows(node, visible, captions, loose):
         cells, column, below = {}, 0, {c: k - 1 for c, k in taken.items() if k > 1}
@@ -413,8 +424,10 @@ def table(node: Node, visible: bool, depth: int) -> list[str]:
                 continue
             while column in taken:
                 column += 1
-            cells[column] = _inner(cell, seen if own is None else own, False, depth)
             wide, high = (max(1, min(_number(cell.attributes.get(k)) or 1, most)) for k, most in (("colspan", 1000), ("rowspan", 65_534)))
+            cells[column] = _inner(cell, seen if own is None else own, False, depth, level)
+            if wide > 1:
+                over.add((len(grid), column))
             if high > 1:
                 below.update({c: high - 1 for c in range(column, column + wide)})
             column += wide
@@ -422,13 +435,13 @@ def table(node: Node, visible: bool, depth: int) -> list[str]:
         grid.append(cells)
     stray = Node("div", {})
     stray.children = loose
-    out = _inner(stray, visible, False, depth)
+    out = _inner(stray, visible, False, depth, level)
     for caption, seen in captions:
-        out += _inner(caption, seen, False, depth)
+        out += _inner(caption, seen, False, depth, level)
     widths: dict[int, int] = {}
-    for cells in grid:
+    for r, cells in enumerate(grid):
         for c, lines in cells.items():
-            widths[c] = max(widths.get(c, 0), *(min(len(x), CELL_WIDTH) for x in lines), 0)
+            widths[c] = max(widths.get(c, 0), *((1 if (r, c) in over else min(len(x), CELL_WIDTH)) for x in lines if x), 0)
     shown = [c for c in sorted(widths) if widths[c]]
     for cells in grid:
         for i in range(max([len(x) for x in cells.values()], default=0)):

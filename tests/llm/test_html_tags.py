@@ -2,8 +2,9 @@ import time
 
 import pytest
 
-from tallyspark.llm.html_text import MAX_DEPTH, extract
+from tallyspark.llm.html_text import NESTED, extract
 
+MAX_DEPTH = 150
 DEEP = "<div>" * (MAX_DEPTH + 50)
 
 
@@ -31,3 +32,19 @@ def test_odd_tags_stay_linear():
     for piece in ("<a \"", "<a b='", "<a =", "<p><table>", "<p>" + "<b>" * 9, "</a b=\"", "<a b = ", "<i hidden>"):
         extract(piece * 5_000)
     assert time.time() - began < 20
+
+
+def test_any_depth():
+    for depth in (10, 200, 3000):
+        div = "<div>" * depth
+        assert extract(f"{div}<p hidden>secret</p>seen") == "seen"
+        assert extract(f"{div}<ul><li>x<li>ok</ul>") == "* x\n* ok"
+        assert extract(f"{div}<table><tr><td>a<td>b<tr><td>ccc<td>d</table>") == "a    b\nccc  d"
+    lists = extract("<ol><li>x" * (NESTED + 20)).split("\n")
+    assert [x.strip() for x in lists] == ["1. x"] * (NESTED + 20) and lists[1].startswith("   1.")
+    flat = extract("<blockquote>" * (NESTED + 5) + "<ol start=3><li>a<li></li><li value=9>b<li>c</ol><ul><li>d</ul>end").split("\n")
+    assert [x.strip() for x in flat if x.strip()] == ["3. a", "9. b", "10. c", "* d", "end"]
+    began = time.time()
+    for piece in ("<b>", "<div>x", "<blockquote>x", "<ul><li>x", "<table><tr><td>x", "<q>", "<thead>"):
+        assert extract(piece * 30_000).count("x") == 30_000 * piece.count("x")
+    assert time.time() - began < 30
