@@ -116,7 +116,7 @@ def read_png(data: bytes) -> np.ndarray:
         raise MediaError("not a whole 8-bit grey image")
     w, h = header[:2]
     try:
-        raw = zlib.decompress(b"".join(packed))
+        raw = zlib.decompressobj().decompress(b"".join(packed), h * (w + 1) + 1)  # no more than the header promises
     except zlib.error as e:
         raise MediaError(str(e)) from e
     if len(raw) != h * (w + 1):
@@ -165,11 +165,24 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return common.documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the images of each have at most `most` samples by their headers, or are one."""
+    for batch in common.pieces(batches, "media", 1 << 20):
+        sizes = [int.from_bytes(x[16:20], "big") * int.from_bytes(x[20:24], "big") for x in batch.column("media").to_pylist()]
+        start = size = 0
+        for i, n in enumerate(sizes):
+            if i > start and size + n > most:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        yield batch.slice(start)
+
+
 def load(df: DataFrame) -> DataFrame:
     """Rows of store() with payload (the samples read back), crc (of the last 64, unsigned) and phash (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, "media", 1 << 20):
+        for batch in unpacked(batches):
             images = [read_png(x) for x in batch.column("media").to_pylist()]
             payloads = [x.tobytes() for x in images]
             yield pa.RecordBatch.from_arrays(
