@@ -215,3 +215,19 @@ def html_text(value: Column) -> Column:
     for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(text)
+
+
+def threshold(value: Column, default: float = 0.4) -> Column:
+    """A matching threshold between 0.1 and 1, else the default."""
+    number = value.cast("double")
+    return F.when(number.between(0.1, 1), number).otherwise(F.lit(default))
+
+
+def joined_statement(texts: Column, units: int = 12_000) -> Column:
+    """Distinct statements (an array) joined in order, up to so many characters: the field that search looks into."""
+    return F.substring(F.array_join(F.array_sort(F.array_distinct(texts)), " "), 1, units)
+
+
+def video_query(title: Column, number: Column, platform: str) -> Column:
+    """What to look for a solution's video by: the platform's number where there is one, the title, and 'solution'."""
+    return F.concat_ws(" ", F.when(number.isNotNull(), F.concat(F.lit(platform + " "), number.cast("string"))), title, F.lit("solution"))

@@ -58,3 +58,19 @@ def month_days(first: Column) -> Column:
 
 def heat_level(count: Column) -> Column:
     return F.when(count <= 0, 0).when(count < 3, 1).when(count < 6, 2).when(count < 10, 3).otherwise(4)
+
+
+def chart_scale(ts: Column, value: Column) -> list[Column]:
+    """Aggregates of a chart: its first and last instant in milliseconds, and its top, the next hundred above the greatest value, 100 at least."""
+    top = F.greatest(F.lit(100), F.ceil(F.greatest(F.lit(0.0), F.max(value)) / 100) * 100).cast("long")
+    return [F.unix_millis(F.min(ts)).alias("first_ms"), F.unix_millis(F.max(ts)).alias("last_ms"), top.alias("top")]
+
+
+def reminder_key(contest: Column, start: Column, minutes: Column) -> Column:
+    """The name of a contest's alarm: it changes when the contest is moved."""
+    return F.concat_ws(":", F.lit("contest"), contest.cast("string"), F.unix_millis(start).cast("string"), minutes.cast("string"))
+
+
+def daily_key(platform: Column, handle: Column) -> Column:
+    """Where an account's daily status is kept; handles in any case are one."""
+    return F.concat_ws(":", F.lit("done"), platform, F.lower(handle))

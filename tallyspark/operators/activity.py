@@ -115,3 +115,71 @@ def last_rating(points: DataFrame) -> DataFrame:
 def recent_keys(records: DataFrame, n: int = 12) -> DataFrame:
     """The newest n distinct keys."""
     return records.groupBy("key").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "key").limit(n)
+
+
+def is_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """rows with done: whether their key is in the table of done keys."""
+    return rows.join(done.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("done", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def last_wins(records: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """The columns of each key's last record in the order."""
+    return records.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last")).select(key, "_last.*")
+
+
+def solved_total(solved: DataFrame, recent: DataFrame) -> DataFrame:
+    """How many keys are solved for certain: those of provider-dated solves and of recent accepts."""
+    return solved.select("key").unionByName(recent.select("key")).agg(F.countDistinct("key").alias("n"))
+
+
+def sync_summary(accounts: DataFrame) -> DataFrame:
+    """The oldest sync and the platforms; one row, as accounts are few."""
+    return accounts.agg(F.min("synced_at").alias("oldest"), F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"))
+
+
+def valid_records(records: DataFrame, *more: Column) -> DataFrame:
+    """Records with an id, a key and an instant after 1970, and what else is asked of them."""
+    sound = F.col("id").isNotNull() & (F.col("id").cast("string") != "") & F.col("key").isNotNull() & (F.col("ts") > F.timestamp_seconds(F.lit(0)))
+    for condition in more:
+        sound = sound & condition
+    return records.filter(F.coalesce(sound, F.lit(False)))
+
+
+def rated_in(points: DataFrame, year: int, zone: str) -> DataFrame:
+    """Finite ratings after 1970 within a local year."""
+    return points.filter(F.col("rating").isNotNull() & ~F.isnan("rating") & (F.col("ts") > F.timestamp_seconds(F.lit(0))) & (F.year(F.from_utc_timestamp("ts", zone)) == year))
+
+
+def daily_solved(targets: DataFrame, records: DataFrame, day: Column, local_day: Column) -> DataFrame:
+    """The daily problems (key) accepted on exactly their provider's day."""
+    return targets.select("key").distinct().join(records.filter(local_day == day).select("key"), "key", "left_semi")
+
+
+def stale(accounts: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """Accounts last tried that long ago, or never."""
+    return accounts.filter(F.col("attempted").isNull() | (F.unix_seconds(now) - F.unix_seconds("attempted") >= minutes * 60))
+
+
+def count_of(text: Column) -> Column:
+    """A count in a source's record: whole and not below 0; anything else is 0."""
+    return F.greatest(F.lit(0).cast("long"), F.coalesce(F.when(text.rlike(r"^-?\d{1,18}$"), text.cast("long")), F.lit(0).cast("long")))
+
+
+def exported(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, json: each row as a JSON object."""
+    return df.select(key, F.to_json(F.struct(*columns)).alias("json"))
+
+
+def fenced(events: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """Events of the generation that their account (key, generation) has now; those of earlier ones are dropped."""
+    return events.join(current.select(key, "generation"), [key, "generation"])
+
+
+def sticky(records: DataFrame, by: list[str], done: Column) -> DataFrame:
+    """by, done: once done within a key stays done."""
+    return records.groupBy(*by).agg(F.bool_or(F.coalesce(done, F.lit(False))).alias("done"))
+
+
+def day_badges(records: DataFrame, zone: str) -> DataFrame:
+    """day, n: distinct problems of each local day, as the badge shows them."""
+    return records.groupBy(record_day(zone).alias("day")).agg(F.countDistinct("key").alias("n"))

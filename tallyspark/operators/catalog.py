@@ -155,3 +155,51 @@ def audit(current: DataFrame, ledger: DataFrame) -> DataFrame:
     both = current.select("id", F.col("pin").alias("now"), F.lit(True).alias("here")).join(ledger.select("id", "pin", "status", F.lit(True).alias("seen")), "id", "full_outer")
     state = F.when(F.col("here").isNull(), "removed-source").when(F.col("seen").isNull(), "new-source").when(~F.col("now").eqNullSafe(F.col("pin")), "changed-source").otherwise(F.col("status"))
     return both.select("id", state.alias("state"))
+
+
+def question_titles(members: DataFrame, order: list[str]) -> DataFrame:
+    """grp, title: the first member's title in the order. members: grp, title and more."""
+    return members.groupBy("grp").agg(F.min_by("title", F.struct(*order)).alias("title"))
+
+
+def aliases(members: DataFrame, *names: str) -> DataFrame:
+    """grp, aliases: every name a question ever had, sorted."""
+    held = F.collect_set(names[0])
+    for name in names[1:]:
+        held = F.array_union(held, F.collect_set(name))
+    return members.groupBy("grp").agg(F.array_sort(held).alias("aliases"))
+
+
+def ambiguous(members: DataFrame, alias: str, question: str) -> DataFrame:
+    """alias, n: names that lead to several questions."""
+    return members.groupBy(F.col(alias).alias("alias")).agg(F.countDistinct(question).alias("n")).filter("n > 1")
+
+
+def interned(df: DataFrame, text: str, ref: str = "ref") -> tuple[DataFrame, DataFrame]:
+    """df with a reference in place of the text, and the texts (ref, text), once each."""
+    key = F.sha2(F.col(text), 256)
+    return df.withColumn(ref, key).drop(text), df.select(key.alias(ref), F.col(text).alias("text")).filter(F.col(ref).isNotNull()).dropDuplicates([ref])
+
+
+def with_texts(df: DataFrame, texts: DataFrame, ref: str = "ref") -> DataFrame:
+    """df with the texts its references stand for; a reference without a text gives null."""
+    return df.join(texts, ref, "left")
+
+
+def schema_faults(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """One row: how many rows break any rule (bad), of how many (n). A rule that is null is broken."""
+    sound = F.lit(True)
+    for rule in rules.values():
+        sound = sound & F.coalesce(rule, F.lit(False))
+    return df.agg(F.count_if(~sound).alias("bad"), F.count("*").alias("n"))
+
+
+def names_of(df: DataFrame, by: str, name: str) -> DataFrame:
+    """by, names: the distinct names of each key, sorted."""
+    return df.groupBy(by).agg(F.array_sort(F.collect_set(name)).alias("names"))
+
+
+def grouped_pairs(groups: DataFrame) -> DataFrame:
+    """left_id, right_id: all pairs of members of each group (id, grp). Their number grows with the square of a group; nothing else here needs them."""
+    a, b = groups.select(F.col("id").alias("left_id"), "grp"), groups.select(F.col("id").alias("right_id"), "grp")
+    return a.join(b, "grp").filter("left_id < right_id").select("left_id", "right_id")

@@ -109,3 +109,69 @@ def solve_links(versions: DataFrame) -> DataFrame:
     """A row for each group and platform: a version that matched the filter if there is one, and whether any version is done."""
     pick = F.min_by("key", F.struct(~F.col("matched"), "pos"))
     return versions.groupBy("canonical_id", "platform").agg(pick.alias("key"), F.bool_or("done").alias("done"))
+
+
+def corpus(parts: dict[str, DataFrame]) -> DataFrame:
+    """source, id, title of several bundled tables (id, title)."""
+    out = None
+    for source, df in parts.items():
+        own = df.select(F.lit(source).alias("source"), F.col("id").cast("long").alias("id"), "title")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def complete(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have all the columns."""
+    return df.dropna(subset=list(columns))
+
+
+def list_counts(df: DataFrame, lists: str) -> DataFrame:
+    """list, n: how many rows are in each list of an array column."""
+    return df.select(F.explode(lists).alias("list")).groupBy("list").agg(F.count("*").alias("n"))
+
+
+def row_actions(df: DataFrame, solved: DataFrame, starred: Column, lists: Column) -> DataFrame:
+    """grp, solved, starred, lists: over the versions of each question, whether any is solved or starred, and how many different lists they are in."""
+    rows = df.join(solved.select("key").distinct().withColumn("_hit", F.lit(True)), "key", "left")
+    return rows.groupBy(F.coalesce("canonical_id", "key").alias("grp")).agg(F.bool_or(F.col("_hit").isNotNull()).alias("solved"), F.bool_or(F.coalesce(starred, F.lit(False))).alias("starred"), F.countDistinct(lists).alias("lists"))
+
+
+def by_source(df: DataFrame) -> DataFrame:
+    """platform, n of a result."""
+    return df.groupBy("platform").agg(F.count("*").alias("n"))
+
+
+def corpus_counts(df: DataFrame) -> DataFrame:
+    """One row: all rows, questions counted once over their versions, platforms."""
+    return df.agg(F.count("*").alias("total"), F.countDistinct(F.coalesce("canonical_id", "key")).alias("unique_questions"), F.countDistinct("platform").alias("platforms"))
+
+
+def ordered_platforms(saved: Column, known: Column) -> Column:
+    """The saved order without platforms that are not known (any more), then the others."""
+    return F.filter(F.array_distinct(F.concat(saved, known)), lambda x: F.array_contains(known, x))
+
+
+def migrated_lists(given: Column, known: Column) -> Column:
+    """Lists of an old bookmark: those that are known, once each; a bookmark from before lists is starred."""
+    return F.when(given.isNotNull(), F.filter(F.array_distinct(given), lambda x: F.array_contains(known, x))).otherwise(F.array(F.lit("saved")))
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    """Questions with a difficulty and distinct topics."""
+    return df.withColumn("difficulty", F.coalesce("difficulty", F.lit("Unknown"))).withColumn("topics", F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))))
+
+
+def random_pick(df: DataFrame, key: str, seed: str, last: int | str | None = None) -> DataFrame:
+    """One row, drawn by a hash of the seed and the key; never the last one drawn. The same seed draws the same row."""
+    rest = df if last is None else df.filter(F.col(key) != last)
+    return rest.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(1)
+
+
+def runtime_projection(df: DataFrame) -> DataFrame:
+    """canonical_id, versions of questions that have several."""
+    return df.filter("canonical_id IS NOT NULL").groupBy("canonical_id").agg(F.count("*").alias("versions")).filter("versions > 1")
+
+
+def clashing_names(lists: DataFrame, name: str) -> DataFrame:
+    """name, n: names that several lists share, case aside."""
+    return lists.groupBy(F.lower(name).alias("name")).agg(F.count("*").alias("n")).filter("n > 1")

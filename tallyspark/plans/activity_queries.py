@@ -93,8 +93,8 @@ def f04(t):
 
 @R.add("a06_question_is_done", "SELECT c_custkey, EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey) AS done FROM customer")
 def a06(t):
-    solved = t("events").select(F.col("user_id").alias("k")).distinct()
-    return t("customer").join(solved, F.col("c_custkey") == F.col("k"), "left").select("c_custkey", F.col("k").isNotNull().alias("done"))
+    done = t("events").select(F.col("user_id").alias("c_custkey"))
+    return A.is_done(t("customer").select("c_custkey"), done, "c_custkey")
 
 
 @R.add("a13_heatmap_summary", f"WITH {DAILY} SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS days FROM a01 WHERE year(day) = {YEAR} AND day <= DATE '{TODAY}' AND n > 0")
@@ -109,8 +109,7 @@ def j16(t):
 
 @R.add("a23_last_wins", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def a23(t):
-    e = t("events")
-    return e.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*")
+    return A.last_wins(t("events"), "user_id", ["ts", "event_id"], ["event_id", "event_type"])
 
 
 @R.add("w02_latest_per_key", f"WITH {BASE} SELECT key, id, ts FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, id) = 1")
@@ -148,7 +147,8 @@ def w07(t):
 
 @R.add("f12_rating_filter", f"WITH {BASE} SELECT platform, count(*) AS n FROM r WHERE value > 1 AND year((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Kolkata') = {YEAR} GROUP BY 1")
 def f12(t):
-    return records(t).filter((F.col("value") > 1) & ~F.isnan("value") & (F.year(F.from_utc_timestamp("ts", ZONE)) == YEAR)).groupBy("platform").agg(F.count("*").alias("n"))
+    points = records(t).filter(F.col("value") > 1).withColumn("rating", F.col("value"))
+    return A.rated_in(points, YEAR, ZONE).groupBy("platform").agg(F.count("*").alias("n"))
 
 
 @R.add("k09_recent_keys", f"WITH {BASE} SELECT key, max(ts) AS ts FROM r GROUP BY key ORDER BY 2 DESC, 1 LIMIT 12")
@@ -164,23 +164,23 @@ def k16(t):
 @R.add("a24_solved_total", f"WITH {BASE} SELECT count(*) AS n FROM (SELECT key FROM r WHERE {SOLVED} UNION SELECT key FROM r WHERE {RECENT} AND value > 50)")
 def a24(t):
     r = records(t)
-    return r.filter(SOLVED).select("key").union(r.filter(f"{RECENT} AND value > 50").select("key")).distinct().agg(F.count("*").alias("n"))
+    return A.solved_total(r.filter(SOLVED), r.filter(f"{RECENT} AND value > 50"))
 
 
 @R.add("a25_sync_summary", f"WITH {BASE} SELECT min(synced_at) AS oldest, string_agg(platform, ',' ORDER BY platform) AS platforms FROM acc")
 def a25(t):
-    return accounts(t).agg(F.min("synced_at").alias("oldest"), F.array_join(F.array_sort(F.collect_list("platform")), ",").alias("platforms"))
+    return A.sync_summary(accounts(t))
 
 
 @R.add("f11_record_validity", "SELECT count(*) AS n FROM events WHERE event_id > 0 AND user_id IS NOT NULL AND epoch(ts) > 0 AND value > 0.5")
 def f11(t):
-    return t("events").filter("event_id > 0 AND user_id IS NOT NULL AND ts > timestamp_seconds(0) AND value > 0.5").agg(F.count("*").alias("n"))
+    rows = t("events").select(F.when(F.col("event_id") > 0, F.col("event_id")).alias("id"), F.col("user_id").alias("key"), "ts", "value")
+    return A.valid_records(rows, F.col("value") > 0.5).agg(F.count("*").alias("n"))
 
 
 @R.add("f21_daily_solved", f"WITH {BASE} SELECT DISTINCT key FROM r WHERE platform = 'click' AND CAST(ts AS DATE) = DATE '{TODAY}'")
 def f21(t):
-    target = records(t).select("key").distinct().filter("key LIKE 'click:%'")
-    return target.join(records(t).filter(F.to_date("ts") == today()).select("key"), "key", "left_semi")
+    return A.daily_solved(records(t).filter("key LIKE 'click:%'"), records(t), today(), F.to_date("ts"))
 
 
 @R.add("ts01_merge_snapshot", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS seen FROM events GROUP BY user_id")
@@ -188,36 +188,37 @@ def ts01(t):
     """Keyed upsert of two snapshots, the later record of a key wins; the streaming twin is tested against this."""
     e = t("events")
     merged = e.filter("event_id % 2 = 0").unionByName(e.filter("event_id % 2 = 1"))
-    return merged.groupBy("user_id").agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("seen"))
+    seen = merged.groupBy("user_id").agg(F.count("*").alias("seen"))
+    return A.last_wins(merged, "user_id", ["ts", "event_id"], ["ts", "event_id"]).join(seen, "user_id")
 
 
 @R.add("ts02_sticky_daily", "SELECT user_id, CAST(ts AS DATE) AS day, bool_or(value > 80) AS done FROM events GROUP BY 1, 2")
 def ts02(t):
-    return t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.bool_or(F.col("value") > 80).alias("done"))
+    return A.sticky(t("events").withColumn("day", F.to_date("ts")), ["user_id", "day"], F.col("value") > 80)
 
 
 @R.add("ts13_badge", f"WITH {BASE} SELECT day, count(DISTINCT key) AS n FROM r GROUP BY day")
 def ts13(t):
-    return records(t).groupBy(A.record_day(ZONE).alias("day")).agg(F.countDistinct("key").alias("n"))
+    return A.day_badges(records(t), ZONE)
 
 
 @R.add("ts21_stale_scan", "SELECT event_type, max(ts) AS attempted FROM events GROUP BY 1 HAVING epoch(TIMESTAMP '2024-01-31 00:20:00' - max(ts)) >= 1800")
 def ts21(t):
-    return t("events").groupBy("event_type").agg(F.max("ts").alias("attempted")).filter("unix_seconds(timestamp'2024-01-31 00:20:00') - unix_seconds(attempted) >= 1800")
+    return A.stale(t("events").groupBy("event_type").agg(F.max("ts").alias("attempted")), F.lit("2024-01-31 00:20:00").cast("timestamp"))
 
 
 @R.add("p40_source_record", "SELECT event_type || ':' || event_id AS id, event_type || ':' || user_id AS key, greatest(0, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0)) AS n FROM events")
 def p40(t):
-    n = F.greatest(F.lit(0), F.coalesce(F.try_to_number(F.get_json_object("props", "$.k"), F.lit("999999999")).cast("long"), F.lit(0))).cast("long")
+    n = A.count_of(F.get_json_object("props", "$.k"))
     return t("events").select(F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("id"), F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), n.alias("n"))
 
 
 @R.add("ks07_json_export", """SELECT user_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS json FROM events""")
 def ks07(t):
-    return t("events").select("user_id", F.to_json(F.struct("event_id", "event_type")).alias("json"))
+    return A.exported(t("events"), "user_id", ["event_id", "event_type"])
 
 
 @R.add("ts05_generation_fence", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 5 = length(event_type) % 5 GROUP BY 1")
 def ts05(t):
     current = t("events").select("event_type").distinct().withColumn("generation", (F.length("event_type") % 5).cast("long"))
-    return t("events").withColumn("generation", F.col("event_id") % 5).join(F.broadcast(current), ["event_type", "generation"]).groupBy("event_type").agg(F.count("*").alias("n"))
+    return A.fenced(t("events").withColumn("generation", F.col("event_id") % 5), current, "event_type").groupBy("event_type").agg(F.count("*").alias("n"))
\ No newline at end of file

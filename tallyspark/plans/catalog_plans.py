@@ -51,8 +51,7 @@ def p41(t):
 
 @R.add("j23_pairs_in_groups", f"WITH {EXACT} SELECT a.id AS left_id, b.id AS right_id FROM g a JOIN g b ON a.grp = b.grp AND a.id < b.id")
 def j23(t):
-    g = a18(t)
-    return g.alias("a").join(g.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    return C.grouped_pairs(a18(t))
 
 
 @R.add("f01_quarantine", "SELECT page_id, CASE WHEN url LIKE '%?%' THEN 'query' WHEN url NOT LIKE 'https://%' THEN 'unsafe' END AS reason FROM pages")
@@ -63,9 +62,8 @@ def f01(t):
 
 @R.add("j01_text_join", "SELECT source, count(DISTINCT text) AS texts, count(*) AS n FROM documents GROUP BY source")
 def j01(t):
-    texts = t("documents").select(F.sha2("text", 256).alias("ref"), "text").dropDuplicates(["ref"])
-    rows = t("documents").select("source", F.sha2("text", 256).alias("ref"))
-    return rows.join(texts, "ref", "left").groupBy("source").agg(F.countDistinct("text").alias("texts"), F.count("*").alias("n"))
+    rows, texts = C.interned(t("documents").select("source", "text"), "text")
+    return C.with_texts(rows, texts).groupBy("source").agg(F.countDistinct("text").alias("texts"), F.count("*").alias("n"))
 
 
 @R.add("j10_reviewed_groups", "SELECT 'g' || (doc_id % 20) AS group_id, CAST(doc_id AS VARCHAR) AS member, bool_or(toxic = 1) OVER (PARTITION BY doc_id % 20) AS stale FROM labels")
@@ -96,12 +94,13 @@ def i02_old(t):
 
 @R.add("i03_question_titles", "SELECT p_brand, arg_min(p_name, (p_size, p_partkey)) AS title FROM part GROUP BY 1")
 def i03(t):
-    return t("part").groupBy("p_brand").agg(F.min_by("p_name", F.struct("p_size", "p_partkey")).alias("title"))
+    members = t("part").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("title"), "p_size", "p_partkey")
+    return C.question_titles(members, ["p_size", "p_partkey"]).withColumnRenamed("grp", "p_brand")
 
 
 @R.add("i04_alias_union", "SELECT p_brand, string_agg(a, ',' ORDER BY a) AS aliases FROM (SELECT DISTINCT p_brand, unnest([p_name, p_type]) AS a FROM part) GROUP BY 1")
 def i04(t):
-    return t("part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("p_name"), F.collect_set("p_type"))), ",").alias("aliases"))
+    return C.aliases(t("part").withColumn("grp", F.col("p_brand")), "p_name", "p_type").select(F.col("grp").alias("p_brand"), F.array_join("aliases", ",").alias("aliases"))
 
 
 BEFORE = "SELECT CAST(p_partkey AS VARCHAR) AS id, p_brand AS old_id, CASE WHEN p_brand < 'Brand#3' THEN p_type ELSE 'n' || left(p_brand, 7) END AS question_id FROM part"
@@ -119,7 +118,7 @@ def i05(t):
 
 @R.add("i06_ambiguous_aliases", "SELECT p_name AS alias, count(DISTINCT p_brand) AS n FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def i06(t):
-    return t("part").groupBy(F.col("p_name").alias("alias")).agg(F.countDistinct("p_brand").alias("n")).filter("n > 1")
+    return C.ambiguous(t("part"), "p_name", "p_brand")
 
 
 @R.add("j19_redirect_chains", "WITH RECURSIVE r AS (SELECT n_nationkey AS old_id, n_nationkey // 2 AS target FROM nation WHERE n_nationkey > 1), c AS (SELECT old_id, target FROM r UNION ALL SELECT c.old_id, r.target FROM c JOIN r ON c.target = r.old_id) SELECT old_id, min(target) AS target FROM c GROUP BY 1")
@@ -166,7 +165,7 @@ def p45(t):
 
 @R.add("u03_distinct_union", "SELECT s_nationkey, string_agg(DISTINCT s_name, ',' ORDER BY s_name) AS names FROM supplier GROUP BY 1")
 def u03(t):
-    return t("supplier").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_set("s_name")), ",").alias("names"))
+    return C.names_of(t("supplier"), "s_nationkey", "s_name").withColumn("names", F.array_join("names", ","))
 
 
 @R.add("s04_input_hashes", None)
@@ -180,5 +179,4 @@ def s04(t):
 
 @R.add("f16_schema_checks", "SELECT count(*) FILTER (o_totalprice < 0 OR o_orderkey IS NULL OR o_orderstatus NOT IN ('F', 'O', 'P')) AS bad, count(*) AS n FROM orders")
 def f16(t):
-    bad = (F.col("o_totalprice") < 0) | F.col("o_orderkey").isNull() | ~F.col("o_orderstatus").isin("F", "O", "P")
-    return t("orders").agg(F.count_if(bad).alias("bad"), F.count("*").alias("n"))
+    return C.schema_faults(t("orders"), {"price": F.col("o_totalprice") >= 0, "id": F.col("o_orderkey").isNotNull(), "status": F.col("o_orderstatus").isin("F", "O", "P")})
\ No newline at end of file

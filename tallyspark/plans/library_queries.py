@@ -104,7 +104,7 @@ def a11(t):
 
 @R.add("a12_list_counts", f"WITH {LIB} SELECT topic AS list, count(*) AS n FROM (SELECT unnest(topics) AS topic FROM l) GROUP BY 1")
 def a12(t):
-    return lib(t).select(F.explode("topics").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
+    return L.list_counts(lib(t), "topics")
 
 
 @R.add("a28_solve_links", f"WITH {LIB} SELECT canonical_id, platform, arg_min(key, (CASE WHEN difficulty = 'Hard' THEN 0 ELSE 1 END, pos)) AS key, bool_or(key IN ({SOLVED})) AS done FROM l WHERE canonical_id IS NOT NULL GROUP BY 1, 2")
@@ -115,19 +115,17 @@ def a28(t):
 
 @R.add("a29_row_actions", f"WITH {LIB} SELECT {G} AS grp, bool_or(key IN ({SOLVED})) AS solved, bool_or(id % 10 = 0) AS starred, count(DISTINCT difficulty) AS lists FROM l GROUP BY 1")
 def a29(t):
-    rows = lib(t).join(solved(t).distinct().withColumn("hit", F.lit(True)), "key", "left")
-    return rows.groupBy(F.coalesce("canonical_id", "key").alias("grp")).agg(F.bool_or(F.col("hit").isNotNull()).alias("solved"), F.bool_or(F.col("id") % 10 == 0).alias("starred"), F.countDistinct("difficulty").alias("lists"))
+    return L.row_actions(lib(t), solved(t), F.col("id") % 10 == 0, F.col("difficulty"))
 
 
 @R.add("a31_results_by_source", f"WITH {LIB}, c AS (SELECT platform, count(*) AS n FROM l WHERE difficulty = 'Hard' GROUP BY 1) SELECT platform, n, row_number() OVER (ORDER BY n DESC, platform) AS rank FROM c")
 def a31(t):
-    counts = lib(t).filter("difficulty = 'Hard'").groupBy("platform").agg(F.count("*").alias("n"))
-    return numbered(counts, [F.desc("n"), F.asc("platform")], "rank")
+    return numbered(L.by_source(lib(t).filter("difficulty = 'Hard'")), [F.desc("n"), F.asc("platform")], "rank")
 
 
 @R.add("a32_corpus_counts", f"WITH {LIB} SELECT count(*) AS total, count(DISTINCT {G}) AS unique_questions, count(DISTINCT platform) AS platforms FROM l")
 def a32(t):
-    return lib(t).agg(F.count("*").alias("total"), F.countDistinct(F.coalesce("canonical_id", "key")).alias("unique_questions"), F.countDistinct("platform").alias("platforms"))
+    return L.corpus_counts(lib(t))
 
 
 @R.add("f18_j05_attach_catalog", f"WITH {LIB}, v AS (SELECT canonical_id, key, title, platform, id FROM l WHERE canonical_id IS NOT NULL), g AS (SELECT canonical_id FROM v GROUP BY 1 HAVING count(*) >= 2 AND bool_and(id % 97 <> 5 AND platform <> 'Brand#11')) SELECT l.key, CASE WHEN l.canonical_id IN (SELECT canonical_id FROM g) THEN l.canonical_id END AS canonical_id FROM l")
@@ -140,22 +138,21 @@ def f18(t):
 
 @R.add("p46_platform_order", "SELECT p_brand AS platform, row_number() OVER (ORDER BY CASE p_brand WHEN 'Brand#23' THEN 0 WHEN 'Brand#12' THEN 1 ELSE 2 END, p_brand) AS place FROM (SELECT DISTINCT p_brand FROM part)")
 def p46(t):
-    saved, all_ = F.array(F.lit("Brand#23"), F.lit("Brand#12"), F.lit("gone")), F.array_sort(F.collect_set("p_brand"))
-    order = t("part").agg(all_.alias("d")).select(F.filter(F.array_distinct(F.concat(saved, "d")), lambda x: F.array_contains("d", x)).alias("o"))
-    return order.select(F.posexplode("o").alias("p", "platform")).select("platform", (F.col("p") + 1).cast("long").alias("place"))
+    saved = F.array(F.lit("Brand#23"), F.lit("Brand#12"), F.lit("gone"))
+    order = t("part").agg(F.array_sort(F.collect_set("p_brand")).alias("d")).select(F.posexplode(L.ordered_platforms(saved, F.col("d"))).alias("p", "platform"))
+    return order.select("platform", (F.col("p") + 1).cast("long").alias("place"))
 
 
 @R.add("p47_state_migration", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'saved' WHEN p_size % 3 = 1 THEN 'saved,custom' ELSE '' END AS lists FROM part")
 def p47(t):
     given = F.expr("CASE p_size % 3 WHEN 1 THEN array('saved', 'gone', 'custom', 'saved') WHEN 2 THEN array('gone') END")
-    known = F.array(F.lit("saved"), F.lit("custom"))
-    kept = F.when(given.isNotNull(), F.filter(F.array_distinct(given), lambda x: F.array_contains(known, x))).otherwise(F.array(F.lit("saved")))
-    return t("part").select("p_partkey", F.array_join(kept, ",").alias("lists"))
+    return t("part").select("p_partkey", F.array_join(L.migrated_lists(given, F.array(F.lit("saved"), F.lit("custom"))), ",").alias("lists"))
 
 
 @R.add("p48_question_defaults", f"WITH {LIB} SELECT id, coalesce(CASE WHEN id % 5 > 0 THEN difficulty END, 'Unknown') AS difficulty, len(list_distinct(topics)) AS n_topics FROM l")
 def p48(t):
-    return lib(t).select("id", F.coalesce(F.when(F.col("id") % 5 > 0, F.col("difficulty")), F.lit("Unknown")).alias("difficulty"), F.size(F.array_distinct("topics")).cast("long").alias("n_topics"))
+    rows = L.with_defaults(lib(t).withColumn("difficulty", F.when(F.col("id") % 5 > 0, F.col("difficulty"))))
+    return rows.select("id", "difficulty", F.size("topics").cast("long").alias("n_topics"))
 
 
 @R.add("s02_library_scan", f"WITH {LIB} SELECT id, {NORMAL.format('title')} AS normal, difficulty FROM l WHERE platform LIKE 'Brand#1%' AND title IS NOT NULL")
@@ -165,24 +162,22 @@ def s02(t):
 
 @R.add("s03_popup_scan", "SELECT page_id, url FROM pages WHERE url IS NOT NULL AND html IS NOT NULL")
 def s03(t):
-    return t("pages").filter("url IS NOT NULL AND html IS NOT NULL").select("page_id", "url")
+    return L.complete(t("pages"), "url", "html").select("page_id", "url")
 
 
 @R.add("s01_corpus_scan", "SELECT 'part' AS source, CAST(p_partkey AS BIGINT) AS id, p_name AS title FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
 def s01(t):
-    part = t("part").select(F.lit("part").alias("source"), F.col("p_partkey").cast("long").alias("id"), F.col("p_name").alias("title"))
-    return part.unionByName(t("supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("title")))
+    return L.corpus({"part": t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "supplier": t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))})
 
 
-@R.add("k12_random_pick", None)
+@R.add("k12_random_pick", f"WITH {LIB} SELECT id, title FROM l WHERE id <> 7 ORDER BY md5('11|' || id), id LIMIT 1")
 def k12(t):
-    """A seeded pick that does not repeat the last one; rows-only, since the draw is the engine's own."""
-    return lib(t).filter("id <> 7").orderBy(F.rand(11), "id").limit(1).select("id", "title")
+    return L.random_pick(lib(t), "id", "11", 7).select("id", "title")
 
 
 @R.add("ks03_runtime_projection", f"WITH {LIB} SELECT canonical_id, count(*) AS versions FROM l WHERE canonical_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def ks03(t):
-    return lib(t).filter("canonical_id IS NOT NULL").groupBy("canonical_id").agg(F.count("*").alias("versions")).filter("versions > 1")
+    return L.runtime_projection(lib(t))
 
 
 @R.add("ks02_check_mode", "SELECT count(*) AS differing FROM ((SELECT p_partkey, p_name FROM part EXCEPT ALL SELECT p_partkey, p_name FROM part WHERE p_size > 0) UNION ALL (SELECT p_partkey, p_name FROM part WHERE p_size > 0 EXCEPT ALL SELECT p_partkey, p_name FROM part))")
@@ -196,4 +191,4 @@ def ks02(t):
 @R.add("ts16_list_checks", "SELECT lower(p_brand) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def ts16(t):
     """List names must be unique, case aside: the names that break it."""
-    return t("part").groupBy(F.lower("p_brand").alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+    return L.clashing_names(t("part"), "p_brand")
\ No newline at end of file

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import video_query
 from tallyspark.operators import contests as C
 from tallyspark.plans.base import Registry
 from tallyspark.sources import feeds
@@ -86,4 +87,4 @@ def p32(t):
 
 @R.add("p39_video_query", "SELECT p_partkey, concat_ws(' ', CASE WHEN p_size % 2 = 0 THEN 'LeetCode ' || p_size END, p_name, 'solution') AS query FROM part")
 def p39(t):
-    return t("part").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("LeetCode "), F.col("p_size").cast("string"))), F.col("p_name"), F.lit("solution")).alias("query"))
+    return t("part").select("p_partkey", video_query(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")), "LeetCode").alias("query"))
\ No newline at end of file

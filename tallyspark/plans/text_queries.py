@@ -199,8 +199,7 @@ def p19(t):
 
 @R.add("p20_threshold", "SELECT event_id, CASE WHEN value BETWEEN 0.1 AND 1 THEN value ELSE 0.4 END AS threshold FROM events")
 def p20(t):
-    v = F.col("value").cast("double")
-    return t("events").select("event_id", F.when(v.between(0.1, 1), v).otherwise(F.lit(0.4)).alias("threshold"))
+    return t("events").select("event_id", T.threshold(F.col("value")).alias("threshold"))
 
 
 @R.add("p21_library_normal", "SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS normal FROM documents")
@@ -226,8 +225,7 @@ def p36(t):
 
 @R.add("p37_chart_scale", "SELECT event_type, epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, CAST(greatest(100, ceil(greatest(0, max(value)) / 100) * 100) AS BIGINT) AS top FROM events GROUP BY event_type")
 def p37(t):
-    top = F.greatest(F.lit(100), F.ceil(F.greatest(F.lit(0.0), F.max("value")) / 100) * 100).cast("long")
-    return t("events").groupBy("event_type").agg(F.unix_millis(F.min("ts")).alias("first_ms"), F.unix_millis(F.max("ts")).alias("last_ms"), top.alias("top"))
+    return t("events").groupBy("event_type").agg(*times.chart_scale(F.col("ts"), F.col("value")))
 
 
 AGO = "(epoch_ms(TIMESTAMP '2024-02-01 00:00:00') - epoch_ms(ts)) // 60000"
@@ -250,15 +248,14 @@ def p51(t):
 
 @R.add("p52_search_statement", "SELECT source, sum(length(s)) AS chars FROM (SELECT source, left(string_agg(text, ' ' ORDER BY text), 12000) AS s FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source) GROUP BY source")
 def p52(t):
-    joined = F.substring(F.array_join(F.array_sort(F.collect_set("text")), " "), 1, 12000)
-    return t("documents").groupBy("source").agg(F.length(joined).cast("long").alias("chars"))
+    return t("documents").groupBy("source").agg(F.length(T.joined_statement(F.collect_set("text"))).cast("long").alias("chars"))
 
 
 @R.add("p53_daily_key", "SELECT c_custkey, 'done:' || c_mktsegment || ':' || lower(c_name) AS key FROM customer")
 def p53(t):
-    return t("customer").select("c_custkey", F.concat_ws(":", F.lit("done"), "c_mktsegment", F.lower("c_name")).alias("key"))
+    return t("customer").select("c_custkey", times.daily_key(F.col("c_mktsegment"), F.col("c_name")).alias("key"))
 
 
 @R.add("p50_reminder_key", "SELECT o_orderkey, 'contest:' || o_orderkey || ':' || epoch_ms(o_orderdate) || ':60' AS name FROM orders")
 def p50(t):
-    return t("orders").select("o_orderkey", F.concat_ws(":", F.lit("contest"), F.col("o_orderkey").cast("string"), F.unix_millis("o_orderdate").cast("string"), F.lit("60")).alias("name"))
+    return t("orders").select("o_orderkey", times.reminder_key(F.col("o_orderkey"), F.col("o_orderdate"), F.lit(60)).alias("name"))
\ No newline at end of file
