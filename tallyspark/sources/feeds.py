@@ -3,50 +3,86 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tallyspark.functions import text, urls
 from tallyspark.functions.times import INDIA, india_time
 
+# How the providers' pages write what is read from them, and the hosts and paths of one of them.
+ROW = r"(?is)<tr\b[^>]*>(.*?)</tr>"
+ACCEPTED = r"(?i)title\s*=\s*['\"]accepted['\"]"
+PROBLEM_LINK = r"(?i)href\s*=\s*['\"][^'\"]*/problems/([a-z0-9_]+)['\"]"
+SOLUTION_LINK = r"(?i)href\s*=\s*['\"][^'\"]*/(?:viewsolution|status)/(\d+)['\"]"
+CLOCK_AND_DAY = r"(?i)(\d{1,2}:\d{2}\s*(?:AM|PM)\s+\d{2}/\d{2}/\d{2,4})"
+CALENDAR = r"(?s)\b(?:var|let|const)\s+userDailySubmissionsStats\s*=\s*(\[.*?\])\s*;"
+OFFSET_TIME = r"(?i)<time\b[^>]*>(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d[+-]\d{4})</time>"
+CONTEST_LINK = r"(?is)<a\b[^>]*href=[\"']/contests/([a-zA-Z0-9_-]+)[\"'][^>]*>(.*?)</a>"
+DURATION = r"(?i)<td\b[^>]*>\s*(\d{1,3}:\d\d)\s*</td>"
+CELL = r"(?is)<th\b[^>]*>\s*{}\s*</th>\s*<td\b[^>]*>(.*?)</td>"
+HOST, FORMER_HOST = "https://www.naukri.com", r"^https://(?:www\.)?codingninjas\.com/(?:studio|codestudio)/problems/"
+PROBLEM_PATH, ZONED = r"^/code360/problems/[a-zA-Z0-9_-]+/?$", r"(?i)^\d{4}-\d{2}-\d{2}T.*(?:Z|[+-]\d{2}:\d{2})$"
 
-def _found(value: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(value, pattern, group), F.lit(""))
 
+@dataclass(frozen=True)
+class Field:
+    """One value of a record: where it is in the source, how its text is read, and whether a record may lack it."""
 
-def _rows(html: Column) -> Column:
-    return F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)))
+    name: str
+    pattern: str
+    read: Callable[[Column], Column] = lambda x: x
+    group: int = 1
+    needed: bool = True
+
+
+def records(rows: DataFrame, source: str, fields: list[Field], *kept: str) -> DataFrame:
+    """A row for each source text that has all its needed fields: the kept columns and the fields."""
+    columns = [f.read(F.nullif(F.regexp_extract(source, f.pattern, f.group), F.lit(""))).alias(f.name) for f in fields]
+    return rows.select(*kept, *columns).dropna(subset=[f.name for f in fields if f.needed])
+
+
+def table_rows(pages: DataFrame, html: str) -> DataFrame:
+    """pos, row: the table rows of the pages, in order."""
+    return pages.select(F.posexplode(F.regexp_extract_all(F.col(html), F.lit(ROW), F.lit(1))).alias("pos", "row"))
+
+
+def _indian_clock(value: Column) -> Column:
+    """An instant from a clock with AM or PM and a day, years of two or four digits."""
+    plain = F.upper(F.regexp_replace(F.regexp_replace(value, r"\s+", ""), r"(?i)([AP]M)", " $1 "))
+    four = F.length(F.substring_index(plain, "/", -1)) == 4
+    return F.to_utc_timestamp(F.when(four, F.try_to_timestamp(plain, F.lit("h:mm a dd/MM/yyyy"))).otherwise(F.try_to_timestamp(plain, F.lit("h:mm a dd/MM/yy"))), INDIA)
+
+
+def _seconds(duration: Column) -> Column:
+    """Hours and minutes in seconds."""
+    parts = F.split(duration, ":")
+    return F.get(parts, F.lit(0)).cast("long") * 3600 + F.get(parts, F.lit(1)).cast("long") * 60
+
+
+FEED = [Field("code", PROBLEM_LINK), Field("ts", CLOCK_AND_DAY, _indian_clock), Field("solution", SOLUTION_LINK, needed=False)]
+SCHEDULE = [Field("slug", CONTEST_LINK), Field("title", CONTEST_LINK, text.html_text, 2, False), Field("start_s", OFFSET_TIME, lambda x: F.unix_seconds(F.try_to_timestamp(x, F.lit("yyyy-MM-dd HH:mm:ssxx")))), Field("long_s", DURATION, _seconds)]
 
 
 def accepted_feed(pages: DataFrame, html: str = "html") -> DataFrame:
-    """id, key, code, ts of accepted rows; times are Indian; rows without link or time are no records."""
-    rows = pages.select(_rows(F.col(html)).alias("row")).filter(F.col("row").rlike(r"(?i)title\s*=\s*['\"]accepted['\"]"))
-    row = F.col("row")
-    code = _found(row, r"(?i)href\s*=\s*['\"][^'\"]*/problems/([a-z0-9_]+)['\"]")
-    when = r"(?i)(\d{1,2}):(\d{2})\s*(AM|PM)\s+(\d{2})/(\d{2})/(\d{2,4})"
-    g = lambda k: F.regexp_extract(row, when, k)
-    hour = F.pmod(F.try_to_number(g(1), F.lit("99")).cast("int"), F.lit(12)) + F.when(F.upper(g(3)) == "PM", 12).otherwise(0)
-    year = F.when(F.length(g(6)) == 2, F.concat(F.lit("20"), g(6))).otherwise(g(6))
-    local = F.try_to_timestamp(F.concat(year, F.lit("-"), g(5), F.lit("-"), g(4), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), g(2), F.lit(":00")))
-    solution = _found(row, r"(?i)href\s*=\s*['\"][^'\"]*/(?:viewsolution|status)/(\d+)['\"]")
-    out = rows.select(code.alias("code"), F.to_utc_timestamp(local, INDIA).alias("ts"), solution.alias("solution")).filter("code IS NOT NULL AND ts IS NOT NULL")
-    return out.select(F.coalesce("solution", F.concat_ws(":", "code", F.unix_millis("ts").cast("string"))).alias("id"), F.concat(F.lit("codechef:"), "code").alias("key"), "code", "ts")
+    """id, key, code, ts of accepted rows; times are Indian; rows without link or time are no records. A row without a solution's number is named by its problem and instant."""
+    found = records(table_rows(pages, html).filter(F.col("row").rlike(ACCEPTED)), "row", FEED)
+    own = F.concat_ws(":", "code", F.unix_millis("ts").cast("string"))
+    return found.select(F.coalesce("solution", own).alias("id"), F.concat(F.lit("codechef:"), "code").alias("key"), "code", "ts")
 
 
 def embedded_calendar(pages: DataFrame, html: str = "html") -> DataFrame:
-    """day, count of a calendar held in a script; days need no padding, the last entry of a day wins, and impossible days or counts fail the job."""
-    raw = F.regexp_extract(html, r"(?s)\b(?:var|let|const)\s+userDailySubmissionsStats\s*=\s*(\[.*?\])\s*;", 1)
-    entries = pages.select(F.posexplode(F.from_json(F.when(raw != "", raw).otherwise(F.raise_error(F.lit("calendar is unavailable"))), "array<struct<date string, value string>>")).alias("pos", "e"))
-    m = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-    g = lambda k: F.regexp_extract(F.coalesce("e.date", F.lit("")), m, k)
-    day = F.try_to_date(F.concat_ws("-", g(1), F.lpad(g(2), 2, "0"), F.lpad(g(3), 2, "0")), "yyyy-MM-dd")
-    count = F.when(F.col("e.value").rlike(r"^\s*\d{1,15}\s*$"), F.trim("e.value").cast("long"))
-    sound = F.when(day.isNull() | count.isNull(), F.raise_error(F.lit("invalid calendar data"))).otherwise(day)
-    return entries.select("pos", sound.alias("day"), count.alias("count")).groupBy("day").agg(F.max_by("count", "pos").alias("count"))
+    """day, count of a calendar held in a script; days need no padding, the last entry of a day wins, and a missing calendar and impossible days or counts fail the job."""
+    held = F.from_json(F.nullif(F.regexp_extract(html, CALENDAR, 1), F.lit("")), "array<struct<date string, value string>>")
+    entries = pages.select(F.posexplode(F.coalesce(held, F.raise_error(F.lit("calendar is unavailable")))).alias("pos", "e"))
+    read = entries.select("pos", F.try_to_date("e.date", "yyyy-M-d").alias("day"), F.when(F.col("e.value").rlike(r"^\s*\d{1,15}\s*$"), F.trim("e.value").cast("long")).alias("count"))
+    sound = F.when(F.col("day").isNotNull() & F.col("count").isNotNull(), F.col("day")).otherwise(F.raise_error(F.lit("invalid calendar data")))
+    return read.withColumn("day", sound).groupBy("day").agg(F.max_by("count", "pos").alias("count"))
 
 
 def difficulty_map(responses: DataFrame, json: str = "json") -> DataFrame:
@@ -60,41 +96,39 @@ def difficulty_map(responses: DataFrame, json: str = "json") -> DataFrame:
 
 def history_page(rows: DataFrame, now: Column) -> DataFrame:
     """key, url, title, ts of rows (link, title, solved_at); old hosts are rewritten, other links skipped; instants need a zone; the latest row of a key stays."""
-    link = F.when(F.col("link").startswith("/"), F.concat(F.lit("https://www.naukri.com"), "link")).otherwise(F.col("link"))
-    link = F.regexp_replace(link, r"^https://(?:www\.)?codingninjas\.com/(?:studio|codestudio)/problems/", "https://www.naukri.com/code360/problems/")
-    path = urls.path_of(urls.safe_problem_url(link, F.lit("code360")))
-    url = F.when(path.rlike(r"^/code360/problems/[a-zA-Z0-9_-]+/?$") & ~link.rlike(r"^https://[^/]*[@:]"), F.concat(F.lit("https://www.naukri.com"), F.regexp_replace(path, "/+$", "")))
-    ts = F.when(F.col("solved_at").rlike(r"(?i)^\d{4}-\d{2}-\d{2}T.*(?:Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp("solved_at"))
-    sound = rows.select(url.alias("url"), F.substring(F.trim("title"), 1, 300).alias("title"), ts.alias("ts")).filter("url IS NOT NULL AND title <> ''")
-    dated = sound.withColumn("ts", F.when((F.col("ts") > F.timestamp_seconds(F.lit(0))) & (F.col("ts") <= now + F.expr("INTERVAL 60 SECONDS")), F.col("ts"))).withColumn("key", urls.problem_key(F.lit("code360"), F.col("url")))
-    return dated.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_last("ts"), "title"))).filter("r = 1").drop("r")
+    whole = F.regexp_replace(F.concat(F.when(F.col("link").startswith("/"), HOST).otherwise(""), "link"), FORMER_HOST, HOST + "/code360/problems/")
+    path = urls.path_of(urls.safe_problem_url(whole, F.lit("code360")))
+    ours = path.rlike(PROBLEM_PATH) & ~whole.rlike(r"^https://[^/]*[@:]")  # neither a user nor a port in the address
+    past = F.when(F.col("solved_at").rlike(ZONED), F.try_to_timestamp("solved_at"))
+    read = rows.select(F.when(ours, F.concat(F.lit(HOST), F.rtrim(path, F.lit("/")))).alias("url"), F.substring(F.trim("title"), 1, 300).alias("title"), past.alias("ts")).dropna(subset=["url"]).filter("title <> ''")
+    dated = read.withColumn("ts", F.when(F.col("ts").between(F.timestamp_micros(F.lit(1)), now + F.expr("INTERVAL 60 SECONDS")), F.col("ts")))
+    # of a key the latest row, dated ones first; of equal instants the first title
+    order = F.struct(F.col("ts").isNull().alias("undated"), (-F.unix_micros("ts")).alias("back"), "title", "url")
+    best = dated.groupBy(urls.problem_key(F.lit("code360"), F.col("url")).alias("key")).agg(F.min(F.struct(order.alias("o"), "url", "title", "ts")).alias("r"))
+    return best.select("r.url", "r.title", "r.ts", "key")
 
 
 def page_fingerprint(rows: DataFrame) -> DataFrame:
-    """One hash of a history page's links and instants; an equal one means that paging stands still."""
-    return rows.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("link", "solved_at")))), 256).alias("fingerprint"))
+    """One hash of a history page's links and instants, whatever their order; an equal one means that paging stands still. Sums and a count stand for the rows, so none are gathered."""
+    one = F.xxhash64("link", "solved_at")
+    sums = [F.sum(F.pmod(h, F.lit(1 << 31))).cast("string") for h in (one, F.xxhash64(F.lit(1), "link", "solved_at"))]
+    return rows.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256).alias("fingerprint"))
 
 
 def profile_table(pages: DataFrame, html: str = "html") -> DataFrame:
     """rating, highest_rating, rank of a profile's table; null where a cell is missing or holds no number."""
 
-    def cell(label: str) -> Column:
-        inner = F.regexp_extract(html, rf"(?is)<th\b[^>]*>\s*{label}\s*</th>\s*<td\b[^>]*>(.*?)</td>", 1)
-        return F.replace(_found(F.trim(F.regexp_replace(inner, "<[^>]+>", "")), r"^([\d,]+)"), F.lit(","), F.lit("")).cast("long")
+    def number(cell: Column) -> Column:
+        return F.replace(F.nullif(F.regexp_extract(F.trim(F.regexp_replace(cell, "<[^>]+>", "")), r"^([\d,]+)", 1), F.lit("")), F.lit(","), F.lit("")).cast("long")
 
-    return pages.select("*", cell("Rating").alias("rating"), cell("Highest Rating").alias("highest_rating"), cell("Rank").alias("rank"))
+    cells = [Field(label.lower().replace(" ", "_"), CELL.format(label), number, needed=False) for label in ("Rating", "Highest Rating", "Rank")]
+    return pages.select("*", *(f.read(F.regexp_extract(html, f.pattern, f.group)).alias(f.name) for f in cells))
 
 
 def schedule_table(pages: DataFrame, html: str = "html") -> DataFrame:
     """slug, title, start_s, end_s, pos of upcoming contests: an instant with offset, a link and a duration of hours and minutes."""
-    rows = pages.select(F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "row"))
-    row = F.col("row")
-    at = _found(row, r"(?i)<time\b[^>]*>(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d[+-]\d{4})</time>")
-    link = r"(?is)<a\b[^>]*href=[\"']/contests/([a-zA-Z0-9_-]+)[\"'][^>]*>(.*?)</a>"
-    long = r"(?i)<td\b[^>]*>\s*(\d{1,3}):(\d\d)\s*</td>"
-    minutes = F.try_to_number(_found(row, long, 1), F.lit("999")).cast("long") * 60 + F.try_to_number(_found(row, long, 2), F.lit("99")).cast("long")
-    start = F.unix_seconds(F.try_to_timestamp(at, F.lit("yyyy-MM-dd HH:mm:ssxx")))
-    return rows.select(_found(row, link).alias("slug"), text.html_text(F.regexp_extract(row, link, 2)).alias("title"), start.alias("start_s"), (start + minutes * 60).alias("end_s"), "pos").filter("slug IS NOT NULL AND start_s IS NOT NULL AND end_s IS NOT NULL")
+    found = records(table_rows(pages, html), "row", SCHEDULE, "pos")
+    return found.select("slug", "title", "start_s", (F.col("start_s") + F.col("long_s")).alias("end_s"), "pos")
 
 
 def schedule_json(items: DataFrame, kind: str) -> DataFrame:
