@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 
 def postings(df: DataFrame, tokens: str) -> DataFrame:
-    """id, term, pos: the inverted index as rows."""
-    return df.select("id", "platform", F.posexplode(tokens).alias("pos", "term"))
+    """id, term, pos: the inverted index as rows, each term of a document once."""
+    return df.select("id", "platform", F.posexplode(F.array_distinct(tokens)).alias("pos", "term"))
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.countDistinct("id").alias("df"))
+    """term, df. terms: a row for each term of a document."""
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def title_idf(terms: DataFrame, n: Column) -> DataFrame:
@@ -32,8 +33,10 @@ def rarest(terms: DataFrame, df: DataFrame, most: int, least_df: int, most_df: i
     if not first_then_test:
         own = own.filter(F.col("df").between(least_df, most_df))
     tie = F.col("pos") if first_then_test else F.col("term")
-    own = own.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", tie))).filter(F.col("r") <= most)
-    return own.filter(F.col("df") <= most_df) if first_then_test else own
+    # a document's terms are as many as it has words at most: the best are cut from a sorted array, without a window
+    best = own.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", tie.alias("tie"), "term", "w"))), 1, most).alias("best"))
+    rows = best.select("id", F.inline("best")).select("id", "term", "df", "w")
+    return rows.filter(F.col("df") <= most_df) if first_then_test else rows
 
 
 def candidate_pairs(versions: DataFrame, n: int, per_platform: int = 32) -> DataFrame:
