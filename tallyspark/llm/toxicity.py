@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import ArrowUDFType
 
 from tallyspark.llm import common
 
@@ -152,6 +151,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([s[f] for f in part], pa.int64()) for s in seen)], ["f", "n", *(f"n{k}" for k in range(len(marks)))])
 
     sums = sample.agg(F.count("*").alias("n"), *(F.sum(m).alias(m) for m in marks)).first()
+    if not sums.n:  # no labelled row is a document
+        common.drop_written(sample)
+        return _constant(names, counts, total)
     counted = sample.mapInArrow(count, "f string, n long" + "".join(f", n{k} long" for k in range(len(marks)))).groupBy("f").agg(F.sum("n").alias("n"), *(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(marks)))).filter("n >= 4")
 
     def chi(k: int) -> Column:
@@ -224,4 +226,4 @@ def accepted(df: DataFrame, model: Chain, text_col: str = "text") -> DataFrame:
             p = [own.predict(own.rows(piece.column("text"))) for piece in common.pieces(iter([batch]))]
             yield pa.array(np.concatenate(p)[:, -1] < own.threshold if p else [], pa.bool_())
 
-    return df.filter(F.arrow_udf(marks, "boolean", ArrowUDFType.SCALAR_ITER)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return df.filter(F.arrow_udf(marks, "boolean")(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
