@@ -59,3 +59,8 @@ def calendar_cells(contests: DataFrame, zone: str, most: int = 3) -> DataFrame:
 
 def next_contest(contests: DataFrame, now: Column) -> DataFrame:
     return contests.filter(F.col("start") > now).agg(F.min_by("id", F.struct("start", "id")).alias("id"), F.greatest(F.count("*") - 1, F.lit(0)).alias("remaining"))
+
+
+def connected(contests: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Contests of the platforms that have an account. Platforms are a handful, accounts are not broadcast before they are made distinct."""
+    return contests.join(accounts.select("platform").distinct(), "platform", "left_semi")

@@ -10,6 +10,7 @@ from tallyspark.operators import contests as C
 from tallyspark.operators import directory as D
 from tallyspark.operators.ordering import numbered
 from tallyspark.plans.base import Registry
+from tallyspark.sources import feeds, incremental
 
 R = Registry()
 WINDOW = "CASE WHEN l_shipdate >= TIMESTAMP '1998-06-01' THEN '30d' WHEN l_shipdate >= TIMESTAMP '1997-01-01' THEN '6m' ELSE 'all' END"
@@ -161,8 +162,8 @@ def f10(t):
 
 @R.add("f20_connected_scope", f"WITH {CON} SELECT platform, count(*) AS n FROM c WHERE platform IN ('F', 'O') GROUP BY 1")
 def f20(t):
-    connected = t("orders").filter("o_orderstatus IN ('F', 'O')").select(F.col("o_orderstatus").alias("platform")).distinct()
-    return contests(t).join(F.broadcast(connected), "platform", "left_semi").groupBy("platform").agg(F.count("*").alias("n"))
+    accounts = t("orders").filter("o_orderstatus IN ('F', 'O')").select(F.col("o_orderstatus").alias("platform"))
+    return C.connected(contests(t), accounts).groupBy("platform").agg(F.count("*").alias("n"))
 
 
 @R.add("j14_reminders", f"WITH {CON}, r AS (SELECT id, m AS minutes, s - to_minutes(m) AS due FROM c, (VALUES (60), (10)) v(m) WHERE e > TIMESTAMP '{NOW}') SELECT id, minutes FROM r WHERE due > TIMESTAMP '{NOW}' AND NOT (id % 5 = 0 AND minutes = 60)")
@@ -321,18 +322,17 @@ def p42(t):
 
 @R.add("s10_feed_rows", "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages")
 def s10(t):
-    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), F.lit(1))).alias("href"))
+    return feeds.links(t("pages"), "page_id")
 
 
 @R.add("s23_page_content", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS content FROM pages")
 def s23(t):
-    inner = F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1)
-    return t("pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", " "), r"\s+", " ")).alias("content"))
+    return t("pages").select("page_id", feeds.page_content(F.col("html")).alias("content"))
 
 
 @R.add("ts03_incremental_source", "SELECT conv_id, count(DISTINCT turn) AS turns, max(turn) AS last FROM conversations GROUP BY 1")
 def ts03(t):
     """Two overlapping reads of a feed, replayed rows dropped by id."""
     c = t("conversations")
-    replayed = c.filter("turn <= 2").unionByName(c.filter("turn >= 1")).unionByName(c).dropDuplicates(["conv_id", "turn"])
-    return replayed.groupBy("conv_id").agg(F.countDistinct("turn").alias("turns"), F.max("turn").alias("last"))
+    read = incremental.replayed([c.filter("turn <= 2"), c.filter("turn >= 1"), c], ("conv_id", "turn"))
+    return read.groupBy("conv_id").agg(F.countDistinct("turn").alias("turns"), F.max("turn").alias("last"))
\ No newline at end of file

@@ -108,6 +108,17 @@ def history_page(rows: DataFrame, now: Column) -> DataFrame:
     return best.select("r.url", "r.title", "r.ts", "key")
 
 
+def links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, href: the targets of a page's links, in order, repeated ones too; only links whose first attribute is a double-quoted href."""
+    return pages.select(key, F.explode(F.regexp_extract_all(html, F.lit('<a href="([^"]*)">'), F.lit(1))).alias("href"))
+
+
+def page_content(html: Column, element: str = "article") -> Column:
+    """The text of a page's first element of a kind, tags as spaces and on one line; empty without it."""
+    inner = F.regexp_extract(F.coalesce(html, F.lit("")), f"(?s)<{element}>(.*?)</{element}>", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", " "), r"\s+", " "))
+
+
 def page_fingerprint(rows: DataFrame) -> DataFrame:
     """One hash of a history page's links and instants, whatever their order; an equal one means that paging stands still. Sums and a count stand for the rows, so none are gathered."""
     one = F.xxhash64("link", "solved_at")

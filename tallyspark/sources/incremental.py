@@ -124,3 +124,11 @@ def field(lines: Column, name: str) -> Column:
     """The first number under a name, at any depth, in JSON lines."""
     hits = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(rf'"{name}"\s*:\s*(-?\d+)'), F.lit(1))))
     return F.get(hits, F.lit(0)).cast("long")
+
+
+def replayed(reads: list[DataFrame], ids: tuple[str, ...]) -> DataFrame:
+    """Overlapping reads of one feed put together: a row that was read again is one row. The streaming form is streaming.state.replayed."""
+    out = reads[0]
+    for more in reads[1:]:
+        out = out.unionByName(more)
+    return out.dropDuplicates(list(ids))
