@@ -138,11 +138,11 @@ def page_inputs(t):
 
 @R.add("j08_page_matches")
 def j08(t):
-    """Pages against problems, scored; the unit tests hold it against a plain version."""
+    """Pages against problems, scored; SQL is too slow over all pairs, so tests/test_page_matches.py holds it against a plain version."""
     return S.page_matches(*page_inputs(t)).select("page", "id", "combined", "kind")
 
 
 @R.add("j09_k08_distinct_titles")
 def j09(t):
-    """Greedy and order-dependent, so rows-only; tested on a small fixture."""
+    """Greedy and order-dependent, so not for SQL; tests/test_page_matches.py holds it against a plain version."""
     return S.distinct_page_titles(*page_inputs(t))
