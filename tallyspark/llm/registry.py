@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, html_text, jaccard, language_model, media, quality, substrings, toxicity, warc
+from tallyspark.llm import bpe, decontaminate, html_text, jaccard, language_model, lines, media, quality, substrings, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_jaccard": jaccard.query,
     "op9_substrings": substrings.query,
     "op10_decontaminate": decontaminate.query,
+    "op13_line_dedup": lines.query,
 }
 SQL = {
     "op2_warc": warc.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op13_line_dedup": lines.SQL,
 }
