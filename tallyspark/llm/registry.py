@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, html_text, jaccard, language_model, lines, media, quality, substrings, toxicity, warc
+from tallyspark.llm import bpe, decontaminate, html_text, jaccard, language_model, lines, media, quality, substrings, toxicity, tries, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_jaccard": jaccard.query,
     "op9_substrings": substrings.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_prefix_trie": tries.query,
     "op13_line_dedup": lines.query,
 }
 SQL = {
     "op2_warc": warc.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_prefix_trie": tries.SQL,
     "op13_line_dedup": lines.SQL,
 }
