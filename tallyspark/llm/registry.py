@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, html_text, jaccard, language_model, lines, media, quality, substrings, toxicity, tries, warc
+from tallyspark.llm import bpe, decontaminate, html_text, jaccard, language_model, lines, media, quality, ranking, substrings, toxicity, tries, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_substrings": substrings.query,
     "op10_decontaminate": decontaminate.query,
     "op11_prefix_trie": tries.query,
+    "op12_search": ranking.query,
     "op13_line_dedup": lines.query,
 }
 SQL = {
     "op2_warc": warc.SQL,
     "op10_decontaminate": decontaminate.SQL,
     "op11_prefix_trie": tries.SQL,
+    "op12_search": ranking.SQL,
     "op13_line_dedup": lines.SQL,
 }
