@@ -5,9 +5,14 @@ Versions are rows (id, platform, title, url, description, constraints, fingerpri
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.graphs import chain_ends, components, cut
+
 # What marks a variant in a title, a statement that was cut off, a contest's number in a path, a numbered contest title, and the reasons as they are reported.
 VARIANT_WORDS = r"(?i)(?<![A-Za-z0-9_])(easy|medium|hard|version|subtask|dataset|interactive|output.only|small|large)(?![A-Za-z0-9_])"
 CUT_OFF = r"(?i)(?<![A-Za-z0-9_])(?:for|note|example|input|output)\s*:?\s*$|(?:\.\.\.|…)\s*$"
@@ -89,38 +94,36 @@ def reviewed_groups(groups: DataFrame, versions: DataFrame) -> DataFrame:
 def claim_ids(members: DataFrame, assigned: DataFrame) -> DataFrame:
     """grp, question_id: groups with an explicit id keep it; others claim, in order of their least member, the first unclaimed of their sorted old ids, else one made of the least member.
 
-    members: grp, id, explicit (null or an id). assigned: id, old_id. Only groups that contend for an old id need an order between them: contenders are
-    chained by shared old ids, and each chain is settled by itself; the rest is a plain aggregate.
+    members: grp, id, explicit (null or an id). assigned: id, old_id. Claims depend on each other only through ids that several groups may claim, so the components of groups and such ids
+    are settled apart from each other; groups with no such id take their first choice. A component's groups are sorted, and read as a stream that keeps the ids already claimed. Two groups
+    that end up with one id fail the job.
     """
-    import pandas as pd
-
     old = members.join(assigned, "id", "left")
     groups = old.groupBy("grp").agg(F.min("id").alias("least"), F.max("explicit").alias("explicit"), F.array_sort(F.collect_set("old_id")).alias("olds"))
     fresh = F.concat(F.lit("q_"), F.substring(F.sha2("least", 256), 1, 32))
-    ids = groups.select("grp", F.explode(F.when(F.col("explicit").isNotNull(), F.array("explicit")).otherwise(F.col("olds"))).alias("i"))
-    contended = ids.groupBy("i").agg(F.count("*").alias("k"), F.min("grp").alias("hub")).filter("k > 1")
-    fights = ids.join(contended, "i").select("grp", "hub").distinct()
-    alone = groups.join(fights.select("grp").distinct(), "grp", "left_anti").select("grp", F.coalesce("explicit", F.get("olds", F.lit(0)), fresh).alias("question_id"))
-    chains = fights.select("grp", "hub")
-    for _ in range(12):  # contenders share few ids: the least hub spreads in a few steps
-        least = chains.groupBy("grp").agg(F.min("hub").alias("hub"))
-        chains = chains.select("grp", F.col("hub").alias("h")).join(least.select("grp", "hub"), "grp").select("grp", "hub").unionByName(chains.select(F.col("hub").alias("grp"), F.col("grp").alias("g")).join(least.select(F.col("grp").alias("g"), "hub"), "g").select("grp", "hub")).distinct()
-        if chains.groupBy("grp").count().filter("count > 1").limit(1).count() == 0:
-            break
-    tops = chains.groupBy("grp").agg(F.min("hub").alias("hub"))
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for g in pdf.assign(late=pdf["explicit"].isna()).sort_values(["late", "least"]).itertuples():
-            found = g.explicit if isinstance(g.explicit, str) else next((o for o in g.olds if o not in taken), g.fresh)
-            if found in taken:
-                raise ValueError(f"identity collision: {found}")
-            taken.add(found)
-            out.append((g.grp, found))
-        return pd.DataFrame(out, columns=["grp", "question_id"])
-
-    fought = groups.withColumn("fresh", fresh).join(tops, "grp").groupBy("hub").applyInPandas(settle, "grp string, question_id string")
-    return alone.unionByName(fought)
+    choices = F.when(F.col("explicit").isNotNull(), F.array("explicit")).otherwise(F.array_distinct(F.concat("olds", F.array(fresh))))
+    groups = cut(groups.select("grp", "least", F.col("explicit").isNull().alias("late"), choices.alias("choices")))
+    ids = groups.select("grp", F.explode("choices").alias("i"))
+    contended = ids.groupBy("i").agg(F.count("*").alias("k")).filter("k > 1")
+    # vertices: groups as g:..., ids as i:...; an id's edges lead to its groups, so no pairs of groups are made
+    edges = ids.join(contended, "i").select(F.concat(F.lit("g:"), "grp").alias("u"), F.concat(F.lit("i:"), "i").alias("v"))
+    ties = components(edges, "u", "v").filter("vertex LIKE 'g:%'").select(F.substring("vertex", 3, 1 << 30).alias("grp"), "component")
+    alone = groups.join(ties, "grp", "left_anti").select("grp", F.get("choices", F.lit(0)).alias("question_id"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, set()
+        for batch in batches:
+            out = []
+            for component, grp, choices in zip(*(batch.column(c).to_pylist() for c in ("component", "grp", "choices")), strict=True):
+                if component != now:
+                    now, taken = component, set()
+                found = next((c for c in choices if c not in taken), choices[-1])
+                taken.add(found)
+                out.append((grp, found))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["grp", "question_id"])
+
+    fought = groups.join(ties, "grp").repartition("component").sortWithinPartitions("component", "late", "least").select("component", "grp", "choices")
+    return unique_or_fail(alone.unionByName(fought.mapInArrow(settle, "grp string, question_id string")), "question_id")
 
 
 def redirects(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -129,18 +132,9 @@ def redirects(before: DataFrame, after: DataFrame) -> DataFrame:
     return moved.join(after.select(F.col("question_id").alias("old_id")).distinct(), "old_id", "left_anti").select("old_id", F.when(F.size("to") == 1, F.get("to", F.lit(0))).alias("target"))
 
 
-def resolve(links: DataFrame, most: int = 32) -> DataFrame:
-    """Every id with the end of its redirect chain; a cycle fails. links: old_id, target."""
-    now = links.filter("target IS NOT NULL").select("old_id", "target")
-    step = now.select(F.col("old_id").alias("t"), F.col("target").alias("next"))
-    for _ in range(most):
-        jumped = now.join(step, now.target == step.t, "left").select("old_id", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved"))
-        if jumped.filter("moved AND old_id = target").limit(1).count():
-            raise ValueError("redirect cycle")
-        if jumped.filter("moved").limit(1).count() == 0:
-            return now
-        now = jumped.select("old_id", "target")
-    raise ValueError("redirect cycle")
+def resolve(links: DataFrame) -> DataFrame:
+    """Every id with the end of its redirect chain, however long; a cycle fails. links: old_id, target (null: leads nowhere)."""
+    return chain_ends(links.filter("target IS NOT NULL"), "old_id", "target")
 
 
 def variant_edges(pairs: DataFrame, after: DataFrame) -> DataFrame:

@@ -92,6 +92,19 @@ def i02_old(t):
     return C.claim_ids(m, m.select("id", F.concat(F.lit("old_"), F.substring("grp", 1, 1)).alias("old_id")))
 
 
+CHAINS = """WITH RECURSIVE m AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey) AS id, CAST(l_suppkey AS VARCHAR) AS grp, 'o' || (l_partkey % 97) AS old FROM lineitem),
+g AS (SELECT grp, min(id) AS least, list_sort(list(DISTINCT old)) AS olds FROM m GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY least) AS i FROM g),
+c AS (SELECT 0::BIGINT AS i, '' AS grp, '' AS q, []::VARCHAR[] AS taken UNION ALL SELECT o.i, o.grp, x.q, list_append(c.taken, x.q) FROM c JOIN o ON o.i = c.i + 1, LATERAL (SELECT coalesce(list_filter(o.olds, lambda z: NOT list_contains(c.taken, z))[1], 'q_' || left(sha256(o.least), 32)) AS q) x)
+SELECT grp, q AS question_id FROM c WHERE i > 0"""
+
+
+@R.add("i02_claims_in_order", CHAINS)
+def i02_chains(t):
+    """Suppliers as groups of line items, old ids by part: every claim may hang on the ones before it."""
+    lines = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"), F.col("l_suppkey").cast("string").alias("grp"), F.concat(F.lit("o"), (F.col("l_partkey") % 97).cast("string")).alias("old_id"))
+    return C.claim_ids(lines.select("grp", "id", F.lit(None).cast("string").alias("explicit")), lines.select("id", "old_id"))
+
+
 @R.add("i03_question_titles", "SELECT p_brand, arg_min(p_name, (p_size, p_partkey)) AS title FROM part GROUP BY 1")
 def i03(t):
     members = t("part").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("title"), "p_size", "p_partkey")
