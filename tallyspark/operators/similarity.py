@@ -1,4 +1,4 @@
-"""Near-duplicate candidates of problem statements: two-channel inverted index, votes, quotas, weighted Dice, stratified sampling, evaluation; and full-text search.
+"""Near-duplicate candidates of problem statements: two-channel inverted index, votes, quotas, weighted Dice, stratified sampling, evaluation; page matching.
 
 versions: id, platform, title_tokens, body_tokens (arrays), fingerprint (null without a statement).
 """
@@ -110,20 +110,6 @@ def evaluate(pairs: DataFrame, expected: DataFrame) -> DataFrame:
     return hit.agg(F.count("*").alias("expected_pairs"), F.count("hit").alias("retrieved_pairs")).withColumn("recall", F.round(F.try_divide("retrieved_pairs", "expected_pairs"), 4))
 
 
-def search(questions: DataFrame, query: DataFrame, n: int, limit: int = 20) -> DataFrame:
-    """Ranked hits of many queries. questions: id, native_id, title, title_tokens, topic_tokens, statement_tokens; query: qid, text (normal form), tokens."""
-    fields = questions.select("id", F.explode(F.array_distinct(F.concat("title_tokens", "topic_tokens", "statement_tokens"))).alias("term"), "title_tokens", "topic_tokens")
-    fields = fields.select("id", "term", F.when(F.array_contains("title_tokens", F.col("term")), 5.0).when(F.array_contains("topic_tokens", F.col("term")), 2.0).otherwise(0.5).alias("weight"))
-    df = document_frequency(fields).withColumn("idf", F.log(1 + F.lit(float(n)) / F.col("df")))
-    terms = query.select("qid", F.explode("tokens").alias("term"))
-    found = terms.join(df.join(terms.select("term").distinct(), "term", "left_semi"), "term").join(fields, "term").select("qid", "id", (F.col("idf") * F.col("weight")).alias("s"))
-    exact = query.join(questions.select("id", F.col("title").alias("t")), F.lower("t") == F.col("text")).select("qid", "id", F.lit(30.0).alias("s"))
-    native = query.join(questions.select("id", F.col("native_id").cast("string").alias("nid")), F.col("nid") == F.col("text")).select("qid", "id", F.lit(25.0).alias("s"))
-    alias = query.join(questions.select("id"), F.col("id").cast("string") == F.col("text")).select("qid", "id", F.lit(100.0).alias("s"))
-    ranked = found.unionByName(exact).unionByName(native).unionByName(alias).groupBy("qid", "id").agg(F.round(F.sum("s"), 6).alias("score")).filter("score > 0")
-    return ranked.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("rn") <= limit)
-
-
 def damped(hit: Column, total: Column, hits: Column) -> Column:
     """How much of a candidate's weight a page holds, damped for few hits."""
     return hit / total * (1 - F.exp(-hits / 1.4))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text as T
+from tallyspark.operators import search
 from tallyspark.operators import similarity as S
 from tallyspark.plans.base import Registry
 from tallyspark.plans.text_queries import TITLE, retrieval_sql
@@ -124,7 +125,7 @@ def k06(t):
     p = t("part")
     questions = p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("native_id"), F.col("p_name").alias("title"), F.split("p_name", " ").alias("title_tokens"), F.array(F.lower("p_brand")).alias("topic_tokens"), F.split(F.lower("p_type"), " ").alias("statement_tokens"))
     asked = t("supplier").join(p, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("qid"), F.col("p_name").alias("text"), F.array_distinct(F.split("p_name", " ")).alias("tokens"))
-    out = S.search(questions, asked.withColumn("text", F.col("text")), p.count())
+    out = search.search(questions, asked, p.count())
     return out.select("qid", "id", F.round("score", 4).alias("score"), F.col("rn").cast("long").alias("rn"))
 
 
