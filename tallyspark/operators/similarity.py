@@ -1,4 +1,4 @@
-"""Near-duplicate candidates of problem statements: two-channel inverted index, votes, quotas, weighted Dice, stratified sampling, evaluation; page matching.
+"""Near-duplicate candidates of problem statements: two-channel inverted index, votes, quotas, weighted Dice, stratified sampling, evaluation.
 
 versions: id, platform, title_tokens, body_tokens (arrays), fingerprint (null without a statement).
 """
@@ -108,86 +108,3 @@ def evaluate(pairs: DataFrame, expected: DataFrame) -> DataFrame:
     e = expected.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
     hit = e.join(pairs.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), F.lit(True).alias("hit")).distinct(), ["left", "right"], "left")
     return hit.agg(F.count("*").alias("expected_pairs"), F.count("hit").alias("retrieved_pairs")).withColumn("recall", F.round(F.try_divide("retrieved_pairs", "expected_pairs"), 4))
-
-
-def damped(hit: Column, total: Column, hits: Column) -> Column:
-    """How much of a candidate's weight a page holds, damped for few hits."""
-    return hit / total * (1 - F.exp(-hits / 1.4))
-
-
-def with_bigrams(score: Column, page: Column, own: Column) -> Column:
-    return F.when(F.size(own) > 0, score * 0.7 + F.size(F.array_intersect(own, page)) / F.size(own) * 0.3).otherwise(score)
-
-
-def page_scores(pages: DataFrame, problems: DataFrame, idf: DataFrame, threshold: float) -> DataFrame:
-    """page, id, title_match, desc_match, combined of accepted pairs of any sources."""
-    from tallyspark.functions.text import bigrams
-
-    terms = lambda df, key, col: df.select(key, F.explode(col).alias("term"))
-    p_all = pages.select("page", F.explode("tokens").alias("term"))
-    q_all = problems.select("id", F.explode(F.array_distinct(F.concat("title_tokens", "desc_tokens"))).alias("term"))
-    pairs = p_all.join(q_all, "term").select("page", "id").distinct()
-    w = idf.select("term", "idf")
-
-    def part(page_col: str, problem_col: str) -> DataFrame:
-        own = terms(problems, "id", problem_col).join(w, "term", "left").withColumn("w", F.coalesce("idf", F.lit(1.0))).select("id", "term", "w")
-        total = own.groupBy("id").agg(F.sum("w").alias("total"))
-        hit = terms(pages, "page", page_col).join(own, "term").groupBy("page", "id").agg(F.sum("w").alias("hit"), F.count("*").alias("k"))
-        return hit.join(total, "id").select("page", "id", damped(F.col("hit"), F.col("total"), F.col("k")).alias("s"))
-
-    full = pairs.join(pages.select("page", F.col("title_tokens").alias("pt"), F.col("tokens").alias("pa")), "page").join(problems.select("id", F.col("title_tokens").alias("qt"), F.col("desc_tokens").alias("qd")), "id")
-    full = full.join(part("title_tokens", "title_tokens").withColumnRenamed("s", "ts"), ["page", "id"], "left").join(part("tokens", "desc_tokens").withColumnRenamed("s", "ds"), ["page", "id"], "left")
-    title = with_bigrams(F.coalesce("ts", F.lit(0.0)), bigrams(F.col("pt")), bigrams(F.col("qt")))
-    desc = F.when(F.size("qd") > 0, with_bigrams(F.coalesce("ds", F.lit(0.0)), bigrams(F.col("pa")), bigrams(F.col("qd")))).otherwise(0.0)
-    out = full.select("page", "id", F.round(title, 6).alias("title_match"), F.round(desc, 6).alias("desc_match"))
-    out = out.withColumn("combined", F.least(F.lit(1.0), F.round(F.col("title_match") * 0.75 + F.col("desc_match") * 0.5, 6)))
-    return out.filter((F.col("combined") >= threshold) | (F.col("title_match") >= threshold) | (F.col("desc_match") >= threshold))
-
-
-def profiled(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The rows with `like`: the least key among those with the same values in the columns."""
-    least = df.groupBy(*columns).agg(F.min(key).alias("like")).select("like", *(F.col(c).alias(f"_{c}") for c in columns))
-    return df.join(least, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]).select(*df.columns, "like")
-
-
-def page_matches(pages: DataFrame, problems: DataFrame, idf: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """page, id, title_match, desc_match, combined, kind of accepted problems for each page; candidates share a token, found by a join on terms.
-
-    pages: page, source, title_tokens, tokens; problems: id, source, title_tokens, desc_tokens. The idf table is joined per term, never collected.
-    Pages with the same tokens have the same scores, as have problems: each pair of different ones is scored once, then given to all that are alike.
-    """
-    own, other = profiled(pages, "page", ["title_tokens", "tokens"]), profiled(problems, "id", ["title_tokens", "desc_tokens"])
-    scores = page_scores(own.filter("page = like").dropDuplicates(["page"]), other.filter("id = like").dropDuplicates(["id"]), idf, threshold)
-    scores = scores.withColumnsRenamed({"page": "page_like", "id": "like"})
-    full = scores.join(own.select("page", F.col("source").alias("page_source"), F.col("like").alias("page_like")), "page_like").join(other.select("id", "source", "like"), "like").filter("source <> page_source")
-    return full.select("page", "id", "source", "title_match", "desc_match", "combined", F.when(F.col("combined") > 0.6, "exact").otherwise("similar").alias("kind"))
-
-
-def distinct_titles(matches: DataFrame, most: int = 20) -> DataFrame:
-    """The best `most` of each page whose titles (tokens) are not near those already kept of the same source: a greedy step in order of score, within one page."""
-    import pandas as pd
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, list[set]] = {}
-        rows = []
-        for i, (source, tokens) in enumerate(zip(pdf["source"], pdf["tokens"])):
-            own = set(tokens)
-            if any(own and s and 2 * len(own & s) / (len(own) + len(s)) >= 0.9 for s in kept.get(source, [])):
-                continue
-            kept.setdefault(source, []).append(own)
-            rows.append(i)
-            if len(rows) >= most:
-                break
-        out = pdf.iloc[rows][["page", "id", "combined"]].copy()
-        out["rn"] = range(1, len(out) + 1)
-        return out
-
-    return matches.groupBy("page").applyInPandas(lambda pdf: keep(pdf.sort_values(["combined", "id"], ascending=[False, True])), "page long, id long, combined double, rn long")
-
-
-def distinct_page_titles(pages: DataFrame, problems: DataFrame, idf: DataFrame) -> DataFrame:
-    """distinct_titles of page_matches. Of problems alike in source and tokens only the first can be kept, and pages alike keep the same ones, so the greedy step runs once for each kind of page."""
-    own, other = profiled(pages, "page", ["source", "title_tokens", "tokens"]), profiled(problems, "id", ["source", "title_tokens", "desc_tokens"])
-    matches = page_matches(own.filter("page = like").drop("like"), other.filter("id = like OR size(title_tokens) = 0").drop("like"), idf)
-    kept = distinct_titles(matches.join(problems.select("id", F.col("title_tokens").alias("tokens")), "id").select("page", "id", "source", "combined", "tokens"))
-    return own.select("page", "like").join(kept.withColumnRenamed("page", "like"), "like").select("page", "id", "combined", "rn")
