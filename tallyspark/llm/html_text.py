@@ -5,8 +5,8 @@ walks the tree: hidden elements are left out, white space collapses as on screen
 like are set off by an empty line, list items get their markers and indents, and table cells are aligned in columns.
 
 Scripts are taken as on (noscript is hidden). Visibility comes from attributes (hidden, style) and from the elements' names; rules in style sheets are not read. Elements may
-nest to any depth; only layout stops: within NESTED quotations, lists and tables, further ones are neither indented nor aligned, but keep their lines and markers. Cells
-wider than CELL_WIDTH don't widen their column, nor do cells over several columns.
+nest to any depth; only layout stops: within NESTED quotations, lists and tables, further ones are neither indented nor aligned, but keep their lines and markers. Columns are
+as wide as their widest cell, unless spaces would then be more than PADDING times a table's text: such columns are as wide as a less wide cell. Cells over several columns widen none.
 
 Edge cases: null and empty html give an empty text; unclosed tags, comments and quotes reach to the end, stray end tags are ignored; pages of any length are
 rendered whole; every input row gives one output row; an empty table gives an empty result; other columns are ignored.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import common
 
-NESTED, CELL_WIDTH = 40, 80
+NESTED = 40
+PADDING, PADDING_FREE = 16, 4096
 
 # Element names by the role that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +55,7 @@ ATTRIBUTES = r"""(?:[ \t\n\r\f/]++|[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]
 TAG = re.compile(rf"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^ \t\n\r\f/>]*+){ATTRIBUTES}(?:>|\Z)|([a-zA-Z][^ \t\n\r\f/>]*+)({ATTRIBUTES})(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"?|'([^']*+)'?|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|))?+""")
 TAG_REST = re.compile(rf"{ATTRIBUTES}(?:>|\Z)")
-STYLE = re.compile(r"(display|visibility|content-visibility)\s*:\s*([a-z-]+)")
+STYLE = re.compile(r"(?:^|[;{])\s*(display|visibility|content-visibility)\s*:\s*([a-z-]+)[^;]*?(!\s*important)?\s*(?=;|\Z)")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -189,11 +190,14 @@ def hidden(node: Node) -> tuple[bool, bool | None]:
         return True, None
     visible = None
     if "style" in a:
-        for name, value in STYLE.findall(a["style"].lower()):
-            if name == "display" and value == "none" or name == "content-visibility" and value == "hidden":
-                return True, None
-            if name == "visibility":
-                visible = value not in ("hidden", "collapse")
+        rules = {}
+        for name, value, important in STYLE.findall(a["style"].lower()):  # the last one counts, unless an important one came before
+            if important or not rules.get(name, ("", ""))[1]:
+                rules[name] = (value, important)
+        if rules.get("display", ("",))[0] == "none" or rules.get("content-visibility", ("",))[0] == "hidden":
+            return True, None
+        if "visibility" in rules:
+            visible = rules["visibility"][0] not in ("hidden", "collapse")
     return False, visible
 
 
@@ -265,7 +269,7 @@ def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, dept
     """The element's content; depth: of lists around it, level: of quotations, lists and tables that are laid out on their own.
 
     Open elements wait on a stack of their own: what is left of their children, how these are shown, whether a line ends after them (1) with a gap (2), and for a list
-    beyond NESTED its tag and the next item's number.
+    beyond NESTED its tag, the next item's number and the step to the one after.
     """
     stack = [(iter(node.children), visible, pre, depth, 0, None)]
     while stack:
@@ -293,7 +297,7 @@ def render(node: Node, out: Lines, visible: bool = True, pre: bool = False, dept
                 out.line()
                 out.gap |= depth == 0
                 if level >= NESTED:
-                    stack.append((iter(child.children), seen, False, depth + 1, 1, [tag, _first(child)]))
+                    stack.append((iter(child.children), seen, False, depth + 1, 1, _numbers(child)))
                     break
                 listed(child, out, seen, depth, level + 1)
                 out.gap |= depth == 0
@@ -338,18 +342,21 @@ def _inner(node: Node, visible: bool, pre: bool, depth: int, level: int) -> list
     return own.done()
 
 
-def _first(node: Node) -> int:
-    count = _number(node.attributes.get("start"))
-    return 1 if count is None else count
+def _numbers(node: Node) -> list:
+    """A list's tag, its first item's number, and the step to the next. Reversed lists count down to 1 if they name no start."""
+    count, back = _number(node.attributes.get("start")), "reversed" in node.attributes
+    if count is None:
+        count = sum(isinstance(c, Node) and c.tag == "li" and not hidden(c)[0] for c in node.children) if back else 1
+    return [node.tag, count, -1 if back else 1]
 
 
 def _marker(numbers: list, item: Node, depth: int) -> str:
-    """The marker of a list's item. numbers: the list's tag and the number that is next."""
+    """The marker of a list's item. numbers: as of _numbers(), with the number that is next."""
     if numbers[0] != "ol":
         return BULLETS[min(depth, 2)] + " "
     value = _number(item.attributes.get("value"))
     count = numbers[1] if value is None else value
-    numbers[1] = count + 1
+    numbers[1] = count + numbers[2]
     return f"{count}. "
 
 
@@ -359,7 +366,7 @@ def _number(text: str | None) -> int | None:
 
 
 def listed(node: Node, out: Lines, visible: bool, depth: int, level: int) -> None:
-    numbers, rest = [node.tag, _first(node)], []
+    numbers, rest = _numbers(node), []
 
     def flush() -> None:
         if rest:
@@ -406,6 +413,16 @@ def _rows(node: Node, visible: bool, captions: list[tuple[Node, bool]], loose: l
             stack.pop()
 
 
+def _width(sizes: list[int], rows: int, most: int) -> int:
+    """The width of a column with cells of such sizes in so many rows: the greatest of the sizes that takes `most` spaces at most."""
+    filled = 0  # what the cells hold that are no wider
+    for k, size in enumerate(sorted(sizes)):
+        if size * (rows - len(sizes) + k) - filled > most:
+            return width
+        width, filled = size, filled + size
+    return width
+
+
 def table(node: Node, visible: bool, depth: int, level: int) -> list[str]:
     """Captions and stray content first, then the rows with their cells in columns."""
     captions: list[tuple[Node, bool]] = []
@@ -438,10 +455,13 @@ def table(node: Node, visible: bool, depth: int, level: int) -> list[str]:
     out = _inner(stray, visible, False, depth, level)
     for caption, seen in captions:
         out += _inner(caption, seen, False, depth, level)
-    widths: dict[int, int] = {}
+    sizes: dict[int, list[int]] = defaultdict(list)
     for r, cells in enumerate(grid):
         for c, lines in cells.items():
-            widths[c] = max(widths.get(c, 0), *((1 if (r, c) in over else min(len(x), CELL_WIDTH)) for x in lines if x), 0)
+            sizes[c] += [1 if (r, c) in over else len(x) for x in lines]
+    most = PADDING_FREE + PADDING * sum(map(sum, sizes.values()))
+    rows = sum(max([len(x) for x in cells.values()], default=0) for cells in grid)
+    widths = {c: _width(own, rows, most) for c, own in sizes.items()}
     shown = [c for c in sorted(widths) if widths[c]]
     for cells in grid:
         for i in range(max([len(x) for x in cells.values()], default=0)):

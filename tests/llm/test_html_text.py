@@ -22,6 +22,28 @@ def test_layout(source, want):
     assert extract(source) == want.strip("\n") or extract(source).strip() == want.strip()
 
 
+def test_later_declarations_win():
+    assert extract('<p style="display:none;display:block">shown</p>') == "shown"
+    assert extract('<p style="display:block; display : none">gone</p>x') == "x"
+    assert extract('<p style="display:none !important;display:block">gone</p>x') == "x"
+    assert extract('<p style="visibility:hidden;visibility:visible">shown</p>') == "shown"
+    assert extract('<p style="x-display:none;color:red">shown</p>') == "shown"
+
+
+def test_reversed_lists():
+    assert extract("<ol reversed><li>a<li>b</ol>") == "2. a\n1. b"
+    assert extract("<ol reversed start=9><li>a<li hidden>x<li>b<li value=3>c<li>d</ol>") == "9. a\n8. b\n3. c\n2. d"
+    assert extract("<ol reversed><li>a<li hidden>x<li>b</ol>") == "2. a\n1. b"
+
+
+def test_wide_cells_stay_aligned():
+    wide = "w" * 100
+    assert extract(f"<table><tr><td>{wide}<td>a<tr><td>x<td>b</table>") == f"{wide}  a\n{'x'.ljust(100)}  b"
+    # but spaces stay in proportion to the text
+    out = extract("<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "w" * 100_000 + "<td>c</table>")
+    assert len(out) < 40 * 106_000 and out.endswith("w  c") and out.startswith("a  b\n")
+
+
 def test_large_and_deep_pages_stay_whole():
     began = time.time()
     deep = extract("<div>" * 20_000 + "core" + "</div>" * 20_000)
