@@ -82,6 +82,12 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def labelled(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """picked (doc_id and more, once an id, few) with the text of each id: of documents that share an id the one with the least hash, so that no id brings more than one row."""
+    rest = [c for c in picked.columns if c != "doc_id"]
+    return docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", *rest).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def utf8(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """The joined bytes of a string or binary column without nulls, and the offsets of its values in them."""
     if isinstance(column, pa.ChunkedArray):

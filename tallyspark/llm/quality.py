@@ -1,11 +1,11 @@
 """Quality by compression: Zstandard dictionaries of good and of bad text, and how much better each one fits.
 
-A bounded sample of labelled rows (`sample_rows` of each label, chosen by a hash of the id; of texts beyond `sample_chars`, as many characters from places all over the text) is split in two:
+A bounded sample of labelled rows (`sample_rows` of each label, in the order of a hash of the id, and no more than have `sample_bytes` of text together, or one) is taken whole and split in two:
 one part builds a dictionary for either label, the other calibrates. A text is cut into blocks; each block is compressed with both dictionaries
 and the score's inputs are the normalised size difference (good - bad) / (good + bad) over the whole text, the same for its blocks at both ends of the
 range, and the compressed share of the text. A logistic curve fitted on the calibration part turns them into a probability.
 
-Edge cases: null texts count as empty and score as the sample's base rate of good labels; rows with a null label are not learnt from; with labels of one
+Edge cases: of documents that share a labelled id one is learnt from; null texts count as empty and score as the sample's base rate of good labels; rows with a null label are not learnt from; with labels of one
 kind only, or none, every score is the base rate (0.5 without labels); every input row gives one output row; whole texts are scored, block
 by block; an empty table gives an empty result; other columns are ignored.
 """
@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import common
@@ -104,15 +104,7 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def excerpt(text: Column, chars: int) -> Column:
-    """The text, or where it is longer than `chars`, blocks of it from even distances that have as many characters together."""
-    many = max(1, chars // BLOCK)
-    step = (F.length(text) - BLOCK) / F.lit(max(1, many - 1))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda k: F.substr(text, (k * step).cast("int") + 1, F.lit(BLOCK)))
-    return F.when(F.length(text) <= max(chars, BLOCK), text).otherwise(F.array_join(parts, ""))
-
-
-def learn(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = 1500, sample_chars: int = 65_536) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = 1500, sample_bytes: int = 48 << 20) -> Model:
     """docs: doc_id, text; labels: doc_id, and `label` with 1 for good. Both already cut to the rows that may be learnt from."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.min("y").alias("y"))
     counts = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -121,8 +113,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int = 150
         return Model(b"", b"", (), share)
     order = F.xxhash64("doc_id"), F.col("doc_id")
     picked = [own.filter(F.col("y") == k).orderBy(*order).limit(sample_rows) for k in (0, 1)]
-    rows = docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", F.encode(excerpt(F.col("text"), sample_chars), "UTF-8").alias("t"), "y", F.xxhash64("doc_id").alias("h")).collect()
-    rows.sort(key=lambda r: (r.h, r.doc_id, bytes(r.t)))
+    sample = common.labelled(docs.select("doc_id", "text"), picked[0].unionByName(picked[1])).select("doc_id", "y", F.encode("text", "UTF-8").alias("t"), F.xxhash64("doc_id").alias("h"))
+    sample = common.written(sample.coalesce(8), "quality-sample")
+    # texts come to the driver only as far as their sizes add up to the bound
+    taken, held = [], {0: 0, 1: 0}
+    for r in sorted(sample.select("doc_id", "y", "h", F.octet_length("t").alias("size")).collect(), key=lambda r: (r.h, r.doc_id)):
+        if held[r.y] == 0 or held[r.y] + r.size <= sample_bytes:
+            taken.append(r.doc_id)
+        held[r.y] += max(r.size, 1)
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")
+    rows = sorted(sample.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r.h, r.doc_id))
+    common.drop_written(sample)
     return fit([(bytes(r.t), r.y) for r in rows], share)
 
 

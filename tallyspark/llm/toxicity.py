@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     if len(counts) < 2:
         return _constant(names, counts, total)
     picked = [own.filter(F.col(last) == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
-    sample = common.written(docs.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id"), "toxicity-sample")
+    sample = common.written(common.labelled(docs.select("doc_id", "text"), picked[0].unionByName(picked[1])).coalesce(8), "toxicity-sample")
     marks = [f"y{k}" for k in range(len(names))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,11 +49,19 @@ def test_quality_scores(spark):
         assert sorted(scores) == pytest.approx(sorted(plain_quality(model, t) for t in texts[i]), abs=1e-9)
 
 
-def test_samples_hold_long_texts(spark):
-    text = "".join(chr(97 + i % 26) for i in range(300_000))
-    df = spark.createDataFrame([(text,), ("short",), (None,)], "text string").select(quality.excerpt(F.col("text"), 65_536).alias("x"))
-    long_, short, none = (r.x for r in df.collect())
-    assert len(long_) == 65_536 and long_[:2048] == text[:2048] and long_[-2048:] == text[-2048:] and short == "short" and none == ""
+def test_quality_learns_from_whole_texts(spark):
+    """A long text whose end alone tells its label; the bound is on rows, by their bytes."""
+    rng = random.Random(4)
+    noise = lambda: "".join(rng.choices("pqrstuvwxyz ", k=30_000))
+    docs = [(i, noise() + ("lovely clear prose and reason " if i % 2 else "zzkk qqjj xxvv wwpp ") * 400) for i in range(60)] + [(0, "repeated"), (None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = quality.learn(common.documents(df), labels, "quality")
+    got = {r.doc_id: r.score for r in quality.classify(df.filter("text <> 'repeated'"), model).collect()}
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in range(60))
+    few = quality.learn(common.documents(df), labels, "quality", sample_bytes=1)
+    assert few.good != model.good  # one row of each label was taken
+
 
 
 def plain_toxicity(chain, text):
