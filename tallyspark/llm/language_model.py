@@ -9,8 +9,8 @@ given everything before it in the document, times its probability within the cla
    network and softmaxes learn each word's vectors. Rarer words fall into one class for each power of two of their count: the class is predicted from context, and the
    words share it by count. The class of words counted once also holds all unseen words as a single outcome (their share follows Good and Turing: n1 to 2 n2).
 3. Each batch gets the counts and numbers of its own words back and stores its documents as sequences of the network's tokens.
-4. The network is trained by truncated backpropagation: one pass over a first part of the training documents, then each group of
-   training documents makes one pass from there, and the weights are averaged by tokens.
+4. The network is trained by truncated backpropagation: one pass over a first part of the training documents, then all training documents, in groups, make one pass from there (those of
+   the first part are passed twice), and the weights are averaged by tokens.
 5. Scoring carries the state through all windows of a document.
 
 base_score is the sum of log10((c + 0.5) / (N + 0.5 (V + 1))): c the token's count, N all, V the distinct training tokens.
@@ -114,6 +114,8 @@ def _binned(counts: np.ndarray, single: int) -> np.ndarray:
 
 def learnt_words(known: DataFrame, sums: dict, most_words: int) -> dict:
     """The network's vocabulary: hashes of its words in order (hi, lo) with their tokens, the classes' edges, and the counts of all tokens."""
+    if most_words > 65_536 - 64:
+        raise ValueError("tokens are kept in 16 bits, 64 of them at most for rare words: most_words may be 65,472")
     wanted = int(min(most_words, max(64, sums["n"] ** 0.5)))
     bins, level = sums["bins"], 63
     while level > 2 and bins[level:].sum() < wanted:  # words counted twice at least
