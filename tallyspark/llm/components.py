@@ -12,11 +12,11 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame, u: str, v: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """v long, c long: every vertex of an edge, with the least vertex that it is connected to. Hubs are joined, not gathered."""
     now = common.written(_pairs(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))), "stars")
     mark = None
-    for _ in range(most):
+    while True:  # the stars settle after log(n)^2 steps at most
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
         large = _pairs(both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -30,6 +30,4 @@ def components(edges: DataFrame, u: str, v: str, most: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("v"), F.col("v").alias("c")).unionByName(now.select("v", F.col("v").alias("c")).distinct())

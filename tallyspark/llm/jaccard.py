@@ -3,15 +3,16 @@
 1. Every text gets the size of its set and a 128-bit signature of it; documents with equal signatures are one class.
 2. Shingles are counted by hash range. Within a batch of texts a class counts once, and a shingle of more than OFTEN classes goes as one entry with its
    count, so no range grows with a shingle's frequency. One that only a single class holds cannot be shared, so a class goes on only if enough of its
-   shingles are held twice.
+   shingles are held twice. Different sets can link only if they share `percent` / (100 - percent) shingles at least (4), so smaller ones end here.
 3. Sets are ordered globally, rarest shingle first. Two sets that link share a shingle of their prefixes (length bound of the prefix filter).
-4. Each class has one home: the commonest shingle of its prefix, by ranges of length and in blocks where that has more than `block` holders; some
-   holders (PIVOTS) go to all blocks of their shingle. The sets of a home go into a prefix tree once. A set walks the tree, shares the overlap counted for common
+4. Each class has one home: the commonest shingle of its prefix, by ranges of length and in blocks where that has more than `block` holders; or their shingles are more than HOME_TOKENS;
+   some holders (PIVOTS) go to all blocks of their shingle. The sets of a home go into a prefix tree once. A set walks the tree, shares the overlap counted for common
    paths, and leaves a subtree when the shingles still to come cannot lift any of its sets to the threshold, when lengths differ too much, or when the subtree
    holds no candidate outside its own group.
 5. Then each class visits the homes of those that it shares another prefix shingle with and that are in another, larger group. Every pair that
    links and isn't in one group yet meets there. Nothing is joined by way of mere candidates.
-6. The links found are tested on the shingles themselves. Should a hash have made a false one, all is done again with another seed.
+6. The links found are tested on the shingles themselves. Should hashes of 48 bits have made a false one, all is done again with another seed. A false link needs two sets that almost
+   link and a collision among their shingles: some n^2 / 2^48 for each such pair of n shingles, 0.004 over a billion pairs of a thousand.
 
 Edge cases: null and empty texts and texts without words have no set (n_shingles 0) and link with nothing, component_id is their own id; a text of fewer
 words than a shingle is one shingle; every input row gives one output row, and equal rows share their group; a null id never is a component_id unless all
@@ -35,6 +36,8 @@ from tallyspark.llm.shingles import WORDS, exact, forget, shingles
 PERCENT = 80
 BLOCK = 2000
 PIVOTS = 16
+#: Shingles of a home, or of a part of all homes, of 8 bytes each; a single set may have more.
+HOME_TOKENS = 4_000_000
 OFTEN = 8
 RANGE_BYTES = 6 << 20  # of text, for each range of hashes: about a million shingles
 BATCH_BYTES = 6 << 20
@@ -204,7 +207,8 @@ def survivors(percent: int):
         tokens, places = tokens[order], places[order]
         cuts = _runs(places)
         at = places[cuts[:-1]].astype(np.int64)
-        enough = np.flatnonzero(100 * np.diff(cuts) >= percent * n[at].astype(np.int64))
+        shared = np.diff(cuts)
+        enough = np.flatnonzero((100 * shared >= percent * n[at].astype(np.int64)) & ((100 - percent) * shared >= percent))
         chosen = at[enough]
         sets = [tokens[cuts[i] : cuts[i + 1]].tobytes() for i in enough.tolist()]
         batch = about.column("batch")[0].as_py()
@@ -346,12 +350,13 @@ def homes(heads: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, Dat
     chosen = heads.join(often.hint("merge"), F.col("token") == F.col("t")).groupBy("uid").agg(F.max(F.struct("k", "token")).alias("top")).select("uid", F.col("top.token").alias("token"))
     # homes of many classes: by ranges of length within which sets may link, then by hash
     long_ = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("long")
-    chosen = common.written(chosen.join(reps.select("uid", "n").hint("merge"), "uid").select("uid", "token", long_.alias("range")), "chosen")
-    in_range = chosen.groupBy(F.col("token").alias("t"), F.col("range").alias("r")).agg(F.count("*").alias("there"))
-    sizes = in_range.withColumn("all", F.sum("there").over(Window.partitionBy("t")))
+    chosen = common.written(chosen.join(reps.select("uid", "n").hint("merge"), "uid").select("uid", "token", "n", long_.alias("range")), "chosen")
+    in_range = chosen.groupBy(F.col("token").alias("t"), F.col("range").alias("r")).agg(F.count("*").alias("there"), F.sum("n").alias("tokens"))
+    every = Window.partitionBy("t")
+    sizes = in_range.withColumn("all", F.sum("there").over(every)).withColumn("all_tokens", F.sum("tokens").over(every))
     at = chosen.join(sizes.hint("merge"), (F.col("token") == F.col("t")) & (F.col("range") == F.col("r")))
-    blocks = F.ceil(F.col("there") / F.lit(max(1, block // 2)))
-    single = F.col("all") <= block
+    blocks = F.greatest(F.ceil(F.col("there") / F.lit(max(1, block // 2))), F.ceil(2 * F.col("tokens") / F.lit(HOME_TOKENS)))
+    single = (F.col("all") <= block) & (F.col("all_tokens") <= HOME_TOKENS)
     name = lambda k: F.when(single, F.xxhash64("token")).otherwise(F.xxhash64("token", "range", k))
     at = at.withColumn("blocks", blocks).withColumn("home", name(F.pmod(F.xxhash64("uid"), F.col("blocks"))))
     pivots = at.filter(~single & (F.pmod(F.xxhash64("uid", F.lit(1)), F.col("there")) < PIVOTS)).select("uid", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), name)).alias("home"))
@@ -359,7 +364,7 @@ def homes(heads: DataFrame, reps: DataFrame, block: int) -> tuple[DataFrame, Dat
     return own, own.select("uid", "home").unionByName(pivots)
 
 
-def visits(heads: DataFrame, own: DataFrame, groups: DataFrame, block: int) -> DataFrame:
+def visits(heads: DataFrame, own: DataFrame, reps: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """uid, home: each class in the homes of those that it shares a token with and whose group is larger (of equals, has the greater id); with those who live there."""
     in_group = common.written(own.join(groups.hint("merge"), "uid", "left").withColumn("grp", F.coalesce("grp", "uid")), "grouped")
     # written, so that the join with it is one that adaptive execution splits where a group is large
@@ -372,7 +377,8 @@ def visits(heads: DataFrame, own: DataFrame, groups: DataFrame, block: int) -> D
     guests = open_.filter("rank < top").select("token", "uid", "range", "rank").join(there.hint("merge"), F.col("token") == F.col("u"))
     near = (F.col("range") >= F.col("least") - 1) & (F.col("range") <= F.col("most") + 1)
     guests = common.written(guests.filter((F.col("rank") < F.col("best")) & near).select("uid", F.col("at").alias("home")).distinct(), "visits")
-    many = guests.groupBy(F.col("home").alias("h")).agg(F.ceil(F.count("*") / F.lit(block)).alias("shares"))
+    weighed = guests.join(reps.select("uid", "n").hint("merge"), "uid")
+    many = weighed.groupBy(F.col("home").alias("h")).agg(F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(HOME_TOKENS))).alias("shares"))
     coming = guests.join(many.hint("merge"), F.col("home") == F.col("h")).select("uid", F.xxhash64("home", F.pmod(F.xxhash64("uid"), F.col("shares"))).alias("home"))
     share = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1), lambda k: F.xxhash64("home", k)))
     living = own.select("uid", "home").join(many.hint("merge"), F.col("home") == F.col("h")).select("uid", share.alias("home"))
@@ -419,12 +425,13 @@ def grouped(docs: DataFrame, percent: int, words: int, block: int, seed: int) ->
     twice = all_heads.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("k")).filter("k > 1").select("t")
     heads = common.written(all_heads.join(twice.hint("merge"), F.col("token") == F.col("t")).select("token", "uid"), "heads")
     common.drop_written(all_heads)
-    parts = max(1, -(-heads.select("uid").distinct().count() // block))
+    held = heads.select("uid").distinct().join(reps.select("uid", "n").hint("merge"), "uid").agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    parts = max(1, -(-held.k // block), -(-(held.n or 0) // HOME_TOKENS))
     own, placed = homes(heads, reps, block)
     alone = reps.select("uid", F.col("uid").alias("grp")).limit(0)
     first = linked(placed, reps, alone, percent, parts)
     groups = common.written(components(first, "a", "b").select(F.col("v").alias("uid"), F.col("c").alias("grp")), "groups")
-    second = linked(visits(heads, own, groups, block), reps, groups, percent, parts)
+    second = linked(visits(heads, own, reps, groups, block), reps, groups, percent, parts)
     found = first.unionByName(second)
     # the text of each linked class's least row
     ends = found.select(F.explode(F.array("a", "b")).alias("uid")).distinct()

@@ -90,8 +90,9 @@ def test_false_links_of_a_seed_are_found(spark, monkeypatch):
     assert {c for _, c in ids(jaccard.join(df)).values()} == {1} and len(tested) == 2
 
 
-@pytest.mark.parametrize("block", [4, 40])
-def test_large_groups_and_common_lines(spark, block):
+@pytest.mark.parametrize("block,tokens", [(4, 1 << 30), (40, 1 << 30), (40, 300)])
+def test_large_groups_and_common_lines(spark, monkeypatch, block, tokens):
+    monkeypatch.setattr(jaccard, "HOME_TOKENS", tokens)
     rng = random.Random(5)
     say = lambda n: " ".join(rng.choices([f"v{i}" for i in range(900)], k=n))
     base, line, rows = say(60), say(12), []
