@@ -6,8 +6,9 @@ the window's words, so the prefix of one token is enough to find it: the words o
 and the rarest is joined with the documents' word positions. The token's place in its window bounds where the window starts and the
 document's length where it ends; candidates within these bounds are compared word by word.
 
-The join table has one row per distinct window. Up to `broadcast_windows` of them it is broadcast; beyond that only the positions of prefix words are shuffled by
-word, each with the words around it. Up to `broadcast_tokens` of these words a broadcast sifts the positions; beyond that they are joined without their texts first.
+The join table has one row per distinct window, without the items that hold it: these are joined with the windows that were found. Up to `broadcast_windows` windows, and BROADCAST_BYTES of
+them, it is broadcast; beyond that only the positions of prefix words are shuffled by word, each with the words around it. Up to `broadcast_tokens` of these words (and as many bytes) a broadcast sifts
+the positions; beyond that they are joined without their texts first.
 
 Edge cases: null or empty texts have no words (n_words 0, n_hit 0, not contaminated); items without words have no windows; an empty
 benchmark leaves every document clean; every input row gives one output row and is judged by itself, whether or not other rows have its id (null included); texts of any length
@@ -25,12 +26,16 @@ WINDOW = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Each window holds 13 words and a list of items: this many take some tens of MB.
+#: Each window holds 13 words: this many take some tens of MB.
 BROADCAST_WINDOWS = 100_000
+#: Words may be of any length, so their bytes are counted as well.
+BROADCAST_BYTES = 48 << 20
 #: Words of a dozen bytes: as many take less than 100 MB.
 BROADCAST_TOKENS = 500_000
 #: Names a row's id and text.
 KEY = ["k1", "k2"]
+#: Names a window.
+NAME = ["w1", "w2"]
 
 
 def words(text: Column) -> Column:
@@ -50,28 +55,36 @@ def n_words(w: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: win array<string>, items array<string>, the ids of the items that hold it."""
+    """win array<string>, w1, w2 (hashes that name it), item: each window of each item once."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col).cast("string")).alias("w")).filter(F.size("w") > 0)
     at = items.withColumn("s", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))))
-    return at.groupBy(F.slice("w", F.col("s"), window).alias("win")).agg(F.collect_set("item").alias("items"))
+    text = F.array_join("win", " ")
+    return at.select(F.slice("w", F.col("s"), window).alias("win"), "item").select("win", F.xxhash64(text).alias("w1"), F.xxhash64(F.lit(7), text).alias("w2"), "item").distinct()
+
+
+def bounded(df: DataFrame, rows: int, size: Column) -> bool:
+    """Whether a table has so many rows at most, and BROADCAST_BYTES."""
+    seen = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return seen.n <= rows and seen.bytes <= BROADCAST_BYTES
 
 
 def prefixes(docs: DataFrame, wins: DataFrame, small: bool) -> DataFrame:
-    """Each window with its rarest word (tok) and that word's place (off) in it. Rarity counts all words of all documents.
+    """Each window (win, w1, w2) with its rarest word (tok) and that word's place (off) in it. Rarity counts all words of all documents.
 
     Here tok is in lower case throughout, not only A-Z: equal words stay equal, and the full comparison comes later.
     """
     hint = F.broadcast if small else (lambda df: df)
-    tokens = wins.select("win", F.posexplode("win").alias("off", "tok")).withColumn("tok", F.lower("tok"))
+    tokens = wins.select(*NAME, F.posexplode("win").alias("off", "tok")).withColumn("tok", F.lower("tok"))
     seen = docs.select(F.explode_outer("w").alias("tok")).select(F.lower("tok").alias("tok")).join(hint(tokens.select("tok").distinct()), "tok").groupBy("tok").agg(F.count("*").alias("n"))
-    ranked = tokens.join(seen, "tok", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok", "off")).alias("p"))
-    return wins.join(ranked, "win").filter("p.n > 0").select("win", "items", F.col("p.tok").alias("tok"), F.col("p.off").alias("off"))
+    ranked = tokens.join(seen, "tok", "left").groupBy(*NAME).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "tok", "off")).alias("p"))
+    return wins.join(ranked, NAME).filter("p.n > 0").select("win", *NAME, F.col("p.tok").alias("tok"), F.col("p.off").alias("off"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """Every occurrence of a window: k1, k2, start (in raw_words), len, items. docs: k1, k2, w (raw_words)."""
-    wins = common.written(windows(benchmark, window), "windows")
-    small = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_tokens: int = BROADCAST_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """Every occurrence of a window: k1, k2, start (in raw_words), len, w1, w2; and the windows' items: w1, w2, item. docs: k1, k2, w (raw_words)."""
+    held = common.written(windows(benchmark, window), "windows")
+    wins = held.select("win", *NAME).dropDuplicates(NAME)
+    small = bounded(wins, broadcast_windows, F.octet_length(F.array_join("win", " ")))
     keys = common.written(prefixes(docs, wins, small), "prefixes")
     start, size = F.col("pos") - F.col("off"), F.size("win")
 
@@ -86,7 +99,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
         found = spots(*KEY, "w").join(F.broadcast(keys), "tok").filter((start >= 0) & (start + size <= F.size("w"))).filter(same(F.col("w"), start))
     else:
         tokens = common.written(keys.select("tok").distinct(), "prefix-tokens")
-        if tokens.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
+        if bounded(tokens, broadcast_tokens, F.octet_length("tok")):
             sifted = spots(*KEY, "w").join(F.broadcast(tokens), "tok", "left_semi")
         else:
             sifted = spots(*KEY).join(tokens, "tok", "left_semi").join(docs.dropDuplicates(KEY), KEY)
@@ -94,7 +107,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
         near = sifted.select(*KEY, "pos", "tok", first.alias("first"), F.slice("w", first + 1, 2 * window - 1).alias("near"))
         at = start - F.col("first")
         found = near.join(keys, "tok").filter((at >= 0) & (at + size <= F.size("near"))).filter(same(F.col("near"), at))
-    return found.select(*KEY, start.alias("start"), size.alias("len"), "items")
+    return found.select(*KEY, start.alias("start"), size.alias("len"), *NAME), held.select(*NAME, "item")
 
 
 def key(id_: Column, text: Column) -> list[Column]:
@@ -104,9 +117,11 @@ def key(id_: Column, text: Column) -> list[Column]:
 
 def judged(base: DataFrame, benchmark: DataFrame, window: int, percent: int, **options) -> DataFrame:
     """base (k1, k2, w and more) with n_words, n_hit, n_items, items, contaminated in place of w."""
-    found = hits(base.select(*KEY, "w"), benchmark, window, **options)
-    covered = found.select(*KEY, "items", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos"))
-    counted = covered.groupBy(*KEY, "pos").agg(F.collect_set("items").alias("items")).groupBy(*KEY).agg(F.count("*").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("items"))))).alias("items"))
+    found, items_of = hits(base.select(*KEY, "w"), benchmark, window, **options)
+    found = common.written(found, "window-hits")
+    covered = found.select(*KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("pos")).distinct()
+    named = found.select(*KEY, *NAME).distinct().join(items_of, NAME).select(*KEY, "item").distinct()
+    counted = covered.groupBy(*KEY).agg(F.count("*").alias("n_hit")).join(named.groupBy(*KEY).agg(F.array_sort(F.collect_list("item")).alias("items")), KEY)
     sizes = base.withColumn("n_words", n_words(F.col("w"))).drop("w")
     all_docs = sizes.join(counted, KEY, "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
