@@ -1,4 +1,4 @@
-"""Text kernel: cleaning, keys, tokens, stems. Everything is a Column function; Python runs only on rows that need it."""
+"""Text kernel: cleaning, keys, tokens, stems. Everything is a Column function; only texts that need Python are sent to it."""
 
 from __future__ import annotations
 
@@ -63,9 +63,32 @@ def _nfkc(text: Column) -> Column:
     return pandas_udf(_compose_all, "string")(text)
 
 
+def _ranges(points: list[int]) -> str:
+    """The inside of a character class."""
+    edges = [(p, p) for p in points]
+    merged = edges[:1]
+    for a, b in edges[1:]:
+        merged[-1:] = [(merged[-1][0], b)] if a == merged[-1][1] + 1 else [merged[-1], (a, b)]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in merged)
+
+
+#: Any character but the Latin ones and the common punctuation that composition leaves as they are. Without combining marks, which are not among these, nothing composes.
+UNSETTLED = f"[^{_ranges([p for p in (*range(0x300), *range(0x2010, 0x2028)) if unicodedata.normalize('NFKC', chr(p)) == chr(p)])}]"
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility composition. Texts in ASCII stay in the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    """Compatibility composition. A UDF in a branch is computed for all rows, so it is given a null for every text that is settled already: of those only a null crosses to Python."""
+    needed = text.rlike(UNSETTLED)
+    return F.coalesce(_nfkc(F.when(needed, text)), text)
+
+
+def decoded(text: Column) -> Column:
+    """Entities decoded once. Numeric ones are decoded in Python, which is sent only the texts that have some; the others in the JVM."""
+    plain = text
+    for name, char in ENTITIES.items():  # amp comes last: what it yields is not decoded again
+        plain = F.regexp_replace(plain, f"(?i)&{name};", char)
+    numeric = text.contains("&#")
+    return F.coalesce(_entities(F.when(numeric, text)), F.when(text.contains("&"), plain).otherwise(text))
 
 
 def squeeze(text: Column) -> Column:
@@ -81,10 +104,7 @@ def clean_text(value: Column, compose: bool = True) -> Column:
     bare = F.regexp_replace(bare, r"(?is)<sub\b[^>]*>(.*?)</sub>", "_($1)")
     bare = F.regexp_replace(bare, rf"(?i)</?(?:{TAGS})\b[^>]*>", " ")
     text = F.when(text.contains("<"), bare).otherwise(text)
-    plain = text
-    for name, char in ENTITIES.items():  # amp comes last: what it yields is not decoded again
-        plain = F.regexp_replace(plain, f"(?i)&{name};", char)
-    text = F.when(text.rlike("&#"), _entities(text)).when(text.contains("&"), plain).otherwise(text)
+    text = decoded(text)
     return squeeze(nfkc(text) if compose else text)
 
 
@@ -211,7 +231,7 @@ def retrieval_body(text: Column, units: int = 10_000) -> Column:
 def html_text(value: Column) -> Column:
     """Titles of schedule pages: tags go, the common entities are decoded, ends are trimmed."""
     text = F.regexp_replace(value, "<[^>]*>", "")
-    text = F.when(text.rlike("&#(?!39;)"), _entities(text)).otherwise(text)
+    text = F.coalesce(_entities(F.when(text.rlike("&#(?!39;)"), text)), text)
     for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(text)

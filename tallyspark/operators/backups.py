@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import urls
+from tallyspark.operators.graphs import cut
 from tallyspark.operators.nested import at, children, kind, levels
 
 # The format's version, how deep a document may be, keys that no object may have, the parts that must be objects, the switches, the greatest goal and history.
@@ -82,7 +83,7 @@ def _zone(name: Column) -> Column:
 
 def faults(backups: DataFrame) -> DataFrame:
     """id, fault: what is wrong with each backup (id, text), a row for each different fault; sound ones have none. A text is read once; its parts are exploded, never collected."""
-    parsed = backups.select("id", F.try_parse_json("text").alias("doc"))
+    parsed = cut(backups.select("id", F.try_parse_json("text").alias("doc")))
     doc = F.col("doc")
     settings, order = at(doc, "$.settings"), at(doc, "$.settings.platformOrder")
     goal, off = at(doc, "$.settings.dailyGoal"), at(doc, "$.disconnectedAccounts")
@@ -108,7 +109,7 @@ def faults(backups: DataFrame) -> DataFrame:
         here = df.withColumn("_part", at(F.col(node), path))
         return children(here, "_part").withColumnsRenamed({"key": f"{name}_key", "value": name}).drop("_part", "pos")
 
-    accounts = part(parsed, "$.accounts", "account").unionByName(part(parsed, "$.disconnectedAccounts", "account")).drop("doc")
+    accounts = cut(part(parsed, "$.accounts", "account").unionByName(part(parsed, "$.disconnectedAccounts", "account")).drop("doc"))
     account, platform = F.col("account"), F.col("account_key")
     handle = string(account, "$.handle")
     own = reduce(lambda rest, name: F.when(platform == name, urls.clean_handle(name, handle)).otherwise(rest), urls.HOSTS, F.lit(None).cast("string"))
@@ -136,7 +137,7 @@ def faults(backups: DataFrame) -> DataFrame:
     lists = part(parsed, "$.lists", "list").drop("doc")
     one = F.col("list")
     out.append(_faults(lists, [(is_(one, "OBJECT") & (string(one, "$.id") == F.col("list_key")) & (F.length(F.trim(string(one, "$.name"))) > 0), "list")]))
-    work = with_question(part(parsed, "$.workspace", "entry").drop("doc"), "entry")
+    work = with_question(cut(part(parsed, "$.workspace", "entry").drop("doc")), "entry")
     out.append(_faults(work, [(F.col("q_sound"), "question"), (F.col("entry_key") == F.col("q_key"), "question key"), (strings(F.col("q_lists")), "list ids")]))
     used = work.select("id", F.explode(F.try_variant_get("q_lists", "$", "array<string>")).alias("list_key"))
     out.append(used.join(lists.select("id", "list_key"), ["id", "list_key"], "left_anti").select("id", F.lit("list ids").alias("fault")))

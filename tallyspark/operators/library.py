@@ -28,9 +28,10 @@ def relevance(title: Column, native_id: Column, query: str) -> Column:
 
 
 def natural_key(title: Column) -> Column:
-    """A sort key in which runs of digits compare as numbers (up to twelve digits)."""
-    padded = F.regexp_replace(F.lower(title), "([0-9]+)", "000000000000$1")
-    return F.regexp_replace(padded, "0+([0-9]{12})", "$1")
+    """A sort key in which runs of digits, however long, compare as numbers: each becomes its length without leading zeros, in ten digits, and the digits."""
+    parts = F.regexp_extract_all(F.lower(title), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p)), "")
 
 
 def difficulty_rank(difficulty: Column, hardest_first: bool = False) -> Column:

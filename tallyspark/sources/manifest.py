@@ -20,25 +20,33 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def _moved(spark: SparkSession, stage: str, place: str) -> None:
+    """Put a staged folder in the place of another. The old one is set aside first and deleted last, so that at every moment one of the two is whole, in its place or beside it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = f"{place}.old-{uuid.uuid4().hex}"
+    had = fs.exists(path(place))
+    if had and not fs.rename(path(place), path(aside)):
+        raise OSError(f"could not set {place} aside")
+    if not fs.rename(path(stage), path(place)):
+        if had:
+            fs.rename(path(aside), path(place))
+        raise OSError(f"could not publish {place}")
+    if had:
+        fs.delete(path(aside), True)
+
+
 def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write all tables to a staging folder, move them into place, and write the manifest last; readers that wait for the manifest see whole builds only."""
-    spark = next(iter(tables.values())).sparkSession
-    jvm, stage = spark._jvm, f"{folder}/.stage-{uuid.uuid4().hex}"
+    """Write all tables and their manifest to a staging folder, then put it in the place of the last build at once: readers see the old build or the new one, whole."""
+    spark, stage = next(iter(tables.values())).sparkSession, f"{folder}.stage-{uuid.uuid4().hex}"
+    hashes = None
     for name, df in tables.items():
         df.write.parquet(f"{stage}/{name}")
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(f"{folder}/manifest"), True)
-    for name in tables:
-        fs.delete(path(f"{folder}/{name}"), True)
-        if not fs.rename(path(f"{stage}/{name}"), path(f"{folder}/{name}")):
-            raise OSError(f"could not publish {name}")
-    fs.delete(path(stage), True)
-    hashes = None
-    for name in tables:
-        own = file_hashes(spark, f"{folder}/{name}").filter("path LIKE '%.parquet'").withColumn("table", F.lit(name))
+        own = file_hashes(spark, f"{stage}/{name}").filter("path LIKE '%.parquet'").withColumn("table", F.lit(name))
         hashes = own if hashes is None else hashes.unionByName(own)
-    hashes.write.parquet(f"{folder}/manifest")
+    # files keep their names when their folder moves
+    hashes.withColumn("path", F.concat_ws("/", F.lit(folder), "table", F.substring_index("path", "/", -1))).write.parquet(f"{stage}/manifest")
+    _moved(spark, stage, folder)
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -55,14 +63,10 @@ def report(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
 
 
 def json_sink(df: DataFrame, folder: str, order: list[str]) -> None:
-    """Rows as JSON lines, sorted over all files, in place of what was there: staged first, then moved, so that a reader sees either all old or all new rows."""
-    spark, stage = df.sparkSession, f"{folder}.stage-{uuid.uuid4().hex}"
+    """Rows as JSON lines, sorted over all files, in place of what was there: staged first, then moved, so that a crash at any moment leaves the old rows or the new ones, whole."""
+    stage = f"{folder}.stage-{uuid.uuid4().hex}"
     df.orderBy(*order).write.json(stage)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(folder), True)
-    if not fs.rename(path(stage), path(folder)):
-        raise OSError(f"could not publish {folder}")
+    _moved(df.sparkSession, stage, folder)
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
