@@ -5,8 +5,16 @@ versions: id, platform, title_tokens, body_tokens (arrays), fingerprint (null wi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyspark.operators.graphs import cut
 
 
 def postings(df: DataFrame, tokens: str) -> DataFrame:
@@ -39,49 +47,100 @@ def rarest(terms: DataFrame, df: DataFrame, most: int, least_df: int, most_df: i
     return rows.filter(F.col("df") <= most_df) if first_then_test else rows
 
 
-def candidate_pairs(versions: DataFrame, n: int, per_platform: int = 32) -> DataFrame:
-    """left, right: pairs by votes of rare title terms and rare statement terms, the best `per_platform` of each destination platform; plus all pairs of equal titles or statements.
+def voted_pairs(versions: DataFrame, n: int, per_platform: int = 32) -> DataFrame:
+    """id, other: by votes of rare title terms and rare statement terms, the best `per_platform` of each destination platform.
 
-    A term that votes is held by at most 600 titles or 250 statements, so no join key of votes is hot. Pairs of equal titles or statements are part of the result, as
-    reviewers see each of them: it grows with the square of such a group. exact_groups() of the catalog has the groups without their pairs.
+    A term that votes is held by at most 600 titles or 250 statements, so no join key of votes is hot. Votes are added up by ids alone; the platform comes to the sums.
     """
     title, body = postings(versions, "title_tokens"), postings(versions, "body_tokens")
     tw, bw = weights(title, n), weights(body, n)
     t = rarest(title, tw, 6, 1, 600, True).select("id", "term", (3 * F.col("w")).alias("vote"))
     b = rarest(body, bw, 12, 2, 250, False).select("id", "term", F.col("w").alias("vote"))
-    to = lambda x: x.select(F.col("id").alias("other"), "platform", "term")
+    to = lambda x: x.select(F.col("id").alias("other"), "term")
     votes = t.join(to(title), "term").unionByName(b.join(to(body), "term")).filter("id <> other")
-    scored = votes.groupBy("id", "other", "platform").agg(F.round(F.sum("vote"), 6).alias("score"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("id", "platform").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= per_platform).select("id", "other")
-    key = F.array_join(F.array_sort("title_tokens"), " ")
-    titles = versions.select("id", F.nullif(key, F.lit("")).alias("k")).filter("k IS NOT NULL")
-    prints = versions.filter("fingerprint IS NOT NULL").select("id", F.col("fingerprint").alias("k"))
-    same = titles.unionByName(prints)
-    exact = same.join(same.select(F.col("id").alias("other"), "k"), "k").filter("id <> other").select("id", "other")
-    return best.unionByName(exact).select(F.least("id", "other").alias("left"), F.greatest("id", "other").alias("right")).distinct()
+    scored = votes.groupBy("id", "other").agg(F.round(F.sum("vote"), 6).alias("score")).join(versions.select(F.col("id").alias("other"), "platform"), "other")
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy("id", "platform").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= per_platform).select("id", "other")
+
+
+def exact_keys(versions: DataFrame) -> DataFrame:
+    """id, channel, key: what versions with equal titles (their terms in any order) or equal statements share."""
+    title = F.nullif(F.array_join(F.array_sort("title_tokens"), " "), F.lit(""))
+    keys = F.array(F.struct(F.lit("title").alias("channel"), title.alias("key")), F.struct(F.lit("statement").alias("channel"), F.col("fingerprint").alias("key")))
+    return versions.select("id", F.inline(keys)).filter("key IS NOT NULL")
+
+
+def exact_links(versions: DataFrame) -> DataFrame:
+    """id, channel, representative, n_links: the exact channel as stars. Versions with equal titles or statements are linked with the least id among them; n_links: how many others each is
+    equal to. A group of k versions has k rows, however large; expanded() makes its k (k - 1) / 2 pairs where somebody asks for them."""
+    keys = exact_keys(versions)
+    groups = keys.groupBy("channel", "key").agg(F.min("id").alias("representative"), (F.count("*") - 1).alias("n_links")).filter("n_links > 0")
+    return keys.join(groups, ["channel", "key"]).select("id", "channel", "representative", "n_links")
+
+
+def expanded(links: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """left, right: all pairs of versions that have the same representative in a channel, or only those of the wanted ids."""
+    own = links if wanted is None else links.join(wanted.select("id").distinct(), "id", "left_semi")
+    both = own.select("id", "channel", "representative").join(links.select(F.col("id").alias("other"), "channel", "representative"), ["channel", "representative"]).filter("id <> other")
+    return both.select(F.least("id", "other").alias("left"), F.greatest("id", "other").alias("right")).distinct()
+
+
+def candidate_links(versions: DataFrame, n: int, per_platform: int = 32) -> DataFrame:
+    """left, right, n_links: the candidates without the pairs inside exact groups: votes, and each member of an exact group with its representative (n_links: the others it equals, null for votes). Its size is
+    in proportion to the versions; with expanded(exact_links()) it gives the pairs of candidate_pairs()."""
+    voted = voted_pairs(versions, n, per_platform).select(F.least("id", "other").alias("left"), F.greatest("id", "other").alias("right"))
+    stars = exact_links(versions).filter("id <> representative").select(F.col("representative").alias("left"), F.col("id").alias("right"), "n_links")
+    return voted.withColumn("n_links", F.lit(None).cast("long")).unionByName(stars).groupBy("left", "right").agg(F.max("n_links").alias("n_links"))
+
+
+def candidate_pairs(versions: DataFrame, n: int, per_platform: int = 32) -> DataFrame:
+    """left, right: voted pairs, plus all pairs of equal titles or statements, as reviewers see each of them: that part grows with the square of a group. candidate_links() has the groups as stars."""
+    voted = voted_pairs(versions, n, per_platform).select(F.least("id", "other").alias("left"), F.greatest("id", "other").alias("right"))
+    return voted.unionByName(expanded(exact_links(versions))).distinct()
+
+
+def shared_terms(pairs: DataFrame) -> DataFrame:
+    """pairs (left_terms, left_w, right_terms and more) with shared and common: how many of the sorted terms both have, and their weight. The arrays are dropped."""
+    rest = [f for f in pairs.schema.fields if f.name not in ("left_terms", "left_w", "right_terms")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, w, b = (batch.column(c) for c in ("left_terms", "left_w", "right_terms"))
+            values, heavy, others = (np.asarray(x.flatten()) for x in (a, w, b))
+            cuts, ends = (np.append(0, np.cumsum(np.asarray(pa.compute.list_value_length(x)))).tolist() for x in (a, b))
+            shared, common = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for i in range(batch.num_rows):
+                own, other = values[cuts[i] : cuts[i + 1]], others[ends[i] : ends[i + 1]]
+                if len(own) and len(other):
+                    hit = other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
+                    shared[i], common[i] = np.count_nonzero(hit), heavy[cuts[i] : cuts[i + 1]][hit].sum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(shared), pa.array(common)], [*(f.name for f in rest), "shared", "common"])
+
+    return pairs.mapInArrow(run, T.StructType([*rest, T.StructField("shared", T.LongType()), T.StructField("common", T.DoubleType())]))
 
 
 def scored_pairs(pairs: DataFrame, versions: DataFrame, n: int) -> DataFrame:
     """Each pair with plain Dice of titles, weighted Dice of statements, shared statement terms, discovery and score; only accepted pairs.
 
-    A version carries its statement's terms as 64-bit hashes with their weights, so a pair needs two joins by id and an intersection; terms are never exploded for pairs.
+    A version carries its statement's terms as sorted 64-bit hashes, and beside them their weights. Pairs meet their right version first, of which only the hashes are moved on to where the
+    left one is; sorted arrays are then intersected batch by batch.
     """
     body = postings(versions, "body_tokens").select("id", "term").join(weights(postings(versions, "body_tokens"), n), "term")
-    terms = body.groupBy("id").agg(F.sum("w").alias("mass"), F.map_from_entries(F.collect_list(F.struct(F.xxhash64("term"), "w"))).alias("terms"))
-    own = versions.select("id", "platform", "title_tokens", "fingerprint").join(terms, "id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
-    own = own.withColumn("held", F.coalesce(F.map_keys("terms"), F.array().cast("array<bigint>"))).persist()
-    side = lambda s, *more: own.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("platform", "title_tokens", "fingerprint", "mass", "held", *more)))
-    full = pairs.join(side("left", "terms"), "left").join(side("right"), "right")
-    both = F.array_intersect("left_held", "right_held")
-    full = full.withColumn("both", both)
-    full = full.withColumn("shared", F.size("both").cast("long")).withColumn("common", F.aggregate("both", F.lit(0.0), lambda a, x: a + F.element_at("left_terms", x)))
-    sizes = F.size("left_title_tokens") + F.size("right_title_tokens")
-    title = F.when(sizes > 0, 2 * F.size(F.array_intersect("left_title_tokens", "right_title_tokens")) / sizes).otherwise(0.0)
+    terms = body.groupBy("id").agg(F.sum("w").alias("mass"), F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), "w"))).alias("terms"))
+    titles = F.struct("platform", "title_tokens", "fingerprint")
+    own = versions.select("id", titles.alias("about")).join(terms, "id", "left")
+    held, heavy = F.coalesce(F.col("terms.h"), F.array().cast("array<bigint>")), F.coalesce(F.col("terms.w"), F.array().cast("array<double>"))
+    own = cut(own.select("id", "about", F.coalesce("mass", F.lit(0.0)).alias("mass"), held.alias("terms"), heavy.alias("w")))
+    right = own.select(F.col("id").alias("right"), F.col("about").alias("r"), F.col("mass").alias("right_mass"), F.col("terms").alias("right_terms"))
+    left = own.select(F.col("id").alias("left"), F.col("about").alias("l"), F.col("mass").alias("left_mass"), F.col("terms").alias("left_terms"), F.col("w").alias("left_w"))
+    full = shared_terms(pairs.join(right, "right").join(left, "left"))
+    mine, other = F.col("l.title_tokens"), F.col("r.title_tokens")
+    sizes = F.size(mine) + F.size(other)
+    title = F.when(sizes > 0, 2 * F.size(F.array_intersect(mine, other)) / sizes).otherwise(0.0)
     masses = F.col("left_mass") + F.col("right_mass")
     statement = F.when(masses > 0, 2 * F.col("common") / masses).otherwise(0.0)
-    exact = F.coalesce(F.col("left_fingerprint") == F.col("right_fingerprint"), F.lit(False))
-    alias = (F.size("left_title_tokens") > 0) & (F.array_sort("left_title_tokens") == F.array_sort("right_title_tokens"))
-    full = full.select("left", "right", "left_platform", "right_platform", F.round(title, 6).alias("title"), F.round(statement, 6).alias("statement"), "shared", exact.alias("exact"), alias.alias("alias"))
+    exact = F.coalesce(F.col("l.fingerprint") == F.col("r.fingerprint"), F.lit(False))
+    alias = (F.size(mine) > 0) & (F.array_sort(mine) == F.array_sort(other))
+    full = full.select("left", "right", F.col("l.platform").alias("left_platform"), F.col("r.platform").alias("right_platform"), F.round(title, 6).alias("title"), F.round(statement, 6).alias("statement"), "shared", exact.alias("exact"), alias.alias("alias"))
     accepted = F.col("exact") | F.col("alias") | ((F.col("title") >= 0.5) & (F.col("statement") >= 0.10)) | ((F.col("statement") >= 0.32) & (F.col("shared") >= 4))
     discovery = F.when(F.col("exact"), "exact-statement").when(F.col("alias"), "title-alias").when(F.col("title") < 0.5, "statement").otherwise("title-and-statement")
     score = F.when(F.col("exact"), 1.0).otherwise(0.35 * F.col("title") + 0.65 * F.col("statement"))

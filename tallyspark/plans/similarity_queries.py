@@ -8,6 +8,7 @@ from tallyspark.functions import text as T
 from tallyspark.operators import pages as P
 from tallyspark.operators import search
 from tallyspark.operators import similarity as S
+from tallyspark.operators.graphs import cut
 from tallyspark.plans.base import Registry
 from tallyspark.plans.text_queries import TITLE, retrieval_sql
 
@@ -40,8 +41,8 @@ FROM f WHERE exact OR alias OR (title >= 0.5 AND statement >= 0.10) OR (statemen
 
 
 def stored(t):
-    """Token arrays are used many times over: they are computed once and kept for the query."""
-    v = versions(t).persist()
+    """Token arrays are used many times over: they are computed once and kept for the query, in the folder of checkpoints, which needs no release."""
+    v = cut(versions(t))
     return v, v.count()
 
 
@@ -56,6 +57,20 @@ def j07(t):
     return S.candidate_pairs(v, n)
 
 
+@R.add("j07_exact_links", f"""WITH {V}, ke AS (SELECT id, 'title' AS channel, array_to_string(list_sort(list_distinct(tt)), ' ') AS k FROM v WHERE len(tt) > 0 UNION ALL SELECT id, 'statement', fp FROM v), g AS (SELECT channel, k, min(id) AS representative, count(*) - 1 AS n_links FROM ke GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT id, channel, representative, n_links FROM ke JOIN g USING (channel, k)""")
+def j07_links(t):
+    return S.exact_links(versions(t))
+
+
+@R.add("j07_candidate_links", f"""WITH {PAIRS}, g AS (SELECT k, min(id) AS l, count(*) - 1 AS n FROM ke GROUP BY 1 HAVING count(*) > 1), st AS (SELECT g.l, id AS r, max(n) AS n FROM g JOIN ke USING (k) WHERE id <> g.l GROUP BY 1, 2), vp AS (SELECT DISTINCT least(id, other) AS l, greatest(id, other) AS r FROM be)
+SELECT l AS "left", r AS "right", st.n AS n_links FROM vp FULL JOIN st USING (l, r)""")
+def j07_candidate_links(t):
+    """The candidates, exact groups as stars."""
+    v, n = stored(t)
+    return S.candidate_links(v, n)
+
+
 @R.add("f14_a16_scored_candidates", f'WITH {SCORED} SELECT "left", "right", platform_pair, discovery, round(score, 3) AS score FROM c')
 def f14(t):
     return flagship(t).select("left", "right", "platform_pair", "discovery", F.round("score", 3).alias("score"))

@@ -110,6 +110,19 @@ def test_similarity(spark):
     assert similarity.select_candidates(many, 0).count() == 0
 
 
+def test_exact_groups_are_stars(spark):
+    rows = [(i, "a" if i % 2 else "b", ["same", "title"] if i < 40 else ["title", "same"] if i < 45 else [f"t{i}"], ["w"], "print" if i % 3 == 0 else None) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, platform string, title_tokens array<string>, body_tokens array<string>, fingerprint string")
+    links = similarity.exact_links(v)
+    got = {(r.id, r.channel): (r.representative, r.n_links) for r in links.collect()}
+    assert got == {**{(i, "title"): (0, 44) for i in range(45)}, **{(i, "statement"): (0, 19) for i in range(0, 60, 3)}}
+    pairs = {(i, j) for j in range(60) for i in range(j) if j < 45 or (i % 3 == 0 and j % 3 == 0)}
+    assert {tuple(r) for r in similarity.expanded(links).collect()} == pairs
+    assert {tuple(r) for r in similarity.expanded(links, spark.createDataFrame([(48,)], "id long")).collect()} == {p for p in pairs if 48 in p}
+    stars = similarity.candidate_links(v, 60)
+    assert stars.filter("n_links IS NOT NULL").count() == 59 - 45 + 45 - sum(1 for i in range(45, 60) if i % 3) and stars.filter("left = 0 AND right = 3").first().n_links == 44
+
+
 def test_companies_and_contests(spark):
     kept, named = companies.split_tags(F.array(*map(F.lit, ["Arrays", "Amazon Microsoft", "FAANG", "Arrays"])), F.lit(None).cast("array<string>"))
     assert one(spark, F.struct(kept.alias("a"), named.alias("b"))).asDict() == {"a": ["Arrays"], "b": ["Amazon", "Microsoft"]}
