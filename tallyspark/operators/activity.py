@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.times import INDIA, date_key
+from tallyspark.operators.graphs import cut
 from tallyspark.operators.ordering import numbered
 
 
@@ -62,7 +63,7 @@ def done_questions(recent: DataFrame, solved: DataFrame, query: str = "", platfo
     """One row a key: the latest dated record, else the undated solved one; then terms in the title, platform and inclusive local days. rn orders, total counts before filters."""
     latest = recent.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts"), "id"))).filter("r = 1").drop("r")
     extra = solved.join(latest.select("key"), "key", "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc_nulls_last("ts"), "id"))).filter("r = 1").drop("r")
-    unique = latest.unionByName(extra.select(latest.columns))
+    unique = cut(latest.unionByName(extra.select(latest.columns)))  # counted, filtered and sorted: three passes
     total = unique.agg(F.count("*").alias("total"))
     out, day = unique, F.coalesce(F.col("day"), date_key(F.col("ts"), zone))
     if platform:

@@ -74,7 +74,7 @@ def exact_groups(versions: DataFrame, blocked: DataFrame, occupied: DataFrame) -
     forces = F.col("platform") == "codeforces"
     contest = F.when(forces, F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), CONTEST, 1), F.lit("")))
     # statements are cleaned and judged once: only ids, keys and marks are kept for the joins
-    marked = free.select("id", "fingerprint", "title_key", thin.alias("thin"), forces.alias("forces"), contest.alias("contest"), (forces & F.col("title").rlike(NUMBERED)).alias("numbered")).persist()
+    marked = cut(free.select("id", "fingerprint", "title_key", thin.alias("thin"), forces.alias("forces"), contest.alias("contest"), (forces & F.col("title").rlike(NUMBERED)).alias("numbered")))
     key = ["fingerprint", "title_key"]
     pairs = blocked.select(F.col("left").alias("l"), F.col("right").alias("r"))
     inside = marked.select(F.col("id").alias("l"), *(F.col(k).alias(f"l_{k}") for k in key)).join(pairs, "l").join(marked.select(F.col("id").alias("r"), *key), "r")

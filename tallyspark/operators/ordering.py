@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.graphs import cut
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     """The rows with their places (long, from 1) in an order that ties nowhere.
 
     Rows are sorted by range, each partition counts its own, and a partition's rows are shifted by how many lie before it. The sorted rows
-    are kept (memory, then disk) while the two passes use them; only a count for each partition is gathered.
+    are checkpointed, as two passes use them; only a count for each partition is gathered.
     """
-    placed = df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()).persist()
+    placed = cut(df.orderBy(*order).withColumn("__place", F.monotonically_increasing_id()))
     part = F.shiftright("__place", 33)
     counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.graphs import cut
+
 PAGE = 500
 STEPS = 5
 DAY = 86_400
@@ -105,6 +107,18 @@ def yearly(saved: DataFrame, years: DataFrame, keys: tuple[str, ...] = ("account
     return saved.join(years.select(*keys).distinct(), list(keys), "left_anti").select(saved.columns).unionByName(years.select(saved.columns))
 
 
+def replace_years(years: DataFrame, folder: str, keys: tuple[str, ...] = ("account", "year")) -> None:
+    """Put the years that came (account, year and more) into a calendar that is kept in a folder, partitioned by year. Only partitions of these years are written, by dynamic overwrite; in them the rows
+    of other accounts stay, as do years that did not come, for example because their request failed."""
+    spark, new = years.sparkSession, cut(years)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = [r.year for r in new.select("year").distinct().collect()]  # a partition each: few
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        saved = spark.read.schema(new.schema).parquet(folder).filter(F.col("year").isin(there))
+        new = yearly(saved, new, keys)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(folder)
+
+
 def profiles(raw: DataFrame, schema: str, required: list[str]) -> DataFrame:
     """Captured profile documents (account, body) read by a schema; the job fails for one that lacks a required field. Columns of the schema follow account."""
     read = raw.select("account", F.from_json("body", schema).alias("p"))

@@ -128,3 +128,15 @@ def test_numbering(spark):
     assert [got[x] for x in want] == list(range(1, 501))
     assert [(r.b, r.rn) for r in ordering.first(df, [F.asc("b")], 3).orderBy("rn").collect()] == [(0, 1), (1, 2), (2, 3)]
     assert ordering.numbered(df.limit(0), [F.asc("a")]).count() == 0
+
+
+def test_years_are_replaced_in_place(spark, tmp_path):
+    folder = str(tmp_path / "calendar")
+    schema = "account string, year int, day string, n int"
+    put = lambda rows: I.replace_years(spark.createDataFrame(rows, schema), folder)
+    put([("a", 2022, "x", 1), ("a", 2023, "y", 2), ("b", 2023, "z", 3), ("a", 2024, "w", 4)])
+    kept = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "calendar" / "year=2022").iterdir()}
+    put([("a", 2023, "new", 5), ("a", 2025, "more", 6)])
+    got = sorted((r.account, r.year, r.day, r.n) for r in spark.read.schema(schema).parquet(folder).collect())
+    assert got == [("a", 2022, "x", 1), ("a", 2023, "new", 5), ("a", 2024, "w", 4), ("a", 2025, "more", 6), ("b", 2023, "z", 3)]
+    assert kept == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "calendar" / "year=2022").iterdir()}
