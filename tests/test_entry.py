@@ -1,4 +1,4 @@
-"""Every registered query and its SQL, on the smallest driver tables."""
+"""The registry holds together, and the flagship query runs on the smallest driver tables."""
 
 import os
 
