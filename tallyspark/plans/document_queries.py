@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import backups
 from tallyspark.plans.base import Registry
-from tallyspark.sources import flight, imports
+from tallyspark.sources import flight, imports, profiles
 from tallyspark.sources.contents import page_contents
 
 R = Registry()
@@ -85,3 +85,32 @@ def s23_contents(t):
         html = F.when(n % 7 == k, text(*parts)) if html is None else html.when(n % 7 == k, text(*parts))
         platform = F.when(n % 7 == k, name) if platform is None else platform.when(n % 7 == k, name)
     return page_contents(t("pages").select(n.alias("id"), platform.alias("platform"), html.alias("html")))
+
+
+def captured_profiles(t):
+    """A profile answer a customer: some not found, some no JSON; calendars of this year and of one before."""
+    n = F.col("c_custkey")
+    second = (19_400 * 86_400 + n * 3_600).cast("string")
+    calendar = text('{\\"', second, '\\":', (n % 5).cast("string"), ',\\"', (19_400 * 86_400 + n * 3_600 + 60).cast("string"), '\\":3}')
+    records = text('[{"id":"1","title":"A","titleSlug":"p', "$c_custkey", '","timestamp":"1700000000"},{"id":"1","title":"B","titleSlug":"p', "$c_custkey", '","timestamp":"1700000060"},{"id":"2","title":"C","titleSlug":"","timestamp":"5"}]')
+    user = text('{"username":"u","submitStatsGlobal":{"acSubmissionNum":[{"difficulty":"All","count":', (n % 90).cast("string"), '}]},"userCalendar":{"activeYears":[2020,2022],"submissionCalendar":"', calendar, '"}}')
+    body = text('{"data":{"matchedUser":', F.when(n % 9 == 0, "null").otherwise(user), ',"recentAcSubmissionList":', records, F.when(n % 10 == 0, "").otherwise("}}"))
+    answers = t("customer").select(n.alias("account"), body.alias("body"))
+    older = t("customer").select(n.alias("account"), (F.lit(2020) + n % 3).cast("int").alias("year"), text('{"', (18_900 * 86_400 + n).cast("string"), '":7}').alias("body"))
+    return profiles.graph_profiles(answers, older, 2023)
+
+
+@R.add("s07_profile_totals", f"SELECT c_custkey AS account, CASE WHEN c_custkey % 10 > 0 AND c_custkey % 9 > 0 THEN c_custkey % 90 END AS total, CASE WHEN c_custkey % 10 = 0 THEN '{profiles.UNAVAILABLE}' WHEN c_custkey % 9 = 0 THEN '{profiles.NOT_FOUND}' END AS fault FROM customer")
+def s07_totals(t):
+    return captured_profiles(t).totals.select("account", "total", "fault")
+
+
+@R.add("s07_profile_recent", "SELECT c_custkey AS account, '1' AS id, 'leetcode:p' || c_custkey AS key, 'B' AS title, TIMESTAMP '2023-11-14 22:14:20' AS ts FROM customer WHERE c_custkey % 10 > 0 AND c_custkey % 9 > 0")
+def s07_recent(t):
+    return captured_profiles(t).recent.select("account", "id", "key", "title", "ts")
+
+
+@R.add("s07_profile_days", """WITH e AS (SELECT c_custkey AS account, 19400 * 86400 + c_custkey * 3600 AS s, c_custkey % 5 AS n FROM customer UNION ALL SELECT c_custkey, 19400 * 86400 + c_custkey * 3600 + 60, 3 FROM customer UNION ALL SELECT c_custkey, 18900 * 86400 + c_custkey, 7 FROM customer WHERE c_custkey % 3 = 2)
+SELECT account, CAST(make_timestamp(CAST(s AS BIGINT) * 1000000) AS DATE) AS day, arg_max(n, s) AS n FROM e WHERE n > 0 AND account % 10 > 0 AND account % 9 > 0 GROUP BY 1, 2""")
+def s07_days(t):
+    return captured_profiles(t).calendar

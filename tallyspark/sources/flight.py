@@ -41,7 +41,7 @@ def flight_profiles(pages: DataFrame) -> DataFrame:
     maps = _last(hits.filter(own & F.coalesce(kind(at(F.col("node"), "$.initialHeatmap")).isin("OBJECT", "ARRAY"), F.lit(False))), F.to_json(at(F.col("node"), "$.initialHeatmap")))
     all_ = pages.select("id", "handle", F.regexp_extract("html", CANONICAL, 1).alias("place")).join(totals, "id", "left").join(maps.withColumnRenamed("value", "heatmap"), "id", "left")
     solved = F.try_variant_get("value", "$.solved", "double")
-    mine = F.coalesce(F.col("place") == F.concat(F.lit(PROFILE), F.url_encode("handle")), F.lit(False))
+    mine = F.coalesce(F.col("place") == F.concat(F.lit(PROFILE), F.replace(F.url_encode("handle"), F.lit("+"), F.lit("%20"))), F.lit(False))
     sound = F.coalesce((F.try_variant_get("value", "$.platform", "string") == PLATFORM) & (solved >= 0) & ~kind(at(F.col("value"), "$.solved")).isin("STRING", "BOOLEAN"), F.lit(False))
     fault = F.when(~mine, "another profile").when(~sound, "no totals")
     rows = lambda path: F.when(fault.isNull(), F.coalesce(F.try_variant_get("value", path, "array<struct<label:string,solved:bigint>>"), F.array().cast("array<struct<label:string,solved:bigint>>")))
