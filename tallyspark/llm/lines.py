@@ -178,7 +178,9 @@ def confirmed(docs: DataFrame, least: int, enough: int, broadcast_keys: int, **o
     lines = docs.mapInArrow(pick, "h long, g long, doc_id long")
     lines = lines.distinct() if small else common.written(lines.join(found.hint("merge"), "h", "left_semi").distinct(), "line-digests")
     counted = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= enough)
-    return lines, common.written(counted.select("h", "g", "keeper"), "line-keys")
+    keys = common.written(counted.select("h", "g", "keeper"), "line-keys")
+    common.drop_written(found)
+    return lines, keys
 
 
 def dedup(documents: DataFrame, least: int = LEAST, docs: int = DOCS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
@@ -190,6 +192,7 @@ def dedup(documents: DataFrame, least: int = LEAST, docs: int = DOCS, id_col: st
     small, shared = bounded(keys, broadcast_keys // 8), None  # a dictionary's entry takes some 200 bytes
     if small:
         shared = documents.sparkSession.sparkContext.broadcast({struct.pack("<qq", g, h): keeper for h, g, keeper in zip(*(c.to_pylist() for c in keys.toArrow().columns), strict=True)})
+        common.drop_written(keys)
     else:
         gone = lines.join(keys.hint("merge"), ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         gone = gone.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("g", "h")).alias("gone"))

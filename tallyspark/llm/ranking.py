@@ -204,8 +204,8 @@ def search(shard: Shard, ids: np.ndarray, query: list[tuple[int, int]], best: Be
     return min(done, len(open_))
 
 
-def ranked(docs: DataFrame, items: list[tuple], most: int, shard_bytes: int, cost: int) -> DataFrame | None:
-    """item (its place in items), doc_id, score: the best rows of each task. items: (id, text); None if there is nothing to find."""
+def ranked(docs: DataFrame, items: list[tuple], most: int, shard_bytes: int, cost: int) -> tuple[DataFrame, DataFrame] | None:
+    """item (its place in items), doc_id, score: the best rows of each task; and the shards that they are read from. items: (id, text); None if there is nothing to find."""
     spark = docs.sparkSession
     terms = [Counter(t for part in slices((text or "").encode()) for t in part) for _, text in items]
     numbers = {t: i for i, t in enumerate(sorted(set().union(*terms)))}
@@ -237,7 +237,7 @@ def ranked(docs: DataFrame, items: list[tuple], most: int, shard_bytes: int, cos
                 score, held, doc = (pa.array(c) for c in top.rows.T.copy())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), item, np.int32)), pa.compute.if_else(pa.compute.equal(held, 1), doc, pa.scalar(None, pa.int64())), score], ["item", "doc_id", "score"])
 
-    return found.mapInArrow(run, "item int, doc_id long, score long")
+    return found.mapInArrow(run, "item int, doc_id long, score long"), found
 
 
 def rank(
@@ -256,10 +256,13 @@ def rank(
         found = ranked(docs, rows, most, shard_bytes, block_cost) if rows else None
         if found is None:
             continue
+        found, held = found
         place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
         best = found.withColumn("rank", place).filter(F.col("rank") <= most)
         names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(rows)], f"item int, item_id {kind}")
         out.append(common.written(best.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"), "search-best"))
+        common.drop_written(held)
+    common.drop_written(own)
     if not out:
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     whole = out[0]

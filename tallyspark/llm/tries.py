@@ -189,6 +189,8 @@ def trie(conversations: DataFrame, family: int = FAMILY, spread: int = SPREAD, h
     saved = F.col("whole") - F.col("n_convs") * F.col("prefix") - (F.col("own") - F.col("owner_own") + F.col("owner_whole") - F.col("prefix"))
     full = full.select(*NODE, "pa", "pb", "conv_id", "depth", "n_convs", "n_ends", F.coalesce("n_children", none).alias("n_children"), "n_leaves", saved.alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"), F.col("owner_first").alias("first"))
     full = common.written(full, "trie")
+    common.drop_written(families)
+    common.drop_written(nodes)
     # below a conversation's first own node the parent is its own as well; only the first ones look theirs up
     own = F.when(F.col("depth") > 0, F.col("conv_id")).alias("parent_conv_id")
     inner = full.filter("depth = 0 OR depth > first").select("*", own)
