@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.sources.readers import spread
+
+
+#: Tables of long texts, whose functions cost far more than moving their rows.
+TEXTS = ["documents", "pages"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table; its zoneless timestamps are instants in the session's zone, UTC."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if table in TEXTS:
+        df = spread(df)
     local = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 

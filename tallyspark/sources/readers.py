@@ -15,6 +15,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores, if it comes in fewer: a file of one row group is one task, however many cores wait. Tables that are read in more parts, as all large ones are, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def corpus(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Problems of all platforms, one JSON array a file; a missing file is an empty corpus."""
     out = spark.createDataFrame([], PROBLEM).withColumn("platform", F.lit(""))

@@ -132,3 +132,12 @@ def test_companies_and_contests(spark):
     assert (n("2024-01-01 10:00:00"), n("2024-01-01 11:30:00"), n("2024-01-01 11:55:00")) == (2, 1, 0)
     rows = spark.createDataFrame([("a", "T", 1000, 2000, 1), ("a", "T2", 1000, 3000, 2), ("b c", "T", 1000, 2000, 3), ("d", "T", 2000, 1000, 4)], "slug string, title string, start_s long, end_s long, pos int")
     assert [r.title for r in contests.normalize(rows, "atcoder").collect()] == ["T2"]
+
+
+def test_small_tables_are_spread(spark):
+    from tallyspark.sources.readers import spread
+
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 3)
+    assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 3
