@@ -1,3 +1,5 @@
+import math
+import random
 from datetime import date, datetime
 
 import pytest
@@ -141,3 +143,41 @@ def test_small_tables_are_spread(spark):
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
     many = spark.range(100).repartition(spark.sparkContext.defaultParallelism + 3)
     assert spread(many).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism + 3
+
+
+def test_votes_and_packed_terms_are_those_of_plain_versions(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, rng.choice("abc"), rng.sample(words, rng.randrange(4)), rng.sample(words, rng.randrange(1, 15)), None) for i in range(60)]
+    v = spark.createDataFrame(rows, "id long, platform string, title_tokens array<string>, body_tokens array<string>, fingerprint string")
+    df = [{w: sum(w in r[c] for r in rows) for w in words} for c in (2, 3)]
+    weight = lambda c, w: math.log(1 + 60 / df[c - 2][w])
+    voted, place = set(), {r[0]: r[1] for r in rows}
+    for i, _, title, body, _ in rows:
+        votes = {}
+        for c, terms in ((2, sorted(title, key=lambda w: (df[0][w], title.index(w)))[:6]), (3, sorted((w for w in body if df[1][w] > 1), key=lambda w: (df[1][w], w))[:12])):
+            for w in terms:
+                for r in rows:
+                    if w in r[c] and r[0] != i:
+                        votes[r[0]] = votes.get(r[0], 0) + (3 if c == 2 else 1) * weight(c, w)
+        for p in "abc":
+            voted |= {(i, o) for o in sorted((o for o in votes if place[o] == p), key=lambda o: (-round(votes[o], 6), o))[:3]}
+    assert {tuple(r) for r in similarity.voted_pairs(v, 60, 3).collect()} == voted
+    pairs = spark.createDataFrame([(i, j) for i in range(60) for j in range(i + 1, 60)], "left long, right long")
+    got = {(r.left, r.right): (r.shared, r.statement) for r in similarity.scored_pairs(pairs, v, 60).collect()}
+    mass = {r[0]: sum(weight(3, w) for w in r[3]) for r in rows}
+    for (i, j), (shared, statement) in got.items():
+        both = set(rows[i][3]) & set(rows[j][3])
+        assert shared == len(both) and abs(statement - 2 * sum(weight(3, w) for w in both) / (mass[i] + mass[j])) < 1e-6
+    assert len(got) > 100
+
+
+def test_numbers_as_bytes():
+    import numpy as np
+    import pyarrow as pa
+
+    numbers = np.array([0, 1, 127, 128, 16_383, 16_384, 1 << 21, (1 << 39) - 1])
+    data, sizes = similarity.packed(numbers)
+    assert sizes.tolist() == [1, 1, 1, 2, 2, 3, 4, 6]
+    assert similarity.unpacked(pa.array([b"", bytes(data[:2]), b"", bytes(data[2:5])], pa.binary()))[1].tolist() == [0, 1, 127, 255]
+    assert similarity.unpacked(pa.array([b"", bytes(data[:2]), b"", bytes(data[2:5])], pa.binary()).slice(1))[0].tolist() == [0, 0, 2, 2]
