@@ -44,43 +44,52 @@ def unique_or_fail(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("n", n).filter(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit(f"duplicate {key}: "), F.col(key).cast("string")))).otherwise(F.lit(True)).cast("boolean")).drop("n")
 
 
+def judged(versions: DataFrame) -> DataFrame:
+    """id, fingerprint, title_key and what the merge rules ask about a version: thin (too little of a statement), cut_off, missing, variant, output and only (a title's last and first word, which
+    make a variant's word together), forces, contest, numbered. Statements are read once and left behind."""
+    statement = F.coalesce("description", F.lit(""))
+    forces = F.coalesce(F.col("platform") == "codeforces", F.lit(False))
+    has = lambda pattern: F.coalesce(F.col("title").rlike(pattern), F.lit(False))
+    return versions.select(
+        "id", "fingerprint", "title_key", ((F.length(statement) < 80) | (F.regexp_count(statement, F.lit(r"[\p{L}\p{N}]+")) < 15)).alias("thin"), statement.rlike(CUT_OFF).alias("cut_off"), (statement == "").alias("missing"), has(VARIANT_WORDS).alias("variant"),
+        has(r"(?i)(?<![A-Za-z0-9_])output\z").alias("output"), has(r"(?i)\Aonly(?![A-Za-z0-9_])").alias("only"), forces.alias("forces"), F.when(forces, F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), CONTEST, 1), F.lit(""))).alias("contest"), (forces & has(NUMBERED)).alias("numbered"),
+    )
+
+
 def merge_blockers(a: str = "a", b: str = "b") -> Column:
-    """Why two versions may not be merged without review; empty if they may."""
+    """Why two versions (as of judged()) may not be merged without review; empty if they may."""
     l, r = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))  # noqa: E731, E741
-    statement = F.coalesce(l("description"), F.lit(""))
-    number = lambda c: F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url(c("url"), F.lit("PATH")), F.lit("")), CONTEST, 1), F.lit(""))
-    contest = (l("platform") == "codeforces") & (r("platform") == "codeforces")
+    contest = l("forces") & r("forces")
     rules = [
         (l("fingerprint") != r("fingerprint"), REASONS[0]),
         (l("title_key") != r("title_key"), REASONS[1]),
-        ((F.length(statement) < 80) | (F.regexp_count(statement, F.lit(r"[\p{L}\p{N}]+")) < 15), REASONS[2]),
-        (statement.rlike(CUT_OFF), REASONS[3]),
-        (F.concat_ws(" ", l("title"), r("title")).rlike(VARIANT_WORDS), REASONS[4]),
-        (contest & F.coalesce(number(l) == number(r), F.lit(False)), REASONS[5]),
-        (contest & (l("title").rlike(NUMBERED) | r("title").rlike(NUMBERED)), REASONS[6]),
+        (l("thin"), REASONS[2]),
+        (l("cut_off"), REASONS[3]),
+        (l("variant") | r("variant") | (l("output") & r("only")), REASONS[4]),
+        (contest & (l("contest") == r("contest")), REASONS[5]),
+        (contest & (l("numbered") | r("numbered")), REASONS[6]),
     ]
     return F.filter(F.array(*(F.when(c, t) for c, t in rules)), lambda x: x.isNotNull())
 
 
 def exact_groups(versions: DataFrame, blocked: DataFrame, occupied: DataFrame) -> DataFrame:
-    """id, grp: members of buckets with one fingerprint and title key in which every pair may merge and none is blocked; one bad pair dissolves its bucket.
+    """id, grp: members of buckets with one fingerprint and title key in which every pair may merge and none is blocked; one bad pair dissolves its bucket."""
+    return buckets_of(cut(judged(versions.join(occupied.select("id"), "id", "left_anti"))), blocked)
+
+
+def buckets_of(marked: DataFrame, blocked: DataFrame) -> DataFrame:
+    """exact_groups() of versions that were judged already.
 
     Within a bucket fingerprints and title keys agree, and the other rules ask about single versions or a shared contest, so a bucket is
     judged from its members' own marks and counts; no pairs are made.
     """
-    free = versions.join(occupied.select("id"), "id", "left_anti")
-    statement = F.coalesce("description", F.lit(""))
-    thin = (F.length(statement) < 80) | (F.regexp_count(statement, F.lit(r"[\p{L}\p{N}]+")) < 15) | statement.rlike(CUT_OFF) | F.col("title").rlike(VARIANT_WORDS)
-    forces = F.col("platform") == "codeforces"
-    contest = F.when(forces, F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), CONTEST, 1), F.lit("")))
-    # statements are cleaned and judged once: only ids, keys and marks are kept for the joins
-    marked = cut(free.select("id", "fingerprint", "title_key", thin.alias("thin"), forces.alias("forces"), contest.alias("contest"), (forces & F.col("title").rlike(NUMBERED)).alias("numbered")))
     key = ["fingerprint", "title_key"]
     pairs = blocked.select(F.col("left").alias("l"), F.col("right").alias("r"))
     inside = marked.select(F.col("id").alias("l"), *(F.col(k).alias(f"l_{k}") for k in key)).join(pairs, "l").join(marked.select(F.col("id").alias("r"), *key), "r")
     torn = inside.filter(" AND ".join(f"l_{k} = {k}" for k in key)).select(*key).distinct()
-    buckets = marked.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or("thin").alias("thin"), F.count("contest").alias("c"), F.countDistinct("contest").alias("cd"), F.count_if("forces").alias("f"), F.bool_or("numbered").alias("numbered"), F.min("id").alias("grp"))
-    good = buckets.filter("n > 1 AND NOT thin AND c = cd AND NOT (numbered AND f > 1)").join(torn, key, "left_anti")
+    bad = F.col("thin") | F.col("cut_off") | F.col("variant")
+    buckets = marked.groupBy(*key).agg(F.count("*").alias("n"), F.bool_or(bad).alias("bad"), F.count("contest").alias("c"), F.countDistinct("contest").alias("cd"), F.count_if("forces").alias("f"), F.bool_or("numbered").alias("numbered"), F.min("id").alias("grp"))
+    good = buckets.filter("n > 1 AND NOT bad AND c = cd AND NOT (numbered AND f > 1)").join(torn, key, "left_anti")
     return marked.join(good.select(*key, "grp"), key).select("id", "grp")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import statements as P
 from tallyspark.functions import text as T
 from tallyspark.operators import catalog as C
+from tallyspark.operators.graphs import cut
 from tallyspark.plans.base import Registry
 from tallyspark.plans.text_queries import CLEAN, KEY, TITLE
 
@@ -44,7 +45,8 @@ def a18(t):
 
 @R.add("p41_merge_blockers", f"""WITH {V} SELECT a.id AS left_id, b.id AS right_id, (a.title_key <> b.title_key)::INT + (NOT (length(a.description) >= 80 AND len(regexp_extract_all(a.description, '[\\p{{L}}\\p{{N}}]+')) >= 15))::INT + regexp_matches(a.description, '(?i)\\b(?:for|note|example|input|output)\\s*:?\\s*$|(?:\\.\\.\\.|…)\\s*$')::INT + regexp_matches(a.title || ' ' || b.title, '(?i)\\b(easy|medium|hard|version|subtask|dataset|interactive|output.only|small|large)\\b')::INT + (a.platform = 'codeforces' AND b.platform = 'codeforces' AND a.contest = b.contest)::INT + (a.platform = 'codeforces' AND b.platform = 'codeforces' AND (regexp_matches(a.title, '(?i)^[a-z]\\d+\\.') OR regexp_matches(b.title, '(?i)^[a-z]\\d+\\.')))::INT AS reasons FROM w a JOIN w b ON a.fp = b.fp AND a.id < b.id""")
 def p41(t):
-    v = versions(t)
+    v = cut(C.judged(versions(t)))  # a version is read once, whatever the number of its copies
+    v = v.join(v.groupBy("fingerprint").agg(F.count("*").alias("copies")).filter("copies > 1"), "fingerprint")
     pairs = v.alias("a").join(v.alias("b"), (F.col("a.fingerprint") == F.col("b.fingerprint")) & (F.col("a.id") < F.col("b.id")))
     return pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.size(C.merge_blockers()).alias("reasons"))
 
@@ -75,9 +77,10 @@ def j10(t):
 
 @R.add("a19_build_stats", f"WITH {EXACT} SELECT (SELECT count(*) FROM w) AS versions, (SELECT count(*) FROM w) - (SELECT count(*) - count(DISTINCT grp) FROM g) AS questions, (SELECT count(DISTINCT grp) FROM g) AS exact_groups, (SELECT count(DISTINCT description) FROM w) AS texts, (SELECT count(*) FROM w WHERE description = '') AS missing")
 def a19(t):
-    v = versions(t)
-    grouped = v.join(a18(t), "id", "left")
-    return grouped.agg(F.count("*").alias("versions"), (F.count_if(F.col("grp").isNull()) + F.countDistinct("grp")).alias("questions"), F.countDistinct("grp").alias("exact_groups"), F.countDistinct("description").alias("texts"), F.count_if(F.col("description") == "").alias("missing"))
+    v = cut(C.judged(versions(t)))
+    grouped = v.join(C.buckets_of(v, no_pairs(t)), "id", "left")
+    # a text has one fingerprint, so texts are counted without moving them
+    return grouped.agg(F.count("*").alias("versions"), (F.count_if(F.col("grp").isNull()) + F.countDistinct("grp")).alias("questions"), F.countDistinct("grp").alias("exact_groups"), F.countDistinct("fingerprint").alias("texts"), F.count_if("missing").alias("missing"))
 
 
 @R.add("i02_claim_ids", "WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS grp FROM part), g AS (SELECT grp, min(id) AS least FROM m GROUP BY 1) SELECT grp, CASE WHEN grp < 'c' THEN 'e_' || grp ELSE 'q_' || left(sha256(least), 32) END AS question_id FROM g")

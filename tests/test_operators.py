@@ -181,3 +181,15 @@ def test_numbers_as_bytes():
     assert sizes.tolist() == [1, 1, 1, 2, 2, 3, 4, 6]
     assert similarity.unpacked(pa.array([b"", bytes(data[:2]), b"", bytes(data[2:5])], pa.binary()))[1].tolist() == [0, 1, 127, 255]
     assert similarity.unpacked(pa.array([b"", bytes(data[:2]), b"", bytes(data[2:5])], pa.binary()).slice(1))[0].tolist() == [0, 0, 2, 2]
+
+
+def test_versions_are_judged_without_their_texts(spark):
+    long = "word " * 40
+    rows = [(i, p, t, f"https://codeforces.com/contest/{c}/problem/A", d, "f", t.lower()) for i, (p, t, c, d) in enumerate([
+        ("codeforces", "Some output", 1, long), ("codeforces", "only this", 1, long), ("leetcode", "Hard one", 1, long), ("codeforces", "b2. twice", 2, long), ("leetcode", "outputs", 3, "short"), ("leetcode", "onlyx", 3, long + "example:")])]
+    v = catalog.judged(spark.createDataFrame(rows, "id long, platform string, title string, url string, description string, fingerprint string, title_key string"))
+    assert not {"description", "title", "url"} & set(v.columns)
+    got = {(r.l, r.r): set(r.why) for r in v.alias("a").crossJoin(v.alias("b")).filter("a.id <> b.id").select(F.col("a.id").alias("l"), F.col("b.id").alias("r"), catalog.merge_blockers().alias("why")).collect()}
+    why = catalog.REASONS
+    assert got[0, 1] == {why[1], why[4], why[5]} and got[1, 0] == {why[1], why[5]} and got[2, 1] == got[1, 2] == {why[1], why[4]}
+    assert got[0, 3] == {why[1], why[6]} and got[4, 5] == {why[1], why[2]} and got[5, 4] == {why[1], why[3]}
