@@ -193,3 +193,15 @@ def test_versions_are_judged_without_their_texts(spark):
     why = catalog.REASONS
     assert got[0, 1] == {why[1], why[4], why[5]} and got[1, 0] == {why[1], why[5]} and got[2, 1] == got[1, 2] == {why[1], why[4]}
     assert got[0, 3] == {why[1], why[6]} and got[4, 5] == {why[1], why[2]} and got[5, 4] == {why[1], why[3]}
+
+
+def test_stems_are_remembered_by_word(spark):
+    import inspect
+
+    rng = random.Random(3)
+    ends = ["", "s", "sses", "ies", "ss", "eed", "ed", "ing", "y", "ational", "izer", "fulness", "icate", "ement", "sion", "e", "ll", "ated", "bling", "izing", "tted", "ogies", "ousli", "ion"]
+    words = list(dict.fromkeys("".join(rng.choice("abdeilnostuyz0") for _ in range(rng.randrange(1, 6))) + rng.choice(ends) for _ in range(3000)))
+    table = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.stemmed(F.array("w"))[0].alias("s"))
+    assert not [(r.w, r.s, text.stem(r.w)) for r in table.collect() if text.stem(r.w) != r.s]
+    assert one(spark, text.match_tokens(F.lit("The Running runs, 12 runner-s x2 running"))) == ["run", "runner", "x2"]
+    assert "stemmed(" not in inspect.getsource(text.match_tokens)
