@@ -27,19 +27,22 @@ def walked(cursors: DataFrame, feed: DataFrame, steps: int = STEPS, size: int =
     """Rows of up to `steps` pages from each cursor (account, start), and account, cursor, complete, stalled.
 
     The boundary is inclusive: the last second is read again, never skipped. A page that is not full ends the walk; a full page within one second stalls it.
+    Each page is kept before the next is read, so no task holds more than one page's sort, and the walk ends when no account goes on.
     """
-    at = cursors.select("account", "start", F.lit(False).alias("complete"), F.lit(False).alias("stalled"))
+    at = cut(cursors.select("account", "start", F.lit(False).alias("complete"), F.lit(False).alias("stalled")))
     rows = None
     for _ in range(steps):
         going = at.filter("NOT complete AND NOT stalled")
-        got = page(going, feed, size)
+        if rows is not None and not going.limit(1).count():
+            break
+        got = cut(page(going, feed, size))
         rows = got.drop("start") if rows is None else rows.unionByName(got.drop("start"))
         seen = got.groupBy("account").agg(F.count("*").alias("n"), F.max("epoch").alias("last"))
         moved = at.join(seen, "account", "left")
         active = ~F.col("complete") & ~F.col("stalled")
         full = F.coalesce(F.col("n") >= size, F.lit(False))
         last = F.greatest("start", F.coalesce("last", F.col("start")))
-        at = moved.select("account", F.when(active, last).otherwise(F.col("start")).alias("start"), F.when(active, ~full).otherwise(F.col("complete")).alias("complete"), F.when(active, full & (last == F.col("start"))).otherwise(F.col("stalled")).alias("stalled"))
+        at = cut(moved.select("account", F.when(active, last).otherwise(F.col("start")).alias("start"), F.when(active, ~full).otherwise(F.col("complete")).alias("complete"), F.when(active, full & (last == F.col("start"))).otherwise(F.col("stalled")).alias("stalled")))
     return rows.dropDuplicates(["account", "id"]), at.withColumnRenamed("start", "cursor")
 
 

@@ -140,3 +140,15 @@ def test_years_are_replaced_in_place(spark, tmp_path):
     got = sorted((r.account, r.year, r.day, r.n) for r in spark.read.schema(schema).parquet(folder).collect())
     assert got == [("a", 2022, "x", 1), ("a", 2023, "new", 5), ("a", 2024, "w", 4), ("a", 2025, "more", 6), ("b", 2023, "z", 3)]
     assert kept == {p.name: p.stat().st_mtime_ns for p in (tmp_path / "calendar" / "year=2022").iterdir()}
+
+
+def test_a_walk_keeps_each_page_before_the_next(spark):
+    from tallyspark.sources import incremental
+
+    feed = spark.range(40).select((F.col("id") % 2).alias("account"), (F.col("id") + 1).alias("id"), (F.col("id") * 10).alias("epoch"))
+    cursors = spark.createDataFrame([(0, 0), (1, 300)], "account long, start long")
+    rows, at = incremental.walked(cursors, feed, steps=5, size=4)
+    # every page and its window are done with: a plan of all steps at once would hold all their sorts in one task
+    assert all("Window" not in df._jdf.queryExecution().toString() for df in (rows, at))
+    assert sorted((r.account, r.id) for r in rows.collect()) == sorted([(0, i) for i in range(1, 33, 2)] + [(1, i) for i in range(32, 41, 2)])
+    assert {r.account: (r.cursor, r.complete) for r in at.collect()} == {0: (300, False), 1: (390, True)}
