@@ -56,3 +56,18 @@ def test_cut():
     kept, runs = substrings.cut(b"abcdeXYab0123", np.array([0, 5, 5, 7, 9, 13]), spans)
     assert kept.to_pylist() == [b"a", b"", b"", b"ab", b"12"]
     assert [[(x["start"], x["end"]) for x in r] for r in runs.to_pylist()] == [[(1, 5)], [], [(0, 2)], [], [(0, 1), (3, 4)]]
+
+
+def test_a_text_that_repeats_itself_changes_nothing_for_its_batch(spark):
+    import random
+
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    shared, own = say(450), say(420)
+    rows = [(0, 1, say(900) + shared + say(700)), (0, 2, own + say(300) + own), (1, 3, say(500) + shared + say(800))]
+    # the first two texts are one batch, the third is another
+    docs = spark.createDataFrame(rows, "part int, doc_id long, text string").repartitionByRange(2, "part").drop("part")
+    from tallyspark.llm import substrings as module
+
+    got = {r.doc_id: sum(x.end - x.start for x in r.removed) for r in module.dedup(docs).collect()}
+    assert got[1] >= 450 and got[3] == got[1] < 470 and got[2] >= 840
