@@ -39,6 +39,7 @@ END, RARE = 0, 1  # tokens that are classes of their own: the end, words counted
 BATCH_BYTES = 4 << 20
 RANGE_BYTES = 8 << 20
 GROUP_TOKENS, FIRST_TOKENS = 6_000_000, 1_500_000
+SCORED_BYTES = 8 << 20  # of texts that are scored side by side
 CHUNK = 16_384  # weights of a group in a row
 WORDS_ROW = "kind int, batch long, part long, first long, digests binary, counts binary, ids binary, nameless binary, learnt binary, sizes binary, places binary, wide boolean"
 
@@ -274,10 +275,23 @@ def score_documents(df: DataFrame, learnt: Column, id_col: str = "doc_id", text_
         return out.select("doc_id", "n_tokens", "n_known", F.lit(0).cast("long").alias("train_tokens"), "base_score", F.col("base_score").alias("score"))
     held = spark.sparkContext.broadcast(trained(out, words, counts, sums["n"]))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        # the more texts side by side, the fewer steps with only the longest of them
+        some, size = [], 0
         for part in common.pieces(parts, "tokens", 2 << 20):
-            gained = score(held.value, [np.frombuffer(x, "<u2") for x in part.column("tokens").to_pylist()], END) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(gained + part.column("share").to_numpy())], [*columns, "score"])
+            some.append(part)
+            size += part.nbytes
+            if size >= SCORED_BYTES:
+                yield pa.Table.from_batches(some)
+                some, size = [], 0
+        if some:
+            yield pa.Table.from_batches(some)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in together(parts):
+            gained = score(held.value, [np.frombuffer(x, "<u2") for x in table.column("tokens").to_pylist()], END) / np.log(10)
+            yield from table.select(columns).append_column("score", pa.array(gained + table.column("share").to_numpy())).to_batches()
+        common.released()
 
     scored = out.select(*columns, "share", "tokens").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(sums["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -144,3 +144,17 @@ def test_all_training_documents_are_learnt_from(spark):
     got = {r.doc_id: r for r in language_model.score_documents(df, F.col("doc_id") < 150).collect()}
     assert got[200].n_known == 51 and got[201].n_known == 1
     assert got[200].score > got[201].score
+
+
+def test_longer_windows_for_the_last_long_texts_change_no_score(monkeypatch):
+    from tallyspark.llm import recurrent
+
+    rng = np.random.default_rng(3)
+    net = Network.new(np.arange(1, 9), vocabulary(), 4)
+    texts = [np.append(rng.integers(0, 8, n), 0).astype(np.uint16) for n in (0, 3, 40, 700, 2100)]
+    sizes = np.array([len(t) for t in texts])
+    whole = list(recurrent.windows(sizes, texts, 0, recurrent.CELLS))
+    assert len(whole) < 5 < -(-2101 // recurrent.WINDOW) and sum(int(w[3].sum()) for w in whole) == sizes.sum()
+    long = score(net, texts, 0)
+    monkeypatch.setattr(recurrent, "CELLS", 0)
+    assert np.allclose(long, score(net, texts, 0), rtol=1e-5)
