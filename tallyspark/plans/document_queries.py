@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import backups
+from tallyspark.operators.graphs import cut
 from tallyspark.plans.base import Registry
 from tallyspark.sources import flight, imports, profiles
 from tallyspark.sources.contents import page_contents
+from tallyspark.sources.readers import spread
 
 R = Registry()
 
@@ -95,8 +97,9 @@ def captured_profiles(t):
     records = text('[{"id":"1","title":"A","titleSlug":"p', "$c_custkey", '","timestamp":"1700000000"},{"id":"1","title":"B","titleSlug":"p', "$c_custkey", '","timestamp":"1700000060"},{"id":"2","title":"C","titleSlug":"","timestamp":"5"}]')
     user = text('{"username":"u","submitStatsGlobal":{"acSubmissionNum":[{"difficulty":"All","count":', (n % 90).cast("string"), '}]},"userCalendar":{"activeYears":[2020,2022],"submissionCalendar":"', calendar, '"}}')
     body = text('{"data":{"matchedUser":', F.when(n % 9 == 0, "null").otherwise(user), ',"recentAcSubmissionList":', records, F.when(n % 10 == 0, "").otherwise("}}"))
-    answers = t("customer").select(n.alias("account"), body.alias("body"))
-    older = t("customer").select(n.alias("account"), (F.lit(2020) + n % 3).cast("int").alias("year"), text('{"', (18_900 * 86_400 + n).cast("string"), '":7}').alias("body"))
+    customers = cut(spread(t("customer").select("c_custkey")))  # answers are made and read by as many tasks as there are cores, whatever the file's row groups; kept, as filters would move below the exchange and take the work along
+    answers = customers.select(n.alias("account"), body.alias("body"))
+    older = customers.select(n.alias("account"), (F.lit(2020) + n % 3).cast("int").alias("year"), text('{"', (18_900 * 86_400 + n).cast("string"), '":7}').alias("body"))
     return profiles.graph_profiles(answers, older, 2023)
 
 
