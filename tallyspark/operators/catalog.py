@@ -16,6 +16,10 @@ from tallyspark.operators.graphs import chain_ends, components, cut
 # What marks a variant in a title, a statement that was cut off, a contest's number in a path, a numbered contest title, and the reasons as they are reported.
 VARIANT_WORDS = r"(?i)(?<![A-Za-z0-9_])(easy|medium|hard|version|subtask|dataset|interactive|output.only|small|large)(?![A-Za-z0-9_])"
 CUT_OFF = r"(?i)(?<![A-Za-z0-9_])(?:for|note|example|input|output)\s*:?\s*$|(?:\.\.\.|…)\s*$"
+# What a text ends in that may have been cut off, blanks aside: few texts have to be searched for CUT_OFF. Blanks alone tell nothing.
+CUT_OFF_END = r"(?i)(?:or|te|le|ut|:|\.\.\.|…)[\s\x{85}\x{2028}\x{2029}]*\z|\A[\s\x{85}\x{2028}\x{2029}]*\z"
+# At least fifteen words.
+ENOUGH = r"\A(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]++){15}"
 CONTEST = r"/(?:problemset/problem|contest|gym)/(\d+)"
 NUMBERED = r"(?i)^[a-z]\d+\."
 REASONS = [
@@ -44,6 +48,11 @@ def unique_or_fail(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("n", n).filter(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit(f"duplicate {key}: "), F.col(key).cast("string")))).otherwise(F.lit(True)).cast("boolean")).drop("n")
 
 
+def cut_off(statement: Column) -> Column:
+    """Whether CUT_OFF is found, which lies at the end: of most texts only that is looked at."""
+    return F.right(statement, F.lit(40)).rlike(CUT_OFF_END) & statement.rlike(CUT_OFF)
+
+
 def judged(versions: DataFrame) -> DataFrame:
     """id, fingerprint, title_key and what the merge rules ask about a version: thin (too little of a statement), cut_off, missing, variant, output and only (a title's last and first word, which
     make a variant's word together), forces, contest, numbered. Statements are read once and left behind."""
@@ -51,7 +60,7 @@ def judged(versions: DataFrame) -> DataFrame:
     forces = F.coalesce(F.col("platform") == "codeforces", F.lit(False))
     has = lambda pattern: F.coalesce(F.col("title").rlike(pattern), F.lit(False))
     return versions.select(
-        "id", "fingerprint", "title_key", ((F.length(statement) < 80) | (F.regexp_count(statement, F.lit(r"[\p{L}\p{N}]+")) < 15)).alias("thin"), statement.rlike(CUT_OFF).alias("cut_off"), (statement == "").alias("missing"), has(VARIANT_WORDS).alias("variant"),
+        "id", "fingerprint", "title_key", ((F.length(statement) < 80) | ~statement.rlike(ENOUGH)).alias("thin"), cut_off(statement).alias("cut_off"), (statement == "").alias("missing"), has(VARIANT_WORDS).alias("variant"),
         has(r"(?i)(?<![A-Za-z0-9_])output\z").alias("output"), has(r"(?i)\Aonly(?![A-Za-z0-9_])").alias("only"), forces.alias("forces"), F.when(forces, F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), CONTEST, 1), F.lit(""))).alias("contest"), (forces & has(NUMBERED)).alias("numbered"),
     )
 

@@ -20,7 +20,7 @@ LONG = "length(description) >= 80 AND len(regexp_extract_all(description, '[\\p{
 
 def versions(t):
     d = t("documents")
-    title = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    title = F.array_join(F.slice(F.split("text", " ", 7), 1, 6), " ")
     platform = F.when(F.col("lang") == "en", "codeforces").otherwise(F.col("lang"))
     clean = T.clean_text(F.col("text"))
     out = d.select(F.col("doc_id").cast("string").alias("id"), platform.alias("platform"), title.alias("title"), F.concat(F.lit("https://codeforces.com/contest/"), (F.col("doc_id") % 50).cast("string"), F.lit("/problem/A")).alias("url"), clean.alias("description"))

@@ -3,6 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
+from tallyspark.operators import catalog
 
 
 def seconds(run):
@@ -28,3 +29,20 @@ def test_white_space_is_squeezed_and_single_spaces_stay(spark):
     texts = [f(r) for r in runs for f in (lambda r: f"a{r}b c{r}d", lambda r: f"{r}a{r}", lambda r: r)]
     got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.squeeze(F.col("t")).alias("x")).collect()]
     assert got == [" ".join(t.replace("﻿", " ").split()) for t in texts]
+
+
+def test_judging_looks_at_the_ends_of_statements(spark):
+    ends = ["for", "Note:", "example :", "INPUT", "output \u0085", "...", "…", ". . .", "therefor", "x_for", "é for", "for\n", "for \r\n", "for\u2028", "for\u2028\u2028", "for" + " " * 60, "... " + "\t" * 60 + ":", "for :" + " " * 60, "", "."]
+    texts = [f"{head}{end}" for head in ("", "a ", "word " * 14, "word " * 15, "one, two; three-four " * 9) for end in ends]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, description string")
+    versions = df.select("id", "description", *(F.lit("x").alias(c) for c in ("fingerprint", "title_key", "title", "platform", "url")))
+    plain = df.select("id", F.col("description").rlike(catalog.CUT_OFF).alias("want_cut"), ((F.length("description") < 80) | (F.regexp_count("description", F.lit(r"[\p{L}\p{N}]+")) < 15)).alias("want_thin"))
+    rows = catalog.judged(versions).join(plain, "id").collect()
+    assert len(rows) == len(texts) and all((r.cut_off, r.thin) == (r.want_cut, r.want_thin) for r in rows)
+    assert {r.cut_off for r in rows} == {r.thin for r in rows} == {True, False}
+    long = versions.limit(1).crossJoin(spark.range(20).select(F.repeat(F.concat(F.lit("plain words of a text "), F.col("id").cast("string")), 80_000).alias("long"))).withColumn("description", F.col("long")).cache()
+    long.count()
+    whole = seconds(lambda: long.filter(F.col("description").rlike(catalog.CUT_OFF)).count())
+    judged = seconds(lambda: catalog.judged(long).agg(F.bool_or("cut_off"), F.bool_or("thin")).collect())
+    long.unpersist()
+    assert judged < 0.7 * whole
