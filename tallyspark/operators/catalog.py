@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.graphs import chain_ends, components, cut
+from tallyspark.operators.similarity import pairs_within
 
 # What marks a variant in a title, a statement that was cut off, a contest's number in a path, a numbered contest title, and the reasons as they are reported.
 VARIANT_WORDS = r"(?i)(?<![A-Za-z0-9_])(easy|medium|hard|version|subtask|dataset|interactive|output.only|small|large)(?![A-Za-z0-9_])"
@@ -212,6 +213,5 @@ def names_of(df: DataFrame, by: str, name: str) -> DataFrame:
 
 
 def grouped_pairs(groups: DataFrame) -> DataFrame:
-    """left_id, right_id: all pairs of members of each group (id, grp). Their number grows with the square of a group; nothing else here needs them."""
-    a, b = groups.select(F.col("id").alias("left_id"), "grp"), groups.select(F.col("id").alias("right_id"), "grp")
-    return a.join(b, "grp").filter("left_id < right_id").select("left_id", "right_id")
+    """left_id, right_id: all pairs of members of each group (id, grp). Their number grows with the square of a group, so a group's pairs are dealt out over tasks; nothing else here needs them."""
+    return pairs_within(cut(groups.select("id", "grp")), "grp").select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
