@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.graphs import cut
+from tallyspark.operators.similarity import TASK_ROWS, pairs_across
+
 # The states of an import job, and the error codes that mean a closed tab.
 RUNNING, COMPLETE, ERROR, WAITING, PAUSED = "running", "complete", "error", "waiting-tab", "paused"
 CLOSED_TABS = ["LEETCODE_TAB_CLOSED", "CODE360_TAB_CLOSED"]
@@ -206,7 +209,7 @@ def daily_done(items: DataFrame, day: Column) -> DataFrame:
     return items.groupBy("platform").agg(F.bool_or(F.coalesce(coding | track, F.lit(False))).alias("done"))
 
 
-def matches(versions: DataFrame, asked: DataFrame, reviewed: DataFrame, hits: DataFrame, limit: int = 12) -> DataFrame:
+def matches(versions: DataFrame, asked: DataFrame, reviewed: DataFrame, hits: DataFrame, limit: int = 12, task_rows: int = TASK_ROWS) -> DataFrame:
     """asked_id, question_id, version, relationship, place: what goes with each asked source.
 
     versions: id, question_id, contract (null: base); asked: asked_id (a version's id); reviewed: question_id, other_id (variants between questions);
@@ -216,7 +219,9 @@ def matches(versions: DataFrame, asked: DataFrame, reviewed: DataFrame, hits: Da
     base = F.coalesce("contract", F.lit("base"))
     own = asked.join(versions.select(F.col("id").alias("asked_id"), "question_id", base.alias("_contract")), "asked_id")
     other = versions.select("question_id", F.col("id").alias("version"), base.alias("_other"))
-    same = own.join(other, "question_id").filter("version <> asked_id").select("asked_id", "question_id", "version", F.when(F.col("_contract") == F.col("_other"), "equivalent").otherwise("platform-variant").alias("relationship"), F.lit(None).cast("long").alias("place"))
+    # their number is that of the asked times that of the versions of a question, whatever is read, so they are dealt out by what they make
+    both = pairs_across(cut(own), other, "question_id", task_rows).select("l.*", "r.version", "r._other")
+    same = both.filter("version <> asked_id").select("asked_id", "question_id", "version", F.when(F.col("_contract") == F.col("_other"), "equivalent").otherwise("platform-variant").alias("relationship"), F.lit(None).cast("long").alias("place"))
     variant = own.join(reviewed.select("question_id", "other_id").distinct(), "question_id").select("asked_id", F.col("other_id").alias("question_id"), F.lit(0).alias("_kind"), F.lit(0.0).alias("score"))
     taken = own.select("asked_id", "question_id").unionByName(variant.select("asked_id", "question_id"))
     guess = hits.join(taken, ["asked_id", "question_id"], "left_anti").select("asked_id", "question_id", F.lit(1).alias("_kind"), "score")
